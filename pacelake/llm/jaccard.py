@@ -37,8 +37,10 @@ from pacelake.llm.components import components
 
 #: Fragments in which overlaps are counted.
 PARTS = 8
-#: Pivot rounds before the remaining pairs are listed.
-ROUNDS = 4
+#: Buckets of up to so many documents that are still apart are compared pair by pair; larger ones take another pivot
+#: first, so often at most.
+SMALL = 64
+ROUNDS = 5
 
 
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,27 +160,28 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     linked = f"100 * overlap >= {percent} * (na + nb - overlap)"
-    tested = links = roots = None
+    tested = links = roots = used = None
     for turn in range(ROUNDS + 1):
         here = ranked
         if roots is not None:
             here = ranked.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-            open_ = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            here = here.join(open_, "key", "left_semi")
+            open_ = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+            here = work.save(here.join(open_, "key"))
             if here.isEmpty():
                 break
-        if turn < ROUNDS:
-            if turn:  # the pivots of a later round are the next most typical ones
-                here = here.join(pivots, (here.key == pivots.pivot_key) & (here.doc == pivots.a), "left_anti")  # noqa: F821
-            best = here.groupBy("key").agg(F.max("rank").alias("best"))
-            best = best.select(F.col("key").alias("pivot_key"), (-F.col("best.after")).alias("a"), F.col("best.n").alias("na"))
-            pivots = best.select("pivot_key", "a") if not turn else pivots.union(best.select("pivot_key", "a"))
-            pivots = work.save(pivots)
-            found = here.join(best, here.key == best.pivot_key).select("a", "na", F.col("doc").alias("b"), F.col("n").alias("nb"))
-        else:
+        listing = bool(turn) and (turn == ROUNDS or here.where(F.col("size") > SMALL).isEmpty())
+        if listing:
             left = here.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
             right = here.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            found = left.join(right, (left.key == right.key) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & F.expr(near))
+            found = left.join(right, "key").where("ra <> rb and a < b")
+        else:
+            if turn:  # only large buckets take another pivot, the next most typical one
+                here = here.where(F.col("size") > SMALL).join(used, ["key", "doc"], "left_anti")
+            best = here.groupBy("key").agg(F.max("rank").alias("best"))
+            best = work.save(best.select("key", (-F.col("best.after")).alias("a"), F.col("best.n").alias("na")))
+            mine = best.select("key", F.col("a").alias("doc"))
+            used = mine if used is None else used.union(mine)
+            found = here.join(best, "key").select("a", "na", F.col("doc").alias("b"), F.col("n").alias("nb"))
         found = found.where("a <> b").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
@@ -187,6 +190,8 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         fresh = seen.where(linked).select("a", "b")
         links = fresh if links is None else links.union(fresh)
         roots = components(links)
+        if listing:
+            break
 
     own = sets.join(classes, ["n", "d1", "d2"], "left")
     return own.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select(
