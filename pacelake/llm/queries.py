@@ -5,21 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pacelake.llm import langid, quality, sharding, urls
 from pacelake.llm.jaccard import jaccard_links
 
+#: The rules of op5_urls.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+#: Bytes of text in a shard of op10_sharding.
+SHARD_BYTES = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.languages(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, urls.train(urls.labelled_urls(spark)))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_jaccard": op6_jaccard}
+    return {"op1_quality": op1_quality, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op10_sharding": op10_sharding}
+
+
+ORACLE = {
+    "op10_sharding": f"""
+        WITH r AS (
+            SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes,
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) // 4 AS h
+            FROM documents),
+        e AS (SELECT doc_id, n_bytes, d, h // CAST(pow(2, 30 - d) AS BIGINT) AS prefix FROM r, (SELECT unnest(range(0, 31)) AS d) t),
+        s AS (SELECT *, sum(n_bytes) OVER w AS total, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY d, prefix)),
+        f AS (SELECT doc_id, n_bytes, min(d) AS depth, arg_min(prefix, d) AS prefix FROM s WHERE total <= {SHARD_BYTES} OR n = 1 GROUP BY doc_id, n_bytes)
+        SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, CAST(depth AS BIGINT) AS depth FROM f
+    """,
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
