@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelake.llm import langid, quality, sharding, suffix, urls
+from pacelake.llm import langid, quality, sharding, suffix, tiling, urls
 from pacelake.llm.jaccard import jaccard_links
 
 #: The rules of op5_urls.
@@ -30,6 +30,10 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(table(spark, sf_dir, "documents"), length=200)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.languages(docs, langid.train(docs))
@@ -49,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op10_sharding": op10_sharding}
+    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op10_sharding": op10_sharding}
 
 
 ORACLE = {

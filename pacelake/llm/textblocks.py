@@ -25,6 +25,9 @@ _BASE = 0x2545F4914F6CDD1D  # odd, so that it has an inverse modulo 2**64
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: ASCII other than letters and digits, for operators that compare texts without punctuation.
+IS_MARK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -105,11 +108,11 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[t
         first = end
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word ([^ \\t-\\r]+) and the number of words before each text (one more than texts)."""
+def words(buf: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (a run of bytes that don't part words) and the number of words before each text (one more than texts)."""
     if not len(buf):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
-    inside = ~IS_SPACE[buf]
+    inside = ~apart[buf]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     cut = offsets[1:-1]
@@ -125,9 +128,9 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, values: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, values: np.ndarray = FOLDED, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word (A-Z taken as a-z) and the number of words before each text."""
-    start, end, before = words(buf, offsets)
+    start, end, before = words(buf, offsets, apart)
     return span_hashes(prefix_sums(buf, values), start, end), before
 
 
