@@ -5,11 +5,13 @@ fragments, and each document's sorted set into the segments that fall into
 them.
 
 *Candidates.*  Two sets whose similarity reaches t differ in at most
-``d = (|x| + |y|)(1 - t)/(1 + t)`` shingles, so of ``d + 1`` segments one is the
-same in both.  A document is filed under the hash of each segment, in the band
-of its own size and in the next larger one, so sets meet whenever their sizes
-allow a link.  A frequent line or passage fills no whole segment, so it makes
-no bucket.
+``d = (|x| + |y|)(1 - t)/(1 + t)`` shingles, and so do their parts without frequent shingles.
+If such a part fills more than d segments, one of them is the same in both sets.  A document is
+filed under the hash of each segment that it fills, in the band of its own size and in the next larger one, so
+sets meet whenever their sizes allow a link.  No frequent shingle makes a bucket, so
+these buckets stay small.  Documents with too few rare shingles, such as those of a large group of copies, are
+filed by the segments of their whole sets as well, d + 1 of them, of which again one is the same.
+Which shingles are frequent is read off a table of counts of fixed size; it decides the work, never the result.
 
 *Overlaps.*  For each candidate pair the overlaps are counted fragment by
 fragment and summed per pair; a link needs ``100 * overlap >= percent * union``.
@@ -24,6 +26,7 @@ no group of copies is expanded into all its pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +38,14 @@ from pacelake.llm import textblocks as tb
 from pacelake.llm import work
 from pacelake.llm.components import components
 
+#: Slots of the table of shingle counts, whatever the size of the input (8 bytes each).
+SLOTS = 1 << 20
 #: Fragments in which overlaps are counted.
 PARTS = 8
 #: Buckets of up to so many documents that are still apart are compared pair by pair; larger ones take another pivot
 #: first, so often at most.
 SMALL = 64
-ROUNDS = 5
+ROUNDS = 3
 
 
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,24 +74,65 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def segment_keys(h: np.ndarray, percent: int, low: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The hashes of a set's segments, for its own band and the next."""
+def _cut(h: np.ndarray, m: int) -> np.ndarray:
+    return np.searchsorted(((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
+
+
+def segment_keys(h: np.ndarray, frequent: np.ndarray, low: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The hashes of the segments that a set is filed under, in its own band and the next."""
     band = int(np.searchsorted(low, len(h), side="right")) - 1
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(tb.mix(h))))
-    top = h >> np.uint64(32)
+    rare = h[~frequent[(h & np.uint64(SLOTS - 1)).astype(np.int64)]]
     out = []
     for k in (band, band + 1):
-        m = int(parts[k])
-        cut = np.searchsorted((top * np.uint64(m)) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
-        out.append(tb.mix(tb.mix(sums[cut[1:]] - sums[cut[:-1]]) + np.arange(m, dtype=np.uint64) + np.uint64(k << 40)))
+        d = int(parts[k]) - 1
+        m = (d + 1) * (4 if d < 8 else 1)
+        for part, salt in ((rare, 0), (h, 1)):
+            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(tb.mix(part))))
+            cut = _cut(part, m)
+            full = np.flatnonzero(cut[1:] > cut[:-1]) if not salt else np.arange(m)
+            out.append(tb.mix(tb.mix(sums[cut[full + 1]] - sums[cut[full]]) + full.astype(np.uint64) + np.uint64((2 * k + salt) << 40)))
+            if not salt and len(full) > d:
+                break
+            m = d + 1
     return np.concatenate(out)
 
 
+def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
+    """Which slots of the count table hold a shingle of more than ``SMALL`` texts, for all that the table can tell."""
+    width = SLOTS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.uint32)
+        for batch in batches:
+            flat = [h & np.uint64(SLOTS - 1) for h in _sets(batch.column(0), n)]
+            if flat:
+                counts += np.bincount(np.concatenate(flat).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+        each = [(k, counts[k * width : (k + 1) * width]) for k in range(64)]
+        each = [(k, zlib.compress(c.tobytes(), 1)) for k, c in each if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in each], pa.int32()), pa.array([c for _, c in each], pa.binary())], ["part", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, dtype=np.uint64)
+        for batch in batches:
+            for c in batch.column(1).to_pylist():
+                total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    found = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    counts = np.zeros(SLOTS, dtype=np.uint64)
+    for row in found:
+        counts[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint64)
+    usual = float(np.median(counts))
+    return counts > usual + SMALL + 8 * usual**0.5
+
+
 def shingle_digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, size and two digests of the shingle set, and the keys of its segments."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_slots(docs, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, parts = bands(percent, 1 << 14)
+        frequent = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             sizes, d1, d2, keys = [], [], [], []
             for h in _sets(batch.column(1), n):
@@ -95,7 +141,7 @@ def shingle_digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 sizes.append(len(h))
                 d1.append(int(np.sum(tb.mix(h)).astype(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(tb.mix(h ^ np.uint64(0xA5A5A5A5))).astype(np.int64)) if len(h) else 0)
-                keys.append(segment_keys(h, percent, low, parts) if len(h) else np.zeros(0, dtype=np.uint64))
+                keys.append(segment_keys(h, frequent, low, parts) if len(h) else np.zeros(0, dtype=np.uint64))
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
