@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelake.llm import langid, lm, quality, sharding, suffix, tiling, urls
+from pacelake.llm import langid, lm, pieces, quality, sharding, suffix, tiling, urls
 from pacelake.llm.jaccard import jaccard_links
 
 #: The rules of op5_urls.
@@ -17,6 +17,10 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 SHARD_BYTES = 1 << 20
 
 
+#: The SentencePiece model that op7_sentencepiece reads.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,6 +52,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.lm_scores(table(spark, sf_dir, "documents"), order=2)
     return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
@@ -58,7 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op8_lm": op8_lm, "op10_sharding": op10_sharding}
+    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_sentencepiece": op7_sentencepiece, "op8_lm": op8_lm, "op10_sharding": op10_sharding}
 
 
 ORACLE = {
