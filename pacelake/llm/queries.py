@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelake.llm import langid, lm, pieces, quality, sharding, suffix, tiling, urls
+from pacelake.llm import hnsw, langid, lm, pieces, quality, sharding, suffix, tiling, urls
 from pacelake.llm.jaccard import jaccard_links
 
 #: The rules of op5_urls.
@@ -61,12 +61,16 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.embedding_links(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_sentencepiece": op7_sentencepiece, "op8_lm": op8_lm, "op10_sharding": op10_sharding}
+    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_sentencepiece": op7_sentencepiece, "op8_lm": op8_lm, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding}
 
 
 ORACLE = {
