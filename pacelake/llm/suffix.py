@@ -94,39 +94,72 @@ def _fixed(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(matrix).tobytes())])
 
 
+_CONTEXT = "h long, n long, doc long, at long, la long, ra long, before binary, after binary"
+
+
 def contexts(marked: DataFrame, length: int) -> DataFrame:
-    """A row for each marked anchor: the bytes before it, nearest first, those from it on, and how many there are."""
+    """A row for each marked anchor: the bytes before it, nearest first, those from it on, and how many there are.
+
+    Contexts that are equal within a text, as in runs of one line, are one row; every place
+    of such a context is a further row with n = -1 and no bytes.
+    """
     before, after = length - _anchor_length(length), length
     span = np.arange(-before, after)
 
+    def rows(h: np.ndarray, n: int, doc: int, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        return h, np.full(len(at), n), np.full(len(at), doc), at, np.minimum(at, before), np.minimum(size - at, after)
+
+    def batch_of(ids: list, part: list | None) -> pa.RecordBatch:
+        cols = [pa.array(np.concatenate([x[k] for x in ids]), pa.int64()) for k in range(6)]
+        if part is None:
+            cols += [pa.array([b""] * len(cols[0]), pa.binary())] * 2
+        else:
+            ctx = np.concatenate(part)
+            cols += [_fixed(ctx[:, :before][:, ::-1]), _fixed(ctx[:, before:])]
+        return pa.RecordBatch.from_arrays(cols, ["h", "n", "doc", "at", "la", "ra", "before", "after"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, offsets = tb.buffers(batch.column(1))
-            marks = batch.column(2).to_pylist()
-            ids, part, used = [], [], 0
-            docs_ = batch.column(0).to_pylist()
-
-            def out(ids: list, part: list) -> pa.RecordBatch:
-                h, doc, at, m, la, ra = (np.concatenate([x[k] for x in ids]) for k in range(6))
-                ctx = np.concatenate(part)
-                return pa.RecordBatch.from_arrays([pa.array(h), pa.array(m), pa.array(doc), pa.array(at), pa.array(la), pa.array(ra), _fixed(ctx[:, :before][:, ::-1]), _fixed(ctx[:, before:])], ["h", "m", "doc", "at", "la", "ra", "before", "after"])
-
-            for i, mine in enumerate(marks):
+            docs = batch.column(0).to_pylist()
+            marks = batch.column(2)
+            cut = marks.offsets.to_numpy().astype(np.int64)
+            all_h, all_at = (marks.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            ids, part, places, used = [], [], [], 0
+            for i, doc in enumerate(docs):
                 text = texts[offsets[i] : offsets[i + 1]]
-                at = np.array([x["at"] for x in mine], dtype=np.int64)
+                order = np.lexsort((all_at[cut[i] : cut[i + 1]], all_h[cut[i] : cut[i + 1]]))
+                h, at = all_h[cut[i] : cut[i + 1]][order], all_at[cut[i] : cut[i + 1]][order]
                 padded = np.concatenate((np.zeros(before, np.uint8), text, np.zeros(after, np.uint8)))
+                same = np.zeros(len(h), dtype=bool)
+                same[1:] = h[1:] == h[:-1]
+                twin = same.copy()
+                twin[:-1] |= same[1:]
+                if twin.any():
+                    seen: dict[tuple, list[int]] = {}
+                    for k in np.flatnonzero(twin):
+                        p = int(at[k])
+                        seen.setdefault((int(h[k]), min(p, before), min(len(text) - p, after), padded[p : p + before + after].tobytes()), []).append(int(k))
+                    repeated = [k for ks in seen.values() if len(ks) > 1 for k in ks]
+                    if repeated:
+                        places.append(rows(h[repeated], -1, doc, at[repeated], len(text)))
+                        keep = np.ones(len(h), dtype=bool)
+                        keep[[k for ks in seen.values() for k in ks[1:]]] = False
+                        h, at = h[keep], at[keep]
                 for k in range(0, len(at), 20_000):
-                    a = at[k : k + 20_000]
-                    part.append(padded[a[:, None] + before + span])
-                    ids.append((np.array([x["h"] for x in mine[k : k + 20_000]], dtype=np.int64), np.full(len(a), docs_[i], dtype=np.int64), a, np.array([x["m"] for x in mine[k : k + 20_000]], dtype=np.int64), np.minimum(a, before), np.minimum(len(text) - a, after)))
-                    used += len(a)
+                    some = at[k : k + 20_000]
+                    part.append(padded[some[:, None] + before + span])
+                    ids.append(rows(h[k : k + 20_000], 1, doc, some, len(text)))
+                    used += len(some)
                     if used > 20_000:
-                        yield out(ids, part)
+                        yield batch_of(ids, part)
                         ids, part, used = [], [], 0
             if ids:
-                yield out(ids, part)
+                yield batch_of(ids, part)
+            if places:
+                yield batch_of(places, None)
 
-    return marked.mapInArrow(run, "h long, m long, doc long, at long, la long, ra long, before binary, after binary")
+    return marked.mapInArrow(run, _CONTEXT)
 
 
 def _common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -263,7 +296,7 @@ def _repeated_contexts(texts: DataFrame, found: DataFrame, length: int) -> DataF
     reps = found.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     filed = found.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("h", "p")).alias("x")).select("doc", F.col("x.h").alias("h"), F.col("x.p").alias("at")).repartition("h")
     shared = filed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    marks = filed.join(shared, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "m")).alias("marks"))
+    marks = filed.join(shared, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
     marked = texts.join(marks.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id")
     return contexts(marked.select("doc_id", "text", "marks"), length)
 
@@ -272,14 +305,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """Anchors of more than ``GROUP`` different contexts."""
+    return rows.where("n > 0").groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("h")
+
+
 def maximal_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """``repeat_id, doc_id, start, length`` of all occurrences of every maximal repeat, within the reach of its anchor.
 
-    Of exact copies of a whole text only the one with the smallest doc_id takes part.
+    Of exact copies of a whole text only the one with the smallest doc_id takes part, and of equal contexts
+    within a text the first. Anchors of more than ``GROUP`` contexts are left to ``repeated_spans``.
     """
     texts = _texts(docs)
     rows = _repeated_contexts(texts, work.save(text_anchors(texts, length)), length)
-    return rows.where(F.col("m") <= GROUP).repartition("h").sortWithinPartitions("h").mapInArrow(_occurrences(length), "repeat_id string, doc_id long, start long, length long")
+    return rows.where("n > 0").join(_large(rows), "h", "left_anti").select(rows.columns).repartition("h").sortWithinPartitions("h").mapInArrow(_occurrences(length), "repeat_id string, doc_id long, start long, length long")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -292,8 +331,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     found = work.save(text_anchors(texts, length))
     copies = found.groupBy("sha").agg(F.count("*").alias("copies"))
     rows = work.save(_repeated_contexts(texts, found, length))
-    usual = rows.where(F.col("m") <= GROUP).repartition("h").sortWithinPartitions("h").mapInArrow(_spans(length), "doc long, start long, end long")
-    seen = rows.where(F.col("m") > GROUP)
+    large_groups = _large(rows)
+    within = rows.where("n < 0").where(F.col("la") + F.col("ra") >= length).select("doc", F.expr("at - la").alias("start"), F.expr("at + ra").alias("end"))
+    usual = rows.where("n > 0").join(large_groups, "h", "left_anti").select(rows.columns).repartition("h").sortWithinPartitions("h").mapInArrow(_spans(length), "doc long, start long, end long").union(within)
+    seen = rows.where("n > 0").join(large_groups, "h", "left_semi").select(rows.columns)
     if seen.isEmpty():
         spans = usual
     else:
