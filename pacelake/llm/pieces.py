@@ -265,8 +265,8 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trips(docs: DataFrame, path: str, seed: int = 0, smoothing: float = 1.0) -> DataFrame:
-    """``doc_id, n_bytes, n_pieces, ids_sha256, lossless`` of every row: texts are encoded, decoded and compared in one pass.
+def round_trips(docs: DataFrame, path: str, seed: int = 0, smoothing: float = 1.0, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_pieces, ids_sha256, lossless``, and ``ids`` if asked for, of every row: texts are encoded, decoded and compared in one pass.
 
     The digest is that of the ids as little-endian 32-bit integers. A null text counts as empty, which has no piece.
     """
@@ -281,6 +281,6 @@ def round_trips(docs: DataFrame, path: str, seed: int = 0, smoothing: float = 1.
                 raw, n = ids.astype("<i4").tobytes(), end - first
                 same = [bool(np.array_equal(data[back[i] : back[i + 1]], buf[offsets[i] : offsets[i + 1]])) for i in range(n)]
                 sha = [hashlib.sha256(raw[4 * by_doc[i] : 4 * by_doc[i + 1]]).hexdigest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.diff(offsets)), pa.array(np.diff(by_doc)), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_bytes", "n_pieces", "ids_sha256", "lossless"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.diff(offsets)), pa.array(np.diff(by_doc)), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *([pa.ListArray.from_arrays(pa.array(by_doc.astype(np.int32)), pa.array(ids.astype(np.int32)))] if keep_ids else [])], ["doc_id", "n_bytes", "n_pieces", "ids_sha256", "lossless", *["ids"] * keep_ids])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean")
+    return _keyed(docs).mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean" + ", ids array<int>" * keep_ids)

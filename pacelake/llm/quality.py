@@ -57,11 +57,12 @@ class RuleModel:
     bias: float
     rules: tuple[Rule, ...]
 
-    def score(self) -> Column:
-        """The probability of label 1, over the columns of ``statistics``."""
+    def score(self, within: str = "") -> Column:
+        """The probability of label 1, over the columns of ``statistics``, or such fields of the column ``within``."""
+        at = f"{within}." if within else ""
         total = F.lit(float(self.bias))
         for rule in self.rules:
-            holds = reduce(lambda a, b: a & b, [F.col(s) > F.lit(v) if above else F.col(s) <= F.lit(v) for s, above, v in rule.terms])
+            holds = reduce(lambda a, b: a & b, [F.col(at + s) > F.lit(v) if above else F.col(at + s) <= F.lit(v) for s, above, v in rule.terms])
             total = total + F.when(holds, F.lit(float(rule.weight))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
@@ -174,3 +175,10 @@ def quality_scores(docs: DataFrame, model: RuleModel) -> DataFrame:
     stats = docs.select("doc_id", *[c.alias(s) for s, c in statistics(F.col("text")).items()])
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model scores 0.5 or more."""
+    stats = F.struct(*[c.alias(s) for s, c in statistics(F.col("text")).items()])
+    # a generator keeps the filter from being pushed below the statistics, which would work them out once per rule
+    return docs.select("*", F.explode(F.array(stats)).alias("__statistics")).where(model.score("__statistics") >= 0.5).drop("__statistics")

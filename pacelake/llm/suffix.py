@@ -397,3 +397,29 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """The rows of ``docs`` with the repeated bytes of their texts removed, and ``n_chars`` set anew if there is such a column.
+
+    Bytes of a character that is cut in two are dropped, so that texts stay valid. A null text stays null.
+    """
+    rows, spans = repeated_spans(docs, length)
+    whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans")).dropDuplicates(["doc_id"])
+    spans = spans.join(whole, "doc_id", "left_anti").union(whole)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = batch.column(0).to_pylist(), []
+            for text, mine in zip(texts, batch.column(1).to_pylist(), strict=True):
+                raw = text.encode()
+                starts, ends = merge(mine)
+                out.append(b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *[batch.column(k) for k in range(2, batch.num_columns)]], ["text", *others])
+
+    others = [c for c in docs.columns if c != "text"]
+    marked = docs.join(spans.hint("shuffle_hash"), "doc_id", "left")
+    touched = marked.where("spans is not null and text is not null").select("text", "spans", *others)
+    schema = "text string, " + ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    out = touched.mapInArrow(cut, schema).select(docs.columns).union(marked.where("spans is null or text is null").select(docs.columns))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
