@@ -8,19 +8,22 @@ them.
 ``d = (|x| + |y|)(1 - t)/(1 + t)`` shingles, and so do their parts without frequent shingles.
 If such a part fills more than d segments, one of them is the same in both sets.  A document is
 filed under the hash of each segment that it fills, in the band of its own size and in the next larger one, so
-sets meet whenever their sizes allow a link.  No frequent shingle makes a bucket, so
-these buckets stay small.  Documents with too few rare shingles, such as those of a large group of copies, are
-filed by the segments of their whole sets as well, d + 1 of them, of which again one is the same.
-Which shingles are frequent is read off a table of counts of fixed size; it decides the work, never the result.
+sets meet whenever their sizes allow a link.  It is cut into d + 1 segments first, into more, finer
+ones only where too few are filled; documents whose rare shingles don't suffice, such as
+those of a large group of copies, are filed by the segments of their whole sets as well.  Two sets meet at the coarsest
+level at which one of them fills enough.  Which shingles are frequent is read off a table of counts of fixed size;
+it decides the work, never the result.
+
+*Sketches.*  A sketch holds, for each of 256 slots, whether it got an odd number of shingles.  Two sets
+differ in at least as many shingles as their sketches in bits, so pairs that differ in too many bits are left out where buckets are joined.
 
 *Overlaps.*  For each candidate pair the overlaps are counted fragment by
 fragment and summed per pair; a link needs ``100 * overlap >= percent * union``.
 
-*Groups of copies.*  Equal sets are one class.  Within a bucket the
-most typical document is the pivot and is compared with all others, which links
-a group of near copies by as many pairs as it has members.  Buckets whose members
-are then all connected need no more work; members of the rest are
-compared pair by pair unless they are connected already.  No link is lost, and
+*Groups of copies.*  Equal sets are one class.  Each bucket has a pivot, its most typical document.
+Each document is compared with the pivot of its largest bucket, and where the bucket is not connected by that, with
+another pivot, which links a group of near copies by about as many pairs as it has members.  In buckets that
+still hold several components, all members outside the largest one are compared with all members.  No link between components is lost, and
 no group of copies is expanded into all its pairs.
 """
 
@@ -42,10 +45,11 @@ from pacelake.llm.components import components
 SLOTS = 1 << 20
 #: Fragments in which overlaps are counted.
 PARTS = 8
-#: Buckets of up to so many documents that are still apart are compared pair by pair; larger ones take another pivot
-#: first, so often at most.
+#: Texts that a shingle may stand in beyond the usual before it counts as frequent.
 SMALL = 64
+#: Turns in which each document is compared with one pivot.
 ROUNDS = 3
+SKETCH = ["s0", "s1", "s2", "s3"]
 
 
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,21 +86,27 @@ def segment_keys(h: np.ndarray, frequent: np.ndarray, low: np.ndarray, parts: np
     """The hashes of the segments that a set is filed under, in its own band and the next."""
     band = int(np.searchsorted(low, len(h), side="right")) - 1
     rare = h[~frequent[(h & np.uint64(SLOTS - 1)).astype(np.int64)]]
-    out = []
+    out = [np.zeros(0, dtype=np.uint64)]
     for k in (band, band + 1):
         d = int(parts[k]) - 1
-        m = (d + 1) * (4 if d < 8 else 1)
-        for part, salt in ((rare, 0), (h, 1)):
+        if not d:  # sets of these sizes are linked only if they are equal, and then they are one class
+            continue
+        for level, (part, m) in enumerate(((rare, d + 1), (rare, 2 * d + 2), (rare, 4 * d + 4), (h, d + 1), (h, 4 * d + 4))):
             sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(tb.mix(part))))
             cut = _cut(part, m)
-            full = np.flatnonzero(cut[1:] > cut[:-1]) if not salt else np.arange(m)
-            out.append(tb.mix(tb.mix(sums[cut[full + 1]] - sums[cut[full]]) + full.astype(np.uint64) + np.uint64((2 * k + salt) << 40)))
-            if not salt and len(full) > d:
+            full = np.flatnonzero(cut[1:] > cut[:-1]) if level < 4 else np.arange(m)
+            out.append(tb.mix(tb.mix(sums[cut[full + 1]] - sums[cut[full]]) + full.astype(np.uint64) + np.uint64((8 * k + level) << 40)))
+            if len(full) > d:
                 break
-            m = d + 1
     return np.concatenate(out)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """256 bits, as four integers: whether each slot holds an odd number of hashes."""
+    odd = np.bincount(((h >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
     """Which slots of the count table hold a shingle of more than ``SMALL`` texts, for all that the table can tell."""
     width = SLOTS // 64
@@ -127,29 +137,30 @@ def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def shingle_digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size and two digests of the shingle set, and the keys of its segments."""
+    """doc_id, size, two digests and the sketch of the shingle set, and the keys of its segments."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_slots(docs, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, parts = bands(percent, 1 << 14)
         frequent = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            sizes, d1, d2, keys = [], [], [], []
+            sizes, d1, d2, keys, odd = [], [], [], [], []
             for h in _sets(batch.column(1), n):
                 if len(h) > low[-4]:
                     low, parts = bands(percent, 2 * len(h))
                 sizes.append(len(h))
+                odd.append(sketch(h))
                 d1.append(int(np.sum(tb.mix(h)).astype(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(tb.mix(h ^ np.uint64(0xA5A5A5A5))).astype(np.int64)) if len(h) else 0)
                 keys.append(segment_keys(h, frequent, low, parts) if len(h) else np.zeros(0, dtype=np.uint64))
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))],
-                ["doc_id", "n", "d1", "d2", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *(pa.array([x[i] for x in odd], pa.int64()) for i in range(4)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))],
+                ["doc_id", "n", "d1", "d2", *SKETCH, "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, keys array<long>")
 
 
 def segments(docs: DataFrame, n: int) -> DataFrame:
@@ -199,45 +210,46 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     reps = sets.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     filed = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("keys").alias("key")).distinct().repartition("key")
     shared = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    entries = work.save(filed.join(shared, "key").select("key", "doc", "n", "m"))
-    typical = entries.groupBy("doc").agg(F.sum("m").alias("typical"), F.first("n").alias("n"))
-    segs = work.save(segments(texts.join(typical.select(F.col("doc").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"), n).dropDuplicates(["doc", "part"]))
-    ranked = entries.join(typical.select("doc", "typical"), "doc").withColumn("rank", F.struct("typical", (-F.col("doc")).alias("after"), "n"))
-
-    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    sketches = reps.select(F.col("doc_id").alias("doc"), *SKETCH)
+    entries = work.save(filed.join(shared, "key").select("key", "doc", "n", "m").join(sketches, "doc"))
+    typical = entries.groupBy("doc").agg(F.sum("m").alias("typical"), F.max(F.struct("m", "key")).alias("most"))
+    ranked = work.save(entries.join(typical, "doc").select("key", "doc", "n", *SKETCH, "typical", (F.col("most.key") == F.col("key")).alias("largest")))
+    work.drop(entries)
+    segs = work.save(segments(texts.join(ranked.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi"), n).dropDuplicates(["doc", "part"]))
+
+    columns = ["doc", "n", "root", *SKETCH]
+    bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in SKETCH)
+    may_link = f"a.root <> b.root and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {100 + percent} * ({bits}) <= {100 - percent} * (a.n + b.n)"
     linked = f"100 * overlap >= {percent} * (na + nb - overlap)"
-    tested = links = roots = used = None
+    ends = [F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")]
+    tested = links = roots = None
     for turn in range(ROUNDS + 1):
-        here = ranked
-        if roots is not None:
-            here = ranked.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-            open_ = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-            here = work.save(here.join(open_, "key"))
-            if here.isEmpty():
-                break
-        listing = bool(turn) and (turn == ROUNDS or here.where(F.col("size") > SMALL).isEmpty())
-        if listing:
-            left = here.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            right = here.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            found = left.join(right, "key").where("ra <> rb and a < b")
+        here = ranked.withColumn("root", F.col("doc")) if roots is None else ranked.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        open_ = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+        here = work.save(here.join(open_, "key"))
+        if here.isEmpty():
+            break
+        if turn < ROUNDS:
+            best = here.groupBy("key").agg(F.max(F.struct("typical", (-F.col("doc")).alias("after"), *columns)).alias("best"))
+            best = best.select("key", *[F.col(f"best.{c}").alias(c) for c in columns])
+            members = here.where("largest") if not turn else here
+            found = best.alias("a").join(members.alias("b"), "key").where(may_link).select(*ends, F.col("b.doc").alias("member"), "size")
+            if tested is not None:
+                found = found.join(tested, ["a", "b"], "left_anti")
+            found = found.groupBy("member").agg(F.max(F.struct("size", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         else:
-            if turn:  # only large buckets take another pivot, the next most typical one
-                here = here.where(F.col("size") > SMALL).join(used, ["key", "doc"], "left_anti")
-            best = here.groupBy("key").agg(F.max("rank").alias("best"))
-            best = work.save(best.select("key", (-F.col("best.after")).alias("a"), F.col("best.n").alias("na")))
-            mine = best.select("key", F.col("a").alias("doc"))
-            used = mine if used is None else used.union(mine)
-            found = here.join(best, "key").select("a", "na", F.col("doc").alias("b"), F.col("n").alias("nb"))
-        found = found.where("a <> b").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
+            main = here.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"))
+            apart = here.join(main, "key").where("root <> main.root").select("key", *columns)
+            found = apart.alias("a").join(here.select("key", *columns).alias("b"), "key").where(may_link).select(*ends).distinct().join(tested, ["a", "b"], "left_anti")
         seen = work.save(overlaps(found, segs))
+        work.drop(here)
         tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
         fresh = seen.where(linked).select("a", "b")
         links = fresh if links is None else links.union(fresh)
         roots = components(links)
-        if listing:
-            break
+    if roots is None:
+        roots = components(sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"))
+    work.drop(ranked, segs)
 
     own = sets.join(classes, ["n", "d1", "d2"], "left")
     return own.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select(
