@@ -88,16 +88,13 @@ def check_local_root(root: str) -> None:
                 raise IntakeError("INPUT_SYMLINK")
 
 
-def read_assets(spark: SparkSession, root: str, limits: Limits | None = None) -> DataFrame:
-    """All JSON and binary activity files below ``root``, those within archives too, with their family.
+def assets_of(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """JSON and binary activity files among rows of ``source_path, size_bytes, data``, those within archives too, with their family.
 
     Archives are expanded one level, each in one task within the limits. Nothing is ordered here.
     """
     bounds = limits or Limits()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.regexp_replace(F.url_decode("path"), "^.*?" + re.escape(base) + "/", "")
-    rows = files.select(relative.alias("source_path"), F.col("length").alias("size_bytes"), F.col("content").alias("data")).withColumn("suffix", F.lower(F.regexp_extract("source_path", r"\.([A-Za-z]+)$", 1)))
+    rows = files.withColumn("suffix", F.lower(F.regexp_extract("source_path", r"\.([A-Za-z]+)$", 1)))
     rows = rows.where(~F.regexp_extract("source_path", r"([^/]*)$", 1).rlike(r"^(\._|\.DS_Store)")).where(F.col("suffix").isin("json", "fit", "zip"))
     plain = rows.where("suffix <> 'zip'").select(F.col("suffix").alias("kind"), "source_path", F.lit(None).cast("string").alias("member_path"), F.col("source_path").alias("provenance_path"), "size_bytes", F.sha2("data", 256).alias("sha256"), "data")
 
@@ -112,6 +109,14 @@ def read_assets(spark: SparkSession, root: str, limits: Limits | None = None) ->
     return found.withColumn("family", families.classify(F.coalesce("member_path", "source_path"), F.col("kind")))
 
 
+def read_assets(spark: SparkSession, root: str, limits: Limits | None = None) -> DataFrame:
+    """The assets of all files below ``root``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    relative = F.regexp_replace(F.url_decode("path"), "^.*?" + re.escape(base) + "/", "")
+    return assets_of(files.select(relative.alias("source_path"), F.col("length").alias("size_bytes"), F.col("content").alias("data")), limits)
+
+
 def same_inventory(before: DataFrame, after: DataFrame) -> bool:
     """Whether two inventories hold the same files with the same content."""
     a, b = before.select("provenance_path", "sha256"), after.select("provenance_path", "sha256")
