@@ -92,8 +92,6 @@ def segment_keys(h: np.ndarray, frequent: np.ndarray, low: np.ndarray, parts: np
         if not d:  # sets of these sizes are linked only if they are equal, and then they are one class
             continue
         for level, (part, m) in enumerate(((rare, d + 1), (rare, 2 * d + 2), (rare, 4 * d + 4), (h, d + 1), (h, 4 * d + 4))):
-            if level in (1, 2) and d >= 8:  # finer segments would be many here, and whole sets have segments enough
-                continue
             sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(tb.mix(part))))
             cut = _cut(part, m)
             full = np.flatnonzero(cut[1:] > cut[:-1]) if level < 4 else np.arange(m)
