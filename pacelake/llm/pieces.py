@@ -125,33 +125,35 @@ def filtered(buf: np.ndarray, first: np.ndarray, last: np.ndarray, v: Vocabulary
     word = np.repeat(np.arange(len(first), dtype=np.int64), last - first)
     source, node = start + word[start], end + word[start]
     depth, size = end - first[word[start]], end - start
-    step = np.argsort(depth << 46 | node << 6 | (63 - size))  # no two are equal
-    depth, node_, source_, piece_ = depth[step], node[step], source[step], piece[step]
-    weight = v.log_weight[piece_]
+    # two keys, as depth and node of long words don't fit into one of 64 bits; no two edges are equal
+    step = np.lexsort((node * (len(v.starts) + 1) - size, depth))
+    depth, node, source, piece = depth[step], node[step], source[step], piece[step]
+    del start, end, word, size, step
+    weight = v.log_weight[piece]
     alpha = np.zeros(len(buf) + len(first))
-    value = np.empty(len(start))
+    value = np.empty(len(node))
     cut = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2)) if len(depth) else np.zeros(1, dtype=np.int64)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         if a == b:
             continue
-        x = alpha[source_[a:b]] + weight[a:b]
-        group = np.flatnonzero(np.concatenate(([True], node_[a + 1 : b] != node_[a : b - 1])))
+        x = alpha[source[a:b]] + weight[a:b]
+        group = np.flatnonzero(np.concatenate(([True], node[a + 1 : b] != node[a : b - 1])))
         many = np.diff(np.concatenate((group, [b - a])))
         top = np.maximum.reduceat(x, group)
         share = np.exp(x - np.repeat(top, many))
         whole = np.add.reduceat(share, group)
-        alpha[node_[a:b][group]] = top + np.log(whole)
+        alpha[node[a:b][group]] = top + np.log(whole)
         # probabilities cumulated within each node
         sums = np.cumsum(share)
         value[a:b] = (sums - np.repeat(sums[group] - share[group], many)) / np.repeat(whole, many)
     at = np.zeros(len(alpha) + 1, dtype=np.int64)
     at[1:] = np.cumsum(np.bincount(node, minlength=len(alpha)))
     # edges of a node lie together at each depth already, so they only move as blocks
-    group = np.flatnonzero(np.concatenate(([True], node_[1:] != node_[:-1]))) if len(node_) else np.zeros(0, dtype=np.int64)
-    many = np.diff(np.concatenate((group, [len(node_)]))) if len(node_) else group
-    to = np.repeat(at[node_[group]] - group, many) + np.arange(len(node_))
-    out_source, out_piece, out_value = np.empty_like(source_), np.empty(len(piece_), dtype=np.int32), np.empty_like(value)
-    out_source[to], out_piece[to], out_value[to] = source_, piece_, value
+    group = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, dtype=np.int64)
+    many = np.diff(np.concatenate((group, [len(node)]))) if len(node) else group
+    to = np.repeat(at[node[group]] - group, many) + np.arange(len(node))
+    out_source, out_piece, out_value = np.empty_like(source), np.empty(len(piece), dtype=np.int32), np.empty_like(value)
+    out_source[to], out_piece[to], out_value[to] = source, piece, value
     out_value[at[1:][np.diff(at) > 0] - 1] = 1.0
     return out_source, out_piece, out_value, at
 

@@ -176,6 +176,59 @@ def test_round_trips_are_lossless_and_seeded_by_key(spark, docs):
     assert sum(other[k] != r["ids_sha256"] for k, r in rows.items()) > 0.9 * len(rows)
 
 
+def segmented(key, text, v, seed=0):
+    """The sampled ids of one text, by a lattice of plain dicts."""
+    mask, plain = (1 << 64) - 1, set(v.bytes_.tolist())
+    known = {v.text[a:b].tobytes(): i for i, (a, b) in enumerate(zip(v.ends[:-1], v.ends[1:])) if b > a and i not in plain}
+    longest = max(map(len, known))
+    mix = lambda x: int(pieces.tb.mix(np.array([x & mask], dtype=np.uint64))[0])
+    raw, out = b" " + text.encode() if text else b"", []
+    for place, word in enumerate(re.findall(rb" +[^ ]*|[^ ]+", raw)):
+        arcs = [[] for _ in range(len(word) + 1)]  # (start, id) by end, longest first
+        at = 0
+        for char in word.decode():
+            size = len(char.encode())
+            for n in range(1, min(longest, len(word) - at) + 1):
+                if word[at : at + n] in known:
+                    arcs[at + n].append((at, known[word[at : at + n]]))
+            if word[at : at + size] not in known:
+                for i in range(at, at + size):
+                    arcs[i + 1].append((i, int(v.bytes_[word[i]])))
+            at += size
+        alpha = [0.0] + [-math.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            arcs[end].sort()
+            logs = [alpha[a] + v.log_weight[i] for a, i in arcs[end]]
+            top = max(logs, default=-math.inf)
+            if top > -math.inf:
+                alpha[end] = top + math.log(sum(math.exp(x - top) for x in logs))
+        state, end, drawn = mix(mix(key + mix(seed)) + place * 0xD1342543DE82EF95), len(word), []
+        while end:
+            state = mix(state)
+            left = (state >> 11) / (1 << 53)
+            for a, i in arcs[end]:
+                left -= math.exp(alpha[a] + v.log_weight[i] - alpha[end])
+                if left < 0:
+                    break
+            drawn.append(i)
+            end = a
+        out += drawn[::-1]
+    return out
+
+
+def test_long_words_against_a_lattice(spark):
+    dice = random.Random(7)
+    run = lambda n: "".join(dice.choice("abcdeinrst.é漢") for _ in range(n))
+    rows = [(i, " ".join(run(dice.choice([1, 4, 9])) for _ in range(20))) for i in range(6)] + [(6, run(230_000))]
+    assert len(rows[6][1].encode()) > 1 << 18
+    v = pieces.load(PIECES)
+    want = {d: segmented(d, t, v) for d, t in rows}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 3):
+        got = {r["doc_id"]: r["ids"] for r in pieces.encode_texts(table.repartition(n), PIECES).collect()}
+        assert sorted(got) == sorted(want) and all(got[d] == want[d] for d in want), [d for d in want if got[d] != want[d]]
+
+
 # --- 8 language model --------------------------------------------------------------
 
 
