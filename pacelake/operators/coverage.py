@@ -1,4 +1,4 @@
-"""Presence of keys across snapshots, as bit patterns; everything but the patterns works on their histogram."""
+"""Presence of keys across any number of snapshots, as strings of 0 and 1; everything but the patterns works on their histogram."""
 
 from __future__ import annotations
 
@@ -13,13 +13,17 @@ def logical_order(snapshots: DataFrame, by: list[str]) -> DataFrame:
     return snapshots.withColumn("logical_order", F.row_number().over(Window.orderBy(*by)).cast("long"))
 
 
+def pattern(orders: str, snapshots: int):
+    """A 1 at each of the ``orders`` (an array) and 0 elsewhere, ``snapshots`` characters; an order outside of 1..snapshots is an error."""
+    joined = f"rpad(aggregate(array_sort({orders}), '', (made, at) -> concat(made, repeat('0', CAST(at AS INT) - length(made) - 1), '1')), {snapshots}, '0')"
+    outside = f"exists({orders}, at -> at < 1 OR at > {snapshots})"
+    return F.expr(f"CASE WHEN {outside} THEN raise_error('a snapshot is not one of the {snapshots} there are') ELSE {joined} END").alias("presence_pattern")
+
+
 def presence(observations: DataFrame, keys: list[str], order: str, snapshots: int) -> DataFrame:
-    """``keys, bits, presence_pattern, snapshot_count, observation_count`` of every key; at most 62 snapshots."""
-    if not 1 <= snapshots <= 62:
-        raise ValueError("presence patterns hold 1 to 62 snapshots")
-    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST({snapshots} - {order} AS INT))")
-    each = observations.groupBy(*keys).agg(F.bit_or(bit).alias("bits"), F.count("*").cast("long").alias("observation_count"))
-    return each.select(*keys, "bits", F.lpad(F.bin("bits"), snapshots, "0").alias("presence_pattern"), F.bit_count("bits").cast("long").alias("snapshot_count"), "observation_count")
+    """``keys, presence_pattern, snapshot_count, observation_count`` of every key."""
+    each = observations.groupBy(*keys).agg(F.collect_set(order).alias("orders"), F.count("*").cast("long").alias("observation_count"))
+    return each.select(*keys, pattern("orders", snapshots), F.size("orders").cast("long").alias("snapshot_count"), "observation_count")
 
 
 def flags(patterns: DataFrame) -> DataFrame:
@@ -29,26 +33,24 @@ def flags(patterns: DataFrame) -> DataFrame:
 
 
 def histogram(patterns: DataFrame) -> DataFrame:
-    return patterns.groupBy("bits", "presence_pattern").agg(F.count("*").cast("long").alias("key_count"))
+    return patterns.groupBy("presence_pattern").agg(F.count("*").cast("long").alias("key_count"))
 
 
-def _at(order: str, snapshots: int) -> str:
-    return f"(shiftright(bits, CAST({snapshots} - {order} AS INT)) & 1) = 1"
+def _at(order: str) -> str:
+    return f"substr(presence_pattern, {order}, 1) = '1'"
 
 
 def prefixes(patterns: DataFrame, snapshots: int) -> DataFrame:
     """Keys first seen in each snapshot, and seen up to it."""
-    each = histogram(patterns).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(snapshots))))
-    mask = f"(shiftright(bits, CAST({snapshots} - n AS INT))) <> 0"
-    first = f"shiftright(bits, CAST({snapshots} - n AS INT)) = 1"
-    return each.groupBy(F.col("n").cast("long").alias("logical_order")).agg(F.sum(F.expr(f"CASE WHEN {first} THEN key_count ELSE 0 END")).cast("long").alias("new_keys"), F.sum(F.expr(f"CASE WHEN {mask} THEN key_count ELSE 0 END")).cast("long").alias("cumulative_keys"))
+    each = histogram(patterns).withColumn("first", F.instr("presence_pattern", "1")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(snapshots))))
+    return each.groupBy(F.col("n").cast("long").alias("logical_order")).agg(F.sum(F.expr("CASE WHEN first = n THEN key_count ELSE 0 END")).cast("long").alias("new_keys"), F.sum(F.expr("CASE WHEN first BETWEEN 1 AND n THEN key_count ELSE 0 END")).cast("long").alias("cumulative_keys"))
 
 
 def pairwise(patterns: DataFrame, snapshots: int) -> DataFrame:
     """Keys on either and on both sides, for every pair of snapshots."""
     n = F.sequence(F.lit(1), F.lit(snapshots))
     each = histogram(patterns).withColumn("l", F.explode(n)).withColumn("r", F.explode(n)).where("l < r")
-    left, right = _at("l", snapshots), _at("r", snapshots)
+    left, right = _at("l"), _at("r")
 
     def count(what: str, name: str):
         return F.sum(F.expr(f"CASE WHEN {what} THEN key_count ELSE 0 END")).cast("long").alias(name)
@@ -61,4 +63,5 @@ def pairwise(patterns: DataFrame, snapshots: int) -> DataFrame:
 def leave_one_out(patterns: DataFrame, snapshots: int) -> DataFrame:
     """Keys that only this snapshot has, for every snapshot."""
     each = histogram(patterns).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(snapshots))))
-    return each.groupBy(F.col("n").cast("long").alias("logical_order")).agg(F.sum(F.expr(f"CASE WHEN bits = shiftleft(CAST(1 AS BIGINT), CAST({snapshots} - n AS INT)) THEN key_count ELSE 0 END")).cast("long").alias("unique_keys"))
+    alone = f"{_at('n')} AND length(replace(presence_pattern, '0', '')) = 1"
+    return each.groupBy(F.col("n").cast("long").alias("logical_order")).agg(F.sum(F.expr(f"CASE WHEN {alone} THEN key_count ELSE 0 END")).cast("long").alias("unique_keys"))

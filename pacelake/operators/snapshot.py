@@ -22,9 +22,8 @@ def merge_fields(observations: DataFrame, keys: list[str], fields: list[str], or
 
     ``observations`` has one row per key and snapshot, and no null in its keys.
     """
-    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST({snapshots} - {order} AS INT))")
-    each = observations.groupBy(*keys).agg(*[last_known(f, order) for f in fields], F.bit_or(bit).alias("bits"), F.count("*").cast("long").alias("source_observation_count"))
-    return coverage.flags(each.withColumn("presence_pattern", F.lpad(F.bin("bits"), snapshots, "0")).withColumn("source_snapshot_count", F.bit_count("bits").cast("long")).drop("bits"))
+    each = observations.groupBy(*keys).agg(*[last_known(f, order) for f in fields], F.collect_set(order).alias("orders"), F.count("*").cast("long").alias("source_observation_count"))
+    return coverage.flags(each.withColumn("presence_pattern", coverage.pattern("orders", snapshots)).withColumn("source_snapshot_count", F.size("orders").cast("long")).drop("orders"))
 
 
 def split_holds(observations: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -14,8 +14,6 @@ from pacelake.sources import families
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_FIELDS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-#: Weeks of the events table.
-WEEKS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,20 +111,29 @@ def privacy_scan_documents(spark, d):
 # --- snapshots -----------------------------------------------------------------
 
 
+def _weekly(spark, d):
+    return table(spark, d, "events").withColumn("week", F.date_trunc("week", F.col("ts").cast("timestamp")))
+
+
+def _weeks(spark, d):
+    """How many weeks have events."""
+    return _weekly(spark, d).agg(F.count_distinct("week")).first()[0]
+
+
 def _observations(spark, d):
     """The last event of each user, type and week; values under 5 count as null."""
-    events = table(spark, d, "events").withColumn("week", F.date_trunc("week", F.col("ts").cast("timestamp")))
+    events = _weekly(spark, d)
     order = coverage.logical_order(events.select("week").distinct(), ["week"])
     return events.join(F.broadcast(order), "week").groupBy("user_id", "event_type", "logical_order").agg(F.max_by(F.when(F.col("value") >= 5, F.round("value", 4)), "event_id").alias("value"), F.max("event_id").alias("event_id"))
 
 
 def snapshot_merge_events(spark, d):
-    out = snapshot.merge_fields(_observations(spark, d), ["user_id", "event_type"], ["value", "event_id"], "logical_order", WEEKS)
+    out = snapshot.merge_fields(_observations(spark, d), ["user_id", "event_type"], ["value", "event_id"], "logical_order", _weeks(spark, d))
     return out.select("user_id", "event_type", "value", "event_id", "presence_pattern", "source_snapshot_count", "source_observation_count", "is_new", "is_previous_only", "is_reappeared")
 
 
 def _patterns(spark, d):
-    return coverage.presence(_observations(spark, d), ["user_id", "event_type"], "logical_order", WEEKS)
+    return coverage.presence(_observations(spark, d), ["user_id", "event_type"], "logical_order", _weeks(spark, d))
 
 
 def presence_patterns_events(spark, d):
@@ -138,15 +145,15 @@ def presence_histogram_events(spark, d):
 
 
 def coverage_prefix_events(spark, d):
-    return coverage.prefixes(_patterns(spark, d), WEEKS)
+    return coverage.prefixes(_patterns(spark, d), _weeks(spark, d))
 
 
 def coverage_pairwise_events(spark, d):
-    return coverage.pairwise(_patterns(spark, d), WEEKS)
+    return coverage.pairwise(_patterns(spark, d), _weeks(spark, d))
 
 
 def coverage_leave_one_out(spark, d):
-    return coverage.leave_one_out(_patterns(spark, d), WEEKS)
+    return coverage.leave_one_out(_patterns(spark, d), _weeks(spark, d))
 
 
 def field_changes_events(spark, d):
