@@ -2,7 +2,7 @@
 
 A text is a vector of hashed letter n-grams, weighted by TF-IDF and scaled to
 length one.  Every language has several centroids, found by spherical
-k-means on a bounded sample of labelled rows; a text gets the language of the centroid with
+k-means on a bounded sample of labelled rows that has rows of every language; a text gets the language of the centroid with
 the largest cosine, and is marked as rejected where even that is too far away.
 """
 
@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacelake.llm import textblocks as tb
 
-#: Labelled rows that the centroids are fitted to, at most; the first by a hash of doc_id.
+#: Labelled rows that the centroids are fitted to: the first by a hash of doc_id of all, and the first of each language.
 SAMPLE = 4_000
+EACH = 500
 SLOTS = 4096
 CENTROIDS = 4
 UNKNOWN = "und"
@@ -80,18 +81,21 @@ def _kmeans(v: np.ndarray, k: int, dice: np.random.Generator) -> np.ndarray:
     return centre
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
-    """Centroids from at most ``sample`` rows that have a language and a letter and are not held out."""
+def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, each: int = EACH) -> Centroids:
+    """Centroids of every language, from ``sample`` rows that have a language and a letter and are not held out, and ``each`` rows of each language."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).where(~held_out(F.col("doc_id")))
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # equal ids have one rank, and the limit is applied before the shuffle
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = chosen.union(known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id")).distinct()
     rows = known.join(F.broadcast(chosen), "doc_id").mapInArrow(_pack, "doc_id long, counts binary, lang string").toPandas()
     rows = rows.sort_values(["doc_id", "lang", "counts"], kind="stable")
-    counts = np.expm1(np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(len(rows), SLOTS).astype(np.float32) / 16)
+    counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(len(rows), SLOTS)
     weights = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    v, names, dice = vectors(counts, weights), rows["lang"].to_numpy(), np.random.default_rng(7)
+    names, dice = rows["lang"].to_numpy(), np.random.default_rng(7)
     languages, found, least = [], [], []
     for lang in sorted(set(names)):
-        mine = v[names == lang]
+        mine = vectors(np.expm1(counts[names == lang].astype(np.float32) / 16), weights)
         centre = _kmeans(mine, centroids, dice)
         cosine = mine @ centre.T
         near = np.argmax(cosine, axis=1)

@@ -82,6 +82,17 @@ def test_language_on_held_out_documents(spark, docs):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in rows]) >= 0.95
 
 
+def test_rare_languages_have_centroids(spark):
+    dice = random.Random(2)
+    text = lambda letters: " ".join("".join(dice.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, text("abcdefg"), "common") for i in range(1500)] + [(3000 + i, text("qrstuvw"), "rare") for i in range(12)]
+    table = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(table, sample=5)
+    assert set(model.languages) == {"common", "rare"}
+    truth = {d: lang for d, _, lang in rows}
+    assert all(r["lang_pred"] == truth[r["doc_id"]] for r in langid.languages(table, model).collect())
+
+
 # --- 2 suffix arrays -------------------------------------------------------------
 
 
