@@ -71,7 +71,7 @@ def _present(grams: list[np.ndarray]) -> np.ndarray:
     return flat[flat != 0]
 
 
-def lm_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score`` of every row of ``docs``.
 
     Words are runs of bytes other than ASCII white space, A-Z taken as a-z. At each word the longest n-gram

@@ -16,6 +16,8 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 #: Bytes of text in a shard of op10_sharding.
 SHARD_BYTES = 1 << 20
 
+#: Words of the longest n-grams of op8_lm.
+ORDER = 3
 
 #: The SentencePiece model that op7_sentencepiece reads.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -57,7 +59,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm.lm_scores(table(spark, sf_dir, "documents"), order=2)
+    found = lm.lm_scores(table(spark, sf_dir, "documents"), order=ORDER)
     return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 

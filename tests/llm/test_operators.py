@@ -265,6 +265,36 @@ def test_backoff_against_brute_force(spark):
         assert {r["doc_id"]: (r["n_words"], round(r["log_score"], 6)) for r in lm.lm_scores(table, 2, block=block).collect()} == want
 
 
+def test_backoff_of_higher_orders_against_brute_force(spark, tmp_path):
+    dice = random.Random(10)
+    rows = [(i, " ".join(dice.choice("abcde") for _ in range(dice.choice([0, 1, 2, 3, 40])))) for i in range(40)] + [(50, None), (51, "unseen"), (52, "a b zz a b"), (53, "a b c zz"), (54, "a b c zz")]
+    words = {d: (t or "").split() for d, t in rows}
+
+    def scores(order):
+        grams = lambda ws: Counter(tuple(ws[i : i + k]) for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+        all_ = sum((grams(ws) for ws in words.values()), Counter())
+        want = {}
+        for d, ws in words.items():
+            own, total = grams(ws), 0.0
+            left = lambda g: all_[g] - own[g]  # noqa: B023, E731
+            rest = max(1, sum(map(len, words.values())) - len(ws))
+            for i in range(len(ws)):
+                for k in range(min(order, i + 1), 0, -1):
+                    g = tuple(ws[i + 1 - k : i + 1])
+                    if left(g) or k == 1:
+                        break
+                p = left(g) / left(g[:-1]) if k > 1 else (left(g) or 0.4) / rest
+                total += math.log(p * 0.4 ** (min(order, i + 1) - k))
+            want[d] = (len(ws), round(total, 4))
+        return want
+
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for order, block in ((3, 8 << 20), (3, 200), (4, 200)):
+        assert {r["doc_id"]: (r["n_words"], round(r["log_score"], 4)) for r in lm.lm_scores(table, order, block=block).collect()} == scores(order)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: (r["n_words"], r["log_score"]) for r in library.queries()["op8_lm"](spark, str(tmp_path)).collect()} == scores(3)
+
+
 # --- 9 embeddings ------------------------------------------------------------------
 
 
