@@ -1,18 +1,13 @@
 """Exact Jaccard join of word-shingle sets, by vertical partitioning.
 
-The global order of shingles is that of their 64-bit hashes.  It is cut into
-fragments, and each document's sorted set into the segments that fall into
-them.
-
-*Candidates.*  Two sets whose similarity reaches t differ in at most
-``d = (|x| + |y|)(1 - t)/(1 + t)`` shingles, and so do their parts without frequent shingles.
-If such a part fills more than d segments, one of them is the same in both sets.  A document is
-filed under the hash of each segment that it fills, in the band of its own size and in the next larger one, so
-sets meet whenever their sizes allow a link.  It is cut into d + 1 segments first, into more, finer
-ones only where too few are filled; documents whose rare shingles don't suffice, such as
-those of a large group of copies, are filed by the segments of their whole sets as well.  Two sets meet at the coarsest
-level at which one of them fills enough.  Which shingles are frequent is read off a table of counts of fixed size;
-it decides the work, never the result.
+The global order of shingles is cut into fragments by their 64-bit hashes.  Within the leading
+fragment, rarer shingles come first; the others follow by hash.
+
+*Candidates.*  Two sets of which one has n shingles are linked only if they share one of its first
+``n - ceil(t * n) + 1`` shingles in the global order.  The leading fragment is made twice as large as
+that share, so hardly any set needs more than it: only its shingles are counted over all documents, those that stand in one
+document only are dropped there, and sets without any other among their first ones take no further part.
+Sets that need more than the leading fragment are filed under their first shingles of the next ones as well.
 
 *Sketches.*  A sketch holds, for each of 256 slots, whether it got an odd number of shingles.  Two sets
 differ in at least as many shingles as their sketches in bits, so pairs that differ in too many bits are left out where buckets are joined.
@@ -20,16 +15,17 @@ differ in at least as many shingles as their sketches in bits, so pairs that dif
 *Overlaps.*  For each candidate pair the overlaps are counted fragment by
 fragment and summed per pair; a link needs ``100 * overlap >= percent * union``.
 
-*Groups of copies.*  Equal sets are one class.  Each bucket has a pivot, its most typical document.
+*Groups of copies.*  Equal sets are one class.  The documents filed under one shingle are a bucket, and each bucket has a pivot, its most typical document.
 Each document is compared with the pivot of its largest bucket, and where the bucket is not connected by that, with
 another pivot, which links a group of near copies by about as many pairs as it has members.  In buckets that
 still hold several components, all members outside the largest one are compared with all members.  No link between components is lost, and
 no group of copies is expanded into all its pairs.
+
+Counts are combined before the shuffle and joined back by sort-merge joins, which Spark splits where a key is skewed.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,28 +37,13 @@ from pacelake.llm import textblocks as tb
 from pacelake.llm import work
 from pacelake.llm.components import components
 
-#: Slots of the table of shingle counts, whatever the size of the input (8 bytes each).
-SLOTS = 1 << 20
 #: Fragments in which overlaps are counted.
 PARTS = 8
-#: Texts that a shingle may stand in beyond the usual before it counts as frequent.
-SMALL = 64
 #: Turns in which each document is compared with one pivot.
 ROUNDS = 3
 SKETCH = ["s0", "s1", "s2", "s3"]
 
 
-def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of the bands of set sizes, and the number of segments in each."""
-    low = [1]
-    while low[-1] <= most:
-        low.append(max(low[-1] + 1, 100 * (low[-1] - 1) // percent + 1))
-    low.append(max(low[-1] + 1, 100 * (low[-1] - 1) // percent + 1))
-    low.append(max(low[-1] + 1, 100 * (low[-1] - 1) // percent + 1))
-    low_ = np.array(low, dtype=np.int64)
-    return low_[:-1], 2 * (low_[1:] - 1) * (100 - percent) // (100 + percent) + 1
-
-
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer than n words is one shingle."""
     for first, end, buf, offsets in tb.chunks(column):
@@ -78,89 +59,56 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def _cut(h: np.ndarray, m: int) -> np.ndarray:
-    return np.searchsorted(((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
-
-
-def segment_keys(h: np.ndarray, frequent: np.ndarray, low: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The hashes of the segments that a set is filed under, in its own band and the next."""
-    band = int(np.searchsorted(low, len(h), side="right")) - 1
-    rare = h[~frequent[(h & np.uint64(SLOTS - 1)).astype(np.int64)]]
-    out = [np.zeros(0, dtype=np.uint64)]
-    for k in (band, band + 1):
-        d = int(parts[k]) - 1
-        if not d:  # sets of these sizes are linked only if they are equal, and then they are one class
-            continue
-        for level, (part, m) in enumerate(((rare, d + 1), (rare, 2 * d + 2), (rare, 4 * d + 4), (h, d + 1), (h, 4 * d + 4))):
-            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(tb.mix(part))))
-            cut = _cut(part, m)
-            full = np.flatnonzero(cut[1:] > cut[:-1]) if level < 4 else np.arange(m)
-            out.append(tb.mix(tb.mix(sums[cut[full + 1]] - sums[cut[full]]) + full.astype(np.uint64) + np.uint64((8 * k + level) << 40)))
-            if len(full) > d:
-                break
-    return np.concatenate(out)
-
-
 def sketch(h: np.ndarray) -> np.ndarray:
     """256 bits, as four integers: whether each slot holds an odd number of hashes."""
     odd = np.bincount(((h >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
-    """Which slots of the count table hold a shingle of more than ``SMALL`` texts, for all that the table can tell."""
-    width = SLOTS // 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.uint32)
-        for batch in batches:
-            flat = [h & np.uint64(SLOTS - 1) for h in _sets(batch.column(0), n)]
-            if flat:
-                counts += np.bincount(np.concatenate(flat).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-        each = [(k, counts[k * width : (k + 1) * width]) for k in range(64)]
-        each = [(k, zlib.compress(c.tobytes(), 1)) for k, c in each if c.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in each], pa.int32()), pa.array([c for _, c in each], pa.binary())], ["part", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, dtype=np.uint64)
-        for batch in batches:
-            for c in batch.column(1).to_pylist():
-                total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
-
-    found = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    counts = np.zeros(SLOTS, dtype=np.uint64)
-    for row in found:
-        counts[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint64)
-    usual = float(np.median(counts))
-    return counts > usual + SMALL + 8 * usual**0.5
+def leading_bound(percent: int) -> np.uint64:
+    """The largest hash of the leading fragment, which holds twice the share of shingles that a set may lack in a link."""
+    return np.uint64(min((2 * (100 - percent) << 64) // 100, (1 << 64) - 1))
 
 
 def shingle_digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, two digests and the sketch of the shingle set, and the keys of its segments."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_slots(docs, n)))
+    """doc_id, size, number of first shingles that links must share, two digests and the sketch of the shingle set, its shingles in the leading fragment, and the first ones of the next if those are too few."""
+
+    bound = leading_bound(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, parts = bands(percent, 1 << 14)
-        frequent = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            sizes, d1, d2, keys, odd = [], [], [], [], []
+            sizes, first, d1, d2, odd, lead, rest = [], [], [], [], [], [], []
             for h in _sets(batch.column(1), n):
-                if len(h) > low[-4]:
-                    low, parts = bands(percent, 2 * len(h))
+                need = len(h) - -(-len(h) * percent // 100) + 1
+                cut = int(np.searchsorted(h, bound, side="right"))
                 sizes.append(len(h))
+                first.append(need)
                 odd.append(sketch(h))
                 d1.append(int(np.sum(tb.mix(h)).astype(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(tb.mix(h ^ np.uint64(0xA5A5A5A5))).astype(np.int64)) if len(h) else 0)
-                keys.append(segment_keys(h, frequent, low, parts) if len(h) else np.zeros(0, dtype=np.uint64))
-            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *(pa.array([x[i] for x in odd], pa.int64()) for i in range(4)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))],
-                ["doc_id", "n", "d1", "d2", *SKETCH, "keys"],
-            )
+                lead.append(h[:cut])
+                rest.append(h[cut : max(cut, need)] if len(h) else h)
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, first, d1, d2, *([x[i] for x in odd] for i in range(4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, _lists(lead), _lists(rest)], ["doc_id", "n", "first", "d1", "d2", *SKETCH, "lead", "rest"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, first long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, lead array<long>, rest array<long>")
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, keys array<long>")
+def filed_under(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """``key, doc, n`` and the sketch: each document of ``reps`` under those of its first shingles that other documents may have."""
+    placed = sets.select(F.col("doc_id").alias("doc"), F.explode("lead").alias("h"))
+    shared = placed.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    mine = placed.join(shared.hint("merge"), "h").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("items"))
+    own = reps.select(F.col("doc_id").alias("doc"), "n", *SKETCH, "first", F.size("lead").alias("leading"))
+    # those in no other document come first in the order
+    many = F.greatest(F.col("first") - F.col("leading") + F.size("items"), F.lit(0)).cast("int")
+    lead = own.join(mine, "doc").select(F.explode(F.slice("items", F.lit(1), many)["h"]).alias("key"), "doc", "n", *SKETCH)
+    return lead.union(reps.select(F.explode("rest").alias("key"), F.col("doc_id").alias("doc"), "n", *SKETCH))
 
 
 def segments(docs: DataFrame, n: int) -> DataFrame:
@@ -189,8 +137,8 @@ def overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     """``a, b, na, nb, overlap`` of each pair: partial overlaps per fragment, summed per pair."""
     left = segs.select(F.col("doc").alias("a"), F.col("size").alias("na"), "part", F.col("h").alias("ha"))
     right = segs.select(F.col("doc").alias("b"), F.col("size").alias("nb"), "part", F.col("h").alias("hb"))
-    each = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("k"))
-    return each.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("k").alias("overlap"))
+    each = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "part", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("k"))
+    return each.distinct().groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("k").alias("overlap"))
 
 
 def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -201,21 +149,24 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     other than ASCII white space, A-Z taken as a-z.  Returns ``doc_id,
     n_shingles, class_id, component_id``: the size of the set, the smallest
     doc_id with an equal set and the smallest that links lead to.  A null or
-    empty text has no shingle and is linked with nothing.  Shingles are compared by
-    64-bit hashes.
+    empty text has no shingle and is linked with nothing.  A row without doc_id links no others; it gets the
+    ``component_id`` of documents with its own set, if there are any.  Shingles are compared by 64-bit hashes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = work.save(shingle_digests(texts, n, percent))
-    classes = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    reps = sets.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    filed = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("keys").alias("key")).distinct().repartition("key")
+    known = sets.where("n > 0 and doc_id is not null")
+    classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    reps = known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    filed = work.save(filed_under(known, reps))
     shared = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    sketches = reps.select(F.col("doc_id").alias("doc"), *SKETCH)
-    entries = work.save(filed.join(shared, "key").select("key", "doc", "n", "m").join(sketches, "doc"))
+    entries = work.save(filed.join(shared, "key"))
+    work.drop(filed)
     typical = entries.groupBy("doc").agg(F.sum("m").alias("typical"), F.max(F.struct("m", "key")).alias("most"))
     ranked = work.save(entries.join(typical, "doc").select("key", "doc", "n", *SKETCH, "typical", (F.col("most.key") == F.col("key")).alias("largest")))
     work.drop(entries)
-    segs = work.save(segments(texts.join(ranked.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi"), n).dropDuplicates(["doc", "part"]))
+    met = work.save(ranked.select(F.col("doc").alias("doc_id")).distinct())
+    segs = work.save(segments(texts.join(met, "doc_id", "left_semi"), n))
+    work.drop(met)
 
     columns = ["doc", "n", "root", *SKETCH]
     bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in SKETCH)
@@ -251,7 +202,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         roots = components(sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"))
     work.drop(ranked, segs)
 
-    own = sets.join(classes, ["n", "d1", "d2"], "left")
+    own = sets.drop("lead", "rest").join(classes, ["n", "d1", "d2"], "left")
     return own.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "class_id", "doc_id").alias("component_id")
     )

@@ -3,7 +3,8 @@
 import random
 import re
 
-from pacelake.llm.jaccard import bands, jaccard_links
+from pacelake.llm import jaccard
+from pacelake.llm.jaccard import jaccard_links
 
 
 def brute(rows, n, percent):
@@ -59,11 +60,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert jaccard_links(docs.where("false")).collect() == []
 
 
-def test_bands_leave_room_for_all_differences():
-    low, parts = bands(90, 5000)
-    for n in range(1, 3000, 7):
-        k = int((low <= n).sum()) - 1
-        m = n
-        while 100 * n >= 90 * (m + 1):
-            m += 1
-        assert parts[k] > 2 * n * 10 // 190 and m < low[k + 2]
+def test_leading_fragment_decides_nothing(spark, monkeypatch):
+    """Without a leading fragment, and with all shingles in it, links are the same."""
+    rows = made(3)[::3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bound in (0, (1 << 64) - 1):
+        monkeypatch.setattr(jaccard, "leading_bound", lambda percent, b=bound: jaccard.np.uint64(b))
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_links(docs, 3, 90).collect()) == brute(rows, 3, 90)
+
+
+def test_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "x y z"), (6, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard_links(docs).collect()) == [(0, 1, 0), (0, 2, 5), (5, 2, 5), (6, 0, 6)]
