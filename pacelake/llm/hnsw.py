@@ -4,9 +4,9 @@ Every vector is in the graph of one shard, and every shard is queried with the v
 all others (each pair of shards once, as cosine is symmetric).  Searches run
 for many queries in step: each round expands the best open entries of every beam.
 
-In each shard a search is audited: for some queries the nearest vectors and all links are computed exactly, and
+In each shard a search is audited: for some queries all vectors that are linked, or nearly so, are computed exactly, and
 the beam is doubled until the search finds enough of them.  A query whose links fill
-half of its beam is searched again with a wider one, up to the size of the shard, so dense
+half of its beam lies in a dense group; such queries are multiplied with the whole shard instead, a block at a time, so dense
 groups are found whole.  Links are verified by cosine in double precision.
 
 Equal vectors are one class, and a task passes on only counts and a spanning forest of the
@@ -28,16 +28,21 @@ from pacelake.llm import work
 from pacelake.llm.components import components, forest
 
 #: Vectors in a shard, at most, and shards at least.
-SHARD = 32_768
+SHARD = 65_536
 SHARDS = 6
 #: Neighbours of a node, on the lowest layer twice as many.
 DEGREE = 12
-BEAM = 48
+#: Width of beams while a graph is built, and of those that searches begin with.
+BEAM, FIRST = 48, 32
 #: Queries that are searched in step, and audited in each shard.
 STEP = 256
-AUDIT = 128
-#: Shares of the ten nearest vectors, and of the links, that an audit must find.
-NEAREST, RECALL = 0.9, 0.99
+AUDIT = 256
+#: The share of pairs that an audit must find; so far below the limit pairs count in it.
+RECALL, MARGIN = 0.99, 0.1
+#: Similarities in a block of a product.
+BLOCK = 1 << 22
+#: Tasks that pairs of shards are dealt to, at most.
+TASKS = 20_000
 
 
 class Graph:
@@ -197,48 +202,77 @@ def _index(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([out.getvalue()], pa.binary())], names=["dim", "shard", "graph"])
 
 
-def link_search(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries, nodes) of the pairs with at least this cosine, for some queries at a time; ``x`` and ``q`` are unit vectors in double precision."""
-    q32 = q.astype(np.float32)
-    n = len(x)
-    beam = min(BEAM, n)
-    audit = np.argsort(tb.mix(keys.astype(np.int64).view(np.uint64)), kind="stable")[:AUDIT]
-    exact = q[audit] @ x.T
-    nearest = np.argpartition(-exact, min(10, n) - 1, axis=1)[:, : min(10, n)]
-    true = exact >= cosine
-    while beam < n:
-        ids, _ = graph.search(q32[audit], beam)
-        found = np.zeros((len(audit), n + 1), dtype=bool)
-        found[np.arange(len(audit))[:, None], ids] = True
-        found = found[:, :n]
-        full = (true.sum(axis=1) * 2 <= beam)[:, None]  # wider beams are given to the others below
-        if np.take_along_axis(found, nearest, axis=1).mean() >= NEAREST and (found & true & full).sum() >= RECALL * (true & full).sum():
-            break
+def audited_beam(graph: Graph, q: np.ndarray, cosine: float, keys: np.ndarray) -> tuple[int, int, int]:
+    """The width of beam with which audits pass, the pairs that it finds of those audited, and how many there are."""
+    n = len(graph.x)
+    some = np.argsort(tb.mix(keys.astype(np.int64).view(np.uint64)), kind="stable")[:AUDIT]
+    near = q[some] @ graph.x.T >= cosine - MARGIN
+    many = near.sum(axis=1)
+    beam = min(FIRST, n)
+    while True:
+        few = np.flatnonzero((many > 0) & (many * 2 <= beam))  # the others are found by products
+        ids, _ = graph.search(q[some[few]], beam)
+        found = int((np.take_along_axis(near[few], np.maximum(ids, 0), axis=1) & (ids >= 0)).sum())
+        if beam == n or found >= RECALL * many[few].sum():
+            return beam, found, int(many[few].sum())
         beam = min(2 * beam, n)
-    todo, width = np.arange(len(q)), beam
-    while len(todo):
-        again = []
-        step = STEP if width < n else max(1, min(STEP, (1 << 22) // n))
-        for part in np.array_split(todo, -(-len(todo) // step)):
-            ids, sims = graph.search(q32[part], width)
-            close = (sims >= cosine - 1e-4) & (ids >= 0)
-            more = (close.sum(axis=1) * 2 > width) & (width < n)
-            again.append(part[more])
-            a, b = np.nonzero(close & ~more[:, None])
-            b = ids[a, b]
-            a = part[a]
-            good = np.einsum("kd,kd->k", q[a], x[b]) >= cosine
-            yield a[good], b[good]
-        todo, width = np.concatenate(again), min(4 * width, n)
+
+
+def link_search(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(queries, nodes, whether all links of these queries) of the pairs with at least this cosine, for some queries at a time; ``x`` and ``q`` are unit vectors in double precision."""
+    q32, dense = q.astype(np.float32), []
+    for first in range(0, len(q), STEP):
+        part = np.arange(first, min(first + STEP, len(q)))
+        ids, sims = graph.search(q32[part], beam)
+        close = (sims >= cosine - 1e-4) & (ids >= 0)
+        full = close.sum(axis=1) * 2 > beam
+        dense.append(part[full])
+        a, k = np.nonzero(close & ~full[:, None])
+        a, b = part[a], ids[a, k]
+        good = np.einsum("kd,kd->k", q[a], x[b]) >= cosine
+        yield a[good], b[good], False
+    rest = np.concatenate(dense) if dense else np.zeros(0, dtype=np.int64)
+    step = max(1, BLOCK // len(x))
+    for first in range(0, len(rest), step):
+        part = rest[first : first + step]
+        a, b = np.nonzero(q[part] @ x.T >= cosine)
+        yield part[a], b, True
+
+
+def _links_within(graph: Graph, x: np.ndarray, ids: np.ndarray, m: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many vectors each one of a shard is linked with, and a spanning forest of the links."""
+    n = len(x)
+    counts, whole = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    pairs, ea, eb = [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for a, b, all_ in link_search(graph, x, x, cosine, beam):
+        a, b = a[a != b], b[a != b]
+        if all_:
+            whole[a] = True
+            counts += np.bincount(a, m[b], n).astype(np.int64)
+            pairs.append(b * n + a)
+        else:
+            pairs += [a * n + b, b * n + a]
+        if len(pairs) > 64:
+            pairs = [_unless(pairs, whole, n)]
+        ea, eb = forest(np.concatenate((ea, np.maximum(ids[a], ids[b]))), np.concatenate((eb, np.minimum(ids[a], ids[b]))))
+    left = _unless(pairs, whole, n)  # both ends may have found a pair
+    return counts + np.bincount(left // n, m[left % n], n).astype(np.int64), ea, eb
+
+
+def _unless(pairs: list[np.ndarray], whole: np.ndarray, n: int) -> np.ndarray:
+    codes = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
+    return codes[~whole[codes // n]]
 
 
 def embedding_links(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row of ``vectors``.
+    """``vec_id, n_links, component_id, kept, audit_recall`` of every row of ``vectors``.
 
     ``vectors`` needs ``vec_id`` (unique) and ``embedding``; other columns are ignored. Two vectors of one
     dimension are linked if their cosine in double precision is at least ``cosine``. A vector that is null,
     empty or zero or holds nulls or non-finite components is linked with nothing. ``n_links`` counts
-    the other vectors linked directly, ``component_id`` is the smallest vec_id that links lead to.
+    the other vectors linked directly, ``component_id`` is the smallest vec_id that links lead to. ``audit_recall`` is the share of the
+    audited pairs, of all shards together, that searches found; it is the same in all rows. Repeated rows
+    count as vectors of their own; a row without vec_id is linked with nothing.
     """
     v = F.col("embedding").cast("array<double>")
     usable = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
@@ -247,49 +281,53 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     classes = work.save(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")))
     n = classes.count()
     if not n:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
     shards = max(SHARDS, -(-n // SHARD))
     placed = classes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     graphs = work.save(placed.repartition(shards, "shard").groupBy("dim", "shard").applyInArrow(_index, "dim int, shard int, graph binary"))
 
     def find(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["id", "n", "root", "audited"]
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=["id", "n", "root"])
+            return pa.table([pa.array([], pa.int64())] * 4, names=names)
         with np.load(io.BytesIO(right.column("graph")[0].as_py())) as z:
             ids, m, x, top = z["ids"], z["m"], z["v"], int(z["top"])
             links = [z[f"l{k}"].astype(np.int64) for k in range(len(z.files) - 4)]
         left = left.sort_by("id")
         mine, weight, q = left.column("id").to_numpy(), left.column("m").to_numpy(), _units(_matrix(left.column("v")))
         x = _units(x)
-        graph, same = Graph(x.astype(np.float32), links, top), key[1].as_py() == key[2].as_py()
-        ea, eb = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        pairs = np.zeros((len(x), -(-len(x) // 8)), dtype=np.uint8) if same else None
-        n_q, n_x = np.zeros(len(q), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
-        for a, b in link_search(graph, x, q, cosine, mine):
-            if same:  # both ends may find a pair, so pairs are kept as bits
-                a, b = a[a != b], b[a != b]
-                for i, j in ((a, b), (b, a)):
-                    np.bitwise_or.at(pairs, (i, j >> 3), (1 << (j & 7)).astype(np.uint8))
-            else:
-                np.add.at(n_q, a, m[b])
-                np.add.at(n_x, b, weight[a])
-            ea, eb = forest(np.concatenate((ea, np.maximum(mine[a], ids[b]))), np.concatenate((eb, np.minimum(mine[a], ids[b]))))
-        if same:
-            for i in np.flatnonzero(pairs.any(axis=1)):
-                n_q[i] = np.unpackbits(pairs[i], bitorder="little")[: len(m)].astype(np.int64) @ m
+        graph = Graph(x.astype(np.float32), links, top)
+        beam, hits, audited = audited_beam(graph, q.astype(np.float32), cosine, mine)
+        if key[1].as_py() == key[2].as_py():
+            n_x, ea, eb = _links_within(graph, x, ids, m, cosine, beam)
+            n_q = np.zeros(len(q), dtype=np.int64)
+        else:
+            ea, eb = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            n_q, n_x = np.zeros(len(q), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+            for a, b, _ in link_search(graph, x, q, cosine, beam):
+                n_q += np.bincount(a, m[b], len(q)).astype(np.int64)
+                n_x += np.bincount(b, weight[a], len(x)).astype(np.int64)
+                ea, eb = forest(np.concatenate((ea, np.maximum(mine[a], ids[b]))), np.concatenate((eb, np.minimum(mine[a], ids[b]))))
         out_id = np.concatenate((mine[n_q > 0], ids[n_x > 0], ea))
         out_n = np.concatenate((n_q[n_q > 0], n_x[n_x > 0], np.zeros(len(ea), dtype=np.int64)))
         out_root = np.concatenate((mine[n_q > 0], ids[n_x > 0], eb))
-        return pa.table([pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_root, pa.int64())], names=["id", "n", "root"])
+        # the last row is the audit: pairs found, and pairs there are
+        cols = [np.append(out_id, 0), np.append(out_n, hits), np.append(out_root, 0), np.append(np.full(len(out_id), -1), audited)]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=names)
 
     to = F.explode(F.sequence(F.col("shard"), F.lit(shards - 1))).alias("j")
     of = F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("i")
-    queries = placed.select("dim", F.col("shard").alias("i"), to, "id", "m", "v")
-    indexes = graphs.select("dim", of, F.col("shard").alias("j"), "graph")
-    found = work.save(queries.groupBy("dim", "i", "j").cogroup(indexes.groupBy("dim", "i", "j")).applyInArrow(find, "id long, n long, root long"))
+    tasks = min(2 * shards * (shards + 1), TASKS)
+    queries = placed.select("dim", F.col("shard").alias("i"), to, "id", "m", "v").repartition(tasks, "dim", "i", "j")
+    indexes = graphs.select("dim", of, F.col("shard").alias("j"), "graph").repartition(tasks, "dim", "i", "j")
+    found = work.save(queries.groupBy("dim", "i", "j").cogroup(indexes.groupBy("dim", "i", "j")).applyInArrow(find, "id long, n long, root long, audited long"))
+    work.drop(graphs)
+    audit = found.where("audited >= 0").agg(F.sum("n"), F.sum("audited")).first()
+    recall = audit[0] / audit[1] if audit[1] else 1.0
+    found = found.where("audited < 0")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.where("id <> root"), "id", "root")
     each = classes.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select("v", "m", "id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root"))
     known = good.select("vec_id", "v").join(each, "v").select("vec_id", (F.col("m") - 1 + F.col("n")).cast("long").alias("n_links"), F.col("root").alias("component_id"))
     rest = rows.where("not usable or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return known.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return known.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(recall))

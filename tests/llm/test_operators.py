@@ -319,6 +319,50 @@ def test_links_of_embeddings_against_brute_force(spark):
     assert hnsw.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def _links_by_product(v):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    return link
+
+
+def _crowded(dice, n, dense):
+    """Vectors of which most are apart, some lie in small groups, and ``dense`` in one large one."""
+    far = dice.normal(size=(n - dense, 32))
+    twins = dice.choice(n - dense, 300)
+    far[twins] = far[(twins + 1) % (n - dense)] + 0.12 * dice.normal(size=(300, 32))
+    return np.concatenate((far, dice.normal(size=(1, 32)) + 0.15 * dice.normal(size=(dense, 32))))
+
+
+def test_links_of_a_large_shard(spark):
+    v = _crowded(np.random.default_rng(11), 3000, 500)
+    ids, m = np.arange(3000) * 3, np.ones(3000, dtype=np.int64)
+    x = hnsw._units(v)
+    graph = hnsw.build(x, ids)
+    beam, hits, audited = hnsw.audited_beam(graph, x.astype(np.float32), 0.95, ids)
+    assert beam < 3000 and hits >= 0.99 * audited
+    link = _links_by_product(v)
+    counts, ea, eb = hnsw._links_within(graph, x, ids, m, 0.95, beam)
+    assert (counts <= link.sum(axis=1)).all() and counts.sum() >= 0.99 * link.sum()
+    dense = link.sum(axis=1) > 100
+    assert dense.sum() > 400 and (counts[dense] == link.sum(axis=1)[dense]).all()
+    assert all(link[a // 3].any() and b < a for a, b in zip(ea, eb, strict=True))
+
+
+def test_recall_of_links_over_shards(spark):
+    v = _crowded(np.random.default_rng(12), 6600, 700)
+    rows = [(i, x.tolist(), "a", 1) for i, x in enumerate(v)]
+    rows += [(0, v[0].tolist(), "b", 2), (None, v[0].tolist(), "b", 2)]
+    got = hnsw.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, n int").repartition(3)).collect()
+    link = _links_by_product(v)
+    n = {r["vec_id"]: r["n_links"] for r in got if r["vec_id"] is not None}
+    want = link.sum(axis=1) + link[:, 0]
+    want[0] += 1  # the repeated row
+    assert len(got) == len(rows) and all(n[i] <= want[i] for i in n) and sum(n.values()) >= 0.99 * want.sum()
+    assert [(r["n_links"], r["component_id"]) for r in got if r["vec_id"] is None] == [(0, None)]
+    assert min(r["audit_recall"] for r in got) >= 0.99
+
+
 # --- 10 shards, and the pipeline ---------------------------------------------------
 
 
