@@ -211,17 +211,23 @@ def _reach(before: np.ndarray, after: np.ndarray, la: np.ndarray, ra: np.ndarray
     return far, on
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """h, doc, at, la, ra and the matrices before and after."""
+    cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5)]
+    for k in (6, 7):
+        data, ends = tb.buffers(batch.column(k))
+        cols.append(data[ends[0] : ends[-1]].reshape(batch.num_rows, -1))
+    return tuple(cols)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole anchor groups, many at a time: columns h, doc, at, la, ra and the matrices before and after."""
+    """Whole anchor groups, many at a time, as ``_columns`` has them."""
     kept: tuple[np.ndarray, ...] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5)]
-        for k in (6, 7):
-            data, ends = tb.buffers(batch.column(k))
-            cols.append(data[ends[0] : ends[-1]].reshape(batch.num_rows, -1))
-        now = tuple(cols) if kept is None else tuple(np.concatenate(x) for x in zip(kept, cols, strict=True))
+        cols = _columns(batch)
+        now = cols if kept is None else tuple(np.concatenate(x) for x in zip(kept, cols, strict=True))
         cut = int(np.searchsorted(now[0], now[0][-1], side="left")) if len(now[0]) else 0
         if cut:
             yield tuple(x[:cut] for x in now)
@@ -255,15 +261,20 @@ def _occurrences(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, doc, at, la, ra, before, after in _groups(batches):
             start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            rows = []
+            ids, docs, starts, sizes = [], [], [], []
             for s, e in zip(start, np.concatenate((start[1:], [len(h)])), strict=True):
                 for n, (members, left, r) in enumerate(repeats(before[s:e], after[s:e], la[s:e], ra[s:e], length)):
-                    runs = np.flatnonzero(np.concatenate(([True], left + r < length, [True])))
-                    for i, j in zip(runs[:-1], runs[1:], strict=True):
-                        if j - i > 1:
-                            common = int(left[i : j - 1].min())
-                            rows += [(f"{h[s]:x}.{n}.{i}", int(doc[s + x]), int(at[s + x]) - common, common + r) for x in members[i:j]]
-            yield pa.RecordBatch.from_pylist([dict(zip(("repeat_id", "doc_id", "start", "length"), x, strict=True)) for x in rows], schema=pa.schema([("repeat_id", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
+                    for common, i, j in intervals(np.concatenate(([0], left))):
+                        some = s + members[i : j + 1]
+                        longest = int(ra[some].min())
+                        # if all go on in the same way, a longer repeat has them
+                        if common + r >= length and not (longest > r and (after[some, r] == after[some[0], r]).all()):
+                            ids += [f"{int(h[s]) & 0xFFFFFFFFFFFFFFFF:016x}.{n}.{common}.{i}"] * len(some)
+                            docs.append(doc[some])
+                            starts.append(at[some] - common)
+                            sizes.append(np.full(len(some), common + r))
+            cols = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (docs, starts, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *[pa.array(c, pa.int64()) for c in cols]], ["repeat_id", "doc_id", "start", "length"])
 
     return run
 
@@ -272,7 +283,7 @@ def _windows(length: int):
     """Hashes of all windows around an anchor, for groups that are too large to be sorted in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, doc, at, la, ra, before, after in _groups(batches):
+        for h, doc, at, la, ra, before, after in map(_columns, (b for b in batches if b.num_rows)):
             text = np.concatenate((before[:, ::-1], after), axis=1)
             width, reach = text.shape[1], before.shape[1]
             flat = np.ascontiguousarray(text).ravel()
@@ -294,9 +305,10 @@ def _windows(length: int):
 def _repeated_contexts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """Contexts of the anchors that occur more than once, exact copies of a text taken once."""
     reps = found.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    filed = found.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("h", "p")).alias("x")).select("doc", F.col("x.h").alias("h"), F.col("x.p").alias("at")).repartition("h")
-    shared = filed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    marks = filed.join(shared, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
+    filed = found.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("h", "p")).alias("x")).select("doc", F.col("x.h").alias("h"), F.col("x.p").alias("at"))
+    shared = filed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    # a merge join, since Spark splits its partitions where one anchor has many places
+    marks = filed.join(shared.hint("merge"), "h").groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
     marked = texts.join(marks.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id")
     return contexts(marked.select("doc_id", "text", "marks"), length)
 
@@ -310,15 +322,25 @@ def _large(rows: DataFrame) -> DataFrame:
     return rows.where("n > 0").groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("h")
 
 
+def _repeated_windows(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """``w, doc, at, back`` of all windows of ``length`` bytes around the anchors of ``rows``, and those ``w`` that occur more than once."""
+    large = rows.mapInArrow(_windows(length), "w long, doc long, at long, back long")
+    return large, large.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+
+
 def maximal_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """``repeat_id, doc_id, start, length`` of all occurrences of every maximal repeat, within the reach of its anchor.
 
     Of exact copies of a whole text only the one with the smallest doc_id takes part, and of equal contexts
-    within a text the first. Anchors of more than ``GROUP`` contexts are left to ``repeated_spans``.
+    within a text the first. Around anchors of more than ``GROUP`` contexts every repeated window of ``length`` bytes is
+    a repeat of its own, so no occurrence is left out there either. Rows without doc_id are left out.
     """
     texts = _texts(docs)
-    rows = _repeated_contexts(texts, work.save(text_anchors(texts, length)), length)
-    return rows.where("n > 0").join(_large(rows), "h", "left_anti").select(rows.columns).repartition("h").sortWithinPartitions("h").mapInArrow(_occurrences(length), "repeat_id string, doc_id long, start long, length long")
+    rows = work.save(_repeated_contexts(texts, work.save(text_anchors(texts, length)), length)).where("n > 0")
+    usual = rows.join(_large(rows), "h", "left_anti").select(rows.columns).repartition("h").sortWithinPartitions("h").mapInArrow(_occurrences(length), "repeat_id string, doc_id long, start long, length long")
+    windows, again = _repeated_windows(rows.join(_large(rows), "h", "left_semi").select(rows.columns), length)
+    large = windows.join(again, "w").select(F.concat(F.lit("w"), F.lower(F.hex("w"))).alias("repeat_id"), F.col("doc").alias("doc_id"), F.expr("at - back").alias("start"), F.lit(length).cast("long").alias("length"))
+    return usual.union(large.distinct())
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -338,8 +360,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     if seen.isEmpty():
         spans = usual
     else:
-        large = seen.mapInArrow(_windows(length), "w long, doc long, at long, back long")
-        again = large.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+        large, again = _repeated_windows(seen, length)
         reach = large.join(again, "w", "left_semi").groupBy("doc", "at").agg(F.max("back").alias("hi"), F.min("back").alias("lo"))
         spans = usual.union(reach.select("doc", F.expr("at - hi"), F.expr(f"at - lo + {length}")))
     spans = work.save(spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
@@ -385,7 +406,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     Every byte of a text that is covered by a string of ``length`` bytes that also starts anywhere
     else, in the same text or another, is removed; all of them, the first occurrence too. Strings are judged on
     the input. A null text is empty; texts of fewer than ``length`` bytes stay whole. doc_id is unique, but repeated equal rows
-    count as copies of each other. Columns other than doc_id and text are ignored.
+    count as copies of each other. A row without doc_id is matched as a whole text only: it loses all its bytes if another text equals it, else none. Columns other than doc_id and text are ignored.
     """
     rows, spans = repeated_spans(docs, length)
     cut = cut_repeats(docs, spans).drop("kept")

@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -131,6 +131,23 @@ def test_suffixes_against_brute_force(spark, monkeypatch, limit):
     assert got == covered(texts, 40)
 
 
+@pytest.mark.parametrize("limit", [50_000, 5])
+def test_maximal_repeats_have_all_occurrences(spark, monkeypatch, limit):
+    """Occurrences of a repeat are equal; together they cover what brute force covers."""
+    monkeypatch.setattr(suffix, "GROUP", limit)
+    texts = [(d, t) for d, t in repeating(4) if d < 70]
+    raw = {d: t.encode() for d, t in texts}
+    found = defaultdict(set)
+    for r in suffix.maximal_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), 40).collect():
+        found[r["repeat_id"]].add((r["doc_id"], r["start"], r["length"]))
+    for places in found.values():
+        assert len(places) > 1 and len({raw[d][s : s + n] for d, s, n in places}) == 1
+    gone = {d: np.zeros(len(b), dtype=bool) for d, b in raw.items()}
+    for d, s, n in set().union(*found.values()):
+        gone[d][s : s + n] = True
+    assert {d: int(g.sum()) for d, g in gone.items()} == {d: n for d, (_, n, _, _) in covered(texts, 40).items()}
+
+
 # --- 3 decontamination -----------------------------------------------------------
 
 
