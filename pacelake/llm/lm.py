@@ -1,55 +1,37 @@
-"""Language-model scores by stupid backoff, with count tables partitioned by n-gram hash.
+"""Language-model scores by stupid backoff, as joins of n-gram count tables.
 
-Documents are dealt into blocks by a hash of their id.  A block's distinct n-grams are cut by hash
-into one sorted array for each part of the count table; these arrays, not single
-rows, are what is shuffled.  A part adds up the counts of all blocks and answers each
-with the totals of its n-grams, which are joined back to the block's documents,
-turned to a score at every word and summed per document.  An n-gram that every document
-has is one entry per block, so no key is hot.
+Every document is exploded into its distinct n-grams of all orders, each with the document's own count.  The
+rows are partitioned by the hash of the n-gram; there they are counted over all documents, and those that
+others have as well go back to their documents with the totals, where every word is scored and the scores are summed.
 
-The count table is that of all documents.  A document's own n-grams are taken
+An n-gram that nearly all documents have would fill one partition.  The most frequent ``HOT`` n-grams are therefore
+counted apart, by sums that are combined before the shuffle, and their totals, a table of fixed size, are broadcast.
+Which ones these are is read off one document in ``EVERY``; it decides the route, never the result.
+
+The counts are those of all documents.  A document's own n-grams are taken
 off the counts that it is scored with, so that a text doesn't vouch for itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacelake.llm import textblocks as tb
 
-#: Bytes of text in a block, on average.
-BLOCK = 8 << 20
+#: N-grams whose totals are broadcast, at most, and one in how many documents is looked at to find them.
+HOT = 1 << 16
+EVERY = 64
 ALPHA = 0.4
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, lowest first; planes that are all zero are left out."""
-    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.ascontiguousarray(planes.T).tobytes()
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), dtype=np.uint8)
-    if n and len(data):
-        planes = np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
-        out[:, : len(planes)] = planes.T
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
-def _grams(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The number of words before each text, and the hashes of the k-grams that end at each word (0 where the text has fewer)."""
-    words, befores, base = [], [np.zeros(1, dtype=np.int64)], 0
-    for _, _, buf, offsets in tb.chunks(column):
-        w, b = tb.word_hashes(buf, offsets)
-        words.append(w)
-        befores.append(b[1:] + base)
-        base += len(w)
-    word = np.concatenate(words) if words else np.zeros(0, dtype=np.uint64)
-    before = np.concatenate(befores)
+def grams(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of words before each text, and for k = 1 to ``order`` the hashes of the k-grams that end at each word (0 where the text has fewer words)."""
+    word, before = tb.word_hashes(buf, offsets)
     place = np.arange(len(word)) - np.repeat(before[:-1], np.diff(before))
     out = [tb.mix(word)]
     for k in range(2, order + 1):
@@ -61,82 +43,119 @@ def _grams(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, list[np.nda
     return before, out
 
 
-def _lowest(part: int, parts: int) -> np.uint64:
-    """A bound under all hashes of a part."""
-    return np.uint64((-(-(part << 32) // parts)) << 32)
+def _own(before: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, how often) of the distinct n-grams of each text."""
+    text = np.tile(np.repeat(np.arange(len(before) - 1), np.diff(before)), len(found))
+    flat = np.concatenate(found)
+    text, flat = text[flat != 0], flat[flat != 0]
+    by = np.lexsort((flat, text))
+    text, flat = text[by], flat[by]
+    first = np.flatnonzero(np.concatenate(([True], (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])))) if len(flat) else np.zeros(0, dtype=np.int64)
+    return text[first], flat[first], np.diff(np.concatenate((first, [len(flat)])))
+
+
+def _among(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), dtype=bool)
+
+
+def exploded(texts: DataFrame, order: int, hot: np.ndarray) -> DataFrame:
+    """``h, doc_id, n``: a row for each distinct n-gram of each row of ``texts``, but those in ``hot``."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, buf, offsets in tb.chunks(batch.column(1)):
+                text, h, n = _own(*grams(buf, offsets, order))
+                keep = ~_among(shared.value, h)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), batch.column(0).take(pa.array(first + text[keep])), pa.array(n[keep])], ["h", "doc_id", "n"])
+
+    return texts.mapInArrow(run, "h long, doc_id long, n long")
+
+
+def hot_totals(texts: DataFrame, order: int, hot: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of words of all texts, and the totals of the n-grams in ``hot``."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(shared.value) + 1, dtype=np.int64)
+        for batch in batches:
+            for _, _, buf, offsets in tb.chunks(batch.column(1)):
+                before, found = grams(buf, offsets, order)
+                counts[-1] += before[-1]
+                for h in found:
+                    counts[:-1] += np.bincount(np.searchsorted(shared.value, h[_among(shared.value, h)]), minlength=len(counts) - 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["k", "n"])
 
-def _present(grams: list[np.ndarray]) -> np.ndarray:
-    flat = np.concatenate(grams)
-    return flat[flat != 0]
+    out = np.zeros(len(hot) + 1, dtype=np.int64)
+    for k, n in texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n")).collect():  # HOT + 1 rows at most
+        out[k] = n
+    return int(out[-1]), out[:-1]
 
 
-def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, hot: int = HOT, every: int = EVERY) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score`` of every row of ``docs``.
 
     Words are runs of bytes other than ASCII white space, A-Z taken as a-z. At each word the longest n-gram
     of at most ``order`` words that other documents have is scored by its count over that of its first words, times ``alpha``
     for each word it is shorter; a single word by its count over all words, one that no other document has by ``alpha``
     over all words. ``log_score`` is the sum of natural logarithms. A text without words, null or empty, has 0 in both. Repeated rows count
-    as documents of their own; columns other than doc_id and text are ignored.
+    as documents of their own, and so do rows without doc_id; columns other than doc_id and text are ignored.
+    N-grams are compared by 64-bit hashes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(1, round(size / block))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(parts)).cast("int"))
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        _, grams = _grams(table.column("text"), order)
-        h, n = np.unique(_present(grams), return_counts=True)
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        rows = [(p, key[0].as_py(), b - a, pack(np.diff(h[a:b], prepend=_lowest(p, parts))), pack(n[a:b])) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
-        rows.append((-1, key[0].as_py(), len(grams[0]), b"", b""))
-        cols = list(zip(*rows, strict=True))
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=["part", "block", "n", "grams", "counts"])
-
-    counted = dealt.groupBy("block").applyInArrow(count, "part int, block int, n int, grams binary, counts binary")
-
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        blocks = table.column("block")
-        if key[0].as_py() < 0:  # the number of words of each block
-            return pa.table([blocks, pa.array([-1] * len(sizes), pa.int32()), pa.array([int(sum(sizes))] * len(sizes), pa.int64()), pa.array([b""] * len(sizes), pa.binary())], names=["block", "part", "n", "totals"])
-        h = np.concatenate([np.cumsum(unpack(g.as_py(), n), dtype=np.uint64) + _lowest(key[0].as_py(), parts) for g, n in zip(table.column("grams"), sizes, strict=True)])
-        c = np.concatenate([unpack(g.as_py(), n) for g, n in zip(table.column("counts"), sizes, strict=True)])
-        order_ = np.argsort(h, kind="stable")
-        h, c = h[order_], c[order_]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        sums = np.empty(len(h), dtype=np.uint64)
-        sums[order_] = np.repeat(np.add.reduceat(c, first), np.diff(np.concatenate((first, [len(h)]))))
-        cut = np.cumsum([0, *sizes])
-        return pa.table([blocks, pa.array([key[0].as_py()] * len(sizes), pa.int32()), pa.array(sizes, pa.int64()), pa.array([pack(sums[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["block", "part", "n", "totals"])
-
-    totals = counted.groupBy("part").applyInArrow(total, "block int, part int, n long, totals binary")
-
-    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        before, grams = _grams(left.column("text"), order)
-        doc = np.repeat(np.arange(left.num_rows), np.diff(before))
-        known = np.unique(_present(grams))
-        rows = sorted(zip(right.column("part").to_pylist(), right.column("n").to_pylist(), right.column("totals").to_pylist(), strict=True))
-        words = rows[0][1] if rows else 0
-        all_ = np.concatenate([unpack(t, n) for _, n, t in rows[1:]]).astype(np.int64) if len(rows) > 1 else np.zeros(0, dtype=np.int64)
-        others = []
-        for h in grams:  # counts without the document's own
-            at = np.where(h != 0, np.searchsorted(known, h), len(known))
-            own, back, n = np.unique(doc * (len(known) + 1) + at, return_inverse=True, return_counts=True)
-            c = all_[np.minimum(at, len(all_) - 1)] - n[back] if len(all_) else np.zeros(len(h), dtype=np.int64)
-            others.append(np.where(h != 0, c, 0))
-        rest = np.maximum(words - np.diff(before)[doc], 1).astype(np.float64)
-        place = np.arange(len(doc)) - before[doc]
-        log = np.log(np.where(others[0] > 0, others[0], alpha) / rest)
-        for k in range(2, order + 1):
-            ctx = np.concatenate(([0], others[k - 2][:-1]))
-            here = others[k - 1] > 0
-            longer = np.log(np.where(here, others[k - 1], 1) / np.where(here, ctx, 1))
-            log = np.where(place >= k - 1, np.where(here, longer, log + np.log(alpha)), log)
-        each = np.add.reduceat(np.concatenate((log, [0.0])), np.minimum(before[:-1], len(log))) * (np.diff(before) > 0)
-        n = np.diff(before)
-        return pa.table([left.column("doc_id"), pa.array(n, pa.int64()), pa.array(each, pa.float64()), pa.array(each / np.maximum(n, 1), pa.float64())], names=["doc_id", "n_words", "log_score", "mean_log_score"])
-
-    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
+    some = exploded(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), order, np.zeros(0, dtype=np.uint64))
+    frequent = some.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "h").limit(hot).collect()
+    known = np.sort(np.array([r["h"] for r in frequent], dtype=np.int64).view(np.uint64))
+    words, known_total = hot_totals(texts, order, known)
+
+    alike = Window.partitionBy("h")
+    rows = exploded(texts, order, known).repartition("h").select("h", "doc_id", F.sum("n").over(alike).alias("total"), F.count("*").over(alike).alias("df"))
+    answers = rows.where("df > 1").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("h", "total")).alias("found"))
+    shared = docs.sparkSession.sparkContext.broadcast((known, known_total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            if lists.null_count:
+                lists = lists.fill_null([])
+            cut = lists.offsets.to_numpy().astype(np.int64)
+            all_h, all_n = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for first, end, buf, offsets in tb.chunks(batch.column(1)):
+                before, found = grams(buf, offsets, order)
+                h, total = all_h[cut[first] : cut[end]].view(np.uint64), all_n[cut[first] : cut[end]]
+                sums = _scored(before, found, (np.repeat(np.arange(end - first), np.diff(cut[first : end + 1])), h, total), shared.value, words, alpha)
+                n = np.diff(before)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])
+
+    # texts and answers meet by doc_id; rows without one meet as well
+    both = texts.join(answers.hint("merge"), texts["doc_id"].eqNullSafe(answers["of"]), "left").select("doc_id", "text", "found")
+    return both.mapInArrow(run, "doc_id long, n_words long, log_score double, mean_log_score double")
+
+
+def _scored(before: np.ndarray, found: list[np.ndarray], answers: tuple[np.ndarray, ...], hot: tuple[np.ndarray, np.ndarray], words: int, alpha: float) -> np.ndarray:
+    """The log score of each text; ``answers`` are (text, n-gram, total) of those that others have, ``hot`` n-grams and totals for all texts."""
+    text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    own_text, own_h, own_n = _own(before, found)
+    salt = tb.mix(np.arange(1, len(before), dtype=np.uint64))
+    key = own_h ^ salt[own_text]
+    by = np.argsort(key)
+    key, own_h, own_n = key[by], own_h[by], own_n[by]
+    rest = -own_n  # totals without the text's own count, once they are added
+    at = np.minimum(np.searchsorted(hot[0], own_h), max(0, len(hot[0]) - 1))
+    total = np.where(_among(hot[0], own_h), hot[1][at] if len(hot[0]) else 0, own_n)
+    a_text, a_h, a_total = answers
+    total[np.searchsorted(key, a_h ^ salt[a_text])] = a_total
+    rest = rest + total
+    others = []
+    for h in found:
+        c = rest[np.minimum(np.searchsorted(key, h ^ salt[text]), max(0, len(key) - 1))] if len(key) else np.zeros(len(h), dtype=np.int64)
+        others.append(np.where(h != 0, c, 0))
+    place = np.arange(len(text)) - before[text]
+    log = np.log(np.where(others[0] > 0, others[0], alpha) / np.maximum(words - np.diff(before)[text], 1))
+    for k in range(2, len(found) + 1):
+        context = np.concatenate(([0], others[k - 2][:-1]))
+        here = others[k - 1] > 0
+        longer = np.log(np.where(here, others[k - 1], 1) / np.where(here, context, 1))
+        log = np.where(place >= k - 1, np.where(here, longer, log + np.log(alpha)), log)
+    return np.add.reduceat(np.concatenate((log, [0.0])), np.minimum(before[:-1], len(log))) * (np.diff(before) > 0)

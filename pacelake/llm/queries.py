@@ -76,6 +76,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE = {
+    "op8_lm": f"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+        x AS (SELECT doc_id, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3 FROM p),
+        own AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, g1 AS g FROM x UNION ALL SELECT doc_id, g2 FROM x WHERE g2 IS NOT NULL UNION ALL SELECT doc_id, g3 FROM x WHERE g3 IS NOT NULL) e GROUP BY ALL),
+        total AS (SELECT g, sum(n) AS n FROM own GROUP BY g),
+        c AS (SELECT doc_id, g, total.n - own.n AS c FROM own JOIN total USING (g)),
+        y AS (SELECT x.doc_id, i, c1.c AS c1, c2.c AS c2, c3.c AS c3 FROM x JOIN c c1 ON c1.doc_id = x.doc_id AND c1.g = g1
+              LEFT JOIN c c2 ON c2.doc_id = x.doc_id AND c2.g = g2 LEFT JOIN c c3 ON c3.doc_id = x.doc_id AND c3.g = g3),
+        z AS (SELECT *, lag(c1) OVER w AS p1, lag(c2) OVER w AS p2, count(*) OVER (PARTITION BY doc_id) AS n, count(*) OVER () AS words FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        s AS (SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3 / p2) WHEN c2 > 0 THEN ln(c2 / p1) + CASE WHEN i > 2 THEN ln({lm.ALPHA}) ELSE 0 END
+              ELSE ln(CASE WHEN c1 > 0 THEN c1 ELSE {lm.ALPHA} END / greatest(words - n, 1)) + least(i - 1, 2) * ln({lm.ALPHA}) END AS log FROM z),
+        d AS (SELECT doc_id, sum(log) AS log FROM s GROUP BY doc_id)
+        SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(log, 0.0), 4) AS log_score, round(coalesce(log, 0.0) / greatest(len(w), 1), 6) AS mean_log_score FROM t LEFT JOIN d ON d.doc_id = t.doc_id
+    """,
     "op10_sharding": f"""
         WITH r AS (
             SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes,

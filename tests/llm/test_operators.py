@@ -278,8 +278,8 @@ def test_backoff_against_brute_force(spark):
             total += math.log(p)
         want[d] = (len(ws), round(total, 6))
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for block in (8 << 20, 200):
-        assert {r["doc_id"]: (r["n_words"], round(r["log_score"], 6)) for r in lm.lm_scores(table, 2, block=block).collect()} == want
+    for hot, every in ((lm.HOT, 1), (5, 1), (lm.HOT, lm.EVERY)):
+        assert {r["doc_id"]: (r["n_words"], round(r["log_score"], 6)) for r in lm.lm_scores(table, 2, hot=hot, every=every).collect()} == want
 
 
 def test_backoff_of_higher_orders_against_brute_force(spark, tmp_path):
@@ -306,8 +306,8 @@ def test_backoff_of_higher_orders_against_brute_force(spark, tmp_path):
         return want
 
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for order, block in ((3, 8 << 20), (3, 200), (4, 200)):
-        assert {r["doc_id"]: (r["n_words"], round(r["log_score"], 4)) for r in lm.lm_scores(table, order, block=block).collect()} == scores(order)
+    for order, hot in ((3, lm.HOT), (3, 7), (4, 7)):
+        assert {r["doc_id"]: (r["n_words"], round(r["log_score"], 4)) for r in lm.lm_scores(table, order, hot=hot, every=2).collect()} == scores(order)
     table.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"]: (r["n_words"], r["log_score"]) for r in library.queries()["op8_lm"](spark, str(tmp_path)).collect()} == scores(3)
 
