@@ -39,8 +39,8 @@ from pacelake.llm.components import components
 
 #: Fragments in which overlaps are counted.
 PARTS = 8
-#: Turns in which each document is compared with one pivot.
-ROUNDS = 3
+#: Turns in which each document is compared with one pivot, at most, and the comparisons a row for which no more such turns are made.
+ROUNDS, FEW = 3, 16
 SKETCH = ["s0", "s1", "s2", "s3"]
 
 
@@ -71,27 +71,28 @@ def leading_bound(percent: int) -> np.uint64:
 
 
 def shingle_digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, number of first shingles that links must share, two digests and the sketch of the shingle set, its shingles in the leading fragment, and the first ones of the next if those are too few."""
+    """doc_id, size, number of first shingles of which links share one, number of those in the leading fragment, two digests and the sketch of the shingle set, the shingles in the leading fragment, and the first ones of the next if those are too few."""
 
     bound = leading_bound(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, d1, d2, odd, lead, rest = [], [], [], [], [], [], []
+            sizes, first, leading, d1, d2, odd, lead, rest = [], [], [], [], [], [], [], []
             for h in _sets(batch.column(1), n):
                 need = len(h) - -(-len(h) * percent // 100) + 1
                 cut = int(np.searchsorted(h, bound, side="right"))
                 sizes.append(len(h))
                 first.append(need)
+                leading.append(cut)
                 odd.append(sketch(h))
                 d1.append(int(np.sum(tb.mix(h)).astype(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(tb.mix(h ^ np.uint64(0xA5A5A5A5))).astype(np.int64)) if len(h) else 0)
                 lead.append(h[:cut])
                 rest.append(h[cut : max(cut, need)] if len(h) else h)
-            numbers = [pa.array(x, pa.int64()) for x in (sizes, first, d1, d2, *([x[i] for x in odd] for i in range(4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, _lists(lead), _lists(rest)], ["doc_id", "n", "first", "d1", "d2", *SKETCH, "lead", "rest"])
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, first, leading, d1, d2, *([x[i] for x in odd] for i in range(4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, _lists(lead), _lists(rest)], ["doc_id", "n", "first", "leading", "d1", "d2", *SKETCH, "lead", "rest"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, first long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, lead array<long>, rest array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, first long, leading long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, lead array<long>, rest array<long>")
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -104,7 +105,7 @@ def filed_under(sets: DataFrame, reps: DataFrame) -> DataFrame:
     placed = sets.select(F.col("doc_id").alias("doc"), F.explode("lead").alias("h"))
     shared = placed.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     mine = placed.join(shared.hint("merge"), "h").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("items"))
-    own = reps.select(F.col("doc_id").alias("doc"), "n", *SKETCH, "first", F.size("lead").alias("leading"))
+    own = reps.select(F.col("doc_id").alias("doc"), "n", *SKETCH, "first", "leading")
     # those in no other document come first in the order
     many = F.greatest(F.col("first") - F.col("leading") + F.size("items"), F.lit(0)).cast("int")
     lead = own.join(mine, "doc").select(F.explode(F.slice("items", F.lit(1), many)["h"]).alias("key"), "doc", "n", *SKETCH)
@@ -156,7 +157,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     sets = work.save(shingle_digests(texts, n, percent))
     known = sets.where("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    reps = known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = known.drop("lead").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     filed = work.save(filed_under(known, reps))
     shared = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     entries = work.save(filed.join(shared, "key"))
@@ -176,28 +177,30 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     tested = links = roots = None
     for turn in range(ROUNDS + 1):
         here = ranked.withColumn("root", F.col("doc")) if roots is None else ranked.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        open_ = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-        here = work.save(here.join(open_, "key"))
-        if here.isEmpty():
+        members = here.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
+        here = work.save(here.join(members.where("roots > 1").select("key", "size", F.col("main.root").alias("main")), "key"))
+        rows, apart = here.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("main"), F.col("size")))).first()
+        if not rows:
             break
-        if turn < ROUNDS:
+        if not turn or (turn < ROUNDS and apart > FEW * rows):
             best = here.groupBy("key").agg(F.max(F.struct("typical", (-F.col("doc")).alias("after"), *columns)).alias("best"))
             best = best.select("key", *[F.col(f"best.{c}").alias(c) for c in columns])
-            members = here.where("largest") if not turn else here
-            found = best.alias("a").join(members.alias("b"), "key").where(may_link).select(*ends, F.col("b.doc").alias("member"), "size")
+            found = best.alias("a").join((here if turn else here.where("largest")).alias("b"), "key").where(may_link).select(*ends, F.col("b.doc").alias("member"), "size")
             if tested is not None:
                 found = found.join(tested, ["a", "b"], "left_anti")
             found = found.groupBy("member").agg(F.max(F.struct("size", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            last = False
         else:
-            main = here.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"))
-            apart = here.join(main, "key").where("root <> main.root").select("key", *columns)
-            found = apart.alias("a").join(here.select("key", *columns).alias("b"), "key").where(may_link).select(*ends).distinct().join(tested, ["a", "b"], "left_anti")
+            found = here.where("root <> main").select("key", *columns).alias("a").join(here.select("key", *columns).alias("b"), "key").where(may_link).select(*ends).distinct().join(tested, ["a", "b"], "left_anti")
+            last = True
         seen = work.save(overlaps(found, segs))
         work.drop(here)
         tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
         fresh = seen.where(linked).select("a", "b")
         links = fresh if links is None else links.union(fresh)
         roots = components(links)
+        if last:
+            break
     if roots is None:
         roots = components(sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"))
     work.drop(ranked, segs)
