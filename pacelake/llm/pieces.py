@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from pacelake.llm import textblocks as tb
 
-#: Bytes of text that are encoded together.
-CHUNK = 6 << 20
+#: Bytes of text that are encoded together; longer texts are encoded in parts of whole words.
+CHUNK = 2 << 20
 #: The mark that stands for a space within pieces.
 SPACE_MARK = "▁"
 
@@ -60,6 +60,8 @@ def load(path: str, smoothing: float = 1.0) -> Vocabulary:
             raw.append(b"")
         else:
             raw.append(piece.encode().replace(SPACE_MARK.encode(), b" "))
+            if b" " in raw[-1].lstrip(b" "):
+                raise ValueError(f"piece {i} of {path} goes on after a space, so texts don't fall into words")
             real.append(i)
     if (bytes_ < 0).any():
         raise ValueError(f"{path} has no byte pieces, so not every text can be encoded")
@@ -158,14 +160,33 @@ def filtered(buf: np.ndarray, first: np.ndarray, last: np.ndarray, v: Vocabulary
     return out_source, out_piece, out_value, at
 
 
-def encode(buf: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def encode(buf: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, v: Vocabulary, limit: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the pieces of texts, given as bytes and offsets, and where each text's ids end, after a 0."""
+    if len(seeds) == 1 and len(buf) > limit:
+        space = buf == 0x20
+        opens = np.flatnonzero(space[1:] & ~space[:-1]) + 1  # where words begin, but for the first
+        cuts = [0]
+        while cuts[-1] + limit < len(buf):
+            k = int(np.searchsorted(opens, cuts[-1] + limit, side="right"))
+            if k and opens[k - 1] > cuts[-1]:
+                k -= 1
+            cuts.append(int(opens[k]) if k < len(opens) else len(buf))
+        cuts = cuts if cuts[-1] == len(buf) else [*cuts, len(buf)]
+        parts = [_encode(buf[a:b], np.array([0, b - a]), seeds, v, not a, int(np.searchsorted(opens, a)) + (a > 0))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
+    return _encode(buf, offsets, seeds, v, True, 0)
+
+
+def _encode(buf: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, v: Vocabulary, whole: bool, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode``; a text that isn't whole goes on after ``before`` words."""
     n = np.diff(offsets)
     # a space before every text that isn't empty
-    moved = np.concatenate(([0], np.cumsum(n + (n > 0))))
+    led = (n > 0) & whole
+    moved = np.concatenate(([0], np.cumsum(n + led)))
     padded = np.full(moved[-1], 0x20, dtype=np.uint8)
     inside = np.ones(moved[-1], dtype=bool)
-    inside[moved[:-1][n > 0]] = False
+    inside[moved[:-1][led]] = False
     padded[inside] = buf[offsets[0] : offsets[-1]]
     # words start at each space that follows something else, and at texts
     space = padded == 0x20
@@ -185,7 +206,7 @@ def encode(buf: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, v: Vocabular
     source, piece, cumulated, begins = filtered(flat, w_first, w_last, v)
     # sample backwards, all words at once
     doc = np.searchsorted(moved, first, side="right") - 1
-    place = np.arange(len(first)) - np.searchsorted(first, moved[:-1])[doc]
+    place = np.arange(len(first)) - np.searchsorted(first, moved[:-1])[doc] + before
     state = tb.mix(seeds[doc] + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     origin = w_first[kind] + kind
     node = w_last[kind] + kind

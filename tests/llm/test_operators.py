@@ -257,6 +257,39 @@ def test_long_words_against_a_lattice(spark):
         assert sorted(got) == sorted(want) and all(got[d] == want[d] for d in want), [d for d in want if got[d] != want[d]]
 
 
+def test_long_texts_in_parts():
+    """Texts that are encoded in parts get the ids that they get at once."""
+    v = pieces.load(PIECES)
+    dice = random.Random(8)
+    for text in (" ".join("".join(dice.choice("abcé漢") for _ in range(dice.choice([1, 3, 40]))) + dice.choice(["", "  ", " "]) for _ in range(300)), "x" * 900, "   lead and  trail   ", "a" * 700 + " b"):
+        buf = np.frombuffer(text.encode(), dtype=np.uint8)
+        seeds, offsets = np.array([77], dtype=np.uint64), np.array([0, len(buf)])
+        once, _ = pieces.encode(buf, offsets, seeds, v)
+        for limit in (5, 64, 500):
+            ids, by_doc = pieces.encode(buf, offsets, seeds, v, limit)
+            assert ids.tolist() == once.tolist() and pieces.decode(ids, by_doc, v)[0].tobytes() == text.encode()
+
+
+def test_sampled_frequencies_follow_the_lattice():
+    """Every segmentation of a word comes up as often as its share of the weight of all of them."""
+    v = pieces.load(PIECES)
+    known = {v.text[a:b].tobytes(): i for i, (a, b) in enumerate(zip(v.ends[:-1], v.ends[1:])) if b > a and i not in set(v.bytes_.tolist())}
+
+    def all_of(word):
+        if not word:
+            return [((), 0.0)]
+        return [((known[word[:n]], *rest), v.log_weight[known[word[:n]]] + w) for n in range(1, len(word) + 1) if word[:n] in known for rest, w in all_of(word[n:])]
+
+    text, n = b"there", 40_000
+    weights = {ids: math.exp(w) for ids, w in all_of(b" " + text)}
+    ids, by_doc = pieces.encode(np.frombuffer(text * n, dtype=np.uint8), np.arange(n + 1) * len(text), pieces.tb.mix(np.arange(n, dtype=np.uint64)), v)
+    seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(by_doc[:-1], by_doc[1:]))
+    assert set(seen) <= set(weights) and len(weights) > 5
+    for one, w in weights.items():
+        share = w / sum(weights.values())
+        assert abs(seen[one] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-3
+
+
 # --- 8 language model --------------------------------------------------------------
 
 
