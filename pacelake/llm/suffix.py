@@ -64,11 +64,11 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def text_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, bytes and sha-256 of each text, and the hashes and places of its anchors."""
+    """doc_id, bytes and sha-256 of each text, and the hashes of its anchors, each with the number of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sha, counts, hashes, places = [], [], [], [], []
+            size, sha, hashes, many = [], [], [], []
             for first, end, buf, offsets in tb.chunks(batch.column(1)):
                 at, h = anchors(buf, offsets, length)
                 cut = np.searchsorted(at, offsets)
@@ -76,16 +76,15 @@ def text_anchors(docs: DataFrame, length: int) -> DataFrame:
                 for i in range(end - first):
                     size.append(int(offsets[i + 1] - offsets[i]))
                     sha.append(hashlib.sha256(raw[offsets[i] : offsets[i + 1]]).hexdigest())
-                counts.append(np.diff(cut))
-                places.append(at - np.repeat(offsets[:-1], np.diff(cut)))
-                hashes.append(h)
-            ends = np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1)
-            ends = pa.array(ends.astype(np.int32), pa.int32())
+                    each, n = np.unique(h[cut[i] : cut[i + 1]], return_counts=True)
+                    hashes.append(each)
+                    many.append(n)
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in hashes]))), pa.int32())
             h = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, dtype=np.int64)
-            p = np.concatenate(places).astype(np.int64) if places else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(ends, pa.array(h)), pa.ListArray.from_arrays(ends, pa.array(p))], ["doc_id", "n_bytes", "sha", "h", "p"])
+            m = np.concatenate(many) if many else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(ends, pa.array(h)), pa.ListArray.from_arrays(ends, pa.array(m, pa.int32()))], ["doc_id", "n_bytes", "sha", "h", "m"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, sha string, h array<long>, p array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, sha string, h array<long>, m array<int>")
 
 
 def _fixed(matrix: np.ndarray) -> pa.Array:
@@ -98,7 +97,7 @@ _CONTEXT = "h long, n long, doc long, at long, la long, ra long, before binary,
 
 
 def contexts(marked: DataFrame, length: int) -> DataFrame:
-    """A row for each marked anchor: the bytes before it, nearest first, those from it on, and how many there are.
+    """A row for each place of a marked anchor: the bytes before it, nearest first, those from it on, and how many there are.
 
     Contexts that are equal within a text, as in runs of one line, are one row; every place
     of such a context is a further row with n = -1 and no bytes.
@@ -124,12 +123,15 @@ def contexts(marked: DataFrame, length: int) -> DataFrame:
             docs = batch.column(0).to_pylist()
             marks = batch.column(2)
             cut = marks.offsets.to_numpy().astype(np.int64)
-            all_h, all_at = (marks.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            marked_h = marks.values.to_numpy(zero_copy_only=False).view(np.uint64)
             ids, part, places, used = [], [], [], 0
             for i, doc in enumerate(docs):
                 text = texts[offsets[i] : offsets[i + 1]]
-                order = np.lexsort((all_at[cut[i] : cut[i + 1]], all_h[cut[i] : cut[i + 1]]))
-                h, at = all_h[cut[i] : cut[i + 1]][order], all_at[cut[i] : cut[i + 1]][order]
+                at, h = anchors(text, np.array([0, len(text)]), length)
+                mine = np.isin(h, marked_h[cut[i] : cut[i + 1]])
+                at, h = at[mine], h[mine].view(np.int64)
+                order = np.lexsort((at, h))
+                at, h = at[order], h[order]
                 padded = np.concatenate((np.zeros(before, np.uint8), text, np.zeros(after, np.uint8)))
                 same = np.zeros(len(h), dtype=bool)
                 same[1:] = h[1:] == h[:-1]
@@ -305,10 +307,10 @@ def _windows(length: int):
 def _repeated_contexts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """Contexts of the anchors that occur more than once, exact copies of a text taken once."""
     reps = found.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    filed = found.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("h", "p")).alias("x")).select("doc", F.col("x.h").alias("h"), F.col("x.p").alias("at"))
-    shared = filed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    # a merge join, since Spark splits its partitions where one anchor has many places
-    marks = filed.join(shared.hint("merge"), "h").groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
+    filed = found.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("h", "m")).alias("x")).select("doc", F.col("x.h").alias("h"), F.col("x.m").alias("m"))
+    # as a table of its own, so that Spark can split the join where one anchor is in many texts
+    shared = work.save(filed.groupBy("h").agg(F.sum("m").alias("m")).where("m > 1").select("h"))
+    marks = filed.join(shared, "h").groupBy("doc").agg(F.collect_list("h").alias("marks"))
     marked = texts.join(marks.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id")
     return contexts(marked.select("doc_id", "text", "marks"), length)
 
