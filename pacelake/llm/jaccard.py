@@ -103,8 +103,9 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 def filed_under(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """``key, doc, n`` and the sketch: each document of ``reps`` under those of its first shingles that other documents may have."""
     placed = sets.select(F.col("doc_id").alias("doc"), F.explode("lead").alias("h"))
-    shared = placed.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    mine = placed.join(shared.hint("merge"), "h").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("items"))
+    # as a table of its own, so that Spark can split the join where one shingle is in many documents
+    shared = work.save(placed.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    mine = placed.join(shared, "h").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("items"))
     own = reps.select(F.col("doc_id").alias("doc"), "n", *SKETCH, "first", "leading")
     # those in no other document come first in the order
     many = F.greatest(F.col("first") - F.col("leading") + F.size("items"), F.lit(0)).cast("int")
