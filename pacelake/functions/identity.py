@@ -23,6 +23,16 @@ def json_list(parts: list[Column]) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(p.cast("string"), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')), F.lit("null")) for p in parts]), F.lit("]"))
 
 
+def canonical_key(dataset: str, parts: list[Column]) -> Column:
+    """The key of a record across snapshots: that of an activity as it is, else dataset and hash of the parts; null if a part is null or empty."""
+    if dataset == "activities":
+        return F.when(parts[0] != "", parts[0])
+    whole = F.lit(True)
+    for p in parts:
+        whole = whole & F.coalesce(p.cast("string") != "", F.lit(False))
+    return F.when(whole, F.concat(F.lit(f"{dataset}:"), F.sha2(json_list(parts), 256)))
+
+
 def hash_key(prefix: str, parts: list[Column]) -> Column:
     """A key from 24 hex digits of the hash of fallback parts; null if all of them are null."""
     some = F.coalesce(*[p.cast("string") for p in parts])

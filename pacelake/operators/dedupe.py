@@ -6,31 +6,25 @@ Rows are counted per distinct value first, so a hot key is combined before it is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-class DedupeConflict(ValueError):
-    """Different rows under one key where no variants may be kept."""
-
-
 def observed(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Distinct rows over keys and fields with ``observation_count``."""
     return df.groupBy(*keys, *fields).agg(F.count("*").alias("observation_count"))
 
 
 def canonical(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """One row for each key that has a single value."""
-    each = observed(df, keys, fields)
-    only = each.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.min(c).alias(c) for c in fields])
-    return only.where("__n = 1").drop("__n")
+    """One row for each key that has a single value: the least and the greatest row of the key are equal. One shuffle, combined before it."""
+    each = df.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("__lo"), F.max(F.struct(*fields)).alias("__hi"))
+    return each.where(F.col("__lo").eqNullSafe(F.col("__hi"))).select(*keys, *[F.col("__lo")[c].alias(c) for c in fields])
 
 
 def variants(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """All distinct rows of the keys that have several, with ``observation_count``."""
     each = observed(df, keys, fields)
-    many = each.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return each.join(many, keys, "left_semi")
+    return each.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n > 1").drop("__n")
 
 
 def audit(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -45,12 +39,16 @@ def audit(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     ).withColumn("status", F.when(F.col("multi_variant_key_count") > 0, "PASS_WITH_REVIEW_ITEMS").otherwise("PASS"))
 
 
-def finalize(df: DataFrame, keys: list[str], fields: list[str], preserve_variants: bool = False) -> tuple[DataFrame, DataFrame, dict]:
-    """Canonical rows, variants and counters. Without ``preserve_variants`` a divergent key raises."""
-    counters = audit(df, keys, fields).first().asDict()
-    if counters["multi_variant_key_count"] and not preserve_variants:
-        raise DedupeConflict(f"{counters['multi_variant_key_count']} keys over {keys} have different rows")
-    return canonical(df, keys, fields), variants(df, keys, fields), counters
+def sound(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row for each key; the job that reads it fails if a key has different rows."""
+    each = df.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("__lo"), F.max(F.struct(*fields)).alias("__hi"))
+    one = F.when(F.col("__lo").eqNullSafe(F.col("__hi")), F.col("__lo")).otherwise(F.raise_error(F.lit(f"dedupe conflict: a key over {', '.join(keys)} has different rows")))
+    return each.select(*keys, one.alias("__lo")).select(*keys, *[F.col("__lo")[c].alias(c) for c in fields])
+
+
+def finalize(df: DataFrame, keys: list[str], fields: list[str], preserve_variants: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Canonical rows, variants and counters. Without ``preserve_variants`` a divergent key fails the job that reads the rows."""
+    return (canonical if preserve_variants else sound)(df, keys, fields), variants(df, keys, fields), audit(df, keys, fields)
 
 
 def agreed_value(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -67,5 +65,4 @@ def agreed_value(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def review_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every row with ``needs_review``: whether its key occurs more than once."""
-    many = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys, F.lit(True).alias("__many"))
-    return df.join(many, keys, "left").withColumn("needs_review", F.coalesce("__many", F.lit(False))).drop("__many")
+    return df.withColumn("needs_review", F.count("*").over(Window.partitionBy(*keys)) > 1)

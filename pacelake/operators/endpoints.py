@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 MALFORMED, CONFLICT, RESOLVED, UNRESOLVED = "MALFORMED", "CONFLICT", "RESOLVED", "UNRESOLVED_VALID_LINK"
 
 
-class EndpointError(ValueError):
-    """A malformed or conflicting reference, or an index with divergent targets."""
-
-
 def unique_index(df: DataFrame, key: str, target: str) -> DataFrame:
-    """``key, target``; a key with different targets raises, exact repeats do not."""
+    """``key, target``; a key with different targets fails the job, exact repeats do not."""
     each = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(target).alias(target), F.max(target).alias("__hi"))
-    bad = each.where(F.col(target) != F.col("__hi")).limit(1).collect()
-    if bad:
-        raise EndpointError(f"{key} {bad[0][0]!r} has several targets")
-    return each.drop("__hi")
+    return each.select(key, F.when(F.col(target) == F.col("__hi"), F.col(target)).otherwise(F.raise_error(F.lit(f"endpoint conflict: a {key} has several targets"))).alias(target))
+
+
+def unique_keys(df: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that aren't null; one that occurs twice fails the job."""
+    each = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    return each.select(F.when(F.col("__n") == 1, F.col(key)).otherwise(F.raise_error(F.lit(f"a {key} occurs more than once"))).alias(key))
 
 
 def resolve(links: DataFrame, token: str, current: DataFrame, cumulative: DataFrame, conflicts: DataFrame, malformed: Column | None = None, name: str = "endpoint") -> DataFrame:
     """Adds ``<name>_status`` and ``<name>_authority`` to every row of ``links``.
 
-    The other tables have the column ``token`` with distinct values. Malformed goes before conflict, that before
+    The other tables have the column ``token``; they are joined in as one table of tokens and marks. Malformed goes before conflict, that before
     the current dataset, that before earlier snapshots.
     """
-    out = links
-    for mark, known in (("__c", conflicts), ("__n", current), ("__s", cumulative)):
-        out = out.join(known.select(F.col(token)).distinct().withColumn(mark, F.lit(True)), token, "left")
+    marks = {"__c": conflicts, "__n": current, "__s": cumulative}
+    each = [known.select(token, *[F.lit(m == mark).alias(m) for m in marks]) for mark, known in marks.items()]
+    known = each[0].union(each[1]).union(each[2]).groupBy(token).agg(*[F.bool_or(m).alias(m) for m in marks])
+    out = links.join(known, token, "left")
     bad = malformed if malformed is not None else F.lit(False)
     bad = bad | F.col(token).isNull()
     status = F.when(bad, MALFORMED).when(F.col("__c"), CONFLICT).when(F.col("__n") | F.col("__s"), RESOLVED).otherwise(UNRESOLVED)
@@ -37,11 +37,10 @@ def resolve(links: DataFrame, token: str, current: DataFrame, cumulative: DataFr
     return out.withColumn(f"{name}_status", status).withColumn(f"{name}_authority", F.coalesce(authority, F.lit("none"))).drop("__c", "__n", "__s")
 
 
-def require_sound(resolved: DataFrame, name: str) -> None:
-    """Raise if an endpoint is malformed or in conflict; unresolved ones are only left out."""
-    bad = resolved.where(F.col(f"{name}_status").isin(MALFORMED, CONFLICT)).limit(1).count()
-    if bad:
-        raise EndpointError(f"{name} has malformed or conflicting references")
+def require_sound(resolved: DataFrame, name: str) -> DataFrame:
+    """The same rows; a malformed or conflicting endpoint fails the job, unresolved ones are only left out."""
+    status = F.col(f"{name}_status")
+    return resolved.withColumn(f"{name}_status", F.when(status.isin(MALFORMED, CONFLICT), F.raise_error(F.concat(F.lit(f"{name} has a reference that is "), status))).otherwise(status))
 
 
 def promoted(resolved: DataFrame, names: list[str]) -> DataFrame:

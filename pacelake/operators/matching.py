@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,24 +17,35 @@ def band_join(left: DataFrame, right: DataFrame, left_us: str, right_us: str, wi
     return a.join(b, ["__band", *on]).where(F.abs(F.col(left_us) - F.col(right_us)) <= width_us).drop("__band")
 
 
+def ranked(candidates: DataFrame, left: str, right: str, score: str = "score") -> DataFrame:
+    """Candidates with ``left_top, right_top``, whether they have the best score of a side, and ``left_tied, right_tied``, how many of that side have.
+
+    The candidates are computed once and shuffled once for each side.
+    """
+    out = candidates
+    for side, name in ((left, "left"), (right, "right")):
+        w = Window.partitionBy(side)
+        out = out.withColumn(f"{name}_top", F.col(score) == F.max(score).over(w)).withColumn(f"{name}_tied", F.sum(F.col(f"{name}_top").cast("long")).over(w))
+    return out
+
+
+def _linked() -> Column:
+    return F.col("left_top") & F.col("right_top") & (F.col("left_tied") == 1) & (F.col("right_tied") == 1)
+
+
 def mutual_best(candidates: DataFrame, left: str, right: str, score: str = "score") -> DataFrame:
     """Pairs that are the only best of both sides. A tie for the best makes a side ambiguous; no second round is held."""
+    return ranked(candidates, left, right, score).where(_linked()).select(candidates.columns)
 
-    def best(side: str, mark: str) -> DataFrame:
-        top = candidates.groupBy(side).agg(F.max(score).alias("__top"))
-        tied = candidates.join(top, side).where(F.col(score) == F.col("__top"))
-        return tied.groupBy(side).agg(F.count("*").alias("__n"), F.max("__top").alias(mark)).where("__n = 1").select(side, mark)
 
-    return candidates.join(best(left, "__l"), left).join(best(right, "__r"), right).where((F.col(score) == F.col("__l")) & (F.col(score) == F.col("__r"))).drop("__l", "__r")
+def residuals(side: DataFrame, key: str, eligible: Column, found: DataFrame, name: str) -> DataFrame:
+    """``key, outcome`` of every row: linked, excluded, no_evidence_qualified_candidate, ambiguous_candidate or one_to_one_conflict.
 
-
-def residuals(side: DataFrame, key: str, eligible: Column, candidates: DataFrame, links: DataFrame, score: str = "score") -> DataFrame:
-    """``key, outcome`` of every row: linked, excluded, no_candidate, ambiguous or one_to_one_conflict."""
-    top = candidates.groupBy(key).agg(F.max(score).alias("__top"))
-    tied = candidates.join(top, key).where(F.col(score) == F.col("__top")).groupBy(key).agg(F.count("*").alias("__n"))
-    linked = links.select(key).distinct().withColumn("__linked", F.lit(True))
-    out = side.withColumn("__eligible", eligible).join(linked, key, "left").join(tied, key, "left")
-    outcome = F.when(F.col("__linked"), "linked").when(~F.col("__eligible"), "excluded").when(F.col("__n").isNull(), "no_candidate").when(F.col("__n") > 1, "ambiguous").otherwise("one_to_one_conflict")
+    ``found`` are candidates as ``ranked`` gives them, ``name`` is the side (left or right) that ``key`` is of.
+    """
+    each = found.groupBy(key).agg(F.bool_or(_linked()).alias("__linked"), F.max(f"{name}_tied").alias("__n"))
+    out = side.withColumn("__eligible", eligible).join(each, key, "left")
+    outcome = F.when(F.col("__linked"), "linked").when(~F.col("__eligible"), "excluded").when(F.col("__n").isNull(), "no_evidence_qualified_candidate").when(F.col("__n") > 1, "ambiguous_candidate").otherwise("one_to_one_conflict")
     return out.select(key, outcome.alias("outcome"))
 
 

@@ -26,9 +26,13 @@ def inspect_records(df: DataFrame, keys: list[str], fields: list[str], updated_a
     Different rows under a key are an ordered update if ``updated_at`` tells all of them apart, else a conflict.
     """
     null_key = " OR ".join(f"{k} IS NULL" for k in keys)
-    each = observed(df, keys, fields).withColumn("null_key", F.expr(null_key))
-    stamps = F.count_distinct(updated_at) if updated_at else F.lit(0)
-    per_key = each.groupBy(*keys, "null_key").agg(F.sum("observation_count").alias("n"), F.count("*").alias("v"), stamps.alias("stamps"))
+    row = F.struct(*fields)
+    at = [updated_at] if updated_at else []
+    each = df.groupBy(*keys, *[F.col(c).alias("__at") for c in at]).agg(F.count("*").alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi"))
+    # all rows of one stamp are equal, and there is a stamp
+    told_apart = F.min((F.col("lo").eqNullSafe(F.col("hi")) & F.col("__at").isNotNull()).cast("int")) if at else F.lit(0)
+    per_key = each.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), told_apart.alias("ordered"))
+    per_key = per_key.select("n", F.expr(null_key).alias("null_key"), (~F.col("lo").eqNullSafe(F.col("hi"))).alias("differs"), (F.col("ordered") == 1).alias("ordered"))
 
     def total(what: str, name: str):
         return F.coalesce(F.sum(F.expr(what)), F.lit(0)).cast("long").alias(name)
@@ -36,9 +40,9 @@ def inspect_records(df: DataFrame, keys: list[str], fields: list[str], updated_a
     out = per_key.agg(
         total("CASE WHEN null_key THEN n ELSE 0 END", "null_key_rows"),
         total("CASE WHEN NOT null_key AND n > 1 THEN 1 ELSE 0 END", "duplicate_key_groups"),
-        total("CASE WHEN NOT null_key AND n > 1 AND v = 1 THEN 1 ELSE 0 END", "exact_duplicate_groups"),
-        total("CASE WHEN NOT null_key AND v > 1 AND stamps = v THEN 1 ELSE 0 END", "ordered_update_groups"),
-        total("CASE WHEN NOT null_key AND v > 1 AND stamps <> v THEN 1 ELSE 0 END", "unresolved_conflict_groups"),
+        total("CASE WHEN NOT null_key AND n > 1 AND NOT differs THEN 1 ELSE 0 END", "exact_duplicate_groups"),
+        total("CASE WHEN NOT null_key AND differs AND ordered THEN 1 ELSE 0 END", "ordered_update_groups"),
+        total("CASE WHEN NOT null_key AND differs AND NOT ordered THEN 1 ELSE 0 END", "unresolved_conflict_groups"),
     )
     status = F.when(F.col("unresolved_conflict_groups") > 0, "FAIL_UNRESOLVED_CONFLICT").when(F.col("null_key_rows") > 0, "FAIL_NULL_KEY").when(F.col("ordered_update_groups") > 0, "PASS_WITH_ORDERED_UPDATES").otherwise("PASS")
     return out.withColumn("status", status)
@@ -57,6 +61,28 @@ def completeness(families: DataFrame) -> DataFrame:
     return families.withColumn("state", present).withColumn("content_validity", valid)
 
 
+def binary_completeness(families: DataFrame) -> DataFrame:
+    """State, validity and reason of families of binary files, with counts of readable, unreadable, unsupported and malformed files.
+
+    Evidence of more than one kind is ambiguous, as are files that no count accounts for; neither is decided here.
+    """
+    kinds = [F.col(f"{k}_count") for k in ("readable", "unreadable", "unsupported", "malformed")]
+    readable, unreadable, unsupported, malformed = (k > 0 for k in kinds)
+    mixed = sum((k > 0).cast("int") for k in kinds) > 1
+    rules = [
+        (F.col("candidate_count") == 0, ("ABSENT", "NOT_APPLICABLE", "SOURCE_NOT_OBSERVED")), (kinds[0] + kinds[1] + kinds[2] + kinds[3] != F.col("candidate_count"), ("AMBIGUOUS", "UNKNOWN", "FIT_CLASSIFICATION_INCOMPLETE")), (mixed, ("AMBIGUOUS", "UNKNOWN", "MIXED_FIT_EVIDENCE")),
+        (unreadable, ("UNREADABLE", "UNKNOWN", "FIT_NOT_READABLE")), (unsupported, ("UNSUPPORTED", "NOT_APPLICABLE", "FIT_FORM_UNSUPPORTED")), (malformed, ("PRESENT", "MALFORMED", "FIT_EVIDENCE_PRESENT")),
+        (F.col("row_count") > 0, ("PRESENT", "VALID", "FIT_EVIDENCE_PRESENT")), (F.lit(True), ("EMPTY", "VALID", "SOURCE_STRUCTURALLY_EMPTY")),
+    ]
+    return families.withColumns({name: first_reason([(holds, names[i]) for holds, names in rules]) for i, name in enumerate(("state", "content_validity", "reason_code"))})
+
+
+def rollup(datasets: DataFrame, family: str) -> DataFrame:
+    """Per family: datasets, records, warnings and a status."""
+    out = datasets.groupBy(family).agg(F.count("*").cast("long").alias("dataset_count"), F.sum("record_count").cast("long").alias("record_count"), F.sum("warning_count").cast("long").alias("warning_count"))
+    return out.withColumn("status", F.when(F.col("record_count") == 0, "EMPTY").when(F.col("warning_count") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"))
+
+
 def state_consensus(states: DataFrame, family: str) -> DataFrame:
     """One row per family: the state and validity that all snapshots share, else AMBIGUOUS and UNKNOWN."""
     each = states.groupBy(family).agg(F.min(F.struct("state", "content_validity")).alias("lo"), F.max(F.struct("state", "content_validity")).alias("hi"), F.sum("row_count").cast("long").alias("row_count"), F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"))

@@ -64,6 +64,17 @@ def merge_maps(observations: DataFrame, keys: list[str], record: str, order: lis
     return each.select(*keys, "field", F.coalesce("known", "last").alias("value"), "observation_count", held.alias("held"))
 
 
+def field_states(observations: DataFrame, fields: list[str], record: str) -> DataFrame:
+    """``field, state, observation_count``: in how many observations each field is absent, null, empty or has a value."""
+    each = observations.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(record)[f].alias("value")) for f in fields])).alias("e")).select("e.*")
+    return each.groupBy("field", state("value").alias("state")).agg(F.count("*").cast("long").alias("observation_count"))
+
+
+def current_only(observations: DataFrame, keys: list[str], order: str, snapshots: int) -> DataFrame:
+    """Keys that the last snapshot has; relationships are read off these, not off all that were ever seen."""
+    return observations.where(F.col(order) == snapshots).select(*keys).distinct()
+
+
 def updated_fields(observations: DataFrame, keys: list[str], field: str, order: str) -> DataFrame:
     """``keys, change_count``: how often the retained value of a field changes along the snapshots."""
     w = Window.partitionBy(*keys).orderBy(order)

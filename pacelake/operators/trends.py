@@ -20,8 +20,9 @@ def gaps(df: DataFrame, keys: list[str], date: str) -> DataFrame:
 
 def first_last(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:
     """Per key: the means of the first and of the last n values."""
-    w = Window.partitionBy(*keys)
-    each = df.withColumn("i", F.row_number().over(w.orderBy(*order))).withColumn("j", F.row_number().over(w.orderBy(*[F.desc(c) for c in order])))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # sorted like w, so rows are sorted once
+    each = df.withColumn("i", F.row_number().over(w)).withColumn("j", F.count("*").over(whole) - F.col("i") + 1)
     return each.groupBy(*keys).agg(F.round(F.avg(F.when(F.col("i") <= n, F.col(value))), 4).alias("first_mean"), F.round(F.avg(F.when(F.col("j") <= n, F.col(value))), 4).alias("last_mean"))
 
 

@@ -52,7 +52,9 @@ def _day(names: tuple[str, ...]) -> Column:
 
 
 def _rows(assets: DataFrame, family: str, read) -> DataFrame:
-    return wrappers.json_rows(assets.where(F.col("family") == family), read)
+    """Source rows of a family, read from files, or as they are where ``assets`` has rows already."""
+    mine = assets.where(F.col("family") == family)
+    return mine if "record" in assets.columns else wrappers.json_rows(mine, read)
 
 
 def classify(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -67,7 +69,7 @@ class Normalized:
     records: DataFrame
     excluded: DataFrame
     variants: DataFrame | None = None
-    counters: dict | None = None
+    counters: DataFrame | None = None
 
 
 def finish(rows: DataFrame, key: list[str], rules: list[tuple[str, str]], preserve: bool) -> Normalized:
@@ -135,8 +137,9 @@ def sleep(assets: DataFrame, preserve: bool = False) -> Normalized:
     deep, light, rem = seconds("deep"), seconds("light"), seconds("rem")
     aliases = F.array_compact(F.array(*[coerce.number(raw(n)) for n in ("sleepTimeSeconds", "totalSleepSeconds", "durationInSeconds", "sleepDuration")]))
     agreed = F.when(F.size(F.array_distinct(aliases)) == 1, F.try_element_at(aliases, F.lit(1)))
+    agreed = F.when(F.size(F.array_distinct(aliases)) > 1, F.raise_error(F.lit("sleep durations of one record differ")).cast("double")).otherwise(agreed)
     stages = F.array_compact(F.array(deep, light, rem))
-    duration = F.when(F.size(stages) > 0, F.aggregate(stages, F.lit(0.0), lambda a, b: a + b)).otherwise(agreed)
+    duration = F.when((F.size(stages) > 0) & (F.size(F.array_distinct(aliases)) <= 1), F.aggregate(stages, F.lit(0.0), lambda a, b: a + b)).otherwise(agreed)
     score = F.coalesce(coerce.number(coerce.field(raw("sleepScores"), "overall", "value")), coerce.number(coerce.field(raw("sleepScores"), "overallScore")), coerce.number(raw("overallScore")), coerce.number(raw("sleepScore")))
     window = (F.unix_micros(end) - F.unix_micros(start)) / 60e6
     status = F.when(start.isNull() | end.isNull(), "missing_start_or_end").when(window <= 0, "invalid_sleep_window").otherwise("available")
@@ -147,10 +150,7 @@ def sleep(assets: DataFrame, preserve: bool = False) -> Normalized:
         score.alias("sleep_score"), (seconds("awake") / 60).alias("sleep_awake_minutes"), (F.size(stages) > 0).alias("sleep_stage_available_flag"), score.isNotNull().alias("sleep_score_available_flag"),
         F.when(status == "available", "available").otherwise("limited").alias("sleep_normalization_status"), F.when(status == "available", "none").otherwise("window").alias("sleep_limitation_type"), status.alias("sleep_reason_code"), (status == "available").alias("sleep_source_available_for_analysis_flag"),
     ]
-    out = rows.select(*cols, (F.size(F.array_distinct(aliases)) > 1).alias("conflict"))
-    if not out.where("conflict").isEmpty():
-        raise dedupe.DedupeConflict("sleep durations of one record differ")
-    return finish(out.drop("conflict"), ["sleep_day"], [("sleep_day is null", "missing_or_invalid_sleep_day")], preserve)
+    return finish(rows.select(*cols), ["sleep_day"], [("sleep_day is null", "missing_or_invalid_sleep_day")], preserve)
 
 
 def hrv(assets: DataFrame) -> Normalized:
@@ -193,7 +193,7 @@ def activity_gear(assets: DataFrame, activities_: DataFrame, gear_: DataFrame) -
     found = endpoints.resolve(links, "gear_key", gear_.select("gear_key"), gear_.select("gear_key"), gear_.select("gear_key").where("false"), None, "gear_relationship")
     found = endpoints.resolve(found, "activity_id", known, known, known.where("false"), None, "activity_relationship")
     for name in ("gear_relationship", "activity_relationship"):
-        endpoints.require_sound(found, name)
+        found = endpoints.require_sound(found, name)
     both = endpoints.promoted(found, ["gear_relationship", "activity_relationship"]).join(known, "activity_id")
     out = both.select("gear_key", "activity_id", "garmin_activity_key", "activity_relationship_status", "gear_relationship_status", "source_path", "source_sha256")
     return out, endpoints.unresolved_reasons(found, ["gear_relationship", "activity_relationship"]).select("gear_key", "activity_id", "reason")
@@ -228,20 +228,23 @@ def activity_fit_links(activities_: DataFrame, sessions: DataFrame) -> tuple[Dat
 
     def side(df: DataFrame, key: str, start: str, distance: str, duration: Column, sport: Column, p: str) -> DataFrame:
         us = F.unix_micros(F.col(start).try_cast("timestamp"))
-        return df.select(key, us.alias(f"{p}_us"), F.col(distance).alias(f"{p}_distance"), duration.alias(f"{p}_duration"), families.sport_group(sport).alias(f"{p}_sport"), F.col("source_path").alias(f"{p}_source_path"), F.col("source_sha256").alias(f"{p}_source_sha256")).withColumn(f"{p}_reason", quality.first_reason([(F.col(f"{p}_us").isNull(), "missing_or_invalid_start"), (~F.coalesce((F.col(f"{p}_distance") > 0) | (F.col(f"{p}_duration") > 0), F.lit(False)), "no_positive_distance_or_duration")]))
+        return df.select(key, us.alias(f"{p}_us"), F.col(distance).alias(f"{p}_distance"), duration.alias(f"{p}_duration"), sport.alias(f"{p}_sport"), F.col("source_path").alias(f"{p}_source_path"), F.col("source_sha256").alias(f"{p}_source_sha256")).withColumn(f"{p}_reason", quality.first_reason([(F.col(f"{p}_us").isNull(), "missing_or_invalid_start_datetime"), (~F.coalesce((F.col(f"{p}_distance") > 0) | (F.col(f"{p}_duration") > 0), F.lit(False)), "missing_or_nonpositive_distance_and_duration")]))
 
-    a = side(activities_, "garmin_activity_key", "activity_datetime_local", "distance_m", F.col("duration_sec"), F.coalesce("sport_type", "activity_type"), "activity")
-    s = side(sessions, "fit_session_key", "start_datetime_local", "distance_m", F.coalesce("timer_time_sec", "elapsed_time_sec"), F.col("sport"), "fit")
+    a = side(activities_, "garmin_activity_key", "activity_datetime_local", "distance_m", F.col("duration_sec"), F.coalesce(families.sport_group(F.col("sport_type")), families.sport_group(F.col("activity_type"))), "activity")
+    s = side(sessions, "fit_session_key", "start_datetime_local", "distance_m", F.coalesce("timer_time_sec", "elapsed_time_sec"), families.sport_group(F.col("sport")), "fit")
     pairs = matching.band_join(a.where("activity_reason is null"), s.where("fit_reason is null"), "activity_us", "fit_us", 60_000_000)
     dt, dd, du = F.abs(F.col("activity_us") - F.col("fit_us")) / 1e6, F.abs(F.col("activity_distance") - F.col("fit_distance")), F.abs(F.col("activity_duration") - F.col("fit_duration"))
     same = F.col("activity_sport") == F.col("fit_sport")
     score, rule = matching.evidence_score(dt, same, dd, du)
-    basis = F.array_compact(F.array(F.when(dt == 0, "exact_start"), F.when(same, "sport"), F.when(dd <= 200, "distance"), F.when(du <= 5, "duration")))
+    exact = F.array(F.lit("start_datetime_local"), F.when(same, "compatible_sport"), F.when(dd <= 200, "distance_within_200m"), F.when(du <= 5, "duration_within_5s"))
+    near = F.array(*map(F.lit, ("start_datetime_local", "compatible_sport", "distance_within_1m", "duration_within_1s")))
+    basis = F.when(rule == "exact_start_with_corroboration", F.array_compact(exact)).otherwise(near)
     found = pairs.select("*", score.alias("score"), rule.alias("match_rule"), basis.alias("match_basis"), dt.alias("time_delta_seconds"), dd.alias("distance_delta_m"), du.alias("duration_delta_seconds")).where("score is not null")
+    ranked = matching.ranked(found, "garmin_activity_key", "fit_session_key")
     best = matching.mutual_best(found, "garmin_activity_key", "fit_session_key")
     links = best.select("garmin_activity_key", "fit_session_key", "match_rule", "match_basis", F.col("score").alias("match_score"), F.lit("linked").alias("match_status"), F.lit(False).alias("ambiguous"), F.lit("eligible").alias("eligibility_status"), F.lit(None).cast("string").alias("exclusion_reason"), "time_delta_seconds", "distance_delta_m", "duration_delta_seconds", "activity_source_path", "activity_source_sha256", "fit_source_path", "fit_source_sha256", F.col("activity_source_path").alias("source_path"), F.col("activity_source_sha256").alias("source_sha256"))
-    left = matching.residuals(a, "garmin_activity_key", F.col("activity_reason").isNull(), found, best)
-    right = matching.residuals(s, "fit_session_key", F.col("fit_reason").isNull(), found, best)
+    left = matching.residuals(a, "garmin_activity_key", F.col("activity_reason").isNull(), ranked, "left")
+    right = matching.residuals(s, "fit_session_key", F.col("fit_reason").isNull(), ranked, "right")
     return links, left, right
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pacelake.plans.queries import GENERATED, LINE_FIELDS, LINE_KEY, queries
+from pacelake.plans import checks, records
+from pacelake.plans.queries import FILES, GENERATED, LINE_FIELDS, LINE_KEY, SPORTS, queries
 from pacelake.sources.families import FAMILY_RULES, PRIVACY_PATTERNS
 
 _KEY, _FIELDS = ", ".join(LINE_KEY), ", ".join(LINE_FIELDS)
@@ -105,7 +106,7 @@ _SQL = {
     "orphan_semi_anti": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "band_join_click_view": f"WITH {_CAND} SELECT click_id, view_id, abs(c.us - b.us)::BIGINT AS delta_us FROM c JOIN b ON b.us BETWEEN c.us - 60000000 AND c.us + 60000000",
     "mutual_best_click_view": f"WITH {_CAND} SELECT click_id, view_id, score FROM links",
-    "match_residuals": f"""WITH {_CAND} SELECT CASE WHEN l.click_id IS NOT NULL THEN 'linked' WHEN c.v <= 1 THEN 'excluded' WHEN bc.n IS NULL THEN 'no_candidate' WHEN bc.n > 1 THEN 'ambiguous' ELSE 'one_to_one_conflict' END AS outcome, count(*)::BIGINT AS click_count
+    "match_residuals": f"""WITH {_CAND} SELECT CASE WHEN l.click_id IS NOT NULL THEN 'linked' WHEN c.v <= 1 THEN 'excluded' WHEN bc.n IS NULL THEN 'no_evidence_qualified_candidate' WHEN bc.n > 1 THEN 'ambiguous_candidate' ELSE 'one_to_one_conflict' END AS outcome, count(*)::BIGINT AS click_count
         FROM c LEFT JOIN links l USING (click_id) LEFT JOIN bc ON bc.click_id = c.click_id GROUP BY 1""",
     "relationship_coverage": f"WITH {_LINKS} SELECT count(*)::BIGINT AS eligible_count, count(*) FILTER (WHERE part_ok AND supp_ok)::BIGINT AS link_count, count(*) FILTER (WHERE NOT (part_ok AND supp_ok))::BIGINT AS unresolved_count, round(count(*) FILTER (WHERE part_ok AND supp_ok) / count(*), 6) AS coverage FROM s",
     "evidence_rules_orders": """WITH p AS (SELECT a.o_orderkey AS left_key, b.o_orderkey AS right_key, abs(date_diff('day', a.o_orderdate::DATE, b.o_orderdate::DATE)) AS dt, a.o_orderpriority = b.o_orderpriority AS sport, abs(a.o_totalprice - b.o_totalprice) AS dp
@@ -129,8 +130,10 @@ _SQL = {
     + ", ".join(f"CASE WHEN count(value) FILTER (WHERE event_type = '{t}') = 1 THEN max(value) FILTER (WHERE event_type = '{t}') END AS {t}_value" for t in ("click", "view", "purchase"))
     + " FROM events GROUP BY 1, 2",
     "identity_tokens": """SELECT c_custkey, t AS token, 'customer:' || t AS stable_key, 'customer_hash:' || substr(sha256('["' || c_name || '","' || c_mktsegment || '"]'), 1, 24) AS fallback_key FROM (SELECT *, nullif(c_custkey::VARCHAR, '0') AS t FROM customer)""",
-    "category_normalize": f"""SELECT p_partkey, CASE WHEN t = '10' THEN 'strength' WHEN t = '11' THEN 'walking' WHEN t = '17' THEN 'hiking' WHEN t LIKE '%run%' OR t LIKE '%street%' OR t LIKE '%trail%' THEN 'running' WHEN t LIKE '%strength%' THEN 'strength' WHEN t LIKE '%walk%' THEN 'walking' WHEN t LIKE '%hik%' THEN 'hiking' WHEN t = '' THEN NULL ELSE t END AS type_group,
-        {_family_case("n")} AS family FROM (SELECT *, lower(trim(p_type)) AS t, lower('x_' || p_brand || '.json') AS n FROM part)""",
+    "category_normalize": f"""SELECT p_partkey, CASE WHEN s = '10' THEN 'strength_training' WHEN s = '11' THEN 'walking' WHEN s = '17' THEN 'hiking' WHEN s LIKE '%run%' OR s IN ('street', 'trail') THEN 'running'
+            WHEN s LIKE '%strength%' OR s IN ('training', 'fitness_equipment') THEN 'strength_training' WHEN s LIKE '%walk%' THEN 'walking' WHEN s LIKE '%hik%' THEN 'hiking' WHEN s = '' THEN NULL ELSE s END AS type_group,
+        CASE WHEN p_partkey % 19 = 18 THEN 'fit' WHEN p_partkey % 23 = 22 THEN 'unclassified' ELSE {_family_case("n")} END AS family
+        FROM (SELECT p_partkey, replace(replace(lower(trim(list_extract({SPORTS!r}, (p_partkey % {len(SPORTS)} + 1)::INT))), '-', '_'), ' ', '_') AS s, lower(list_extract({FILES!r}, (p_partkey % {len(FILES)} + 1)::INT)) AS n FROM part)""",
     "calendar_labels": """SELECT event_id, strftime(u, '%Y-%m-%d') AS utc_day, strftime(l, '%Y-%m-%d') AS local_day, strftime(l, '%Y-%m-%dT%H:%M:%S') || CASE WHEN ms % 1000 <> 0 THEN '.' || lpad(((ms % 1000) * 1000)::VARCHAR, 6, '0') ELSE '' END || '+09:00' AS local_iso
         FROM (SELECT event_id, ms, make_timestamp(ms * 1000) AS u, make_timestamp(ms * 1000) + INTERVAL 9 HOUR AS l FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events))""",
     "monthly_training_trends": _periods("strftime(o_orderdate, '%Y-%m')"),
@@ -145,7 +148,7 @@ _SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    missing = set(queries()) - set(_SQL) - set(GENERATED)
+    missing = set(queries()) - set(_SQL) - set(records.SQL) - set(checks.SQL) - set(GENERATED)
     if missing:
         raise KeyError(f"no SQL for {sorted(missing)}")
-    return dict(_SQL)
+    return _SQL | records.SQL | checks.SQL

@@ -12,10 +12,6 @@ FAMILY_RULES = [
     ("personalrecord.json", "ends", "personal_records"),
     ("hillscore", "starts", "hill_score"),
     ("endurancescore", "starts", "endurance_score"),
-    ("userbiometrics.json", "ends", "lactate_threshold"),
-    ("biometrics_latest.json", "ends", "lactate_threshold"),
-    ("userbiometricprofiledata.json", "ends", "lactate_threshold"),
-    ("heartratezones.json", "ends", "lactate_threshold"),
     ("runracepredictions", "starts", "race_prediction"),
     ("sleepdata.json", "ends", "sleep"),
     ("udsfile", "starts", "uds"),
@@ -24,10 +20,13 @@ FAMILY_RULES = [
     ("activityvo2max", "starts", "vo2max"),
     ("metricsmaxmetdata", "starts", "vo2max"),
     ("traininghistory", "starts", "training_history"),
-    ("healthstatusdata.json", "ends", "health_status"),
+    ("userbiometrics.json", "ends", "lactate_threshold"),
+    ("biometrics_latest.json", "ends", "lactate_threshold"),
+    ("userbiometricprofiledata.json", "ends", "lactate_threshold"),
+    ("heartratezones.json", "ends", "lactate_threshold"),
 ]
 
-# Patterns that must not occur in what is published.
+#: Patterns of private data in free text, as RE2 and Java both read them.
 PRIVACY_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
@@ -37,19 +36,26 @@ PRIVACY_PATTERNS = {
 
 
 def classify(name: Column, kind: Column) -> Column:
-    """The source family of a logical file name; binary files are ``fit``."""
-    base = F.lower(F.regexp_extract(name, r"([^/!]*)$", 1))
+    """The source family of a logical file name; binary files are ``fit``, and only JSON files have others."""
+    base = F.lower(F.regexp_extract(name, r"([^/\\\\!]*)$", 1))
     out = F.lit("unclassified")
     for text, how, family in reversed(FAMILY_RULES):
         out = F.when(base.endswith(text) if how == "ends" else base.startswith(text), family).otherwise(out)
-    return F.when(kind == "fit", "fit").otherwise(out)
+    return F.when(kind == "json", out).when(kind == "fit", "fit").otherwise("unclassified")
+
+
+# Sports by the numbers of older binary files, and texts that mean another group.
+SPORT_CODES = {"10": "strength_training", "11": "walking", "17": "hiking"}
+SPORT_NAMES = {"running": ["street", "trail"], "strength_training": ["training", "fitness_equipment"]}
+SPORT_PARTS = [("run", "running"), ("strength", "strength_training"), ("walk", "walking"), ("hik", "hiking")]
 
 
 def sport_group(value: Column) -> Column:
-    """running, strength, walking, hiking or the normalized text itself."""
-    t = F.lower(F.trim(value.cast("string")))
-    return (
-        F.when(t == "10", "strength").when(t == "11", "walking").when(t == "17", "hiking")
-        .when(t.contains("run") | t.contains("street") | t.contains("trail"), "running").when(t.contains("strength"), "strength").when(t.contains("walk"), "walking").when(t.contains("hik"), "hiking")
-        .when(t == "", None).otherwise(t)
-    )
+    """The group of a sport, or its text with ``_`` for spaces and hyphens; null for an empty one."""
+    t = F.translate(F.lower(F.trim(value.cast("string"))), "- ", "__")
+    out = F.when(t == "", None).otherwise(t)
+    for part, group in reversed(SPORT_PARTS):
+        out = F.when(t.contains(part) | t.isin(SPORT_NAMES.get(group, [])), group).otherwise(out)
+    for code, group in SPORT_CODES.items():
+        out = F.when(t == code, group).otherwise(out)
+    return out
