@@ -3,7 +3,7 @@
 Documents and benchmark items are word sequences without case and punctuation.
 A document and an item are compared if they share a seed of ``min_match`` words.
 Tiles are the longest common runs that no earlier tile touches: all
-runs of at least s words are found by running Karp-Rabin hashes of s words, marked longest first,
+runs of at least s words are found by running Karp-Rabin hashes of s words, marked longest first (what a tile leaves of a longer run comes in its own turn),
 and s is then lowered, to ``min_match`` at last.  What counts is the share of the item's words
 that tiles cover, so a passage whose parts were put in another order is found as well.
 
@@ -13,6 +13,7 @@ executor, so documents are read once and never shuffled.  A larger one is joined
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -60,7 +61,8 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, i
         places = defaultdict(list)
         for p, h in zip(at_i.tolist(), h_i.tolist(), strict=True):
             places[h].append(p)
-        found = []
+        found: list[tuple[int, int, int]] = []
+        any_ = False
         ended: dict[int, int] = {}  # per diagonal, where the last run that was extended ends
         for q, h in zip(at_d[hit].tolist(), h_d[hit].tolist(), strict=True):
             for p in places[h]:
@@ -71,12 +73,20 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, i
                     n += 1
                 ended[q - p] = q + n
                 found.append((-n, p, q))
-        for n, p, q in sorted(found):
-            n = -n
-            if free_i[p : p + n].all() and free_d[q : q + n].all():
-                free_i[p : p + n] = free_d[q : q + n] = False
-                tiles.append((p, q, n))
-        if s == min_match and not found:
+        heapq.heapify(found)
+        while found:
+            n, p, q = heapq.heappop(found)
+            free = free_i[p : p - n] & free_d[q : q - n]
+            if free.all():
+                free_i[p : p - n] = free_d[q : q - n] = False
+                tiles.append((p, q, -n))
+                any_ = True
+            else:  # what earlier tiles have left of it comes in its own turn
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    if b - a >= s:
+                        heapq.heappush(found, (a - b, p + a, q + a))
+        if s == min_match and not any_:
             return tiles
         s = max(min_match, s // 2)
         if free_i.sum() < min_match:
