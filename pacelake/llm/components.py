@@ -60,8 +60,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nulls, self-loops and repeated edges are left out.  Without edges the result has no rows.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("node"), F.least(a, b).cast("long").alias("root")).where("node is not null and root is not null and node > root")
+    saved = None
     while True:
-        e = work.save(e.mapInArrow(_contract, "node long, root long").distinct())
+        old, e = saved, work.save(e.mapInArrow(_contract, "node long, root long").distinct())
+        saved = e
+        if old is not None:
+            work.drop(old)
         roots = e.groupBy("node").agg(F.min("root").alias("root"), F.count("*").alias("n"))
         chained = e.join(e.select(F.col("node").alias("root")).distinct(), "root", "left_semi")
         if roots.where("n > 1").isEmpty() and chained.isEmpty():

@@ -175,7 +175,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     may_link = f"a.root <> b.root and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {100 + percent} * ({bits}) <= {100 - percent} * (a.n + b.n)"
     linked = f"100 * overlap >= {percent} * (na + nb - overlap)"
     ends = [F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")]
-    tested = links = roots = None
+    tested = roots = None
     for turn in range(ROUNDS + 1):
         here = ranked.withColumn("root", F.col("doc")) if roots is None else ranked.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         members = here.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
@@ -198,8 +198,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         work.drop(here)
         tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
         fresh = seen.where(linked).select("a", "b")
-        links = fresh if links is None else links.union(fresh)
-        roots = components(links)
+        roots = components(fresh if roots is None else fresh.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if last:
             break
     if roots is None:
