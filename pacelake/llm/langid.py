@@ -88,7 +88,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, eac
     # equal ids have one rank, and the limit is applied before the shuffle
     rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = chosen.union(known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id")).distinct()
-    rows = known.join(F.broadcast(chosen), "doc_id").mapInArrow(_pack, "doc_id long, counts binary, lang string").toPandas()
+    rows = known.join(F.broadcast(chosen), "doc_id").mapInArrow(_pack, "doc_id long, counts binary, lang string")
+    # of repeated rows of a document one counts, so that no more than the sample goes to the driver
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "counts")).alias("row")).select("doc_id", "row.*").toPandas()
     rows = rows.sort_values(["doc_id", "lang", "counts"], kind="stable")
     counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(len(rows), SLOTS)
     weights = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)

@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
     stats = statistics(F.col("text"))
     names = list(stats)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("double").alias("quality"), *[c.alias(s) for s, c in stats.items()])
-    data = rows.toPandas().sort_values("doc_id", kind="stable")
+    # of repeated rows of a document one counts, so that no more than the sample goes to the driver
+    data = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *names)).alias("row")).select("doc_id", "row.*").toPandas().sort_values("doc_id", kind="stable")
     return fit(data[names].to_numpy(dtype=np.float64), data["quality"].to_numpy(dtype=np.float64), names)
 
 

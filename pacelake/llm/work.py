@@ -7,6 +7,7 @@ an executor, and gives the optimizer the true size of what it joins next.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,14 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names. Only a local session, as in tests, may do without; it gets a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pacelake.scratch", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pacelake-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        spark.conf.set("pacelake.scratch", where)
     return f"{where.rstrip('/')}/pacelake-{spark.sparkContext.applicationId}"
 
 
@@ -42,4 +45,4 @@ def drop(*tables: DataFrame) -> None:
         if path:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -434,3 +434,134 @@ def test_pipeline_keeps_clean_documents(spark, docs):
     rows = got.select("doc_id", "lossless").collect()
     ids = [r["doc_id"] for r in rows]
     assert all(r["lossless"] for r in rows) and len(set(ids)) == len(ids) and set(ids) <= {r["doc_id"] for r in docs.select("doc_id").collect()} and len(ids) > 0.6 * docs.count()
+
+
+# --- by other means: what the operators say, worked out plainly ----------------------
+
+
+def plain_statistics(text):
+    t = text or ""
+    n, spaces = max(len(t), 1), t.count(" ") + 1
+    out = {
+        "chars": len(t), "chars_per_word": n / spaces, "bytes_per_char": len(t.encode()) / n, "lines_per_word": len(t.split("\n")) / spaces, "distinct_lines": len(set(t.split("\n"))) / len(t.split("\n")),
+        "distinct_words": len(set(t.split(" "))) / spaces, "upper": (n - len(re.sub("[A-Z]", "", t))) / n, "digits": (n - len(re.sub("[0-9]", "", t))) / n,
+    }
+    marks = {"stops": ".", "commas": ",", "bangs": "!", "pipes": "|", "stars": "*", "hashes": "#", "dollars": "$", "percents": "%", "ats": "@", "slashes": "/"}
+    return out | {name: t.count(mark) / spaces for name, mark in marks.items()}
+
+
+def test_compiled_rules_against_plain_statistics(spark, docs):
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [*ODD, (9, "a\n\nb\n"), (10, "ALL CAPS 123!!! $5 @x #y 100% a/b | * ."), *[(100 + r["doc_id"], r["text"]) for r in docs.limit(60).collect()]]
+    table = spark.createDataFrame([(d, t, "x", 1.0) for d, t in rows], "doc_id long, text string, chars string, score double")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.quality_scores(table, model).collect()}
+    kept = {r["doc_id"] for r in quality.keep_good(table, model).collect()}
+    for d, t in rows:
+        x = plain_statistics(t)
+        total = model.bias + sum(rule.weight for rule in model.rules if all((x[s] > v) == above for s, above, v in rule.terms))
+        assert abs(got[d][0] - 1 / (1 + math.exp(-total))) < 1e-9 and got[d][1] == int(total >= 0)
+    assert kept == {d for d, (_, p) in got.items() if p}
+
+
+def tiled(item, doc, least):
+    """Greedy string tiling, by trying every pair of places for every tile."""
+    free_i, free_d, tiles = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for q in range(len(doc)):
+                n = 0
+                while p + n < len(item) and q + n < len(doc) and free_i[p + n] and free_d[q + n] and item[p + n] == doc[q + n]:
+                    n += 1
+                best = max(best, (n, -p, -q))
+        n, p, q = best[0], -best[1], -best[2]
+        if n < least:
+            return sorted(tiles)
+        free_i[p : p + n] = free_d[q : q + n] = [False] * n
+        tiles.append((p, q, n))
+
+
+def test_tiles_against_all_pairs():
+    dice = random.Random(21)
+    for _ in range(60):
+        words = dice.choice([3, 8, 30])
+        item = [dice.randrange(words) for _ in range(dice.choice([0, 3, 12, 25]))]
+        doc = [dice.randrange(words) for _ in range(dice.choice([0, 5, 40]))]
+        for _ in range(dice.randrange(4)):
+            a, n, q = dice.randrange(max(1, len(item))), dice.choice([3, 6, 12]), dice.randrange(len(doc) + 1)
+            doc[q:q] = item[a : a + n]
+        least = dice.choice([2, 3, 5])
+        assert sorted(tiling.tile(np.array(item, dtype=np.uint64), np.array(doc, dtype=np.uint64), least)) == tiled(item, doc, least)
+
+
+def test_contamination_of_odd_rows(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, passage), (1, passage), (2, None), (3, ""), (None, passage), (4, passage[:40])]
+    items = [(1, passage), (1, passage), (2, None), (3, ""), (None, passage)]
+    table = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, covered int, item_id string")
+    benchmark = spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, doc_id int")
+    for out in (tiling.contamination(table, benchmark), tiling.contamination(table, benchmark.where("false"))):
+        assert out.count() == len(rows)
+    got = sorted((r["doc_id"] or 0, r["item_ids"]) for r in tiling.contamination(table, benchmark).collect())
+    assert got == [(0, ""), (1, "1"), (1, "1"), (2, ""), (3, ""), (4, "")]
+
+
+def test_nearest_centroid_against_plain_cosines(spark):
+    dice = random.Random(3)
+    text = lambda letters, n=30: " ".join("".join(dice.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcdefg"), "one") for i in range(80)] + [(100 + i, text("qrstuvw"), "two") for i in range(80)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [(1, text("abcdefg")), (2, text("qrstuvw")), (3, text("abcqrs")), (4, "漢字かな交じり文 " * 9), (5, "123 ..."), (6, None), (7, text("abcdefg", 3000)), (7, "dup row")]
+    got = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 4), r["rejected"]) for r in langid.languages(spark.createDataFrame([(d, t, "x", 0.5) for d, t in tests], "doc_id long, text string, lang string, score double"), model).collect())
+    want = []
+    for d, t in tests:
+        x = bytes(b + 32 if 65 <= b < 91 else (32 if b < 128 and not chr(b).isalpha() else b) for b in (t or "").encode())
+        counts = Counter()
+        for k in range(3):
+            for i in range(len(x) - k):
+                code = int.from_bytes(x[i : i + k + 1], "big")
+                counts[((code + (k << 24)) * 2654435761 % (1 << 32)) >> 20] += 1
+        v = np.zeros(langid.SLOTS)
+        for slot, n in counts.items():
+            v[slot] = math.log1p(n) * model.weights[slot]
+        cosines = model.vectors @ (v / max(np.linalg.norm(v), 1e-9))
+        best = int(np.argmax(cosines))
+        letter = any(c.isalpha() for c in t or "")
+        want.append((d, model.languages[best] if letter else "und", round(float(np.clip(cosines[best], 0, 1)), 4) if letter else 0.0, bool(cosines[best] < model.least[best]) or not letter))
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 2e-4 and g[3] == w[3]
+    assert {d: far for d, _, _, far in got}[4] and not {d: far for d, _, _, far in got}[1]
+
+
+def test_url_verdicts_of_odd_tables(spark):
+    model = urls.train(urls.labelled_urls(spark))
+    rows = [(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://b.org/es/1"), (2, ""), (3, "http://" + "a" * 5000 + ".com/" + "b" * 5000)]
+    table = spark.createDataFrame([(p, u, "h", 1.0, "g") for p, u in rows], "page_id long, url string, host string, score double, grams string")
+    got = urls.url_verdicts(table, URL_RULES, model).collect()
+    assert len(got) == 5 and {r["verdict"] for r in got} <= {"allow", "block"} and len({(r["score"], r["verdict"]) for r in got if r["page_id"] == 1}) == 1
+    assert [r["rule"] for r in got if r["page_id"] is None] == ["org/es/"]
+    assert urls.url_verdicts(table.where("false"), URL_RULES, model).collect() == []
+
+
+def test_url_scores_against_plain_regression(spark):
+    model = urls.train(urls.labelled_urls(spark))
+    texts = ["https://www.botany.site.com/about", "http://jackpot.site.net/claim-prize", "x://Ab.c/", "nothing"]
+    got = urls.url_verdicts(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string"), [], model).orderBy("page_id").collect()
+    from pyspark.ml.feature import HashingTF
+
+    slot = HashingTF(numFeatures=urls.SLOTS).indexOf
+    for t, r in zip(texts, got, strict=True):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", t)
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        found = {slot(mark + s[i : i + n]) for n in urls.GRAMS for s, mark in ((f"^{host}$", "h"), (f"^{path}$", "p")) for i in range(max(len(s) - n + 1, 1))}
+        score = 1 / (1 + math.exp(-(model.intercept + sum(model.coefficients[i] for i in found))))
+        assert abs(score - r["score"]) < 1e-5 and r["verdict"] == ("block" if score >= 0.5 else "allow")
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """The figure that the README states: a host is judged by what its n-grams share with others, which is little for short words."""
+    table = urls.labelled_urls(spark).withColumn("h", urls.F.crc32(urls.F.regexp_extract("url", r"([^./]*)\.site", 1)) % 4)
+    rows = urls.url_verdicts(table.where("h = 0").withColumnRenamed("label", "page_id"), [], urls.train(table.where("h <> 0"))).collect()
+    right = np.mean([(r["verdict"] == "block") == (r["page_id"] == 1.0) for r in rows])
+    print(f"hosts not seen: {right:.3f} of {len(rows)}")
+    assert right > 0.5
