@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacelake.plans import datasets, health
+from pacelake.plans import datasets, health, variability
 
 _DAYS = "dd AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, count(*)::BIGINT AS n, min(o_orderkey) AS k FROM orders GROUP BY 1)"
 #: Milliseconds of a time of day in 2024, to which a row's number of seconds is added.
@@ -234,6 +234,31 @@ def lactate_malformed(spark, d):
     return health.malformed_thresholds(_thresholds(spark, d)).groupBy("observation_family", "field").agg(F.count("*").alias("row_count"))
 
 
+def _candidates(spark, d) -> DataFrame:
+    o = _table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    return variability.daily_candidates(o.select(F.when(key % 50 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.when(key % 5 != 0, (F.col("o_custkey") % 2 + 40).cast("double")).alias("value"), (key % 3 == 0).alias("invalid"), (key % 2).alias("file")))
+
+
+def _references(spark, d) -> DataFrame:
+    o = _table(spark, d, "orders").where("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), (F.col("o_custkey") % 2 + 40).alias("n"))
+    one = lambda v: F.concat(F.lit('{"type":"HRV","value":'), v.cast("string"), F.lit("}"))
+    metrics = F.concat(F.lit("["), F.concat_ws(",", F.when(F.col("k") % 7 != 0, one(F.col("n") + 9)), F.lit('{"type":"HR","value":1}'), F.when((F.col("k") % 7 != 0) & (F.col("k") % 4 == 0), one(F.col("n"))), F.when(F.col("k") % 35 == 1, F.lit('{"type":"hrv","value":"-"}'))), F.lit("]"))
+    return variability.references(_records(o, "health_status", {"calendarDate": every(30, F.lit("null"), q(F.col("d"))), "metrics": metrics}, parent=F.lit("x")))
+
+
+def hrv_candidates(spark, d):
+    return _candidates(spark, d)
+
+
+def hrv_references(spark, d):
+    return _references(spark, d)
+
+
+def hrv_consistency(spark, d):
+    return variability.consistency(_candidates(spark, d), _references(spark, d))
+
+
 _BAD = "k % 29 <> 0"
 _JST = "strftime(u + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00'"
 
@@ -264,7 +289,22 @@ _HEALTH = """
     sel AS (SELECT *, CASE WHEN calendar_date IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY calendar_date) END AS dup, CASE WHEN calendar_date IS NULL THEN 'missing_date_hold' WHEN row_number() OVER (PARTITION BY calendar_date ORDER BY k % 2, key DESC) = 1 THEN 'selected_for_daily' ELSE 'superseded_for_daily' END AS choice
             FROM o)"""
 
+_HRV = """
+    r AS (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 5 <> 0 THEN (o_custkey % 2 + 40)::DOUBLE END AS value, o_orderkey % 3 = 0 AS invalid, o_orderkey % 2 AS file FROM orders),
+    g AS (SELECT date, min(value) FILTER (WHERE NOT invalid) AS lo, max(value) FILTER (WHERE NOT invalid) AS hi, count(*)::BIGINT AS n, count(DISTINCT file)::BIGINT AS files, count(*) FILTER (WHERE invalid)::BIGINT AS bad FROM r WHERE date IS NOT NULL GROUP BY date),
+    cand AS (SELECT date, CASE WHEN lo = hi THEN lo END AS value, n AS record_count_for_date, files AS source_file_count_for_date, bad AS invalid_raw_value_count_for_date, CASE WHEN lo IS NOT NULL THEN 'needs_inspection' WHEN bad > 0 THEN 'invalid_raw_value' ELSE 'raw_required_hold' END AS confidence_status,
+                CASE WHEN lo <> hi THEN 'same_date_different_valid_values_not_averaged' WHEN lo IS NOT NULL AND bad > 0 THEN 'same_date_valid_value_after_invalid_excluded' WHEN lo IS NOT NULL THEN 'same_date_same_value_deduped' WHEN bad > 0 THEN 'only_invalid_raw_values_excluded' ELSE 'no_valid_value_for_date' END AS dedupe_method FROM g
+             UNION ALL SELECT NULL, value, 1, 1, invalid::BIGINT, 'raw_required_hold', 'missing_date_raw_required_hold' FROM r WHERE date IS NULL),
+    h0 AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 30 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, (o_custkey % 2 + 40)::DOUBLE AS n FROM orders WHERE o_orderkey % 6 = 0),
+    h AS (SELECT k, date, k % 7 <> 0 OR k % 35 = 1 AS present, CASE WHEN k % 35 = 1 THEN NULL WHEN k % 7 = 0 THEN NULL WHEN k % 4 = 0 THEN n ELSE n + 9 END AS value, date IS NOT NULL AND count(*) OVER (PARTITION BY date) > 1 AS several FROM h0),
+    refs AS (SELECT date, value, CASE WHEN date IS NULL THEN 'health_status_hrv_missing_calendar_date' WHEN several THEN 'health_status_hrv_duplicate_calendar_date' WHEN NOT present THEN 'health_status_hrv_metric_not_present' WHEN value IS NULL THEN 'health_status_hrv_value_invalid_or_missing' ELSE 'health_status_hrv_reference_available' END AS code, k FROM h)"""
+
 SQL = {
+    "hrv_candidates": f"WITH {_HRV} SELECT * FROM cand",
+    "hrv_references": f"""WITH {_HRV} SELECT date, value, CASE code WHEN 'health_status_hrv_reference_available' THEN 'reference_available' WHEN 'health_status_hrv_metric_not_present' THEN 'reference_missing' ELSE 'needs_review' END AS reference_status, code AS reference_reason_code, k AS record_index FROM refs""",
+    "hrv_consistency": f"""WITH {_HRV}, a AS (SELECT date, value AS x FROM cand WHERE date IS NOT NULL), b AS (SELECT date, count(*) AS n, CASE WHEN count(*) = 1 THEN max(value) END AS y FROM refs WHERE date IS NOT NULL GROUP BY date)
+        SELECT coalesce(a.date, b.date) AS date, x AS fit_hrv_value, y AS health_status_hrv_value, CASE WHEN n > 1 THEN 'needs_review_duplicate_health_status_date' WHEN a.date IS NULL THEN 'health_status_only' WHEN n IS NULL THEN 'fit_only' WHEN x IS NULL OR y IS NULL THEN 'needs_review_missing_value'
+            WHEN abs(x - y) <= 1e-9 THEN 'same_date_value_match' ELSE 'same_date_value_difference' END AS consistency_status FROM a FULL JOIN b ON a.date = b.date""",
     "dataset_hill_score": f"WITH {_DAYS} SELECT d AS calendar_date, n AS overall_score, k % 100 AS strength_score, CASE WHEN k % 2 = 1 THEN n ELSE -1 END AS endurance_score, (-1)::BIGINT AS classification_id, (-1)::BIGINT AS feedback_phrase_id FROM dd WHERE {_BAD} AND k % 13 <> 0",
     "dataset_endurance_score": f"WITH {_DAYS} SELECT d AS calendar_date, n + 0.5::DOUBLE AS overall_score, n::DOUBLE AS classification, (-1)::DOUBLE AS feedback_phrase FROM dd WHERE {_BAD} AND k % 13 <> 0",
     "dataset_race_prediction": f"WITH {_DAYS} SELECT d AS calendar_date, d || 'T01:00:00.0' AS observation_timestamp, (k % 1000)::DOUBLE AS race_time_5k_sec, 3100::DOUBLE AS race_time_10k_sec, 7000::DOUBLE AS race_time_half_sec, (15000 + n)::DOUBLE AS race_time_marathon_sec FROM dd WHERE {_BAD} AND k % 17 <> 0 AND k % 1000 > 0",

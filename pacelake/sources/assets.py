@@ -96,7 +96,8 @@ def assets_of(files: DataFrame, limits: Limits | None = None) -> DataFrame:
     bounds = limits or Limits()
     rows = files.withColumn("suffix", F.lower(F.regexp_extract("source_path", r"\.([A-Za-z]+)$", 1)))
     rows = rows.where(~F.regexp_extract("source_path", r"([^/]*)$", 1).rlike(r"^(\._|\.DS_Store)")).where(F.col("suffix").isin("json", "fit", "zip"))
-    plain = rows.where("suffix <> 'zip'").select(F.col("suffix").alias("kind"), "source_path", F.lit(None).cast("string").alias("member_path"), F.col("source_path").alias("provenance_path"), "size_bytes", F.sha2("data", 256).alias("sha256"), "data")
+    size = F.when(F.col("size_bytes") <= bounds.member_bytes, F.col("size_bytes")).otherwise(F.raise_error(F.concat(F.lit("file_too_large: "), "source_path")).cast("long"))
+    plain = rows.where("suffix <> 'zip'").withColumn("size_bytes", size).select(F.col("suffix").alias("kind"), "source_path", F.lit(None).cast("string").alias("member_path"), F.col("source_path").alias("provenance_path"), "size_bytes", F.sha2("data", 256).alias("sha256"), "data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,7 +111,9 @@ def assets_of(files: DataFrame, limits: Limits | None = None) -> DataFrame:
 
 
 def read_assets(spark: SparkSession, root: str, limits: Limits | None = None) -> DataFrame:
-    """The assets of all files below ``root``."""
+    """The assets of all files below ``root``. A folder of the driver's own file system must exist and hold no symbolic link."""
+    if root.startswith("file:") or "://" not in root:
+        check_local_root(re.sub("^file:(//)?", "", root))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     relative = F.regexp_replace(F.url_decode("path"), "^.*?" + re.escape(base) + "/", "")

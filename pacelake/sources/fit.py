@@ -197,7 +197,9 @@ def sport_names(sport: float | None, sub: float | None) -> tuple[str | None, str
 
 def decoded(assets: DataFrame) -> DataFrame:
     """A row for each distinct binary file: the first of its paths, status, counts and nested sessions with laps."""
-    once = assets.where("kind = 'fit'").groupBy("sha256").agg(F.min("provenance_path").alias("source_path"), F.count("*").alias("alias_count"), F.first("data").alias("data"))
+    files = assets.where("kind = 'fit'")
+    first = files.groupBy("sha256").agg(F.min("provenance_path").alias("source_path"), F.count("*").alias("alias_count"))  # contents stay where they are
+    once = files.select("sha256", F.col("provenance_path").alias("source_path"), "data").join(first, ["sha256", "source_path"])
 
     def number(x: object) -> float | None:
         return float(x) if isinstance(x, int | float) else None
