@@ -40,7 +40,7 @@ from pacelake.llm.components import components
 #: Fragments in which overlaps are counted.
 PARTS = 8
 #: Turns in which each document is compared with one pivot, at most, and the comparisons a row for which no more such turns are made.
-ROUNDS, FEW = 3, 16
+ROUNDS, FEW = 3, 256
 SKETCH = ["s0", "s1", "s2", "s3"]
 
 
@@ -176,10 +176,14 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     linked = f"100 * overlap >= {percent} * (na + nb - overlap)"
     ends = [F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")]
     tested = roots = None
+    entries_of = ranked.columns
+    before = ranked  # entries of buckets that aren't connected yet
     for turn in range(ROUNDS + 1):
-        here = ranked.withColumn("root", F.col("doc")) if roots is None else ranked.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        here = before.withColumn("root", F.col("doc")) if roots is None else before.select(entries_of).join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         members = here.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
         here = work.save(here.join(members.where("roots > 1").select("key", "size", F.col("main.root").alias("main")), "key"))
+        work.drop(before)
+        before = here
         rows, apart = here.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("main"), F.col("size")))).first()
         if not rows:
             break
@@ -195,7 +199,6 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             found = here.where("root <> main").select("key", *columns).alias("a").join(here.select("key", *columns).alias("b"), "key").where(may_link).select(*ends).distinct().join(tested, ["a", "b"], "left_anti")
             last = True
         seen = work.save(overlaps(found, segs))
-        work.drop(here)
         tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
         fresh = seen.where(linked).select("a", "b")
         roots = components(fresh if roots is None else fresh.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -203,7 +206,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             break
     if roots is None:
         roots = components(sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"))
-    work.drop(ranked, segs)
+    work.drop(before, segs)
 
     own = sets.drop("lead", "rest").join(classes, ["n", "d1", "d2"], "left")
     return own.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select(
