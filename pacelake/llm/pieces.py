@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pacelake.llm import textblocks as tb
 
 #: Bytes of text that are encoded together; longer texts are encoded in parts of whole words.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: The mark that stands for a space within pieces.
 SPACE_MARK = "▁"
 
@@ -110,11 +110,11 @@ def lattice(buf: np.ndarray, first: np.ndarray, last: np.ndarray, v: Vocabulary)
         hit = hashes[k] == h
         live, k = live[hit], ids[k[hit]]
         whole = k >= 0
-        edges.append((live[whole], live[whole] + size, k[whole]))
+        edges.append(tuple(x.astype(np.int32) for x in (live[whole], live[whole] + size, k[whole])))
         own[live[whole][width[live[whole]] == size]] = True
     head = np.maximum.accumulate(np.where(lead, at, 0))  # the character of each byte
     loose = np.flatnonzero(~own[head])
-    edges.append((loose, loose + 1, v.bytes_[buf[loose]]))
+    edges.append(tuple(x.astype(np.int32) for x in (loose, loose + 1, v.bytes_[buf[loose]])))
     return tuple(np.concatenate(x) for x in zip(*edges, strict=True))  # type: ignore[return-value]
 
 
@@ -124,11 +124,11 @@ def filtered(buf: np.ndarray, first: np.ndarray, last: np.ndarray, v: Vocabulary
     The node before byte i of word w is i + w, so that words share none.
     """
     start, end, piece = lattice(buf, first, last, v)
-    word = np.repeat(np.arange(len(first), dtype=np.int64), last - first)
+    word = np.repeat(np.arange(len(first), dtype=np.int32), last - first)
     source, node = start + word[start], end + word[start]
     depth, size = end - first[word[start]], end - start
     # two keys, as depth and node of long words don't fit into one of 64 bits; no two edges are equal
-    step = np.lexsort((node * (len(v.starts) + 1) - size, depth))
+    step = np.lexsort((node * np.int64(len(v.starts) + 1) - size, depth))
     depth, node, source, piece = depth[step], node[step], source[step], piece[step]
     del start, end, word, size, step
     weight = v.log_weight[piece]
