@@ -64,6 +64,64 @@ def merge_maps(observations: DataFrame, keys: list[str], record: str, order: lis
     return each.select(*keys, "field", F.coalesce("known", "last").alias("value"), "observation_count", held.alias("held"))
 
 
+def signature(record: str):
+    """A fingerprint of a record, whatever the order of its fields."""
+    return F.sha2(F.to_json(F.array_sort(F.map_entries(record))), 256)
+
+
+def merge_dataset(observations: DataFrame, snapshots: int, daily: bool = False, preserve: bool = False) -> dict[str, DataFrame]:
+    """The merge of a dataset's observations over snapshots, as tables by name.
+
+    ``observations`` have ``canonical_key, snapshot_id, logical_order, export_observed_at, source_relative_path,
+    source_record_index`` and ``record``, a map of field to canonical JSON.
+
+    * ``conflicts``: keys that emit nothing: different records within a snapshot, or of several snapshots at one time; of ``daily`` datasets different ones at all.
+    * ``variants``: of ``daily`` datasets that ``preserve`` them, all different records of a key instead.
+    * ``canonical``: for all other keys the presence pattern, counts and ``raw_record``: of each field the last explicit value, or the last null or empty if there is none.
+    * ``field_provenance``: where each of these values is from.
+    * ``holds``: rows without a key, and nulls and empties, with whether they came after a value.
+    * ``summary``: one row of counters.
+    """
+    at = F.struct("logical_order", "snapshot_id", "source_relative_path", "source_record_index")
+    rows = observations.withColumn("signature", signature("record")).withColumn("at", at)
+    nameless = F.coalesce(F.col("canonical_key"), F.lit("")) == ""
+    keyed = rows.where(~nameless)
+    per_key = Window.partitionBy("canonical_key")
+    marks = keyed.select("canonical_key", "logical_order", "export_observed_at", "signature", "snapshot_id")
+
+    def differing(by: str, more, kind: str) -> DataFrame:
+        each = marks.groupBy("canonical_key", by).agg(F.min("signature").alias("lo"), F.max("signature").alias("hi"), F.min("snapshot_id").alias("a"), F.max("snapshot_id").alias("b"))
+        return each.where("lo <> hi").where(more).select("canonical_key", F.lit(kind).alias("conflict_type"), F.col(by).cast("string").alias("found_at"))
+
+    stops = differing("logical_order", "true", "divergent_duplicate_within_snapshot").union(differing("export_observed_at", "a <> b", "same_observation_time_different_value"))
+    sound = keyed.join(stops.select("canonical_key").distinct(), "canonical_key", "left_anti")
+    sound = sound.withColumn("several", F.min("signature").over(per_key) != F.max("signature").over(per_key))
+    apart = sound.where("several") if daily else sound.where("false")
+    variants = apart.groupBy("canonical_key", "signature").agg(F.count("*").alias("observation_count"), F.array_join(F.array_sort(F.collect_set("logical_order")).cast("array<string>"), ",").alias("snapshot_orders"), F.min_by("record", "at").alias("observed_value"))
+    if daily and not preserve:
+        stops = stops.union(apart.select("canonical_key", F.lit("same_stable_key_different_public_value"), F.lit(None).cast("string")).distinct())
+    merged = sound.where("not several") if daily else sound
+
+    fields = merged.select("canonical_key", "at", "snapshot_id", F.explode("record").alias("field_name", "value")).withColumn("parser_state", state("value"))
+    in_order = Window.partitionBy("canonical_key", "field_name").orderBy("at")
+    earlier = F.max((F.col("parser_state") == "explicit_value").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    fields = fields.withColumn("preserved", (F.col("parser_state") != "explicit_value") & (F.coalesce(earlier, F.lit(0)) == 1))
+    kept = fields.where("not preserved").withColumn("changed", F.coalesce(F.lag("value").over(in_order) != F.col("value"), F.lit(False)))
+    last = kept.groupBy("canonical_key", "field_name").agg(F.max_by(F.struct("value", "snapshot_id", "at"), "at").alias("last"), F.sum(F.col("changed").cast("long")).alias("updates"))
+    record = last.groupBy("canonical_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "last.value")))).alias("raw_record"), F.sum("updates").alias("updated_field_count"))
+    presence = merged.groupBy("canonical_key").agg(F.collect_set("logical_order").alias("orders"), F.count("*").cast("long").alias("source_observation_count"), (F.min("signature") != F.max("signature")).alias("changed"))
+    presence = coverage.flags(presence.withColumn("presence_pattern", coverage.pattern("orders", snapshots)).withColumn("source_snapshot_count", F.size("orders").cast("long")).drop("orders"))
+    canonical = presence.join(record, "canonical_key", "left")
+    quiet = fields.where("parser_state <> 'explicit_value'").select("canonical_key", "field_name", "snapshot_id", F.concat("parser_state", F.when(F.col("preserved"), "_preserved_previous").otherwise("_review_required")).alias("hold_type"), "at.source_record_index")
+    holds = rows.where(nameless).select(F.lit(None).cast("string").alias("canonical_key"), F.lit(None).cast("string").alias("field_name"), "snapshot_id", F.lit("null_stable_key").alias("hold_type"), "source_record_index").union(quiet)
+    counts = {"canonical_count": F.lit(True), "changed_count": F.col("changed"), "new_count": F.col("is_new"), "previous_only_count": F.col("is_previous_only"), "reappeared_count": F.col("is_reappeared")}
+    summary = canonical.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long").alias(name) for name, c in counts.items()], F.coalesce(F.sum("updated_field_count"), F.lit(0)).cast("long").alias("updated_field_count"), F.coalesce(F.sum("source_observation_count"), F.lit(0)).cast("long").alias("observation_count"))
+    return {
+        "canonical": canonical.select("canonical_key", "raw_record", "presence_pattern", "source_snapshot_count", "source_observation_count"), "conflicts": stops, "variants": variants, "holds": holds,
+        "field_provenance": last.select("canonical_key", "field_name", "last.snapshot_id", "last.at.logical_order", "last.at.source_relative_path", "last.at.source_record_index"), "summary": summary,
+    }
+
+
 def field_states(observations: DataFrame, fields: list[str], record: str) -> DataFrame:
     """``field, state, observation_count``: in how many observations each field is absent, null, empty or has a value."""
     each = observations.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(record)[f].alias("value")) for f in fields])).alias("e")).select("e.*")

@@ -107,6 +107,44 @@ def merge_record_fields(spark, d):
     return snapshot.merge_maps(_snapshots(spark, d), ["o_custkey"], "record", ["snap"])
 
 
+def _observations(spark, d) -> DataFrame:
+    """Such records as observations of a dataset, some of them twice, some without a key, some different within a snapshot or at one time."""
+    s = _snapshots(spark, d).withColumn("i", F.explode(F.when((F.col("o_custkey") % 5 == 0) | (F.col("o_custkey") % 17 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    odd = (F.col("o_custkey") % 17 == 0) & (F.col("i") == 1)
+    record = F.when(odd, F.map_concat("record", F.create_map(F.lit("more"), F.lit("1")))).otherwise(F.col("record"))
+    key = identity.canonical_key("uds", [F.when(F.col("o_custkey") % 31 != 0, F.col("o_custkey"))])
+    return s.select(key.alias("canonical_key"), F.concat(F.lit("s"), "snap").alias("snapshot_id"), F.col("snap").alias("logical_order"), F.when(F.col("o_custkey") % 13 == 0, "t").otherwise(F.concat(F.lit("t"), "snap")).alias("export_observed_at"), F.lit("DI/uds.json").alias("source_relative_path"), F.col("i").alias("source_record_index"), record.alias("record"))
+
+
+def merge_canonical(spark, d):
+    out = snapshot.merge_dataset(_observations(spark, d), 3)["canonical"]
+    return out.select("canonical_key", "presence_pattern", "source_snapshot_count", "source_observation_count", *[F.col("raw_record")[f].alias(f) for f in ("name", "memo", "load")])
+
+
+def merge_conflicts(spark, d):
+    return snapshot.merge_dataset(_observations(spark, d), 3)["conflicts"]
+
+
+def merge_daily_conflicts(spark, d):
+    return snapshot.merge_dataset(_observations(spark, d), 3, daily=True)["conflicts"].groupBy("conflict_type").agg(F.count("*").alias("key_count"))
+
+
+def merge_variants(spark, d):
+    return snapshot.merge_dataset(_observations(spark, d), 3, daily=True, preserve=True)["variants"].select("canonical_key", "observation_count", "snapshot_orders", F.col("observed_value")["name"].alias("name"))
+
+
+def merge_holds(spark, d):
+    return snapshot.merge_dataset(_observations(spark, d), 3)["holds"].groupBy("hold_type", "field_name", "snapshot_id").agg(F.count("*").alias("hold_count"))
+
+
+def merge_field_provenance(spark, d):
+    return snapshot.merge_dataset(_observations(spark, d), 3)["field_provenance"].select("canonical_key", "field_name", "snapshot_id", "source_record_index")
+
+
+def merge_summary(spark, d):
+    return snapshot.merge_dataset(_observations(spark, d), 3)["summary"]
+
+
 def record_field_states(spark, d):
     return snapshot.field_states(_snapshots(spark, d), ["name", "memo", "load"], "record")
 
@@ -135,7 +173,34 @@ _SNAP = """
     f AS (SELECT o_custkey, snap, 'name' AS field, '"' || (k % 5) || '"' AS value FROM s UNION ALL SELECT o_custkey, snap, 'memo', CASE k % 3 WHEN 0 THEN '""' WHEN 1 THEN 'null' END FROM s UNION ALL SELECT o_custkey, snap, 'load', CASE WHEN k % 4 = 0 THEN 'null' ELSE (k % 7)::VARCHAR END FROM s),
     g AS (SELECT *, CASE WHEN value IS NULL THEN 'field_absent' WHEN value = 'null' THEN 'explicit_null' WHEN value = '""' THEN 'explicit_empty' ELSE 'explicit_value' END AS state FROM f)"""
 
+_MERGE = (
+    _SNAP
+    + """,
+    n0 AS (SELECT *, unnest(CASE WHEN o_custkey % 5 = 0 OR o_custkey % 17 = 0 THEN [0, 1] ELSE [0] END) AS i FROM s),
+    n AS (SELECT o_custkey AS c, CASE WHEN o_custkey % 31 <> 0 THEN 'uds:' || sha256('["' || o_custkey || '"]') END AS key, snap, i, CASE WHEN o_custkey % 13 = 0 THEN 't' ELSE 't' || snap END AS seen, '"' || (k % 5) || '"' AS name, CASE k % 3 WHEN 0 THEN '""' WHEN 1 THEN 'null' END AS memo,
+          CASE WHEN k % 4 = 0 THEN 'null' ELSE (k % 7)::VARCHAR END AS load, CASE WHEN o_custkey % 17 = 0 AND i = 1 THEN '1' END AS more FROM n0),
+    sg AS (SELECT *, concat_ws('|', name, coalesce(memo, '-'), load, coalesce(more, '-')) AS sig FROM n WHERE key IS NOT NULL),
+    stops AS (SELECT key, 'divergent_duplicate_within_snapshot' AS conflict_type, snap::VARCHAR AS found_at FROM sg GROUP BY key, snap HAVING count(DISTINCT sig) > 1 UNION ALL SELECT key, 'same_observation_time_different_value', seen FROM sg GROUP BY key, seen HAVING count(DISTINCT sig) > 1 AND count(DISTINCT snap) > 1),
+    ok AS (SELECT *, count(DISTINCT sig) OVER (PARTITION BY key) > 1 AS several FROM sg WHERE key NOT IN (SELECT key FROM stops)),
+    fl AS (SELECT key, snap, i, 'name' AS field_name, name AS value FROM ok UNION ALL SELECT key, snap, i, 'memo', memo FROM ok WHERE memo IS NOT NULL UNION ALL SELECT key, snap, i, 'load', load FROM ok UNION ALL SELECT key, snap, i, 'more', more FROM ok WHERE more IS NOT NULL),
+    fs AS (SELECT *, CASE WHEN value = 'null' THEN 'explicit_null' WHEN value = '""' THEN 'explicit_empty' ELSE 'explicit_value' END AS state FROM fl),
+    fp AS (SELECT *, state <> 'explicit_value' AND coalesce(bool_or(state = 'explicit_value') OVER (PARTITION BY key, field_name ORDER BY snap, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS preserved FROM fs),
+    kept AS (SELECT *, coalesce(lag(value) OVER (PARTITION BY key, field_name ORDER BY snap, i) <> value, false) AS changed FROM fp WHERE NOT preserved),
+    lst AS (SELECT key, field_name, arg_max(value, snap * 2 + i) AS value, arg_max(snap, snap * 2 + i) AS snap, arg_max(i, snap * 2 + i) AS i, sum(changed::INT) AS updates FROM kept GROUP BY ALL),
+    pr AS (SELECT key, string_agg(CASE WHEN has THEN '1' ELSE '0' END, '' ORDER BY x) AS pat, count(*) FILTER (WHERE has) AS snaps FROM (SELECT key, x, bool_or(snap = x) AS has FROM ok, range(1, 4) t(x) GROUP BY ALL) GROUP BY key),
+    ct AS (SELECT key, count(*) AS obs, bool_or(several) AS changed FROM ok GROUP BY key)"""
+)
+
 SQL = {
+    "merge_canonical": f"""WITH {_MERGE} SELECT key AS canonical_key, pat AS presence_pattern, snaps::BIGINT AS source_snapshot_count, obs::BIGINT AS source_observation_count, a.value AS name, b.value AS memo, c.value AS load
+        FROM pr JOIN ct USING (key) LEFT JOIN (SELECT * FROM lst WHERE field_name = 'name') a USING (key) LEFT JOIN (SELECT * FROM lst WHERE field_name = 'memo') b USING (key) LEFT JOIN (SELECT * FROM lst WHERE field_name = 'load') c USING (key)""",
+    "merge_conflicts": f"WITH {_MERGE} SELECT key AS canonical_key, conflict_type, found_at FROM stops",
+    "merge_daily_conflicts": f"""WITH {_MERGE} SELECT conflict_type, count(*)::BIGINT AS key_count FROM (SELECT key, conflict_type FROM stops UNION ALL SELECT DISTINCT key, 'same_stable_key_different_public_value' FROM ok WHERE several) GROUP BY 1""",
+    "merge_variants": f"WITH {_MERGE} SELECT key AS canonical_key, count(*)::BIGINT AS observation_count, string_agg(DISTINCT snap::VARCHAR, ',' ORDER BY snap::VARCHAR) AS snapshot_orders, min(name) AS name FROM ok WHERE several GROUP BY key, sig",
+    "merge_holds": f"""WITH {_MERGE} SELECT hold_type, field_name, 's' || snap AS snapshot_id, count(*)::BIGINT AS hold_count FROM (SELECT 'null_stable_key' AS hold_type, NULL AS field_name, snap FROM n WHERE key IS NULL UNION ALL SELECT state || CASE WHEN preserved THEN '_preserved_previous' ELSE '_review_required' END, field_name, snap FROM fp WHERE state <> 'explicit_value') GROUP BY ALL""",
+    "merge_field_provenance": f"WITH {_MERGE} SELECT key AS canonical_key, field_name, 's' || snap AS snapshot_id, i AS source_record_index FROM lst",
+    "merge_summary": f"""WITH {_MERGE} SELECT count(*)::BIGINT AS canonical_count, count(*) FILTER (WHERE changed)::BIGINT AS changed_count, count(*) FILTER (WHERE regexp_matches(pat, '^0*1$'))::BIGINT AS new_count, count(*) FILTER (WHERE pat LIKE '%0')::BIGINT AS previous_only_count, count(*) FILTER (WHERE regexp_matches(pat, '10+1'))::BIGINT AS reappeared_count,
+        (SELECT sum(updates) FROM lst)::BIGINT AS updated_field_count, sum(obs)::BIGINT AS observation_count FROM pr JOIN ct USING (key)""",
     "unique_key_set": "SELECT o_orderkey FROM orders",
     "provenance_outside": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
     "digest_binding": "SELECT l_suppkey, s_name, count(*)::BIGINT AS row_count FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pacelake.functions import coerce, times
 from pacelake.operators import quality
 from pacelake.plans import datasets
+from pacelake.sources import wrappers
 
 raw = datasets.raw
 
@@ -16,6 +17,11 @@ METRIC_TYPES = ["HRV", "HR", "SPO2", "SKIN_TEMP_C", "RESPIRATION"]
 METRIC_FIELDS = {"value": "value", "status": "status", "baseline_upper": "baseline_upper_limit", "baseline_lower": "baseline_lower_limit", "percentage": "percentage", "feedback_key": "feedback_key"}
 
 
+def source_rows(assets: DataFrame, suffix: str, kind: str) -> DataFrame:
+    """Source rows as they are, or read from the files with this suffix."""
+    return assets if "record" in assets.columns else wrappers.suffix_rows(assets, suffix, kind)
+
+
 def _instant(json: Column) -> Column:
     return times.observation_timestamp(coerce.any_text(json), coerce.is_number(json), named_utc=True)[0]
 
@@ -35,7 +41,7 @@ def health_status(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Of the records of a date the last by update, creation and key is taken; this is decided before metrics are exploded, so nothing is joined.
     """
-    rows = datasets._rows(assets, "health_status", None)
+    rows = source_rows(assets, "healthStatusData.json", "health")
     by_date = Window.partitionBy("calendar_date")
     latest = by_date.orderBy(*[F.desc(F.coalesce(c, F.lit(""))) for c in ("update_timestamp_utc", "create_timestamp_utc", "health_status_daily_record_key")])
     dated = F.col("calendar_date").isNotNull()
@@ -76,7 +82,7 @@ def health_status(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def sleep_records(assets: DataFrame) -> DataFrame:
     """Every sleep record with its status; all of a day with several are marked for review, records without content don't count."""
-    rows = datasets._rows(assets, "sleep", None)
+    rows = source_rows(assets, "sleepData.json", "sleep")
     start, end = (_instant(raw(n)).try_cast("timestamp") for n in ("sleepStartTimestampGMT", "sleepEndTimestampGMT"))
     local = lambda t: times.local_iso(F.unix_millis(t))
     score = F.coalesce(coerce.number(coerce.field(raw("sleepScores"), "overall", "value")), coerce.number(coerce.field(raw("sleepScores"), "overallScore")), coerce.number(raw("overallScore")), coerce.number(raw("sleepScore")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pacelake.functions import coerce
 from pacelake.operators import quality
-from pacelake.plans import datasets
+from pacelake.plans import datasets, health
 
 raw = datasets.raw
 
@@ -32,7 +32,7 @@ def daily_candidates(rows: DataFrame) -> DataFrame:
 
 def references(assets: DataFrame) -> DataFrame:
     """One row for each health record, with the last of its metrics of this kind; all records of a date that has several need review."""
-    rows = datasets._rows(assets, "health_status", None)
+    rows = health.source_rows(assets, "healthStatusData.json", "health")
     listed = F.transform(F.from_json(F.when(raw("metrics").startswith("["), raw("metrics")), "array<variant>"), lambda v: F.to_json(v))
     mine = F.filter(listed, lambda j: j.startswith("{") & (F.lower(coerce.any_text(coerce.field(j, "type"))) == "hrv"))
     last = F.try_element_at(mine, F.lit(-1))

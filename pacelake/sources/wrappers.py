@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "provenance_path string, sha256 string, record_index long, parent string, record map<string,string>"
 
@@ -18,6 +19,7 @@ SCHEMA = "provenance_path string, sha256 string, record_index long, parent strin
 WRAPPERS = {
     "daily": ["data", "items", "records", "values", "summaries", "sleepData"],
     "performance": ["records", "items", "data"],
+    "sleep": ["sleepData", "data", "records", "items"],
     "health": ["healthStatusData", "data", "records", "items", "values", "summaries"],
 }
 
@@ -69,13 +71,19 @@ def gear_links(value: object) -> list[tuple[str, dict]]:
     return [(key, row) for m in maps for key, rows in m.items() if isinstance(rows, list) for row in rows if isinstance(row, dict)]
 
 
-def json_rows(assets: DataFrame, read) -> DataFrame:
+def suffix_rows(assets: DataFrame, suffix: str, kind: str) -> DataFrame:
+    """Rows of the JSON files whose names end exactly in ``suffix``, unwrapped as files of this kind are; a byte-order mark fails the job."""
+    names = list(WRAPPERS[kind])
+    return json_rows(assets.where(F.coalesce("member_path", "source_path").endswith(suffix)), lambda v: unwrap(v, names), "utf-8")
+
+
+def json_rows(assets: DataFrame, read, encoding: str = "utf-8-sig") -> DataFrame:
     """A row for each object that ``read`` finds in each JSON file; a file that isn't JSON fails the job."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, sha, data in zip(batch["provenance_path"], batch["sha256"], batch["data"], strict=True):
-                found = read(json.loads(bytes(data).decode("utf-8-sig")))
+                found = read(json.loads(bytes(data).decode(encoding)))
                 rows = [r if isinstance(r, tuple) else (None, r) for r in found]
                 for k in range(0, len(rows), 5000):
                     yield pd.DataFrame([(path, sha, k + i, parent, {n: canonical(v) for n, v in row.items()}) for i, (parent, row) in enumerate(rows[k : k + 5000])], columns=["provenance_path", "sha256", "record_index", "parent", "record"])

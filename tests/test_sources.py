@@ -94,3 +94,45 @@ def test_links_of_activities_and_sessions(spark):
     keys = {r["garmin_activity_key"] for r in found["activity_fit_links"].collect()}
     assert {"garmin_activity:1001", "garmin_activity:1002"} <= keys
     assert {r["reason"] for r in audits["activity_gear_unresolved"].collect()} == {"activity_relationship_unresolved_valid_link"}
+
+
+def test_suffixes_wrappers_and_record_level_tables(spark):
+    import json
+
+    from pacelake.plans import health, variability
+    from pacelake.sources import wrappers
+
+    day = {"calendarDate": "2030-01-01", "metrics": [{"type": "hrv", "value": 40}, 3, {"type": "HRV", "value": 41.5}, {"type": "HR", "value": "50"}]}
+    night = {"sleepStartTimestampGMT": "2030-01-01T13:00:00.0", "sleepEndTimestampGMT": "2030-01-01T21:00:00.0"}
+    files = {"DI/a_healthStatusData.json": {"healthStatusData": [day, 7]}, "DI/a_healthstatusdata.json": [day], "DI/x_sleepData.json": {"sleepData": [night, {"retro": True}], "data": [night]}}
+    rows = [(path, len(json.dumps(value)), bytearray(json.dumps(value).encode())) for path, value in files.items()]
+    found = assets.assets_of(spark.createDataFrame(rows, "source_path string, size_bytes long, data binary"))
+    daily, metrics = health.health_status(found)
+    assert [(r["source_metric_count"], r["health_status_hr_value"], r["health_status_hrv_value"], r["health_status_reason_code"]) for r in daily.collect()] == [(3, 50.0, None, "health_status_duplicate_metric_type")]
+    assert metrics.count() == 3 and {r["daily_selection_status"] for r in metrics.collect()} == {"selected_for_daily"}
+    assert [(r["value"], r["reference_status"]) for r in variability.references(found).collect()] == [(41.5, "reference_available")]
+    assert sorted(r["sleep_reason_code"] for r in health.sleep_records(found).collect()) == ["sleep_json_daily_available", "sleep_json_empty_retro_only_record"]
+    marked = spark.createDataFrame([("DI/b_healthStatusData.json", 5, bytearray(b"\xef\xbb\xbf[]"))], "source_path string, size_bytes long, data binary")
+    with pytest.raises(Exception, match="BOM"):
+        wrappers.suffix_rows(assets.assets_of(marked), "healthStatusData.json", "health").collect()
+
+
+def test_conflicts_fail_the_job_that_reads_them(spark):
+    from pacelake.operators import dedupe, endpoints
+
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, None)], "k int, v string")
+    assert dedupe.sound(twice.where("k = 1"), ["k"], ["v"]).collect() == [(1, "a")]
+    assert [tuple(r) for r in dedupe.canonical(twice, ["k"], ["v"]).collect()] == [(1, "a")]
+    for bad in (dedupe.sound(twice, ["k"], ["v"]), endpoints.unique_keys(twice, "k"), endpoints.unique_index(twice.union(spark.createDataFrame([(1, "c")], "k int, v string")), "k", "v")):
+        with pytest.raises(Exception, match="conflict|more than once"):
+            bad.collect()
+
+
+def test_files_of_a_folder_are_checked(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{}")
+    assert assets.read_assets(spark, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="file_too_large"):
+        assets.read_assets(spark, str(tmp_path), assets.Limits(member_bytes=1)).collect()
+    (tmp_path / "b.json").symlink_to(tmp_path / "a.json")
+    with pytest.raises(assets.IntakeError):
+        assets.read_assets(spark, str(tmp_path))
