@@ -23,7 +23,8 @@ SESSION = [(2, "start_time", 1), (5, "sport", 1), (6, "sub_sport", 1), (7, "tota
 LAP = [(2, "start_time", 1), (7, "total_elapsed_time", 1000), (8, "total_timer_time", 1000), (9, "total_distance", 100), (13, "avg_speed", 1000), (14, "max_speed", 1000), (15, "avg_heart_rate", 1), (16, "max_heart_rate", 1), (17, "avg_cadence", 1), (18, "max_cadence", 1), (19, "avg_power", 1), (20, "max_power", 1), (21, "total_ascent", 1), (22, "total_descent", 1), (253, "timestamp", 1)]
 SPORTS = {1: "running", 2: "cycling", 10: "strength_training", 11: "walking", 17: "hiking", 31: "swimming"}
 SUB_SPORTS = {6: "treadmill_running", 7: "street", 8: "trail"}
-MESSAGES = {18: ("session", SESSION), 19: ("lap", LAP)}
+SPORT = [(0, "sport", 1), (1, "sub_sport", 1), (3, "name", 1)]
+MESSAGES = {12: ("sport", SPORT), 18: ("session", SESSION), 19: ("lap", LAP)}
 RECORD, HRV_STATUS = 20, 370
 # All but the first two are incomplete.
 STATUSES = ["parsed_activity", "parsed_non_activity", "too_large", "too_small", "bad_header", "bad_header_crc", "bad_file_crc", "truncated", "undefined_local_message", "unsupported_chained", "session_lap_allocation_conflict"]
@@ -138,11 +139,11 @@ def allocate(sessions: list[dict], laps: list[dict]) -> list[list[dict]] | None:
 
 
 def decode(data: bytes) -> dict:
-    """``status, sessions`` (each with its ``laps``), ``records`` and ``sentinels`` of one file."""
-    out: dict = {"status": problem(data), "sessions": [], "records": 0, "sentinels": Counter()}
+    """``status, sessions`` (each with its ``laps``), ``sport`` (the first message of that kind), ``records`` and ``sentinels`` of one file."""
+    out: dict = {"status": problem(data), "sport": {}, "sessions": [], "records": 0, "sentinels": Counter()}
     if out["status"]:
         return out
-    rows: dict[str, list] = {"session": [], "lap": []}
+    rows: dict[str, list] = {"sport": [], "session": [], "lap": []}
     try:
         for message in messages(data, data[0], len(data) - 2):
             if message is None:
@@ -157,6 +158,7 @@ def decode(data: bytes) -> dict:
     parts = allocate(rows["session"], rows["lap"])
     if parts is None:
         return out | {"status": "session_lap_allocation_conflict"}
+    out["sport"] = rows["sport"][0] if rows["sport"] else {}
     out["sessions"] = [s | {"laps": part} for s, part in zip(rows["session"], parts, strict=True)]
     return out | {"status": "parsed_activity" if rows["session"] else "parsed_non_activity"}
 
@@ -186,7 +188,7 @@ _SCHEMA = (
     + ",".join(f"{m}:double" for m in _METRICS)
     + ",laps:array<struct<start_time:long,timestamp:long,"
     + ",".join(f"{m}:double" for m in _LAP_METRICS)
-    + ">>>>"
+    + ">>>>, file_sport string, file_sport_name string"
 )
 
 
@@ -213,7 +215,7 @@ def decoded(assets: DataFrame) -> DataFrame:
                     sport, sub = sport_names(s["sport"], s["sub_sport"])
                     laps = [{"start_time": lap["start_time"], "timestamp": lap["timestamp"]} | {m: number(lap[m]) for m in _LAP_METRICS} for lap in s["laps"]]
                     sessions.append({"start_time": s["start_time"], "sport": sport, "sub_sport": sub, "laps": laps} | {m: number(s[m]) for m in _METRICS})
-                yield pd.DataFrame([(sha, path, aliases, d["status"], d["records"], json.dumps(dict(sorted(d["sentinels"].items()))), sessions)], columns=["sha256", "source_path", "alias_count", "status", "records", "sentinels", "sessions"])
+                yield pd.DataFrame([(sha, path, aliases, d["status"], d["records"], json.dumps(dict(sorted(d["sentinels"].items()))), sessions, sport_names(d["sport"].get("sport"), d["sport"].get("sub_sport"))[0], d["sport"].get("name") or None)], columns=["sha256", "source_path", "alias_count", "status", "records", "sentinels", "sessions", "file_sport", "file_sport_name"])
 
     return once.select("sha256", "source_path", "alias_count", "data").mapInPandas(run, _SCHEMA)
 

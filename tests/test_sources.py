@@ -136,3 +136,10 @@ def test_files_of_a_folder_are_checked(spark, tmp_path):
     (tmp_path / "b.json").symlink_to(tmp_path / "a.json")
     with pytest.raises(assets.IntakeError):
         assets.read_assets(spark, str(tmp_path))
+
+
+def test_sport_message_of_a_file(spark):
+    rows = [(12, [(0, 1, 2, bytes([11])), (1, 1, 2, bytes([0])), (3, 8, 7, b"Evening\0")]), (18, [synthetic._u32(2, 5), synthetic._u8(5, 1), synthetic._u16(26, 0)])]
+    data = fit.encode(rows)
+    found = fit.decoded(assets.assets_of(spark.createDataFrame([("a.fit", len(data), bytearray(data))], "source_path string, size_bytes long, data binary"))).first()
+    assert (found["file_sport"], found["file_sport_name"], found["sessions"][0]["sport"]) == ("walking", "Evening", "running")
