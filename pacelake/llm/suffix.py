@@ -441,8 +441,8 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *[batch.column(k) for k in range(2, batch.num_columns)]], ["text", *others])
 
     others = [c for c in docs.columns if c != "text"]
-    marked = docs.join(spans.hint("shuffle_hash"), "doc_id", "left")
-    touched = marked.where("spans is not null and text is not null").select("text", "spans", *others)
+    marked = docs.join(spans.withColumnRenamed("spans", "__spans").hint("shuffle_hash"), "doc_id", "left")
+    touched = marked.where("__spans is not null and text is not null").select("text", "__spans", *others)
     schema = "text string, " + ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    out = touched.mapInArrow(cut, schema).select(docs.columns).union(marked.where("spans is null or text is null").select(docs.columns))
+    out = touched.mapInArrow(cut, schema).select(docs.columns).union(marked.where("__spans is null or text is null").select(docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
