@@ -46,6 +46,30 @@ def schema_report(df: DataFrame, expected: StructType) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, expected string, actual string, matches boolean")
 
 
+def differences(stated: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """Rows that only one of both has, with ``side``; an authority holds if there are none."""
+    other = recomputed.select(stated.columns)
+    return stated.exceptAll(other).withColumn("side", F.lit("stated")).union(other.exceptAll(stated).withColumn("side", F.lit("recomputed")))
+
+
+def relationship_counts(left: DataFrame, key: str, right: DataFrame, target: str, name: str) -> DataFrame:
+    """One row of counters of a relationship by equal keys: nothing is inferred."""
+    known = right.groupBy(F.col(target).alias(key)).agg(F.count("*").alias("__n"))
+    each = left.select(key).join(known, key, "left")
+    total = lambda c, n: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long").alias(n)
+    out = each.agg(total(F.col(key).isNotNull(), "eligible_count"), total(F.col("__n") == 1, "explicit_link_count"), total(F.col(key).isNotNull() & F.col("__n").isNull(), "unresolved_count"), total(F.col("__n") > 1, "ambiguous_count"))
+    return out.select(F.lit(name).alias("relationship_id"), "*", F.lit(False).alias("inference_performed"))
+
+
+def relationship_projection(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The named relationships, each exactly once and none by inference; anything else fails the job."""
+    each = rows.where(F.col("relationship_id").isin(names)).groupBy("relationship_id").agg(F.count("*").alias("__n"), F.bool_or("inference_performed").alias("inference_performed"), *[F.sum(c).alias(c) for c in ("eligible_count", "explicit_link_count", "unresolved_count", "ambiguous_count")])
+    wanted = rows.sparkSession.createDataFrame([(n,) for n in names], "relationship_id string")
+    fine = (F.col("__n") == 1) & ~F.col("inference_performed")
+    out = wanted.join(each, "relationship_id", "left").withColumn("relationship_id", F.when(fine, F.col("relationship_id")).otherwise(F.raise_error(F.lit("a relationship is missing, repeated or inferred"))))
+    return out.drop("__n")
+
+
 def published_order(df: DataFrame, key: Column, *then: Column) -> DataFrame:
     """The total order of a published dataset: by the text of its key (so 10 goes before 9), then by the rest. Only for sinks."""
     return df.orderBy(key.cast("string"), *then)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pacelake.functions import identity
 from pacelake.operators import coverage, digest, endpoints, integrity, quality, snapshot
+from pacelake.plans import datasets
+from pacelake.sources import families
 
 
 def _table(spark, d, name: str) -> DataFrame:
@@ -167,6 +169,42 @@ def family_coverage(spark, d):
     return coverage.presence(docs.join(F.broadcast(order), "source"), ["lang"], "logical_order", order.count()).select("lang", "presence_pattern", "snapshot_count")
 
 
+#: Relationships between the tables: name, from, key, to, key.
+RELATIONSHIPS = [("order_customer", "orders", "o_custkey", "customer", "c_custkey"), ("line_order", "lineitem", "l_orderkey", "orders", "o_orderkey"), ("line_part", "lineitem", "l_partkey", "part", "p_partkey"), ("line_supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"), ("customer_nation", "customer", "c_nationkey", "nation", "n_nationkey"), ("label_document", "labels", "doc_id", "documents", "doc_id")]
+
+
+def relationship_projection(spark, d):
+    rows = [integrity.relationship_counts(_table(spark, d, a), ka, _table(spark, d, b), kb, name) for name, a, ka, b, kb in RELATIONSHIPS]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return integrity.relationship_projection(out, [r[0] for r in RELATIONSHIPS])
+
+
+def authority_reconciliation(spark, d):
+    """Counts by status that were stated, with one altered, against those recomputed."""
+    now = _table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return integrity.differences(now.withColumn("n", F.when(F.col("o_orderstatus") == "P", F.col("n") + 1).otherwise(F.col("n"))), now)
+
+
+def family_buckets(spark, d):
+    part = _table(spark, d, "part")
+    kind = F.when(F.col("p_partkey") % 4 == 0, "fit").otherwise("json")
+    family = families.classify(F.concat(F.lit("DI/"), F.when(F.col("p_partkey") % 3 == 0, "gear").otherwise("UDSFile_1"), F.lit(".json")), kind)
+    return part.select("p_partkey", F.explode(families.buckets(family, kind)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("file_count"))
+
+
+def cumulative_dataset(spark, d):
+    """A dataset of all snapshots: the merged records go through the plan of the dataset."""
+    days = _table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).agg(F.min("o_orderkey").alias("k"))
+    seen = days.withColumn("i", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where("(k + i) % 3 <> 0")
+    record = F.create_map(F.lit("calendarDate"), F.concat(F.lit('"'), "d", F.lit('"')), F.lit("totalSteps"), F.when((F.col("k") + F.col("i")) % 4 == 0, "null").otherwise((F.col("k") % 100 + F.col("i")).cast("string")))
+    rows = seen.select(identity.canonical_key("uds", [F.col("d")]).alias("canonical_key"), F.col("i").cast("string").alias("snapshot_id"), F.col("i").cast("long").alias("logical_order"), F.col("i").cast("string").alias("export_observed_at"), F.lit("u.json").alias("source_relative_path"), F.lit(0).alias("source_record_index"), record.alias("record"))
+    merged = snapshot.merge_dataset(rows, 3)["canonical"]
+    source = merged.select(F.col("canonical_key").alias("provenance_path"), F.col("canonical_key").alias("sha256"), F.lit(0).alias("record_index"), F.lit(None).cast("string").alias("parent"), F.col("raw_record").alias("record"), F.lit("uds").alias("family"))
+    return datasets.uds(source).records.select("calendar_date", "steps")
+
+
 _SNAP = """
     o AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS snap, o_orderkey FROM orders),
     s AS (SELECT o_custkey, snap, max(o_orderkey) AS k FROM o GROUP BY ALL),
@@ -191,7 +229,17 @@ _MERGE = (
     ct AS (SELECT key, count(*) AS obs, bool_or(several) AS changed FROM ok GROUP BY key)"""
 )
 
+_REL = " UNION ALL ".join(
+    f"SELECT '{name}' AS relationship_id, count(a.{ka})::BIGINT AS eligible_count, count(*) FILTER (WHERE n = 1)::BIGINT AS explicit_link_count, count(*) FILTER (WHERE a.{ka} IS NOT NULL AND n IS NULL)::BIGINT AS unresolved_count, count(*) FILTER (WHERE n > 1)::BIGINT AS ambiguous_count, false AS inference_performed FROM {a} a LEFT JOIN (SELECT {kb} AS k, count(*) AS n FROM {b} GROUP BY 1) b ON b.k = a.{ka}"
+    for name, a, ka, b, kb in RELATIONSHIPS
+)
+
 SQL = {
+    "relationship_projection": _REL,
+    "authority_reconciliation": "SELECT 'P' AS o_orderstatus, count(*)::BIGINT AS n, 'recomputed' AS side FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'P', count(*)::BIGINT + 1, 'stated' FROM orders WHERE o_orderstatus = 'P'",
+    "family_buckets": "SELECT bucket, count(*)::BIGINT AS file_count FROM (SELECT unnest(CASE WHEN p_partkey % 4 = 0 THEN ['fit', 'hrv'] WHEN p_partkey % 3 = 0 THEN ['gear'] ELSE ['uds'] END) AS bucket FROM part) GROUP BY 1",
+    "cumulative_dataset": """WITH x AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, min(o_orderkey) AS k FROM orders GROUP BY 1), y AS (SELECT d, k, unnest([1, 2, 3]) AS i FROM x)
+        SELECT d AS calendar_date, arg_max(k % 100 + i, i) FILTER (WHERE (k + i) % 4 <> 0)::DOUBLE AS steps FROM y WHERE (k + i) % 3 <> 0 GROUP BY d""",
     "merge_canonical": f"""WITH {_MERGE} SELECT key AS canonical_key, pat AS presence_pattern, snaps::BIGINT AS source_snapshot_count, obs::BIGINT AS source_observation_count, a.value AS name, b.value AS memo, c.value AS load
         FROM pr JOIN ct USING (key) LEFT JOIN (SELECT * FROM lst WHERE field_name = 'name') a USING (key) LEFT JOIN (SELECT * FROM lst WHERE field_name = 'memo') b USING (key) LEFT JOIN (SELECT * FROM lst WHERE field_name = 'load') c USING (key)""",
     "merge_conflicts": f"WITH {_MERGE} SELECT key AS canonical_key, conflict_type, found_at FROM stops",

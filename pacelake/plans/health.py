@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacelake.functions import coerce, times
-from pacelake.operators import quality
+from pacelake.operators import quality, snapshot
 from pacelake.plans import datasets
 from pacelake.sources import wrappers
 
@@ -105,6 +105,14 @@ def sleep_records(assets: DataFrame) -> DataFrame:
 THRESHOLDS = ["lactateThresholdSpeed", "lactateThresholdHeartRate", "functionalThresholdPower"]
 
 
+def threshold_counts(candidates: DataFrame) -> DataFrame:
+    """Per family: observations, different ones, and those of which a numeric field holds something else. Equal observations are one candidate."""
+    bad = quality.first_reason([(_present(F.col("record")[name]), name) for name in THRESHOLDS])
+    each = candidates.select(F.col("observation_family").cast("string").alias("observation_family"), "observation_timestamp", snapshot.signature("record").alias("signature"), bad.isNotNull().alias("invalid"))
+    distinct = each.groupBy("observation_family", "observation_timestamp", "signature").agg(F.count("*").alias("n"), F.bool_or("invalid").alias("invalid"))
+    return distinct.groupBy("observation_family").agg(F.sum("n").alias("observation_count"), F.count("*").alias("candidate_count"), F.sum(F.when(F.col("invalid"), F.col("n")).otherwise(0)).alias("invalid_field_count"))
+
+
 def power_conflicts(candidates: DataFrame) -> DataFrame:
     """Families and times under which different powers were observed, none of which is promoted."""
     power = F.col("record")["functionalThresholdPower"]

@@ -230,6 +230,10 @@ def lactate_power_conflicts(spark, d):
     return health.power_conflicts(_thresholds(spark, d))
 
 
+def lactate_candidates(spark, d):
+    return health.threshold_counts(_thresholds(spark, d))
+
+
 def lactate_malformed(spark, d):
     return health.malformed_thresholds(_thresholds(spark, d)).groupBy("observation_family", "field").agg(F.count("*").alias("row_count"))
 
@@ -352,6 +356,8 @@ SQL = {
             CASE WHEN dup > 1 THEN 'latest_update_then_create_then_stable_key' ELSE 'not_needed_unique_calendar_date' END AS daily_dedupe_method, CASE reason WHEN 'health_status_daily_available' THEN 'available' WHEN 'health_status_duplicate_calendar_date_resolved' THEN 'available_with_explicit_dedupe' ELSE 'needs_review' END AS health_status_normalization_status,
             reason AS health_status_reason_code, CASE WHEN hrvs = 1 THEN n::DOUBLE END AS health_status_hrv_value, CASE WHEN hrvs = 1 THEN 'IN_RANGE' END AS health_status_hrv_status, CASE WHEN n_metrics > 0 AND k % 4 <> 0 THEN n::DOUBLE END AS health_status_hr_value, CASE WHEN n_metrics > 0 THEN 50.5::DOUBLE END AS health_status_hr_percentage FROM w""",
     "lactate_power_conflicts": """SELECT (o_orderkey % 3)::VARCHAR AS observation_family, strftime(o_orderdate, '%Y-%m-%d') AS observation_timestamp, count(DISTINCT CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE (o_custkey % 3)::VARCHAR END)::BIGINT AS candidate_count FROM orders WHERE o_orderkey % 17 = 0 OR o_orderkey % 5 <> 0 GROUP BY 1, 2 HAVING candidate_count > 1""",
+    "lactate_candidates": """WITH x AS (SELECT (o_orderkey % 3)::VARCHAR AS f, strftime(o_orderdate, '%Y-%m-%d') AS d, CASE WHEN o_orderkey % 17 = 0 THEN 'high' WHEN o_orderkey % 5 = 0 THEN 'null' ELSE (o_custkey % 3)::VARCHAR END AS p, o_orderkey % 19 = 0 AS s, o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 AS bad FROM orders)
+        SELECT f AS observation_family, count(*)::BIGINT AS observation_count, count(DISTINCT (d, p, s))::BIGINT AS candidate_count, count(*) FILTER (WHERE bad)::BIGINT AS invalid_field_count FROM x GROUP BY 1""",
     "lactate_malformed": "SELECT (o_orderkey % 3)::VARCHAR AS observation_family, CASE WHEN o_orderkey % 19 = 0 THEN 'lactateThresholdSpeed' ELSE 'functionalThresholdPower' END AS field, count(*)::BIGINT AS row_count FROM orders WHERE o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 GROUP BY 1, 2",
 }
 

@@ -44,6 +44,11 @@ def classify(name: Column, kind: Column) -> Column:
     return F.when(kind == "json", out).when(kind == "fit", "fit").otherwise("unclassified")
 
 
+def buckets(family: Column, kind: Column) -> Column:
+    """The families whose readers take a file: its own, and for binary files heart-rate variability as well."""
+    return F.array_distinct(F.when(kind == "fit", F.array(family, F.lit("hrv"))).otherwise(F.array(family)))
+
+
 # Sports by the numbers of older binary files, and texts that mean another group.
 SPORT_CODES = {"10": "strength_training", "11": "walking", "17": "hiking"}
 SPORT_NAMES = {"running": ["street", "trail"], "strength_training": ["training", "fitness_equipment"]}
