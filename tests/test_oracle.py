@@ -22,8 +22,10 @@ def sql():
 
 def plain(df):
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
+        if isinstance(v, float) and v.is_integer():  # whole numbers with nulls among them
+            return str(int(v))
         return f"{v:.6g}" if isinstance(v, float) else str(v).removesuffix(" 00:00:00")
 
     df = df[sorted(df.columns)]
