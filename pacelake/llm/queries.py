@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelake.llm import hnsw, langid, lm, pieces, quality, sharding, suffix, tiling, urls
+from pacelake.llm import divergence, hnsw, langid, lm, negatives, packing, pieces, quality, sharding, suffix, tiling, urls
 from pacelake.llm.jaccard import jaccard_links
 
 #: The rules of op5_urls.
@@ -22,6 +22,9 @@ ORDER = 3
 #: The SentencePiece model that op7_sentencepiece reads.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: The tokenizer that op13_packing reads, among the public ones.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,8 +74,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 move on by one; ids divisible by 100 are anchors."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS LONG) + 1) % 10 ELSE CAST(label AS LONG) END").alias("label")
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label, F.expr("vec_id % 100 = 0").alias("is_anchor")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_sentencepiece": op7_sentencepiece, "op8_lm": op8_lm, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding}
+    return {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_sentencepiece": op7_sentencepiece, "op8_lm": op8_lm, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding, "op11_negatives": op11_negatives, "op12_divergence": op12_divergence, "op13_packing": op13_packing}
 
 
 #: Lower-cased words of every text, as DuckDB reads them.
@@ -137,6 +154,31 @@ ORACLE = {
         f AS (SELECT doc_id, n_bytes, min(d) AS depth, arg_min(prefix, d) AS prefix FROM s WHERE total <= {SHARD_BYTES} OR n = 1 GROUP BY doc_id, n_bytes)
         SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, CAST(depth AS BIGINT) AS depth FROM f
     """,
+    "op11_negatives": """
+        WITH c AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM c a JOIN c b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+        p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        QUALIFY rank <= 10
+    """,
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        n AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+        l AS (SELECT lang, count(*) AS v, sum(total) AS t FROM kept GROUP BY lang),
+        gt AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS t FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (gt.t + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 2)) // (l.t + 2 * l.v) AS q
+              FROM g JOIN kept k ON k.lang = g.lang JOIN l ON l.lang = g.lang JOIN gt ON gt.lang = g.lang AND gt.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) u)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+    """,
 }
 
 
