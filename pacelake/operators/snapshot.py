@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacelake.operators import coverage
@@ -64,62 +64,166 @@ def merge_maps(observations: DataFrame, keys: list[str], record: str, order: lis
     return each.select(*keys, "field", F.coalesce("known", "last").alias("value"), "observation_count", held.alias("held"))
 
 
-def signature(record: str):
-    """A fingerprint of a record, whatever the order of its fields."""
-    return F.sha2(F.to_json(F.array_sort(F.map_entries(record))), 256)
+def stable_json(record):
+    """A record as one JSON text with sorted fields, whatever the order of its map."""
+    name = lambda n: F.regexp_replace(F.regexp_replace(n, r"\\", r"\\\\"), '"', r'\\"')
+    pairs = F.transform(F.array_sort(F.map_entries(record)), lambda e: F.concat(F.lit('"'), name(e["key"]), F.lit('":'), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
-def merge_dataset(observations: DataFrame, snapshots: int, daily: bool = False, preserve: bool = False) -> dict[str, DataFrame]:
-    """The merge of a dataset's observations over snapshots, as tables by name.
+def signature(record):
+    """The SHA-256 of a record's stable JSON."""
+    return F.sha2(stable_json(record), 256)
+
+
+KEY = ["dataset", "canonical_key"]
+
+
+def _named(observations: DataFrame) -> DataFrame:
+    """Observations with their signature and their place in the order of acquisition, in which record numbers count as text."""
+    at = F.struct("logical_order", "snapshot_id", "source_relative_path", F.col("source_record_index").cast("string").alias("record_index"), "source_record_index")
+    return observations.withColumn("signature", signature("record")).withColumn("at", at)
+
+
+def _nameless():
+    return F.coalesce(F.col("canonical_key"), F.lit("")) == ""
+
+
+def collapse(observations: DataFrame) -> DataFrame:
+    """One row for each key and snapshot: the least and the greatest signature, how many observations, and the last of them.
+
+    Combined before the shuffle, so a key with very many equal observations is small from there on. All that a merge needs but the list of its observations follows from these rows.
+    """
+    rows = _named(observations).where(~_nameless())
+    each = rows.groupBy(*KEY, "logical_order", "snapshot_id", "export_observed_at").agg(F.min("signature").alias("lo"), F.max("signature").alias("hi"), F.count("*").alias("n"), F.max_by(F.struct("at", "record"), "at").alias("last"))
+    return each.select(*KEY, "logical_order", "snapshot_id", "export_observed_at", "lo", "hi", "n", F.col("last.at").alias("at"), F.col("last.record").alias("record"))
+
+
+def _judged(rows: DataFrame, lo: str, hi: str, daily: Column, preserve: Column) -> DataFrame:
+    """Marks what becomes of the key of each row: ``outcome`` is merged, variants or stopped. All windows work on one partitioning by key."""
+
+    def differ(*by: str) -> Column:
+        w = Window.partitionBy(*KEY, *by)
+        return F.min(lo).over(w) != F.max(hi).over(w)
+
+    at_once = Window.partitionBy(*KEY, "export_observed_at")
+    rows = rows.repartition(*KEY).withColumn("within", differ("logical_order"))
+    rows = rows.withColumn("at_once", differ("export_observed_at") & (F.min("snapshot_id").over(at_once) != F.max("snapshot_id").over(at_once)))
+    rows = rows.withColumns({"stopped": F.bool_or(F.col("within") | F.col("at_once")).over(Window.partitionBy(*KEY)), "several": differ()})
+    outcome = F.when(F.col("stopped"), "stopped").when(~F.col("several") | ~daily, "merged").when(preserve, "variants").otherwise("unequal")
+    return rows.withColumn("outcome", outcome)
+
+
+def _explicit():
+    return F.col("parser_state") == "explicit_value"
+
+
+def merge_collapsed(each: DataFrame, snapshots: int, daily: Column, preserve: Column) -> dict[str, DataFrame]:
+    """What ``merge_observations`` returns but the lists of observations, from the rows of ``collapse``."""
+    total = {"orders": F.collect_set("logical_order").over(Window.partitionBy(*KEY)), "total": F.sum("n").over(Window.partitionBy(*KEY))}
+    base = _judged(each, "lo", "hi", daily, preserve).withColumns(total)
+
+    def stop(mark: str, kind: str, found_at) -> DataFrame:
+        return base.where(mark).select(*KEY, F.lit(kind).alias("conflict_type"), found_at.alias("found_at"))
+
+    none = F.lit(None).cast("string")
+    stops = stop("within", "divergent_duplicate_within_snapshot", F.col("logical_order").cast("string")).union(stop("at_once", "same_observation_time_different_value", F.col("export_observed_at").cast("string"))).union(stop("outcome = 'unequal'", "same_stable_key_different_public_value", none)).distinct()
+    variants = base.where("outcome = 'variants'").groupBy(*KEY, F.col("lo").alias("signature")).agg(F.sum("n").cast("long").alias("observation_count"), F.array_join(F.array_sort(F.collect_set("logical_order")).cast("array<string>"), ",").alias("snapshot_orders"), F.min_by("record", "at").alias("observed_value"))
+
+    merged = base.where("outcome = 'merged'")
+    # a record without fields still counts as a row
+    fields = merged.select(*KEY, "at", "n", "total", "orders", "several", F.explode_outer("record").alias("field_name", "value")).withColumn("parser_state", state("value"))
+    in_order = Window.partitionBy(*KEY, "field_name").orderBy("at")
+    earlier = F.max(_explicit().cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    fields = fields.withColumn("preserved", ~_explicit() & (F.coalesce(earlier, F.lit(0)) == 1))
+    previous = F.last(F.when(~F.col("preserved"), F.col("value")), True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    fields = fields.withColumn("changed", ~F.col("preserved") & F.coalesce(previous != F.col("value"), F.lit(False)))
+    count = lambda s: F.sum(F.when(F.col("parser_state") == s, F.col("n")).otherwise(0)).alias(s)
+    by_field = fields.groupBy(*KEY, "field_name").agg(
+        F.expr("max_by(struct(value, parser_state, at), at) FILTER (WHERE NOT preserved)").alias("last"), F.sum(F.col("changed").cast("long")).alias("updates"), F.sum("n").alias("n_present"), *[count(s) for s in _STATES],
+        F.first("total").alias("total"), F.first("orders").alias("orders"), F.first("several").alias("several"),
+    )
+    named = F.col("field_name").isNotNull()
+    entries = F.array_sort(F.collect_list(F.when(named, F.struct("field_name", "last.value"))))
+    keys = by_field.groupBy(*KEY).agg(
+        F.map_from_entries(entries).alias("raw_record"), F.first("orders").alias("orders"), F.first("total").alias("source_observation_count"), F.first("several").alias("changed"), F.sum("updates").alias("updated_field_count"),
+        *[F.sum(s).alias(s) for s in _STATES], F.sum(F.when(named, F.col("total") - F.col("n_present")).otherwise(0)).alias("field_absent"),
+    )
+    keys = coverage.flags(keys.withColumn("presence_pattern", coverage.pattern("orders", snapshots)).withColumn("source_snapshot_count", F.size("orders").cast("long")))
+    provenance = by_field.where(named).select(*KEY, "field_name", F.col("last.parser_state").alias("value_state"), F.sha2("last.value", 256).alias("selected_value_sha256"), "last.at.snapshot_id", "last.at.logical_order", "last.at.source_relative_path", "last.at.source_record_index")
+
+    one, flag = F.lit(1), lambda c: F.col(c).cast("long")
+    of_keys = {"canonical_count": one, "changed_count": flag("changed"), "new_count": flag("is_new"), "previous_only_count": flag("is_previous_only"), "reappeared_count": flag("is_reappeared"), "updated_field_count": F.col("updated_field_count"),
+               "single_variant_key_count": (~F.col("changed")).cast("long"), "observed_variant_count": (~F.col("changed")).cast("long"), "exact_repeat_count": F.when(F.col("changed"), 0).otherwise(F.col("source_observation_count") - 1),
+               "record_absent": F.lit(snapshots) - F.col("source_snapshot_count"), "field_absent": F.col("field_absent"), **{s: F.col(s) for s in _STATES}}
+    per_variant = base.where("outcome = 'variants'").groupBy(*KEY).agg(F.count_distinct("lo").alias("variants"), F.sum("n").alias("n"))
+    of_variants = {"multi_variant_key_count": one, "observed_variant_count": F.col("variants"), "exact_repeat_count": F.col("n") - F.col("variants")}
+    return {
+        "canonical": keys.select(*KEY, "raw_record", "presence_pattern", "source_snapshot_count", "source_observation_count"), "conflicts": stops, "variants": variants, "field_provenance": provenance,
+        "patterns": keys.groupBy("dataset", "presence_pattern").agg(F.count("*").alias("key_count")), "counters": _counters(keys, of_keys).union(_counters(per_variant, of_variants)),
+    }
 
-    ``observations`` have ``canonical_key, snapshot_id, logical_order, export_observed_at, source_relative_path,
-    source_record_index`` and ``record``, a map of field to canonical JSON.
+
+_STATES = ["explicit_value", "explicit_null", "explicit_empty"]
+COUNTERS = ["observation_count", "null_key_hold_count", "canonical_count", "changed_count", "new_count", "previous_only_count", "reappeared_count", "updated_field_count", "single_variant_key_count", "multi_variant_key_count", "observed_variant_count", "exact_repeat_count", "record_absent", "field_absent", *_STATES]
+
+
+def _counters(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    return rows.select("dataset", *[counts.get(c, F.lit(0)).cast("long").alias(c) for c in COUNTERS])
+
+
+def summarize(counters: DataFrame) -> DataFrame:
+    return counters.groupBy("dataset").agg(*[F.sum(c).cast("long").alias(c) for c in COUNTERS])
+
+
+def merge_observations(observations: DataFrame, snapshots: int, daily: Column | None = None, preserve: Column | None = None) -> dict[str, DataFrame]:
+    """The merge of the observations of any number of datasets over snapshots, as tables by name, each with ``dataset``.
+
+    ``observations`` have ``dataset, canonical_key, snapshot_id, logical_order, export_observed_at, source_relative_path,
+    source_record_index`` and ``record``, a map of field to canonical JSON. ``daily`` and ``preserve`` tell which datasets have these rules.
 
     * ``conflicts``: keys that emit nothing: different records within a snapshot, or of several snapshots at one time; of ``daily`` datasets different ones at all.
     * ``variants``: of ``daily`` datasets that ``preserve`` them, all different records of a key instead.
     * ``canonical``: for all other keys the presence pattern, counts and ``raw_record``: of each field the last explicit value, or the last null or empty if there is none.
-    * ``field_provenance``: where each of these values is from.
+    * ``field_provenance``: where each of these values is from. ``patterns``: keys by presence pattern.
+    * ``provenance``: every observation of a merged key, its hash, its fields and what became of it: field_contributor, exact_duplicate or superseded_record.
     * ``holds``: rows without a key, and nulls and empties, with whether they came after a value.
-    * ``summary``: one row of counters.
+    * ``summary``: counters of each dataset.
     """
-    at = F.struct("logical_order", "snapshot_id", "source_relative_path", "source_record_index")
-    rows = observations.withColumn("signature", signature("record")).withColumn("at", at)
-    nameless = F.coalesce(F.col("canonical_key"), F.lit("")) == ""
-    keyed = rows.where(~nameless)
-    per_key = Window.partitionBy("canonical_key")
-    marks = keyed.select("canonical_key", "logical_order", "export_observed_at", "signature", "snapshot_id")
-
-    def differing(by: str, more, kind: str) -> DataFrame:
-        each = marks.groupBy("canonical_key", by).agg(F.min("signature").alias("lo"), F.max("signature").alias("hi"), F.min("snapshot_id").alias("a"), F.max("snapshot_id").alias("b"))
-        return each.where("lo <> hi").where(more).select("canonical_key", F.lit(kind).alias("conflict_type"), F.col(by).cast("string").alias("found_at"))
-
-    stops = differing("logical_order", "true", "divergent_duplicate_within_snapshot").union(differing("export_observed_at", "a <> b", "same_observation_time_different_value"))
-    sound = keyed.join(stops.select("canonical_key").distinct(), "canonical_key", "left_anti")
-    sound = sound.withColumn("several", F.min("signature").over(per_key) != F.max("signature").over(per_key))
-    apart = sound.where("several") if daily else sound.where("false")
-    variants = apart.groupBy("canonical_key", "signature").agg(F.count("*").alias("observation_count"), F.array_join(F.array_sort(F.collect_set("logical_order")).cast("array<string>"), ",").alias("snapshot_orders"), F.min_by("record", "at").alias("observed_value"))
-    if daily and not preserve:
-        stops = stops.union(apart.select("canonical_key", F.lit("same_stable_key_different_public_value"), F.lit(None).cast("string")).distinct())
-    merged = sound.where("not several") if daily else sound
-
-    fields = merged.select("canonical_key", "at", "snapshot_id", F.explode("record").alias("field_name", "value")).withColumn("parser_state", state("value"))
-    in_order = Window.partitionBy("canonical_key", "field_name").orderBy("at")
-    earlier = F.max((F.col("parser_state") == "explicit_value").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    fields = fields.withColumn("preserved", (F.col("parser_state") != "explicit_value") & (F.coalesce(earlier, F.lit(0)) == 1))
-    kept = fields.where("not preserved").withColumn("changed", F.coalesce(F.lag("value").over(in_order) != F.col("value"), F.lit(False)))
-    last = kept.groupBy("canonical_key", "field_name").agg(F.max_by(F.struct("value", "snapshot_id", "at"), "at").alias("last"), F.sum(F.col("changed").cast("long")).alias("updates"))
-    record = last.groupBy("canonical_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "last.value")))).alias("raw_record"), F.sum("updates").alias("updated_field_count"))
-    presence = merged.groupBy("canonical_key").agg(F.collect_set("logical_order").alias("orders"), F.count("*").cast("long").alias("source_observation_count"), (F.min("signature") != F.max("signature")).alias("changed"))
-    presence = coverage.flags(presence.withColumn("presence_pattern", coverage.pattern("orders", snapshots)).withColumn("source_snapshot_count", F.size("orders").cast("long")).drop("orders"))
-    canonical = presence.join(record, "canonical_key", "left")
-    quiet = fields.where("parser_state <> 'explicit_value'").select("canonical_key", "field_name", "snapshot_id", F.concat("parser_state", F.when(F.col("preserved"), "_preserved_previous").otherwise("_review_required")).alias("hold_type"), "at.source_record_index")
-    holds = rows.where(nameless).select(F.lit(None).cast("string").alias("canonical_key"), F.lit(None).cast("string").alias("field_name"), "snapshot_id", F.lit("null_stable_key").alias("hold_type"), "source_record_index").union(quiet)
-    counts = {"canonical_count": F.lit(True), "changed_count": F.col("changed"), "new_count": F.col("is_new"), "previous_only_count": F.col("is_previous_only"), "reappeared_count": F.col("is_reappeared")}
-    summary = canonical.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long").alias(name) for name, c in counts.items()], F.coalesce(F.sum("updated_field_count"), F.lit(0)).cast("long").alias("updated_field_count"), F.coalesce(F.sum("source_observation_count"), F.lit(0)).cast("long").alias("observation_count"))
-    return {
-        "canonical": canonical.select("canonical_key", "raw_record", "presence_pattern", "source_snapshot_count", "source_observation_count"), "conflicts": stops, "variants": variants, "holds": holds,
-        "field_provenance": last.select("canonical_key", "field_name", "last.snapshot_id", "last.at.logical_order", "last.at.source_relative_path", "last.at.source_record_index"), "summary": summary,
-    }
+    daily, preserve = (F.lit(False) if c is None else c for c in (daily, preserve))
+    out = merge_collapsed(collapse(observations), snapshots, daily, preserve)
+    nameless = observations.where(_nameless())
+    rows = _judged(_named(observations).where(~_nameless()), "signature", "signature", daily, preserve).where("outcome = 'merged'")
+
+    # within a snapshot the observations of a merged key are equal, so only the last of them can contribute
+    last = F.max("at").over(Window.partitionBy(*KEY, "logical_order")) == F.col("at")
+    same = F.count("*").over(Window.partitionBy(*KEY, "signature"))
+    told = rows.withColumns({"latest": last, "copies": same}).withColumn("field_presence", F.array_sort(F.map_keys("record")))
+    about = [*KEY, "at", "source_object_sha256", F.col("signature").alias("record_sha256"), "field_presence"] if "source_object_sha256" in rows.columns else [*KEY, "at", F.col("signature").alias("record_sha256"), "field_presence"]
+    per_field = Window.partitionBy(*KEY, "field_name")
+    chosen = F.coalesce(F.max(F.when(state("value") == "explicit_value", F.col("at"))).over(per_field), F.max("at").over(per_field))
+    fields = told.where("latest").select(*about, "copies", F.explode_outer("record").alias("field_name", "value")).withColumn("chosen", F.col("field_name").isNotNull() & (chosen == F.col("at")))
+    carried = [c for c in fields.columns if c not in (*KEY, "at", "field_name", "value", "chosen")]
+    used = fields.groupBy(*KEY, "at").agg(*[F.first(c).alias(c) for c in carried], F.bool_or("chosen").alias("contributes"))
+    disposition = F.when(F.col("contributes"), "field_contributor").when(F.col("copies") > 1, "exact_duplicate").otherwise("superseded_record")
+    told = used.withColumn("merge_disposition", disposition).drop("copies", "contributes").unionByName(told.where("NOT latest").select(*about).withColumn("merge_disposition", F.lit("exact_duplicate")))
+    places = ["at.snapshot_id", "at.logical_order", "at.source_relative_path", "at.source_record_index"]
+    provenance = told.select(*KEY, *places, *[c for c in told.columns if c not in (*KEY, "at")])
+
+    fields = rows.select(*KEY, "at", F.explode("record").alias("field_name", "value")).withColumn("parser_state", state("value"))
+    before = F.min(F.when(_explicit(), F.col("at"))).over(per_field) < F.col("at")
+    fields = fields.withColumn("preserved", F.coalesce(before, F.lit(False))).where(~_explicit())
+    quiet = fields.select(*KEY, "field_name", "at.snapshot_id", F.concat("parser_state", F.when(F.col("preserved"), "_preserved_previous").otherwise("_review_required")).alias("hold_type"), "at.source_relative_path", "at.source_record_index")
+    none = F.lit(None).cast("string")
+    holds = nameless.select("dataset", none.alias("canonical_key"), none.alias("field_name"), "snapshot_id", F.lit("null_stable_key").alias("hold_type"), "source_relative_path", "source_record_index").union(quiet)
+    seen = _counters(observations, {"observation_count": F.lit(1), "null_key_hold_count": _nameless().cast("long")})
+    return {**{k: v for k, v in out.items() if k != "counters"}, "provenance": provenance, "holds": holds, "summary": summarize(seen.union(out["counters"]))}
+
+
+def merge_dataset(observations: DataFrame, snapshots: int, daily: bool = False, preserve: bool = False) -> dict[str, DataFrame]:
+    """``merge_observations`` of a single dataset, without the column ``dataset``."""
+    out = merge_observations(observations.withColumn("dataset", F.lit("")), snapshots, F.lit(daily), F.lit(preserve))
+    return {name: df.drop("dataset") for name, df in out.items()}
 
 
 def field_states(observations: DataFrame, fields: list[str], record: str) -> DataFrame:

@@ -111,8 +111,8 @@ def merge_record_fields(spark, d):
 
 def _observations(spark, d) -> DataFrame:
     """Such records as observations of a dataset, some of them twice, some without a key, some different within a snapshot or at one time."""
-    s = _snapshots(spark, d).withColumn("i", F.explode(F.when((F.col("o_custkey") % 5 == 0) | (F.col("o_custkey") % 17 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    odd = (F.col("o_custkey") % 17 == 0) & (F.col("i") == 1)
+    s = _snapshots(spark, d).withColumn("i", F.explode(F.when((F.col("o_custkey") % 5 == 0) | (F.col("o_custkey") % 17 == 0), F.array(F.lit(10), F.lit(9))).otherwise(F.array(F.lit(10)))))
+    odd = (F.col("o_custkey") % 17 == 0) & (F.col("i") == 9)
     record = F.when(odd, F.map_concat("record", F.create_map(F.lit("more"), F.lit("1")))).otherwise(F.col("record"))
     key = identity.canonical_key("uds", [F.when(F.col("o_custkey") % 31 != 0, F.col("o_custkey"))])
     return s.select(key.alias("canonical_key"), F.concat(F.lit("s"), "snap").alias("snapshot_id"), F.col("snap").alias("logical_order"), F.when(F.col("o_custkey") % 13 == 0, "t").otherwise(F.concat(F.lit("t"), "snap")).alias("export_observed_at"), F.lit("DI/uds.json").alias("source_relative_path"), F.col("i").alias("source_record_index"), record.alias("record"))
@@ -147,6 +147,21 @@ def merge_summary(spark, d):
     return snapshot.merge_dataset(_observations(spark, d), 3)["summary"]
 
 
+def merge_daily_summary(spark, d):
+    """Counters of a dataset whose different records are kept as variants."""
+    return snapshot.merge_dataset(_observations(spark, d), 3, daily=True, preserve=True)["summary"].select("canonical_count", "single_variant_key_count", "multi_variant_key_count", "observed_variant_count", "exact_repeat_count", "null_key_hold_count", "observation_count")
+
+
+def merge_provenance(spark, d):
+    """Every observation of a merged key and what became of it; records of one snapshot are numbered as text, 10 before 9."""
+    out = snapshot.merge_dataset(_observations(spark, d), 3)["provenance"]
+    return out.select("canonical_key", "snapshot_id", "source_record_index", "record_sha256", F.array_join("field_presence", ",").alias("field_presence"), "merge_disposition")
+
+
+def merge_patterns(spark, d):
+    return snapshot.merge_dataset(_observations(spark, d), 3)["patterns"]
+
+
 def record_field_states(spark, d):
     return snapshot.field_states(_snapshots(spark, d), ["name", "memo", "load"], "record")
 
@@ -214,17 +229,17 @@ _SNAP = """
 _MERGE = (
     _SNAP
     + """,
-    n0 AS (SELECT *, unnest(CASE WHEN o_custkey % 5 = 0 OR o_custkey % 17 = 0 THEN [0, 1] ELSE [0] END) AS i FROM s),
+    n0 AS (SELECT *, unnest(CASE WHEN o_custkey % 5 = 0 OR o_custkey % 17 = 0 THEN [10, 9] ELSE [10] END) AS i FROM s),
     n AS (SELECT o_custkey AS c, CASE WHEN o_custkey % 31 <> 0 THEN 'uds:' || sha256('["' || o_custkey || '"]') END AS key, snap, i, CASE WHEN o_custkey % 13 = 0 THEN 't' ELSE 't' || snap END AS seen, '"' || (k % 5) || '"' AS name, CASE k % 3 WHEN 0 THEN '""' WHEN 1 THEN 'null' END AS memo,
-          CASE WHEN k % 4 = 0 THEN 'null' ELSE (k % 7)::VARCHAR END AS load, CASE WHEN o_custkey % 17 = 0 AND i = 1 THEN '1' END AS more FROM n0),
+          CASE WHEN k % 4 = 0 THEN 'null' ELSE (k % 7)::VARCHAR END AS load, CASE WHEN o_custkey % 17 = 0 AND i = 9 THEN '1' END AS more FROM n0),
     sg AS (SELECT *, concat_ws('|', name, coalesce(memo, '-'), load, coalesce(more, '-')) AS sig FROM n WHERE key IS NOT NULL),
     stops AS (SELECT key, 'divergent_duplicate_within_snapshot' AS conflict_type, snap::VARCHAR AS found_at FROM sg GROUP BY key, snap HAVING count(DISTINCT sig) > 1 UNION ALL SELECT key, 'same_observation_time_different_value', seen FROM sg GROUP BY key, seen HAVING count(DISTINCT sig) > 1 AND count(DISTINCT snap) > 1),
     ok AS (SELECT *, count(DISTINCT sig) OVER (PARTITION BY key) > 1 AS several FROM sg WHERE key NOT IN (SELECT key FROM stops)),
     fl AS (SELECT key, snap, i, 'name' AS field_name, name AS value FROM ok UNION ALL SELECT key, snap, i, 'memo', memo FROM ok WHERE memo IS NOT NULL UNION ALL SELECT key, snap, i, 'load', load FROM ok UNION ALL SELECT key, snap, i, 'more', more FROM ok WHERE more IS NOT NULL),
     fs AS (SELECT *, CASE WHEN value = 'null' THEN 'explicit_null' WHEN value = '""' THEN 'explicit_empty' ELSE 'explicit_value' END AS state FROM fl),
-    fp AS (SELECT *, state <> 'explicit_value' AND coalesce(bool_or(state = 'explicit_value') OVER (PARTITION BY key, field_name ORDER BY snap, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS preserved FROM fs),
-    kept AS (SELECT *, coalesce(lag(value) OVER (PARTITION BY key, field_name ORDER BY snap, i) <> value, false) AS changed FROM fp WHERE NOT preserved),
-    lst AS (SELECT key, field_name, arg_max(value, snap * 2 + i) AS value, arg_max(snap, snap * 2 + i) AS snap, arg_max(i, snap * 2 + i) AS i, sum(changed::INT) AS updates FROM kept GROUP BY ALL),
+    fp AS (SELECT *, state <> 'explicit_value' AND coalesce(bool_or(state = 'explicit_value') OVER (PARTITION BY key, field_name ORDER BY snap, i::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS preserved FROM fs),
+    kept AS (SELECT *, coalesce(lag(value) OVER (PARTITION BY key, field_name ORDER BY snap, i::VARCHAR) <> value, false) AS changed FROM fp WHERE NOT preserved),
+    lst AS (SELECT key, field_name, arg_max(value, snap * 2 + (i = 9)::INT) AS value, arg_max(snap, snap * 2 + (i = 9)::INT) AS snap, arg_max(i, snap * 2 + (i = 9)::INT) AS i, sum(changed::INT) AS updates FROM kept GROUP BY ALL),
     pr AS (SELECT key, string_agg(CASE WHEN has THEN '1' ELSE '0' END, '' ORDER BY x) AS pat, count(*) FILTER (WHERE has) AS snaps FROM (SELECT key, x, bool_or(snap = x) AS has FROM ok, range(1, 4) t(x) GROUP BY ALL) GROUP BY key),
     ct AS (SELECT key, count(*) AS obs, bool_or(several) AS changed FROM ok GROUP BY key)"""
 )
@@ -247,8 +262,20 @@ SQL = {
     "merge_variants": f"WITH {_MERGE} SELECT key AS canonical_key, count(*)::BIGINT AS observation_count, string_agg(DISTINCT snap::VARCHAR, ',' ORDER BY snap::VARCHAR) AS snapshot_orders, min(name) AS name FROM ok WHERE several GROUP BY key, sig",
     "merge_holds": f"""WITH {_MERGE} SELECT hold_type, field_name, 's' || snap AS snapshot_id, count(*)::BIGINT AS hold_count FROM (SELECT 'null_stable_key' AS hold_type, NULL AS field_name, snap FROM n WHERE key IS NULL UNION ALL SELECT state || CASE WHEN preserved THEN '_preserved_previous' ELSE '_review_required' END, field_name, snap FROM fp WHERE state <> 'explicit_value') GROUP BY ALL""",
     "merge_field_provenance": f"WITH {_MERGE} SELECT key AS canonical_key, field_name, 's' || snap AS snapshot_id, i AS source_record_index FROM lst",
-    "merge_summary": f"""WITH {_MERGE} SELECT count(*)::BIGINT AS canonical_count, count(*) FILTER (WHERE changed)::BIGINT AS changed_count, count(*) FILTER (WHERE regexp_matches(pat, '^0*1$'))::BIGINT AS new_count, count(*) FILTER (WHERE pat LIKE '%0')::BIGINT AS previous_only_count, count(*) FILTER (WHERE regexp_matches(pat, '10+1'))::BIGINT AS reappeared_count,
-        (SELECT sum(updates) FROM lst)::BIGINT AS updated_field_count, sum(obs)::BIGINT AS observation_count FROM pr JOIN ct USING (key)""",
+    "merge_summary": f"""WITH {_MERGE}, u AS (SELECT key, count(DISTINCT field_name) AS universe FROM fl GROUP BY 1), c AS (SELECT count(*)::BIGINT AS canonical_count, count(*) FILTER (WHERE changed)::BIGINT AS changed_count, count(*) FILTER (WHERE regexp_matches(pat, '^0*1$'))::BIGINT AS new_count, count(*) FILTER (WHERE pat LIKE '%0')::BIGINT AS previous_only_count, count(*) FILTER (WHERE regexp_matches(pat, '10+1'))::BIGINT AS reappeared_count,
+        count(*) FILTER (WHERE NOT changed)::BIGINT AS single_variant_key_count, 0::BIGINT AS multi_variant_key_count, count(*) FILTER (WHERE NOT changed)::BIGINT AS observed_variant_count, coalesce(sum(obs - 1) FILTER (WHERE NOT changed), 0)::BIGINT AS exact_repeat_count, sum(3 - snaps)::BIGINT AS record_absent, sum(obs * universe)::BIGINT AS cells FROM pr JOIN ct USING (key) JOIN u USING (key))
+        SELECT * EXCLUDE (cells), cells - (SELECT count(*) FROM fs)::BIGINT AS field_absent, (SELECT count(*) FROM n)::BIGINT AS observation_count, (SELECT count(*) FROM n WHERE key IS NULL)::BIGINT AS null_key_hold_count, (SELECT sum(updates) FROM lst)::BIGINT AS updated_field_count,
+        (SELECT count(*) FROM fs WHERE state = 'explicit_value')::BIGINT AS explicit_value, (SELECT count(*) FROM fs WHERE state = 'explicit_null')::BIGINT AS explicit_null, (SELECT count(*) FROM fs WHERE state = 'explicit_empty')::BIGINT AS explicit_empty FROM c""",
+    "merge_daily_summary": f"""WITH {_MERGE}, k AS (SELECT key, any_value(several) AS several, count(DISTINCT sig) AS sigs, count(*) AS obs FROM ok GROUP BY 1)
+        SELECT count(*) FILTER (WHERE NOT several)::BIGINT AS canonical_count, count(*) FILTER (WHERE NOT several)::BIGINT AS single_variant_key_count, count(*) FILTER (WHERE several)::BIGINT AS multi_variant_key_count, sum(sigs)::BIGINT AS observed_variant_count, sum(obs - sigs)::BIGINT AS exact_repeat_count, (SELECT count(*) FROM n WHERE key IS NULL)::BIGINT AS null_key_hold_count, (SELECT count(*) FROM n)::BIGINT AS observation_count FROM k""",
+    "merge_provenance": f"""WITH {_MERGE}, s2 AS (SELECT *, count(*) OVER (PARTITION BY key, sig) AS copies FROM ok),
+        used AS (SELECT DISTINCT key, snap, i FROM lst)
+        SELECT s2.key AS canonical_key, 's' || s2.snap AS snapshot_id, s2.i AS source_record_index,
+            sha256('{{"load":' || load || CASE WHEN memo IS NULL THEN '' ELSE ',"memo":' || memo END || CASE WHEN more IS NULL THEN '' ELSE ',"more":1' END || ',"name":' || name || '}}') AS record_sha256,
+            concat_ws(',', 'load', CASE WHEN memo IS NOT NULL THEN 'memo' END, CASE WHEN more IS NOT NULL THEN 'more' END, 'name') AS field_presence,
+            CASE WHEN used.key IS NOT NULL THEN 'field_contributor' WHEN copies > 1 THEN 'exact_duplicate' ELSE 'superseded_record' END AS merge_disposition
+        FROM s2 LEFT JOIN used ON used.key = s2.key AND used.snap = s2.snap AND used.i = s2.i""",
+    "merge_patterns": f"WITH {_MERGE} SELECT pat AS presence_pattern, count(*)::BIGINT AS key_count FROM pr GROUP BY 1",
     "unique_key_set": "SELECT o_orderkey FROM orders",
     "provenance_outside": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
     "digest_binding": "SELECT l_suppkey, s_name, count(*)::BIGINT AS row_count FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2",
