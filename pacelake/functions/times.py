@@ -41,19 +41,26 @@ def calendar_date(text: Column) -> Column:
     return F.when(text.rlike(r"^-?\d+$") & (F.length(text) != 10), utc_day(text.try_cast("long"))).otherwise(day)
 
 
-def observation_timestamp(text: Column, is_number: Column, named_utc: bool = False) -> tuple[Column, Column]:
-    """Value and semantics of a source timestamp; naive texts stay naive unless the field is named UTC or GMT."""
-    iso = F.regexp_replace(text, "Z$", "+00:00")
-    aware = iso.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?[+-]\d{2}:?\d{2}$")
-    naive = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$") & text.try_cast("timestamp_ntz").isNotNull()
-
-    def utc(t: Column) -> Column:
-        return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros(t) % 1_000_000 != 0, F.date_format(t, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
-
-    as_ms, as_aware = F.timestamp_millis(text.try_cast("double").try_cast("long")), iso.try_cast("timestamp")
-    value = F.when(is_number, utc(as_ms)).when(aware & as_aware.isNotNull(), utc(as_aware)).when(naive, utc(text.try_cast("timestamp")) if named_utc else text)
-    semantics = (
-        F.when(text.isNull() | (F.trim(text) == ""), "MISSING").when(is_number, "EPOCH_MILLISECONDS_UTC").when(aware & as_aware.isNotNull(), "EXPLICIT_OFFSET_UTC_NORMALIZED")
-        .when(naive, "SOURCE_FIELD_NAMED_UTC_OR_GMT" if named_utc else "NAIVE_ISO8601_TIMEZONE_UNCONFIRMED").otherwise("INVALID")
-    )
-    return value, semantics
+# What is known of the time zone of an observation.
+MISSING, INVALID, NAIVE, NAMED_UTC, EPOCH, OFFSET_UTC = "MISSING", "INVALID", "NAIVE_ISO8601_TIMEZONE_UNCONFIRMED", "SOURCE_FIELD_NAMED_UTC_OR_GMT", "EPOCH_MILLISECONDS_UTC", "EXPLICIT_OFFSET_UTC_NORMALIZED"
+
+
+def _iso(t: Column, zone: str) -> Column:
+    """ISO-8601 of a UTC timestamp, microseconds only where they aren't zero."""
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros(t) % 1_000_000 != 0, F.date_format(t, ".SSSSSS")).otherwise(""), F.lit(zone))
+
+
+def observation_timestamp(text: Column, is_number: Column, named_utc: bool = False, utc: str = "Z") -> tuple[Column, Column]:
+    """Value and semantics of a source timestamp. Instants end in ``utc``; naive texts stay naive, written alike, unless the field is named UTC or GMT.
+
+    The session's time zone must be UTC.
+    """
+    trimmed = F.trim(text)
+    iso = F.regexp_replace(trimmed, "Z$", "+00:00")
+    aware = iso.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?[+-]\d{2}:?\d{2}$")
+    naive = trimmed.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$")
+    as_ms = F.timestamp_millis(text.try_cast("double").try_cast("long"))
+    as_aware, as_naive = F.when(aware, iso.try_cast("timestamp")), F.when(naive, trimmed.try_cast("timestamp_ntz")).cast("timestamp")
+    value = F.when(is_number, _iso(as_ms, utc)).when(as_aware.isNotNull(), _iso(as_aware, utc)).when(as_naive.isNotNull(), _iso(as_naive, utc if named_utc else ""))
+    known = F.when(as_aware.isNotNull(), OFFSET_UTC).when(as_naive.isNotNull(), NAMED_UTC if named_utc else NAIVE).otherwise(INVALID)
+    return value, F.when(text.isNull() | (trimmed == ""), MISSING).when(is_number, EPOCH).otherwise(known)

@@ -23,7 +23,7 @@ def source_rows(assets: DataFrame, suffix: str, kind: str) -> DataFrame:
 
 
 def _instant(json: Column) -> Column:
-    return times.observation_timestamp(coerce.any_text(json), coerce.is_number(json), named_utc=True)[0]
+    return times.observation_timestamp(coerce.any_text(json), coerce.is_number(json), named_utc=True, utc="+00:00")[0]
 
 
 def _trimmed(json: Column) -> Column:

@@ -311,15 +311,15 @@ SQL = {
             WHEN abs(x - y) <= 1e-9 THEN 'same_date_value_match' ELSE 'same_date_value_difference' END AS consistency_status FROM a FULL JOIN b ON a.date = b.date""",
     "dataset_hill_score": f"WITH {_DAYS} SELECT d AS calendar_date, n AS overall_score, k % 100 AS strength_score, CASE WHEN k % 2 = 1 THEN n ELSE -1 END AS endurance_score, (-1)::BIGINT AS classification_id, (-1)::BIGINT AS feedback_phrase_id FROM dd WHERE {_BAD} AND k % 13 <> 0",
     "dataset_endurance_score": f"WITH {_DAYS} SELECT d AS calendar_date, n + 0.5::DOUBLE AS overall_score, n::DOUBLE AS classification, (-1)::DOUBLE AS feedback_phrase FROM dd WHERE {_BAD} AND k % 13 <> 0",
-    "dataset_race_prediction": f"WITH {_DAYS} SELECT d AS calendar_date, d || 'T01:00:00.0' AS observation_timestamp, (k % 1000)::DOUBLE AS race_time_5k_sec, 3100::DOUBLE AS race_time_10k_sec, 7000::DOUBLE AS race_time_half_sec, (15000 + n)::DOUBLE AS race_time_marathon_sec FROM dd WHERE {_BAD} AND k % 17 <> 0 AND k % 1000 > 0",
+    "dataset_race_prediction": f"WITH {_DAYS} SELECT d AS calendar_date, d || 'T01:00:00' AS observation_timestamp, (k % 1000)::DOUBLE AS race_time_5k_sec, 3100::DOUBLE AS race_time_10k_sec, 7000::DOUBLE AS race_time_half_sec, (15000 + n)::DOUBLE AS race_time_marathon_sec FROM dd WHERE {_BAD} AND k % 17 <> 0 AND k % 1000 > 0",
     "dataset_race_excluded": f"""WITH {_DAYS}, e AS (SELECT CASE WHEN k % 29 = 0 THEN 'missing_or_invalid_calendar_date' WHEN k % 3 = 0 THEN 'missing_or_invalid_observation_timestamp' WHEN k % 5 = 0 THEN 'missing_or_invalid_race_prediction' END AS exclusion_reason, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS w FROM dd)
         SELECT exclusion_reason, sum(w)::BIGINT AS row_count FROM e WHERE exclusion_reason IS NOT NULL GROUP BY 1""",
-    "dataset_acute_load": f"""WITH {_DAYS} SELECT d AS calendar_date, strftime(make_timestamp(({_EPOCH} + k * 1000) * 1000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS observation_timestamp, n::DOUBLE AS acwr_percent, CASE WHEN k % 3 <> 0 THEN 'OPTIMAL' END AS acwr_status, n * 10::DOUBLE AS daily_training_load_acute,
+    "dataset_acute_load": f"""WITH {_DAYS} SELECT d AS calendar_date, strftime(make_timestamp(({_EPOCH} + k * 1000) * 1000), '%Y-%m-%dT%H:%M:%S') || 'Z' AS observation_timestamp, n::DOUBLE AS acwr_percent, CASE WHEN k % 3 <> 0 THEN 'OPTIMAL' END AS acwr_status, n * 10::DOUBLE AS daily_training_load_acute,
         CASE WHEN k % 5 <> 0 THEN 100::DOUBLE END AS daily_training_load_chronic, n / 4::DOUBLE AS daily_acute_chronic_workload_ratio FROM dd WHERE {_BAD}""",
-    "dataset_readiness": f"""WITH {_DAYS} SELECT d AS calendar_date, d || 'T03:00:00+00:00' AS observation_timestamp, n::DOUBLE AS training_readiness_score, 'HIGH' AS training_readiness_level, (-1)::DOUBLE AS training_readiness_recovery_time,
+    "dataset_readiness": f"""WITH {_DAYS} SELECT d AS calendar_date, d || 'T03:00:00Z' AS observation_timestamp, n::DOUBLE AS training_readiness_score, 'HIGH' AS training_readiness_level, (-1)::DOUBLE AS training_readiness_recovery_time,
         CASE WHEN k % 2 = 0 THEN 'true' WHEN k % 3 = 0 THEN NULL ELSE 'false' END AS training_readiness_valid_sleep, (k % 100)::DOUBLE AS training_readiness_sleep_score, (-1)::DOUBLE AS training_readiness_acute_load FROM dd WHERE {_BAD}""",
-    "dataset_history": f"WITH {_DAYS} SELECT d AS calendar_date, d || 'T00:30:00+00:00' AS observation_timestamp, 'S' || n AS training_status, 'RUNNING' AS sport FROM dd WHERE {_BAD} AND k % 7 <> 0",
-    "dataset_vo2max": f"""WITH {_DAYS} SELECT d AS calendar_date, CASE WHEN k % 2 = 0 THEN 'activity_vo2max_daily' ELSE 'performance_metrics_daily' END AS vo2max_source_series, 'RUNNING' AS sport, CASE WHEN k % 2 = 0 THEN d || 'T10:00:00+00:00' ELSE d || 'T11:00:00' END AS observation_timestamp,
+    "dataset_history": f"WITH {_DAYS} SELECT d AS calendar_date, d || 'T00:30:00Z' AS observation_timestamp, 'S' || n AS training_status, 'RUNNING' AS sport FROM dd WHERE {_BAD} AND k % 7 <> 0",
+    "dataset_vo2max": f"""WITH {_DAYS} SELECT d AS calendar_date, CASE WHEN k % 2 = 0 THEN 'activity_vo2max_daily' ELSE 'performance_metrics_daily' END AS vo2max_source_series, 'RUNNING' AS sport, CASE WHEN k % 2 = 0 THEN d || 'T10:00:00Z' ELSE d || 'T11:00:00' END AS observation_timestamp,
         (n + 40)::DOUBLE AS vo2max, k AS source_activity_id, n::DOUBLE AS max_met FROM dd WHERE {_BAD} AND k % 5 <> 0 AND k % 7 <> 0""",
     "dataset_uds": f"""WITH {_DAYS} SELECT d AS calendar_date, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN n * 100 ELSE n END::DOUBLE AS steps, n + 0.5::DOUBLE AS distance_meters, n::DOUBLE AS active_calories, CASE WHEN k % 3 <> 0 THEN n + 50::DOUBLE END AS resting_heart_rate,
         CASE WHEN k % 2 = 0 THEN n::DOUBLE END AS bb_charged_value, (-1)::DOUBLE AS bb_drained_value, CASE WHEN k % 2 = 0 THEN n::DOUBLE END AS "stress_total_averageStressLevel", k % 2 = 0 AS raw_has_body_battery, k % 2 = 0 AS raw_has_all_day_stress FROM dd""",
