@@ -1,7 +1,7 @@
 """Packing of tokenized documents into sequences by bounded-space online best-fit.
 
-A task tokenizes texts and cuts those over the capacity into pieces; equal words of a few megabytes are
-tokenized once.  Then each task takes its pieces in turn: a fixed number of bins is open, a bitset
+A task tokenizes texts and cuts those over the capacity into pieces; equal words, or parts of them that
+are tokenized alike wherever they stand, are tokenized once.  Then each task takes its pieces in turn: a fixed number of bins is open, a bitset
 tells which amounts of free space occur, and a piece goes where the least space stays free.
 Where too many bins are open, the fullest closes.
 
@@ -39,20 +39,48 @@ FAN = 16
 CHUNK = 4 << 20
 #: Words whose ids a task remembers.
 WORDS = 1 << 20
+#: Words that are tokenized as one text.
+JOINED = 10_000
 #: Rows of a batch that a task returns.
 BATCH = 10_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: What a byte is: 0 white space, 1 a letter A-Z or a-z, 2 a digit, 3 another sign, 4 any that may belong with its neighbours.
+_KIND = np.array([0 if space else 4 if i > 127 or chr(i) in "'<|>" else 1 if chr(i).isalpha() else 2 if chr(i).isdigit() else 3 for i, space in enumerate(tb.IS_SPACE)], dtype=np.uint8)
+
+
+def _parted(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every part of a word that is tokenized alike wherever it stands, and the number of parts before each text.
+
+    Words end at white space; within them ASCII letters, single digits and other ASCII signs part from each other, but for signs of contractions and special tokens.
+    """
+    if not len(buf):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
+    kind = _KIND[buf]
+    opens = kind > 0
+    new = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    opens[1:] &= (kind[:-1] == 0) | (new & (kind[1:] < 4) & (kind[:-1] < 4))
+    first = offsets[1:-1]
+    first = first[first < len(buf)]
+    opens[first] = kind[first] > 0
+    closes = kind > 0
+    closes[:-1] &= (kind[1:] == 0) | opens[1:]
+    start = np.flatnonzero(opens)
+    return start, np.flatnonzero(closes) + 1, np.searchsorted(start, offsets)
+
+
 class Words:
-    """The ids of words, each tokenized once. No word boundary of the tokenizer depends on what stands beyond white space."""
+    """The ids of parts of words, each tokenized once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.final = np.zeros(max(self.model.get_vocab().values()) + 1, dtype=bool)
+        self.final[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -60,25 +88,41 @@ class Words:
         self.place = np.zeros(0, dtype=np.int64)
         self.ends, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their number of words of ASCII letters only: joined by spaces, the last token of each is marked as such."""
+        found = self.model.encode_batch_fast([" ".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found]) if found else np.zeros(0, dtype=np.uint32)
+        ends = np.flatnonzero(self.final[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else None
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64)
+
+    def _learn(self, h: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        raw = buf.tobytes()
+        other = np.concatenate(([0], np.cumsum(_KIND[buf] != 1)))
+        plain = other[end] == other[start]
+        for some, take in ((np.flatnonzero(plain), self._letters), (np.flatnonzero(~plain), self._singly)):
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[some].tolist(), end[some].tolist())]
+            if words:
+                ids, sizes = take(words) or self._singly(words)
+                self.hashes, self.place = np.concatenate((self.hashes, h[some])), np.concatenate((self.place, len(self.ends) - 1 + np.arange(len(words))))
+                self.flat, self.ends = np.concatenate((self.flat, ids)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        order = np.argsort(self.hashes)
+        self.hashes, self.place = self.hashes[order], self.place[order]
+
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where those of each text end (with a 0 in front)."""
-        start, end, before = tb.words(buf, offsets)
+        start, end, before = _parted(buf, offsets)
         if not len(start):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
         h, first, which = np.unique(tb.span_hashes(tb.prefix_sums(buf), start, end), return_index=True, return_inverse=True)
         if len(self.hashes) > WORDS:
             self._forget()
-        new = np.flatnonzero(~np.isin(h, self.hashes, assume_unique=True))
-        if len(new):
-            raw = buf.tobytes()
-            found = self.model.encode_batch([raw[start[i] : end[i]].decode("utf-8", "replace") for i in first[new]], add_special_tokens=False)
-            sizes = np.array([len(e) for e in found], dtype=np.int64)
-            place = len(self.ends) - 1 + np.arange(len(new))
-            self.flat = np.concatenate([self.flat, *(np.array(e.ids, dtype=np.uint32) for e in found)])
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
-            self.hashes, self.place = np.concatenate((self.hashes, h[new])), np.concatenate((self.place, place))
-            order = np.argsort(self.hashes)
-            self.hashes, self.place = self.hashes[order], self.place[order]
+        new = ~np.isin(h, self.hashes, assume_unique=True)
+        if new.any():
+            self._learn(h[new], buf, start[first[new]], end[first[new]])
         word = self.place[np.searchsorted(self.hashes, h)][which]
         size = self.ends[word + 1] - self.ends[word]
         ends = np.concatenate(([0], np.cumsum(size)))
@@ -130,7 +174,7 @@ def _cut(words: Words, column: pa.Array, capacity: int) -> Iterator[tuple[np.nda
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``, and ``ids`` if asked for: the ids of each text and a closing 0, cut into pieces of ``capacity``.
 
-    ``path`` is a file of the tokenizers library, whose words must end at white space. A null text counts as empty, which is one piece with the closing 0 only.
+    ``path`` is a file of the tokenizers library that parts words as ``word_bpe_49k.json`` does: at white space, and between letters, digits and other signs. A null text counts as empty, which is one piece with the closing 0 only.
     Rows with a null doc_id, and repeated ones, are cut like others. Other columns are ignored.
     """
 

@@ -230,3 +230,18 @@ def test_columns_of_the_queries(spark):
 
     packed = op13_packing(spark, "/root/testdata/sf0.001")
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and packed.agg(F.countDistinct("doc_id")).first()[0] == 200
+
+
+def test_parts_of_words_are_tokenized_as_in_whole_texts(tokenizer):
+    """Texts of signs that may belong with their neighbours: contractions, digits, special tokens, combining and unusual spaces."""
+    import random
+
+    import pyarrow as pa
+
+    dice = random.Random(9)
+    signs = [*"abzAZ019.,;:!?'\"<>|-_/\\()[]{}#*&%$@~^`=+ \n\t\x00\x7f", "é", "é", "́", "̸", "漢", " ", "​", "　", "İ", "K", "ß", "'s", "'ll", "'RE", "<|endoftext|>", "½", "٣", "ﬁ", "Σ", "🙂", "\x85", "\x1c"]
+    rows = ["".join(dice.choice(signs) for _ in range(dice.choice([0, 1, 3, 10, 60]))) for _ in range(4000)]
+    words = packing.Words(TOKENIZER)
+    for row, _, _, ids, cuts in packing._cut(words, pa.array(rows), 1 << 30):
+        for k, i in enumerate(row):
+            assert ids[cuts[k] : cuts[k + 1]].tolist() == [*tokenizer.encode(rows[i], add_special_tokens=False).ids, 0], rows[i]
