@@ -35,6 +35,8 @@ SLACK = 32
 ANCHORS = 512
 #: Bytes of vectors in a block, and rows at most.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
+#: Counts that a task adds up before it passes them on.
+COUNTS = 1 << 20
 #: Products that a task holds.
 PRODUCTS = 1 << 20
 
@@ -152,6 +154,30 @@ def _scored(batches: Iterator[pa.RecordBatch], same: bool) -> Iterator[tuple[dic
                         yield w, line[first:end], found[first:end]
 
 
+def _summed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(window, digit, n) with the counts of several blocks added up before they leave the task."""
+    held, size = [], 0
+
+    def total() -> tuple:
+        window, digit, n = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((digit, window))
+        window, digit, n = window[order], digit[order], n[order]
+        new = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1]) | (digit[1:] != digit[:-1]))))
+        return window[new], digit[new], np.add.reduceat(n, new)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[0])
+        if size >= COUNTS:
+            held = [total()]
+            size = len(held[0][0])
+            if size >= COUNTS // 2:
+                yield held[0]
+                held, size = [], 0
+    if size:
+        yield total()
+
+
 def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Arrays of equal length, some thousand rows at a time."""
     held, size = [], 0
@@ -177,7 +203,7 @@ def _histograms(same: bool):
             digit, n = np.unique(bucket[: w["need"] + SLACK + 1], return_counts=True)
             yield np.full(len(digit), w["window"]), digit, n.astype(np.int64)
 
-    return lambda batches: _batches(counts(batches), ["window", "digit", "n"])
+    return lambda batches: _batches(_summed(counts(batches)), ["window", "digit", "n"])
 
 
 def _members(same: bool):
