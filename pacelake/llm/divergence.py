@@ -27,7 +27,7 @@ UNIT = 1_000_000_000
 #: Terms of a group that are listed.
 TOP = 10
 #: Bytes of text that are counted at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Counts of a block of terms, zeros included.
 CELLS = 1 << 22
 
