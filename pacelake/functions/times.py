@@ -64,3 +64,20 @@ def observation_timestamp(text: Column, is_number: Column, named_utc: bool = Fal
     value = F.when(is_number, _iso(as_ms, utc)).when(as_aware.isNotNull(), _iso(as_aware, utc)).when(as_naive.isNotNull(), _iso(as_naive, utc if named_utc else ""))
     known = F.when(as_aware.isNotNull(), OFFSET_UTC).when(as_naive.isNotNull(), NAMED_UTC if named_utc else NAIVE).otherwise(INVALID)
     return value, F.when(text.isNull() | (trimmed == ""), MISSING).when(is_number, EPOCH).otherwise(known)
+
+
+def bound(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` refers to it; plans stay small where such steps are nested and filters are pushed through them."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def moment(json: Column, named_utc: Column | bool = False, utc: str = "Z") -> Column:
+    """The value of ``observation_timestamp`` of canonical JSON text; ``named_utc`` may differ by row."""
+    from pacelake.functions import coerce
+
+    def read(v: Column) -> Column:
+        as_utc, as_is = (observation_timestamp(v["text"], v["number"], flag, utc)[0] for flag in (True, False))
+        return F.when(v["utc"], as_utc).otherwise(as_is)
+
+    flag = F.lit(named_utc) if isinstance(named_utc, bool) else named_utc
+    return bound(json, lambda j: bound(F.struct(coerce.any_text(j).alias("text"), coerce.is_number(j).alias("number"), F.coalesce(flag, F.lit(False)).alias("utc")), read))

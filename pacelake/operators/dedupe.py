@@ -6,7 +6,7 @@ Rows are counted per distinct value first, so a hot key is combined before it is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,17 @@ def sound(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return each.select(*keys, one.alias("__lo")).select(*keys, *[F.col("__lo")[c].alias(c) for c in fields])
 
 
+def reviewed(df: DataFrame, keys: list[str], fields: list[str], provenance: list[str], review: dict[str, Column]) -> DataFrame:
+    """One row for each key with ``review_required``. Where the rows of a key differ in ``provenance``, that is the row ``review`` instead of any of them,
+    without a winner; where they differ in ``fields`` only, the job that reads it fails. Neither nulls nor repeats count as differences."""
+    lo, hi = (f(F.struct(*fields)) for f in (F.min, F.max))
+    from_lo, from_hi = (f(F.struct(*provenance)) for f in (F.min, F.max))
+    each = df.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"), (~from_lo.eqNullSafe(from_hi)).alias("review_required"))
+    failed = F.raise_error(F.lit(f"dedupe conflict: a key over {', '.join(keys)} has different rows"))
+    one = F.when(F.col("review_required"), F.struct(*[review[c].alias(c) if c in review else F.col("__lo")[c].alias(c) for c in fields])).when(F.col("__lo").eqNullSafe(F.col("__hi")), F.col("__lo")).otherwise(failed)
+    return each.select(*keys, one.alias("__lo"), "review_required").select(*keys, *[F.col("__lo")[c].alias(c) for c in fields], "review_required")
+
+
 def finalize(df: DataFrame, keys: list[str], fields: list[str], preserve_variants: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Canonical rows, variants and counters. Without ``preserve_variants`` a divergent key fails the job that reads the rows."""
     return (canonical if preserve_variants else sound)(df, keys, fields), variants(df, keys, fields), audit(df, keys, fields)

@@ -160,7 +160,7 @@ def merge_collapsed(each: DataFrame, snapshots: int, daily: Column, preserve: Co
     of_variants = {"multi_variant_key_count": one, "observed_variant_count": F.col("variants"), "exact_repeat_count": F.col("n") - F.col("variants")}
     return {
         "canonical": keys.select(*KEY, "raw_record", "presence_pattern", "source_snapshot_count", "source_observation_count"), "conflicts": stops, "variants": variants, "field_provenance": provenance,
-        "patterns": keys.groupBy("dataset", "presence_pattern").agg(F.count("*").alias("key_count")), "counters": _counters(keys, of_keys).union(_counters(per_variant, of_variants)),
+        "patterns": keys.groupBy("dataset", "presence_pattern").agg(F.count("*").alias("key_count")), "counters": counters(keys, of_keys).union(counters(per_variant, of_variants)),
     }
 
 
@@ -168,7 +168,7 @@ _STATES = ["explicit_value", "explicit_null", "explicit_empty"]
 COUNTERS = ["observation_count", "null_key_hold_count", "canonical_count", "changed_count", "new_count", "previous_only_count", "reappeared_count", "updated_field_count", "single_variant_key_count", "multi_variant_key_count", "observed_variant_count", "exact_repeat_count", "record_absent", "field_absent", *_STATES]
 
 
-def _counters(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
+def counters(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
     return rows.select("dataset", *[counts.get(c, F.lit(0)).cast("long").alias(c) for c in COUNTERS])
 
 
@@ -216,7 +216,7 @@ def merge_observations(observations: DataFrame, snapshots: int, daily: Column |
     quiet = fields.select(*KEY, "field_name", "at.snapshot_id", F.concat("parser_state", F.when(F.col("preserved"), "_preserved_previous").otherwise("_review_required")).alias("hold_type"), "at.source_relative_path", "at.source_record_index")
     none = F.lit(None).cast("string")
     holds = nameless.select("dataset", none.alias("canonical_key"), none.alias("field_name"), "snapshot_id", F.lit("null_stable_key").alias("hold_type"), "source_relative_path", "source_record_index").union(quiet)
-    seen = _counters(observations, {"observation_count": F.lit(1), "null_key_hold_count": _nameless().cast("long")})
+    seen = counters(observations, {"observation_count": F.lit(1), "null_key_hold_count": _nameless().cast("long")})
     return {**{k: v for k, v in out.items() if k != "counters"}, "provenance": provenance, "holds": holds, "summary": summarize(seen.union(out["counters"]))}
 
 

@@ -85,8 +85,7 @@ def daily(assets: DataFrame, name: str, preserve: bool = False) -> Normalized:
     cols = [_day(d.dates).alias("calendar_date")]
     rules = [("calendar_date is null", "missing_or_invalid_calendar_date")]
     if d.timestamp:
-        value, _ = times.observation_timestamp(coerce.any_text(raw(d.timestamp)), coerce.is_number(raw(d.timestamp)))
-        cols.append(value.alias("observation_timestamp"))
+        cols.append(times.moment(raw(d.timestamp)).alias("observation_timestamp"))
         rules.append(("observation_timestamp is null", "missing_or_invalid_observation_timestamp"))
     cols += [_KINDS[kind](raw(source)).alias(target) for target, source, kind in d.fields]
     return finish(rows.select(*cols), d.key, rules + d.required, preserve)
@@ -96,10 +95,11 @@ def vo2max(assets: DataFrame, preserve: bool = False) -> Normalized:
     rows = _rows(assets, "vo2max", lambda v, names=tuple(wrappers.WRAPPERS["daily"]): wrappers.unwrap(v, list(names)))
     metrics = F.lower(F.regexp_extract("provenance_path", r"([^/!]*)$", 1)).startswith("metricsmaxmetdata")
     series = F.coalesce(coerce.text(raw("vo2MaxSourceSeries")), F.when(metrics, "performance_metrics_daily").otherwise("activity_vo2max_daily"))
-    activity, _ = times.observation_timestamp(coerce.any_text(raw("timestampGmt")), coerce.is_number(raw("timestampGmt")), named_utc=True)
-    updated, _ = times.observation_timestamp(coerce.any_text(raw("updateTimestamp")), coerce.is_number(raw("updateTimestamp")))
-    other, _ = times.observation_timestamp(coerce.any_text(raw("observationTimestamp")), coerce.is_number(raw("observationTimestamp")))
-    cols = [_day(("calendarDate",)).alias("calendar_date"), series.alias("vo2max_source_series"), coerce.text(raw("sport")).alias("sport"), F.coalesce(F.when(series == "activity_vo2max_daily", activity).otherwise(updated), other).alias("observation_timestamp")]
+    by_activity = series == "activity_vo2max_daily"
+    there = lambda n: F.coalesce(~raw(n).isin("null", '""'), F.lit(False))
+    chosen = F.when(by_activity & there("timestampGmt"), raw("timestampGmt")).when(~by_activity & there("updateTimestamp"), raw("updateTimestamp")).otherwise(raw("observationTimestamp"))
+    moment = times.moment(chosen, by_activity & there("timestampGmt"))
+    cols = [_day(("calendarDate",)).alias("calendar_date"), series.alias("vo2max_source_series"), coerce.text(raw("sport")).alias("sport"), moment.alias("observation_timestamp")]
     cols += [coerce.number(raw("vo2MaxValue")).alias("vo2max"), coerce.integer(raw("activityId")).alias("source_activity_id"), F.lit(None).cast("string").alias("source_confidence"), coerce.number(raw("maxMet")).alias("max_met"), coerce.text(raw("maxMetCategory")).alias("max_met_category"), coerce.number(raw("calibratedData")).alias("calibrated_data")]
     rules = [("calendar_date is null", "missing_or_invalid_calendar_date"), ("observation_timestamp is null", "missing_or_invalid_observation_timestamp"), ("vo2max is null", "missing_or_invalid_vo2max"), ("sport is null", "missing_sport_for_stable_key")]
     return finish(rows.select(*cols), ["calendar_date", "vo2max_source_series", "sport", "observation_timestamp"], rules, preserve)
@@ -123,34 +123,50 @@ def uds(assets: DataFrame, preserve: bool = False) -> Normalized:
     return finish(rows.select(*cols), ["calendar_date"], [("calendar_date is null", "missing_or_invalid_calendar_date")], preserve)
 
 
+# Fields of a sleep record of which it counts, for equality, whether any is there.
+SLEEP_PRESENCE = [
+    ["calendarDate"], ["sleepStartTimestampGMT"], ["sleepEndTimestampGMT"], ["sleepTimeSeconds", "totalSleepSeconds", "durationInSeconds", "sleepDuration"], ["deepSleepSeconds", "deep_sleep_seconds"],
+    ["lightSleepSeconds", "light_sleep_seconds"], ["remSleepSeconds", "rem_sleep_seconds"], ["awakeSleepSeconds", "awake_sleep_seconds"], ["sleepScores", "overallScore", "sleepScore"],
+]
+# What is said of a record without a start or an end, or with an end that isn't later.
+SLEEP_LIMITS = {"missing_start_or_end": "missing_start_or_end_no_inference", "invalid_sleep_window": "invalid_sleep_window_no_inference"}
+
+
 def sleep(assets: DataFrame, preserve: bool = False) -> Normalized:
+    """One record a day. Records of a day are equal if their values are and if the same fields are there: absent and null differ, zero is a value."""
     rows = _rows(assets, "sleep", lambda v, names=tuple(wrappers.WRAPPERS["daily"]): wrappers.unwrap(v, list(names)))
 
     def instant(name: str) -> Column:
-        value, _ = times.observation_timestamp(coerce.any_text(raw(name)), coerce.is_number(raw(name)), named_utc=True)
-        return value.try_cast("timestamp")
-
-    def seconds(stage: str) -> Column:
-        return F.coalesce(coerce.number(raw(f"{stage}SleepSeconds")), coerce.number(raw(f"{stage}_sleep_seconds")))
-
-    start, end = instant("sleepStartTimestampGMT"), instant("sleepEndTimestampGMT")
-    deep, light, rem = seconds("deep"), seconds("light"), seconds("rem")
-    aliases = F.array_compact(F.array(*[coerce.number(raw(n)) for n in ("sleepTimeSeconds", "totalSleepSeconds", "durationInSeconds", "sleepDuration")]))
-    agreed = F.when(F.size(F.array_distinct(aliases)) == 1, F.try_element_at(aliases, F.lit(1)))
-    agreed = F.when(F.size(F.array_distinct(aliases)) > 1, F.raise_error(F.lit("sleep durations of one record differ")).cast("double")).otherwise(agreed)
-    stages = F.array_compact(F.array(deep, light, rem))
-    duration = F.when((F.size(stages) > 0) & (F.size(F.array_distinct(aliases)) <= 1), F.aggregate(stages, F.lit(0.0), lambda a, b: a + b)).otherwise(agreed)
-    score = F.coalesce(coerce.number(coerce.field(raw("sleepScores"), "overall", "value")), coerce.number(coerce.field(raw("sleepScores"), "overallScore")), coerce.number(raw("overallScore")), coerce.number(raw("sleepScore")))
-    window = (F.unix_micros(end) - F.unix_micros(start)) / 60e6
-    status = F.when(start.isNull() | end.isNull(), "missing_start_or_end").when(window <= 0, "invalid_sleep_window").otherwise("available")
+        return times.bound(F.col(name), lambda t: times.observation_timestamp(t, F.lit(False), named_utc=True)[0]).try_cast("timestamp")
+
+    def either(*names: str) -> Column:
+        return F.coalesce(*[coerce.number(raw(n)) for n in names])
+
+    presence = [F.arrays_overlap(F.map_keys("record"), F.array(*map(F.lit, group))).cast("int").cast("string") for group in SLEEP_PRESENCE]
+    aliases = F.array_compact(F.array(*[coerce.number(raw(n)) for n in SLEEP_PRESENCE[3]]))
+    rows = rows.select(
+        _day(("calendarDate",)).alias("stated"), coerce.text(raw("sleepStartTimestampGMT")).alias("start"), coerce.text(raw("sleepEndTimestampGMT")).alias("end"), aliases.alias("aliases"), F.concat(*presence).alias("presence"),
+        *[either(*SLEEP_PRESENCE[k]).alias(stage) for k, stage in ((4, "deep"), (5, "light"), (6, "rem"), (7, "awake"))],
+        F.coalesce(coerce.number(coerce.field(raw("sleepScores"), "overall", "value")), coerce.number(coerce.field(raw("sleepScores"), "overallScore")), coerce.number(raw("overallScore")), coerce.number(raw("sleepScore"))).alias("score"),
+    )
+    stages, different = F.array_compact(F.array("deep", "light", "rem")), F.size(F.array_distinct("aliases"))
+    stated = F.when(different > 1, F.raise_error(F.lit("sleep durations of one record differ")).cast("double")).otherwise(F.try_element_at("aliases", F.lit(1)))
+    rows = rows.withColumns({"start": instant("start"), "end": instant("end"), "stages": stages, "duration": F.when(F.size(stages) > 0, F.aggregate(stages, F.lit(0.0), lambda a, b: a + b)).otherwise(stated)})
+    rows = rows.withColumn("window", (F.unix_micros("end") - F.unix_micros("start")) / 60e6)
+    rows = rows.withColumn("limit", F.when(F.col("start").isNull() | F.col("end").isNull(), "missing_start_or_end").when(F.col("window") <= 0, "invalid_sleep_window"))
+    fine = F.col("limit").isNull()
+    reason = F.when(fine, "sleep_source_available")
+    for limit, text in SLEEP_LIMITS.items():
+        reason = reason.when(F.col("limit") == limit, text)
     local = lambda t: times.local_iso(F.unix_millis(t))
     cols = [
-        F.coalesce(_day(("calendarDate",)), times.local_day(F.unix_millis(end))).alias("sleep_day"), local(start).alias("sleep_start_local"), local(end).alias("sleep_end_local"),
-        F.when(window > 0, window).alias("sleep_window_minutes_including_awake"), (duration / 60).alias("sleep_duration_minutes_ex_awake"), (deep / 60).alias("sleep_stage_deep_minutes"), (light / 60).alias("sleep_stage_light_minutes"), (rem / 60).alias("sleep_stage_rem_minutes"),
-        score.alias("sleep_score"), (seconds("awake") / 60).alias("sleep_awake_minutes"), (F.size(stages) > 0).alias("sleep_stage_available_flag"), score.isNotNull().alias("sleep_score_available_flag"),
-        F.when(status == "available", "available").otherwise("limited").alias("sleep_normalization_status"), F.when(status == "available", "none").otherwise("window").alias("sleep_limitation_type"), status.alias("sleep_reason_code"), (status == "available").alias("sleep_source_available_for_analysis_flag"),
+        F.coalesce("stated", times.local_day(F.unix_millis("end"))).alias("sleep_day"), local("start").alias("sleep_start_local"), local("end").alias("sleep_end_local"),
+        F.col("window").alias("sleep_window_minutes_including_awake"), (F.col("duration") / 60).alias("sleep_duration_minutes_ex_awake"), *[(F.col(n) / 60).alias(f"sleep_stage_{n}_minutes") for n in ("deep", "light", "rem")],
+        F.col("score").alias("sleep_score"), (F.col("awake") / 60).alias("sleep_awake_minutes"), (F.size("stages") > 0).alias("sleep_stage_available_flag"), F.col("score").isNotNull().alias("sleep_score_available_flag"),
+        F.when(fine, "available").otherwise("needs_review").alias("sleep_normalization_status"), F.coalesce("limit", F.lit("none")).alias("sleep_limitation_type"), reason.alias("sleep_reason_code"), fine.alias("sleep_source_available_for_analysis_flag"), F.col("presence"),
     ]
-    return finish(rows.select(*cols), ["sleep_day"], [("sleep_day is null", "missing_or_invalid_sleep_day")], preserve)
+    found = finish(rows.select(*cols), ["sleep_day"], [("sleep_day is null", "missing_or_invalid_sleep_day")], preserve)
+    return Normalized(found.records.drop("presence"), found.excluded, found.variants, found.counters)
 
 
 def hrv(assets: DataFrame) -> Normalized:

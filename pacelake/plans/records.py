@@ -121,6 +121,15 @@ def dataset_sleep(spark, d):
     return datasets.sleep(_sleep(spark, d)).records.select("sleep_day", "sleep_start_local", "sleep_end_local", "sleep_window_minutes_including_awake", "sleep_duration_minutes_ex_awake", "sleep_stage_deep_minutes", "sleep_score", "sleep_stage_available_flag", "sleep_normalization_status", "sleep_reason_code")
 
 
+def sleep_presence(spark, d):
+    """Days whose records have equal values but differ in whether a field is there, absent or null: kept as variants, none of them wins."""
+    rows = _days(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    second = F.col("copy") == 1
+    fields = {"calendarDate": q(F.col(D)), "deepSleepSeconds": F.when(second & (F.col(K) % 5 == 0), F.lit(None)).otherwise(F.when(F.col(K) % 5 == 0, F.lit("null")).otherwise(F.lit("0"))), "sleepScore": F.when(second & (F.col(K) % 3 == 0), F.lit("null")), "retro": F.when(second, F.lit("true"))}
+    found = datasets.sleep(_records(rows, "sleep", fields), preserve=True)
+    return found.variants.select("sleep_day", "sleep_stage_deep_minutes", "observation_count")
+
+
 def sleep_records(spark, d):
     """Record-level sleep: every record stays, and all of a day that has several are marked for review."""
     return health.sleep_records(_sleep(spark, d)).select("sleep_day", "sleep_calendar_date_source", "sleep_normalization_status", "sleep_reason_code", "sleep_source_available_for_analysis_flag", "sleep_score", F.col("source_record_index"))
@@ -324,9 +333,11 @@ SQL = {
     "dataset_uds": f"""WITH {_DAYS} SELECT d AS calendar_date, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN n * 100 ELSE n END::DOUBLE AS steps, n + 0.5::DOUBLE AS distance_meters, n::DOUBLE AS active_calories, CASE WHEN k % 3 <> 0 THEN n + 50::DOUBLE END AS resting_heart_rate,
         CASE WHEN k % 2 = 0 THEN n::DOUBLE END AS bb_charged_value, (-1)::DOUBLE AS bb_drained_value, CASE WHEN k % 2 = 0 THEN n::DOUBLE END AS "stress_total_averageStressLevel", k % 2 = 0 AS raw_has_body_battery, k % 2 = 0 AS raw_has_all_day_stress FROM dd""",
     "dataset_sleep": f"""WITH {_DAYS}, x AS (SELECT *, CASE WHEN k % 11 <> 0 THEN d || 'T22:00:00+09:00' END AS s, CASE WHEN k % 7 = 0 THEN 'T21:00:00+09:00' ELSE 'T23:30:00+09:00' END AS e FROM dd)
-        SELECT d AS sleep_day, s AS sleep_start_local, d || e AS sleep_end_local, CASE WHEN k % 11 <> 0 AND k % 7 <> 0 THEN 90::DOUBLE END AS sleep_window_minutes_including_awake, CASE WHEN k % 3 = 0 THEN 10 ELSE (10800 + n * 60) / 60 END::DOUBLE AS sleep_duration_minutes_ex_awake,
-            CASE WHEN k % 3 <> 0 THEN 60::DOUBLE END AS sleep_stage_deep_minutes, CASE WHEN k % 2 = 0 THEN n WHEN k % 5 = 0 THEN k % 100 END::DOUBLE AS sleep_score, k % 3 <> 0 AS sleep_stage_available_flag, CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN 'limited' ELSE 'available' END AS sleep_normalization_status,
-            CASE WHEN k % 11 = 0 THEN 'missing_start_or_end' WHEN k % 7 = 0 THEN 'invalid_sleep_window' ELSE 'available' END AS sleep_reason_code FROM x""",
+        SELECT d AS sleep_day, s AS sleep_start_local, d || e AS sleep_end_local, CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 7 = 0 THEN -60 ELSE 90 END::DOUBLE END AS sleep_window_minutes_including_awake, CASE WHEN k % 3 = 0 THEN 10 ELSE (10800 + n * 60) / 60 END::DOUBLE AS sleep_duration_minutes_ex_awake,
+            CASE WHEN k % 3 <> 0 THEN 60::DOUBLE END AS sleep_stage_deep_minutes, CASE WHEN k % 2 = 0 THEN n WHEN k % 5 = 0 THEN k % 100 END::DOUBLE AS sleep_score, k % 3 <> 0 AS sleep_stage_available_flag, CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN 'needs_review' ELSE 'available' END AS sleep_normalization_status,
+            CASE WHEN k % 11 = 0 THEN 'missing_start_or_end_no_inference' WHEN k % 7 = 0 THEN 'invalid_sleep_window_no_inference' ELSE 'sleep_source_available' END AS sleep_reason_code FROM x""",
+    "sleep_presence": f"""WITH {_DAYS}, v AS (SELECT d, unnest([0, 1]) AS copy, k FROM dd WHERE k % 5 = 0 OR k % 3 = 0)
+        SELECT d AS sleep_day, CASE WHEN k % 5 <> 0 THEN 0::DOUBLE END AS sleep_stage_deep_minutes, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS observation_count FROM v""",
     "sleep_records": f"""WITH {_DAYS}, x AS (SELECT *, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS times FROM dd), y AS (SELECT *, unnest(range(times)) AS i FROM x)
         SELECT d AS sleep_day, CASE WHEN k % 6 <> 0 THEN d END AS sleep_calendar_date_source, CASE WHEN times > 1 OR k % 11 = 0 OR k % 7 = 0 THEN 'needs_review' ELSE 'available' END AS sleep_normalization_status,
             CASE WHEN times > 1 THEN 'sleep_json_duplicate_sleep_day' WHEN k % 11 = 0 THEN 'sleep_json_missing_start_or_end' WHEN k % 7 = 0 THEN 'sleep_json_invalid_sleep_interval' ELSE 'sleep_json_daily_available' END AS sleep_reason_code,

@@ -157,10 +157,6 @@ def _calendar_date(json_: Column) -> Column:
     return F.when(coerce.is_number(json_), times.utc_day(json_.try_cast("double").try_cast("long"))).otherwise(day)
 
 
-def _instant(json_: Column, named_utc: bool = False) -> Column:
-    return times.observation_timestamp(coerce.any_text(json_), coerce.is_number(json_), named_utc)[0]
-
-
 def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
 
@@ -208,7 +204,7 @@ def observations(rows: DataFrame) -> DataFrame:
     # the other field counts only where the first is not there
     chosen, named_utc = F.when(_there(F.col("first")), F.col("first")).otherwise(F.col("second")), by_activity & _there(F.col("first"))
     rows = rows.withColumns({"chosen": chosen, "named_utc": F.coalesce(named_utc, F.lit(False))})
-    rows = rows.withColumn("moment", F.when(F.col("named_utc"), _instant(F.col("chosen"), True)).otherwise(_instant(F.col("chosen"))))
+    rows = rows.withColumn("moment", times.moment(F.col("chosen"), F.col("named_utc")))
 
     new = F.map_filter(F.create_map(F.lit("calendarDate"), _quoted(F.col("day")), F.lit("metaData"), F.col("meta"), F.lit("vo2MaxSourceSeries"), F.when(vo2max & ~F.map_contains_key("record", "vo2MaxSourceSeries"), F.col("own"))), lambda _, v: v.isNotNull())
     rows = rows.withColumn("new", new)
