@@ -81,3 +81,14 @@ def moment(json: Column, named_utc: Column | bool = False, utc: str = "Z") -> Co
 
     flag = F.lit(named_utc) if isinstance(named_utc, bool) else named_utc
     return bound(json, lambda j: bound(F.struct(coerce.any_text(j).alias("text"), coerce.is_number(j).alias("number"), F.coalesce(flag, F.lit(False)).alias("utc")), read))
+
+
+def date_label(json: Column) -> Column:
+    """The day of a date label given as canonical JSON text: numbers as epoch milliseconds in UTC, texts by the date that they begin with."""
+    from pacelake.functions import coerce
+
+    label = coerce.text(json)
+    compact = F.regexp_replace(F.regexp_extract(label, r"^(\d{8})(T.*)?$", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    head = F.when(compact != "", compact).otherwise(F.substring(label, 1, 10))
+    day = F.when(head.rlike(ISO_DATE) & F.try_to_timestamp(head, F.lit("yyyy-MM-dd")).isNotNull(), head)
+    return F.when(coerce.is_number(json), utc_day(json.try_cast("double").try_cast("long"))).otherwise(day)

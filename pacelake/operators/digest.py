@@ -29,12 +29,37 @@ def sorted_digest(df: DataFrame, text: Column) -> DataFrame:
     return out.select("row_count", F.when(F.col("row_count") <= SORTED_ROWS, F.col("digest")).otherwise(F.raise_error(F.lit(f"more than {SORTED_ROWS} rows"))).alias("digest"))
 
 
-def tree_digest(df: DataFrame, text: Column, depth: int = 2) -> DataFrame:
+#: Rows of a leaf of a hash tree, about.
+LEAF_ROWS = 1 << 16
+
+
+def tree_digest(df: DataFrame, text: Column, depth: int | None = None) -> DataFrame:
     """``row_count, digest`` of tables of any size: rows' hashes are sorted within leaves, of which there are 16 ** (2 * depth), and each level hashes the one below.
 
-    Leaves are the leading hex digits of a row's hash, so they are even and don't depend on how rows are partitioned.
+    Leaves are the leading hex digits of a row's hash, so they are even and don't depend on how rows are partitioned. Without a ``depth`` it follows
+    from the number of rows, so that no leaf has many more than ``LEAF_ROWS``; a table has the same digest wherever and however it is stored.
     """
+    if depth is None:
+        rows, depth = df.count(), 0
+        while rows > LEAF_ROWS << (8 * depth):
+            depth += 1
     each = df.select(F.sha2(text, 256).alias("h")).groupBy(F.substring("h", 1, 2 * depth).alias("leaf")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
     for level in range(depth - 1, -1, -1):
         each = each.groupBy(F.substring("leaf", 1, 2 * level).alias("leaf")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("leaf", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
     return each.select(F.col("n").cast("long").alias("row_count"), F.col("h").alias("digest"))
+
+
+def build_digest(records: DataFrame, variants: DataFrame, contents: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """``record_count, content_count, digest`` of a build: of its merged records, its variants, the contents it was made of and the versions of what made it.
+
+    ``records`` have ``dataset, canonical_key, record_sha256, presence_pattern``, ``variants`` ``dataset, canonical_key, signature, snapshot_orders``, ``contents`` ``content_id``.
+    One changed field of one record changes the digest; the order of rows, partitions and snapshots processed doesn't.
+    """
+    merged = records.select(F.to_json(F.array("dataset", "canonical_key", "record_sha256", "presence_pattern")).alias("t"))
+    apart = variants.select(F.to_json(F.array("dataset", "canonical_key", "signature", "snapshot_orders")).alias("t"))
+    stated = F.to_json(F.array(*[F.lit(f"{name}={versions[name]}") for name in sorted(versions)]))
+    one = tree_digest(merged.union(apart), F.col("t")).select(F.col("row_count").alias("record_count"), F.col("digest").alias("records"), F.lit(1).alias("one"))
+    other = tree_digest(contents.select(F.col("content_id").cast("string").alias("c")).distinct(), F.col("c")).select(F.col("row_count").alias("content_count"), F.col("digest").alias("contents"), F.lit(1).alias("one"))
+    whole = one.join(other, "one", "full")  # at most a row each
+    empty = F.lit("")
+    return whole.select(F.coalesce("record_count", F.lit(0)).alias("record_count"), F.coalesce("content_count", F.lit(0)).alias("content_count"), F.sha2(F.concat_ws("\n", stated, F.coalesce("records", empty), F.coalesce("contents", empty)), 256).alias("digest"))

@@ -100,3 +100,34 @@ def first_reason(rules: list[tuple[Column, str]]) -> Column:
 
 def coverage_ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 6))
+
+
+# Which validity goes with which state, and what a reader is told of a state.
+STATE_VALIDITY = {"PRESENT": ["VALID", "MALFORMED"], "EMPTY": ["VALID"], "ABSENT": ["NOT_APPLICABLE"], "UNREADABLE": ["UNKNOWN"], "UNSUPPORTED": ["NOT_APPLICABLE"], "AMBIGUOUS": ["UNKNOWN"]}
+GUIDANCE = {
+    "PRESENT": "CONSULT_CONTENT_VALIDITY_AND_RUN_QUALITY", "EMPTY": "SUPPORTED_SOURCE_CONTAINED_ZERO_OBSERVATIONS", "ABSENT": "DO_NOT_INFER_ZERO_OR_DELETION",
+    "UNREADABLE": "OBTAIN_COMPLETE_READABLE_EXPORT", "UNSUPPORTED": "SOURCE_FORM_NOT_SUPPORTED_BY_THIS_VERSION", "AMBIGUOUS": "REVIEW_REQUIRED_NO_WINNER_SELECTED",
+}
+BINARY_COUNTS = ["readable_count", "unreadable_count", "unsupported_count", "malformed_count"]
+
+
+def snapshot_completeness(counts: DataFrame, snapshots: DataFrame, families: list[str]) -> DataFrame:
+    """State, validity, reason and guidance of every family in every snapshot; what a snapshot has no file of is absent there, which says nothing of its records.
+
+    ``counts`` have ``snapshot_id, family, candidate_count, row_count`` and ``BINARY_COUNTS``, of which families other than ``fit`` use the malformed ones; ``snapshots`` have ``snapshot_id``.
+    """
+    grid = snapshots.select("snapshot_id", F.explode(F.array(*map(F.lit, families))).alias("family"))
+    each = grid.join(counts, ["snapshot_id", "family"], "left").na.fill(0, ["candidate_count", "row_count", *BINARY_COUNTS])
+    binary = binary_completeness(each.where("family = 'fit'"))
+    plain = completeness(each.where("family <> 'fit'"))
+    reason = F.when(F.col("state") == "ABSENT", "SOURCE_NOT_OBSERVED").when(F.col("state") == "EMPTY", "SOURCE_STRUCTURALLY_EMPTY").otherwise("SOURCE_EVIDENCE_PRESENT")
+    out = plain.withColumn("reason_code", reason).unionByName(binary)
+    guidance = F.element_at(F.create_map(*[F.lit(x) for pair in GUIDANCE.items() for x in pair]), F.col("state"))
+    readable = F.when(F.col("family") == "fit", F.col("readable_count")).otherwise(F.col("candidate_count"))
+    return out.select("family", "snapshot_id", "state", "content_validity", "reason_code", "candidate_count", readable.alias("readable_asset_count"), "row_count", guidance.alias("user_guidance_id"))
+
+
+def invalid_states(states: DataFrame) -> DataFrame:
+    """Rows of which state and validity don't go together, or aren't of the vocabulary."""
+    allowed = F.create_map(*[x for state, valid in STATE_VALIDITY.items() for x in (F.lit(state), F.array(*map(F.lit, valid)))])
+    return states.where(~F.coalesce(F.array_contains(F.element_at(allowed, F.col("state")), F.col("content_validity")), F.lit(False)))

@@ -128,3 +128,44 @@ def malformed_thresholds(candidates: DataFrame) -> DataFrame:
 
 def _present(json: Column) -> Column:
     return F.coalesce((json != "null") & ~json.rlike(r"^-?\d"), F.lit(False))
+
+
+# Families of threshold candidates in their order, and the condition under which a type is known.
+THRESHOLD_FAMILIES = ["history", "latest_snapshot", "profile_state", "derived_evidence"]
+THRESHOLD_TYPE = "LACTATE_THRESHOLD"
+_TARGETS = {"lactateThresholdSpeed": "lactate_threshold_speed", "lactateThresholdHeartRate": "lactate_threshold_heart_rate", "functionalThresholdPower": "functional_threshold_power"}
+
+
+def _threshold_rows(rows: DataFrame) -> DataFrame:
+    """Objects of the four families with what is read of them and the review conditions they meet."""
+    raw = lambda n: F.col("record")[n]
+    history, meta = F.col("observation_family") == "history", raw("metaData")
+    rows = rows.withColumns({"is_object": F.coalesce(coerce.is_object(meta), F.lit(False)), "date_json": F.when(history, coerce.field(meta, "calendarDate")), "sequence_json": F.when(history, coerce.field(meta, "sequence"))})
+    rows = rows.withColumns({"observation_timestamp": times.bound(F.col("date_json"), times.date_label), "sequence": F.coalesce(coerce.integer(F.col("sequence_json")), F.lit(0))})
+    stopped = F.when(history & ~F.col("is_object"), "history_metadata_missing").when(history & F.col("observation_timestamp").isNull(), "history_timestamp_missing_or_invalid")
+    invalid = [F.when(F.coalesce(raw(n) != "null", F.lit(False)) & coerce.number(raw(n), strings=False).isNull(), F.lit(f"invalid_{t}")) for n, t in _TARGETS.items()]
+    reviews = F.when(stopped.isNotNull(), F.array(stopped)).otherwise(F.array_compact(F.array(*invalid)))
+    kind = F.when((F.col("observation_family") == "derived_evidence") & (raw("trainingMethod") == f'"{THRESHOLD_TYPE}"'), THRESHOLD_TYPE)
+    return rows.withColumns({"stopped": stopped.isNotNull(), "reviews": reviews, **{t: coerce.number(raw(n), strings=False) for n, t in _TARGETS.items()}, "lactate_threshold_type": kind})
+
+
+_CANDIDATE = ["observation_timestamp", "observation_family", *_TARGETS.values(), "lactate_threshold_type"]
+
+
+def collect_thresholds(rows: DataFrame) -> dict[str, DataFrame]:
+    """Threshold candidates of all families, none of which is promoted: ``rows`` have ``observation_family`` and ``record``, a map of canonical JSON.
+
+    * ``candidates``: different normalized rows, with their ``place`` among those of one family and time. Source numbers (sequence) order them but aren't shown.
+    * ``reviews``: how often each review condition was met; several different powers of one family and time are one.
+    * ``families``: source objects of each family.
+    """
+    read = _threshold_rows(rows)
+    some = F.lit(False)
+    for c in _CANDIDATE[2:]:
+        some = some | F.col(c).isNotNull()
+    unique = read.where(~F.col("stopped") & some).groupBy(*_CANDIDATE).agg(F.min("sequence").alias("sequence"))
+    power = F.count_distinct("functional_threshold_power").alias("powers")
+    conflicts = unique.groupBy("observation_family", "observation_timestamp").agg(power).where("powers > 1").select(F.lit("functional_threshold_power_conflict").alias("condition"))
+    reviews = read.select(F.explode("reviews").alias("condition")).union(conflicts).groupBy("condition").agg(F.count("*").alias("review_count"))
+    order = Window.partitionBy("observation_family", "observation_timestamp").orderBy("sequence", *_CANDIDATE[2:])
+    return {"candidates": unique.withColumn("place", F.row_number().over(order)).drop("sequence"), "reviews": reviews, "families": rows.groupBy("observation_family").agg(F.count("*").alias("source_record_count"))}

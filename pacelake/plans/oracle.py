@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pacelake.plans import checks, extraction, records
+from pacelake.plans import checks, evidence, extraction, records
 from pacelake.plans.queries import FILES, GENERATED, LINE_FIELDS, LINE_KEY, SPORTS, queries
 from pacelake.sources.families import FAMILY_RULES, PRIVACY_PATTERNS
 
@@ -148,7 +148,7 @@ _SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    missing = set(queries()) - set(_SQL) - set(records.SQL) - set(checks.SQL) - set(extraction.SQL) - set(GENERATED)
+    missing = set(queries()) - set(_SQL) - set(records.SQL) - set(checks.SQL) - set(extraction.SQL) - set(evidence.SQL) - set(GENERATED)
     if missing:
         raise KeyError(f"no SQL for {sorted(missing)}")
-    return _SQL | records.SQL | checks.SQL | extraction.SQL
+    return _SQL | records.SQL | checks.SQL | extraction.SQL | evidence.SQL

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pacelake.functions import identity, times
 from pacelake.operators import coverage, dedupe, digest, endpoints, matching, quality, snapshot, trends
-from pacelake.plans import checks, extraction, records, synthetic
+from pacelake.plans import checks, evidence, extraction, records, synthetic
 from pacelake.sources import families
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -395,4 +395,4 @@ _NAMED = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _NAMED} | records.QUERIES | checks.QUERIES | extraction.QUERIES | GENERATED
+    return {f.__name__: f for f in _NAMED} | records.QUERIES | checks.QUERIES | extraction.QUERIES | evidence.QUERIES | GENERATED

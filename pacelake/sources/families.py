@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The rule of each source family, in order (part of the name, how it is tested, family).
@@ -35,6 +38,43 @@ PRIVACY_PATTERNS = {
 }
 
 
+# What must not occur in what is shared, as Java reads it, by a name of ours.
+PRIVACY_RULES = {
+    "private_path": r"(?i)(?:/Users/|/home/|/private/|/var/folders/|(?:^|[\s\"'=:])private/(?:source|input|output|tmp)/|[A-Za-z]:\\|file://)",
+    "address": r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}",
+    "share_or_instant": r"(?:\\\\[^\\\r\n]+\\[^\\\r\n]+|\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}|(?<![0-9A-Fa-f])(?:\d{10}|\d{13})(?![0-9A-Fa-f]))",
+    "place_or_identity": r"(?i)(?:latitude|longitude|coordinate|route\s*[:=]|(?:source|manifest|records|output|private_output)_(?:sha256|digest)|deterministic_output_digest|stable_key|snapshot_id|activity_id|device_id|account_id|garmin_activity\s*:)",
+    "secret_or_failure": r"(?i)(?:traceback|authorization\s*:\s*(?:bearer|basic)|api[_-]?key|cookie|password\s*[:=]|token\s*[:=]|secret\s*[:=]|-----BEGIN [A-Z ]*PRIVATE KEY-----|exception(?:\s+message)?|\b(?:[A-Za-z]+Error|warning|free-form warning)\s*[:=]|\bFile\s+\"[^\"]+\",\s+line\s+\d+)",
+    "coordinates": r"[-+]?\d{1,2}\.\d+\s*,\s*[-+]?\d{1,3}\.\d+",
+    "source_field": r"(?i)\"(?:activityId|summaryId|calendarDate|startTimeInSeconds|deviceId|userProfileId)\"\s*:",
+    "host_field": r"(?i)\"(?:hostname|username|cwd|home|executable|environment|env_vars|locale|package_list)\"\s*:",
+    "host_line": r"(?i)\b(?:hostname|username|cwd|home|executable|environment|env(?:_vars)?|locale|package[ _-]?list)\s*[:=]",
+    "upload": r"(?i)\"automatic_upload\"\s*:\s*true",
+    "raw_data": r"(?i)(?:raw[_ -]?(?:fit|csv|garmin)|FIT\x00|(?:^|[\r\n])(?:calendarDate\s*,\s*activityId|activityId\s*,\s*calendarDate)(?:,|[\r\n])|(?:^|\n)[^\r\n,]+(?:,[^\r\n,]+)+\r?\n[^\r\n,]+(?:,[^\r\n,]+)+)",
+}
+
+
+def privacy_findings(rows: DataFrame, text: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` with one row for each rule that the text breaks, named ``rule``; all rules are tried in one pass."""
+    hits = [F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in (rules or PRIVACY_RULES).items()]
+    return rows.withColumn("rule", F.explode(F.array_compact(F.array(*hits))))
+
+
+def _fold(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n).casefold())
+
+
+def folded(name: str) -> Column:
+    """NFC and case folding, which no column function has."""
+    return F.pandas_udf(_fold, "string")(name)
+
+
+def name_collisions(paths: DataFrame, path: str) -> DataFrame:
+    """``folded_path, path_count, first_path, last_path``: different names that a file system may take for one. Equal names are one; folding runs once for each."""
+    each = paths.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("path")).agg(F.count("*").alias("n")).select("path", folded("path").alias("folded_path"))
+    return each.groupBy("folded_path").agg(F.count("*").cast("long").alias("path_count"), F.min("path").alias("first_path"), F.max("path").alias("last_path")).where("path_count > 1")
+
+
 def classify(name: Column, kind: Column) -> Column:
     """The source family of a logical file name; binary files are ``fit``, and only JSON files have others."""
     base = F.lower(F.regexp_extract(name, r"([^/\\\\!]*)$", 1))

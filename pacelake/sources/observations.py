@@ -148,15 +148,6 @@ def _there(json_: Column) -> Column:
     return F.coalesce(~json_.isin("null", '""'), F.lit(False))
 
 
-def _calendar_date(json_: Column) -> Column:
-    """The day of a date label: numbers as epoch milliseconds in UTC, texts by the date that they begin with."""
-    label = coerce.text(json_)
-    compact = F.regexp_replace(F.regexp_extract(label, r"^(\d{8})(T.*)?$", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    head = F.when(compact != "", compact).otherwise(F.substring(label, 1, 10))
-    day = F.when(head.rlike(times.ISO_DATE) & F.try_to_timestamp(head, F.lit("yyyy-MM-dd")).isNotNull(), head)
-    return F.when(coerce.is_number(json_), times.utc_day(json_.try_cast("double").try_cast("long"))).otherwise(day)
-
-
 def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
 
@@ -200,7 +191,7 @@ def observations(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"meta": meta, "label": label, "own": own})
     by_activity = vo2max & (F.col("own") == '"activity_vo2max_daily"')
     first = F.when(timed, _r("timestamp")).when(by_activity, _r("timestampGmt")).when(vo2max, _r("updateTimestamp"))
-    rows = rows.withColumns({"day": _calendar_date(F.col("label")), "first": first, "second": F.when(vo2max, _r("observationTimestamp"))})
+    rows = rows.withColumns({"day": times.bound(F.col("label"), times.date_label), "first": first, "second": F.when(vo2max, _r("observationTimestamp"))})
     # the other field counts only where the first is not there
     chosen, named_utc = F.when(_there(F.col("first")), F.col("first")).otherwise(F.col("second")), by_activity & _there(F.col("first"))
     rows = rows.withColumns({"chosen": chosen, "named_utc": F.coalesce(named_utc, F.lit(False))})

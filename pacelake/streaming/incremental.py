@@ -86,9 +86,9 @@ def current(spark: SparkSession, path: str, daily: Column | None = None, preserv
     """
     daily, preserve = (F.lit(False) if c is None else c for c in (daily, preserve))
     rows = state(spark, path)
-    known = (rows if snapshots is None else snapshots).select("snapshot_id", "export_observed_at").distinct()
-    order = coverage.logical_order(known, ["export_observed_at", "snapshot_id"])
-    placed = rows.join(F.broadcast(order), ["snapshot_id", "export_observed_at"])  # one row for each export of the history
+    known = (rows if snapshots is None else snapshots).groupBy("snapshot_id").agg(F.min("export_observed_at").alias("observed_at"))
+    order = coverage.logical_order(known, ["observed_at", "snapshot_id"]).drop("observed_at")
+    placed = rows.join(F.broadcast(order), "snapshot_id")  # one row for each export of the history
     named = placed.where("canonical_key IS NOT NULL").withColumn("at", F.col("at").withField("logical_order", F.col("logical_order")))
     out = snapshot.merge_collapsed(named, order.count(), daily, preserve)
     seen = placed.groupBy("dataset").agg(F.sum("n").alias("observations"), F.sum(F.when(F.col("canonical_key").isNull(), F.col("n")).otherwise(0)).alias("nameless"))
