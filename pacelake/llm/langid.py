@@ -81,13 +81,23 @@ def _kmeans(v: np.ndarray, k: int, dice: np.random.Generator) -> np.ndarray:
     return centre
 
 
+def _of_each(rows: DataFrame, each: int) -> DataFrame:
+    """``doc_id`` of the first ``each`` ids of every ``lang``, by hash.
+
+    A language's ids are first thinned out by a threshold on the hash, so that about four times as many are left as are wanted, however many there are; only these are ranked.
+    """
+    ids = rows.distinct().withColumn("h", F.xxhash64("doc_id"))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))  # the model holds centroids for each of these rows
+    near = ids.join(F.broadcast(counts), "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 4 * each)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, each: int = EACH) -> Centroids:
     """Centroids of every language, from ``sample`` rows that have a language and a letter and are not held out, and ``each`` rows of each language."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).where(~held_out(F.col("doc_id")))
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # equal ids have one rank, and the limit is applied before the shuffle
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = chosen.union(known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id")).distinct()
+    chosen = chosen.union(_of_each(known.select("doc_id", "lang"), each)).distinct()
     rows = known.join(F.broadcast(chosen), "doc_id").mapInArrow(_pack, "doc_id long, counts binary, lang string")
     # of repeated rows of a document one counts, so that no more than the sample goes to the driver
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "counts")).alias("row")).select("doc_id", "row.*").toPandas()

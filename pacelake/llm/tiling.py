@@ -161,9 +161,8 @@ def _seeds(texts: DataFrame, min_match: int, name: str, sizes: list[int]) -> Dat
 
 
 def _by_join(texts: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
-    known = texts.where("doc_id is not null")
-    pairs = _seeds(known, min_match, "doc_id", list(range(1, min_match + 1))).join(_seeds(items, min_match, "item_id", []), "seed").select("doc_id", "item_id").distinct()
-    rows = pairs.join(items, "item_id").join(known, "doc_id").select("doc_id", "item_id", "item", "text")
+    pairs = _seeds(texts, min_match, "doc_id", list(range(1, min_match + 1))).join(_seeds(items, min_match, "item_id", []), "seed").select("doc_id", "item_id").distinct()
+    rows = pairs.join(items, "item_id").join(texts, "doc_id").select("doc_id", "item_id", "item", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +179,7 @@ def tiling_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, br
     results, those of items don't. Columns other than the ids and ``text`` are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.where("doc_id is not null")
     items = work.save(_items(benchmark))
     size = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     return (_by_broadcast if size <= broadcast else _by_join)(texts, items, min_match)

@@ -19,12 +19,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAMS = (3, 4)
 SLOTS = 4096
 
-#: Words of hosts and paths from which the labelled table is made: subjects of ordinary sites, and trades that filters name.
-GOOD_HOSTS = ["almanac", "botany", "chemistry", "orchestra", "observatory", "parliament", "seminar", "railway", "harbour", "pottery", "meadow", "theatre", "astronomy", "grammar", "bakery", "atlas", "violin", "geology", "cinema", "teacher", "archive", "sculpture", "biology", "choir"]
-BAD_HOSTS = ["jackpot", "roulette-club", "pokies", "sportsbook", "viagra-store", "steroids4u", "painkillers-rx", "porn-tube", "webcam-girls", "escort-vip", "keygen", "warez-zone", "popunder", "adserver", "clicktracker", "payday-loan", "get-rich-fast", "double-bitcoin", "replica-watches", "fake-diploma", "ransomware", "botnet", "miracle-diet", "sweepstakes"]
-PREFIXES = ["", "www.", "blog.", "m."]
-GOOD_PATHS = ["/about", "/guide/intro", "/articles/2020/index.html", "/papers/4217", "/events/summer", "/contact", "/item?id=9", "/"]
+#: Words from which the labelled table is made, of general knowledge: subjects of ordinary sites, and trades that filters name; what may follow either in a host; prefixes, domains and paths.
+#: Most names of hosts are no words, so two syllables each make further ordinary hosts. Paths of ordinary sites occur with hosts of both kinds.
+GOOD_WORDS = """academy almanac archive astronomy atlas bakery biology birds books botany bridge carpentry chemistry choir church cinema city climate coffee college council court cycling dance design dictionary docs
+energy farmers fire flowers football forest forum gallery garden geology geography grammar harbour health history hospital island journal kitchen knitting language law library literature magazine maps maths meadow museum music
+nature news newspaper novel observatory ocean opera orchestra parliament pharmacy-school philosophy photo physics poetry pottery radio railway recipes research river school science sculpture seminar sewing software solar sports station
+student studio support teacher tennis theatre travel university village violin weather wiki""".split()
+BAD_WORDS = """adserver adult affiliate airdrop backlinks bets betting bingo bitcoin bonus bookie botnet casino cheap cialis clickbait clicks counterfeit crack crypto detox diploma escort essays forex free freebie giveaway hack hookup
+investor jackpot keygen loans lottery lucky malware millionaire miracle nude ads painkiller payday phish pills poker pokies popups porn prizes ransom replica rolex roulette seo slots spam steroids sweepstakes
+track traffic viagra warez webcam winner xxx""".split()
+GOOD_ENDS = ["", "-society", "-house", "-today", "-guide", "lab", "-club", "-online"]
+BAD_ENDS = ["", "-win", "-deals", "-online", "4u", "-vip", "-zone", "24"]
+SYLLABLES = "ba bel co dan del fen gor hal jin ka lor mi nor pa quin ra sel sten ta tor ul vi wen zor".split()
+PREFIXES, DOMAINS = ["", "www.", "blog.", "m."], ["com", "net", "org", "info"]
+GOOD_PATHS = ["/about", "/guide/intro", "/articles/2020/index.html", "/papers/4217", "/events/summer", "/contact", "/item?id=9", "/", "/de/31", "/en/8", "/fr/205"]
 BAD_PATHS = ["/claim-prize", "/bonus/50-spins", "/order/no-prescription", "/signin/confirm-identity"]
+#: Paths of each host in the table.
+PATHS = 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,16 +70,19 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``url, label`` (1: block): good hosts with harmless paths, bad hosts with those and with bad ones."""
+    """``url, label`` (1: block), a row for each of ``PATHS`` paths of each host; prefix, domain and paths follow from the host."""
 
     def every(name: str, values: list[str]) -> Column:
         return F.explode(F.array(*map(F.lit, values))).alias(name)
 
-    def made(label: float, hosts: list[str], paths: list[str]) -> DataFrame:
-        out = spark.range(1).select(every("h", hosts)).select("h", every("p", paths)).select("h", "p", every("w", PREFIXES)).select("*", every("t", ["com", "net", "org"]))
-        return out.select(F.concat(F.lit("https://"), "w", "h", F.lit(".site."), "t", "p").alias("url"), F.lit(label).alias("label"))
+    def made(label: float, words: list[str], ends: list[str], paths: list[str]) -> DataFrame:
+        hosts = spark.range(1).select(every("w", words)).select("w", every("e", ends)).select(F.concat("w", "e").alias("h"))
+        pick = lambda values, salt: F.element_at(F.array(*map(F.lit, values)), (F.crc32(F.concat("h", F.lit(salt), "k")) % len(values) + 1).cast("int"))
+        out = hosts.select("h", every("k", [str(k) for k in range(PATHS)]))
+        return out.select(F.concat(F.lit("https://"), pick(PREFIXES, "w"), "h", F.lit("."), pick(DOMAINS, "d"), pick(paths, "p")).alias("url"), F.lit(label).alias("label"))
 
-    return made(0.0, GOOD_HOSTS, GOOD_PATHS).union(made(1.0, BAD_HOSTS, GOOD_PATHS[::2] + BAD_PATHS))
+    good = made(0.0, GOOD_WORDS, GOOD_ENDS, GOOD_PATHS).union(made(0.0, SYLLABLES, SYLLABLES, GOOD_PATHS))
+    return good.union(made(1.0, BAD_WORDS, BAD_ENDS, GOOD_PATHS + BAD_PATHS))
 
 
 def _features(urls: DataFrame) -> DataFrame:
