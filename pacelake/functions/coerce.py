@@ -36,14 +36,18 @@ def any_text(json: Column) -> Column:
     return F.when(is_text(json), text(json)).when(is_number(json), json)
 
 
-def number(json: Column, strings: bool = True) -> Column:
-    """A finite number; integers beyond 2**53 - 1 are null, booleans too. Numeric strings count if ``strings``."""
+def number(json: Column, strings: bool = True, bounded: str = "integers") -> Column:
+    """A finite number; booleans are null. Numeric strings count if ``strings``.
+
+    ``bounded`` tells what must not exceed 2**53 - 1: JSON ``integers``, ``all`` numbers, or ``none``.
+    """
     raw = F.when(is_number(json), json)
     if strings:
         raw = F.when(is_text(json), F.trim(_unquoted(json))).otherwise(raw)
     value = F.when(raw.rlike(_NUMBER), raw.try_cast("double"))
-    whole = raw.rlike(r"^-?\d+$")
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")) | (whole & (F.abs(value) > SAFE_INTEGER)), None).otherwise(value)
+    large = F.abs(value) > SAFE_INTEGER
+    over = {"integers": json.rlike(r"^-?\d+$") & large, "all": large, "none": F.lit(False)}[bounded]
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")) | over, None).otherwise(value)
 
 
 def integer(json: Column) -> Column:

@@ -37,3 +37,17 @@ def hash_key(prefix: str, parts: list[Column]) -> Column:
     """A key from 24 hex digits of the hash of fallback parts; null if all of them are null."""
     some = F.coalesce(*[p.cast("string") for p in parts])
     return F.when(some.isNotNull(), F.concat(F.lit(prefix), F.substring(F.sha2(json_list(parts), 256), 1, 24)))
+
+
+def there(json: Column) -> Column:
+    """Whether a field is there with something in it: neither absent nor null nor the empty text."""
+    return F.coalesce(~json.isin("null", '""'), F.lit(False))
+
+
+def json_hash_key(prefix: str, parts: list[Column]) -> Column:
+    """A key from 24 hex digits of the hash of fallback parts given as canonical JSON, so that a number and its text differ; null if none of them is there."""
+    some = F.lit(False)
+    for p in parts:
+        some = some | there(p)
+    whole = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(p, F.lit("null")) for p in parts]), F.lit("]"))
+    return F.when(some, F.concat(F.lit(prefix), F.substring(F.sha2(whole, 256), 1, 24)))

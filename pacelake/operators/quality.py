@@ -26,13 +26,18 @@ def inspect_records(df: DataFrame, keys: list[str], fields: list[str], updated_a
     Different rows under a key are an ordered update if ``updated_at`` tells all of them apart, else a conflict.
     """
     null_key = " OR ".join(f"{k} IS NULL" for k in keys)
-    row = F.struct(*fields)
     at = [updated_at] if updated_at else []
-    each = df.groupBy(*keys, *[F.col(c).alias("__at") for c in at]).agg(F.count("*").alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi"))
+    # rows are compared by 128 bits, since numbers can be aggregated in place where rows have to be sorted
+    marks = {f"h{i}": F.xxhash64(F.lit(i), *fields, *[F.col(c).isNull() for c in fields]) for i in (0, 1)}
+    rows = df.select(*keys, *[F.col(c).alias("__at") for c in at], *[h.alias(n) for n, h in marks.items()])
+    bounds = [f(n).alias(f"{name}_{n}") for n in marks for name, f in (("lo", F.min), ("hi", F.max))]
+    differs = lambda: (F.col("lo_h0") != F.col("hi_h0")) | (F.col("lo_h1") != F.col("hi_h1"))
+    each = rows.groupBy(*keys, *["__at" for _ in at]).agg(F.count("*").alias("n"), *bounds)
     # all rows of one stamp are equal, and there is a stamp
-    told_apart = F.min((F.col("lo").eqNullSafe(F.col("hi")) & F.col("__at").isNotNull()).cast("int")) if at else F.lit(0)
-    per_key = each.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), told_apart.alias("ordered"))
-    per_key = per_key.select("n", F.expr(null_key).alias("null_key"), (~F.col("lo").eqNullSafe(F.col("hi"))).alias("differs"), (F.col("ordered") == 1).alias("ordered"))
+    told_apart = F.min((~differs() & F.col("__at").isNotNull()).cast("int")) if at else F.lit(0)
+    again = [f(f"{name}_{n}").alias(f"{name}_{n}") for n in marks for name, f in (("lo", F.min), ("hi", F.max))]
+    per_key = each.groupBy(*keys).agg(F.sum("n").alias("n"), told_apart.alias("ordered"), *again)
+    per_key = per_key.select("n", F.expr(null_key).alias("null_key"), differs().alias("differs"), (F.col("ordered") == 1).alias("ordered"))
 
     def total(what: str, name: str):
         return F.coalesce(F.sum(F.expr(what)), F.lit(0)).cast("long").alias(name)

@@ -40,7 +40,7 @@ DAILY = {
     "training_history_daily": Daily("training_history", "daily", [("training_status", "trainingStatus", "text"), ("sport", "sport", "text")], [("training_status is null", "missing_training_status")], "timestamp"),
 }
 
-_KINDS = {"num": coerce.number, "json_num": lambda j: coerce.number(j, strings=False), "int": coerce.integer, "text": coerce.text, "bool": coerce.boolean}
+_KINDS = {"num": coerce.number, "json_num": lambda j: coerce.number(j, strings=False, bounded="none"), "int": coerce.integer, "text": coerce.text, "bool": coerce.boolean}
 
 
 def raw(name: str) -> Column:
@@ -182,11 +182,12 @@ def activities(assets: DataFrame) -> DataFrame:
     num = lambda n: coerce.number(raw(n), strings=False)
     activity_id = coerce.any_text(raw("activityId"))
     start = F.when(raw("startTimeGmt").isNotNull() & (raw("startTimeGmt") != "null"), num("startTimeGmt")).otherwise(num("beginTimestamp"))
-    fallback = identity.hash_key("garmin_activity_hash:", [start.cast("long"), raw("distance"), raw("duration"), coerce.text(raw("activityType"))])
+    stated = F.when(F.coalesce(raw("startTimeGmt") != "null", F.lit(False)), raw("startTimeGmt")).otherwise(raw("beginTimestamp"))
+    fallback = identity.json_hash_key("garmin_activity_hash:", [stated, raw("distance"), raw("duration"), raw("activityType")])
     ms = start.cast("long")
     return rows.select(
         F.coalesce(F.concat(F.lit("garmin_activity:"), activity_id), fallback).alias("garmin_activity_key"), activity_id.alias("activity_id"), coerce.text(raw("name")).alias("name"), coerce.text(raw("description")).alias("memo_text_raw"),
-        coerce.text(raw("description")).isNotNull().alias("memo_present"), coerce.text(raw("activityType")).alias("activity_type"), coerce.text(raw("sportType")).alias("sport_type"), start.alias("start_time_gmt_ms"), coerce.any_text(raw("startTimeLocal")).alias("start_time_local_raw"),
+        F.coalesce(F.trim(coerce.text(raw("description"))) != "", F.lit(False)).alias("memo_present"), coerce.text(raw("activityType")).alias("activity_type"), coerce.text(raw("sportType")).alias("sport_type"), start.alias("start_time_gmt_ms"), coerce.any_text(raw("startTimeLocal")).alias("start_time_local_raw"),
         times.local_iso(ms).alias("activity_datetime_local"), times.local_day(ms).alias("activity_date_local"), num("distance").alias("distance_raw_centimeters"), (num("distance") / 100).alias("distance_m"), num("duration").alias("duration_ms"), (num("duration") / 1000).alias("duration_sec"),
         num("elapsedDuration").alias("elapsed_duration_ms"), num("movingDuration").alias("moving_duration_ms"), num("avgHr").alias("avg_hr"), num("maxHr").alias("max_hr"), num("avgPower").alias("avg_power"), num("maxPower").alias("max_power"), num("avgRunCadence").alias("avg_run_cadence"),
         coerce.text(raw("trainingEffectLabel")).alias("training_effect_label"), num("activityTrainingLoad").alias("activity_training_load"), coerce.integer(raw("lapCount")).alias("lap_count"), F.col("provenance_path").alias("source_path"), F.col("sha256").alias("source_sha256"),
@@ -194,10 +195,26 @@ def activities(assets: DataFrame) -> DataFrame:
     )
 
 
+# What leaves with the view for others, and fields of scores that never do.
+SHARED = ["activity_month", "activity_type", "sport_type", "distance_m", "duration_sec", "lap_count"]
+PRIVATE_FIELDS = ["deviceId", "userProfilePk", "userProfilePK", "primaryTrainingDevice", "timestamp", "timestampGmt", "enduranceScoreContributor"]
+
+
+def shared_view(activities_: DataFrame) -> DataFrame:
+    """Activities for others: months instead of dates, and nothing but type and volume."""
+    return activities_.withColumn("activity_month", F.coalesce(F.substring("activity_date_local", 1, 7), F.lit(""))).select(SHARED)
+
+
+def private_fields(rows: DataFrame) -> DataFrame:
+    """``field_name, row_count``: in how many source rows each private field is there, be it with null; none of them is in a dataset."""
+    found = rows.select(F.explode(F.array_intersect(F.map_keys("record"), F.array(*map(F.lit, PRIVATE_FIELDS)))).alias("field_name"))
+    return found.groupBy("field_name").agg(F.count("*").alias("row_count"))
+
+
 def gear(assets: DataFrame) -> DataFrame:
     rows = _rows(assets, "gear", wrappers.listed("gearDTOS"))
     pk = identity.identity_token(coerce.any_text(raw("gearPk")))
-    key = F.coalesce(pk, identity.hash_key("garmin_gear_hash:", [coerce.text(raw(n)) for n in ("uuid", "displayName", "dateBegin")]))
+    key = F.coalesce(pk, identity.json_hash_key("garmin_gear_hash:", [raw(n) for n in ("uuid", "displayName", "dateBegin")]))
     return rows.select(key.alias("gear_key"), coerce.text(raw("uuid")).alias("uuid"), coerce.text(raw("displayName")).alias("display_name"), coerce.text(raw("customMakeModel")).alias("custom_make_model"), F.coalesce(coerce.text(raw("gearTypeName")), coerce.text(raw("gearType"))).alias("gear_type"), coerce.text(raw("dateBegin")).alias("date_begin"), coerce.text(raw("dateEnd")).alias("date_end"), coerce.number(raw("maximumMeters")).alias("maximum_meters"), F.col("provenance_path").alias("source_path"), F.col("sha256").alias("source_sha256"))
 
 
@@ -220,7 +237,7 @@ def personal_records(assets: DataFrame, activities_: DataFrame) -> DataFrame:
     known = endpoints.unique_index(activities_.select(identity.identity_token(F.col("activity_id")).alias("activity_id"), "garmin_activity_key"), "activity_id", "garmin_activity_key")
     activity_id = identity.identity_token(coerce.any_text(raw("activityId")), allow_zero=True)
     own = identity.identity_token(coerce.any_text(raw("personalRecordId")))
-    key = F.coalesce(own, identity.hash_key("garmin_personal_record_hash:", [activity_id, coerce.text(raw("personalRecordType")), raw("value"), coerce.any_text(raw("prStartTimeGMT"))]))
+    key = F.coalesce(own, identity.json_hash_key("garmin_personal_record_hash:", [raw(n) for n in ("activityId", "personalRecordType", "value", "prStartTimeGMT")]))
     out = rows.select(key.alias("personal_record_id"), activity_id.alias("activity_id"), coerce.text(raw("personalRecordType")).alias("personal_record_type"), coerce.number(raw("value")).alias("value"), coerce.any_text(raw("prStartTimeGMT")).alias("start_time_gmt"), coerce.any_text(raw("createdDate")).alias("created_date"), coerce.boolean(raw("current")).alias("current"), coerce.boolean(raw("confirmed")).alias("confirmed"), F.col("record_index").alias("source_record_index"), F.col("provenance_path").alias("source_path"), F.col("sha256").alias("source_sha256"), F.when(own.isNotNull(), "high").otherwise("medium").alias("source_confidence"))
     linked = endpoints.optional_link(out, "activity_id", known, F.col("activity_id") == "0").where("link_status <> 'unresolved'")
     return linked.join(known, "activity_id", "left").withColumn("activity_relationship_status", F.when(F.col("link_status") == "independent", "INDEPENDENT").otherwise("RESOLVED")).withColumn("activity_relationship_reason", F.col("link_status")).drop("link_status")

@@ -56,7 +56,7 @@ def health_status(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = ["health_status_daily_record_key", "calendar_date", "create_timestamp_utc", "update_timestamp_utc", "outliers_count", "source_path", "source_sha256"]
     each = records.select(*base, "same_date", choice.alias("daily_selection_status"), F.posexplode_outer("metrics").alias("metric_index", "metric"))
     f = lambda name: coerce.field(F.col("metric"), name)
-    metrics = each.withColumns({"metric_type": F.upper(_trimmed(f("type"))), "value": coerce.number(f("value")), "baseline_upper_limit": coerce.number(f("baselineUpperLimit")), "baseline_lower_limit": coerce.number(f("baselineLowerLimit")), "percentage": coerce.number(f("percentage")), "status": _trimmed(f("status")), "feedback_key": _trimmed(f("feedbackKey"))})
+    metrics = each.withColumns({"metric_type": F.upper(_trimmed(f("type"))), "value": coerce.number(f("value"), bounded="all"), "baseline_upper_limit": coerce.number(f("baselineUpperLimit"), bounded="all"), "baseline_lower_limit": coerce.number(f("baselineLowerLimit"), bounded="all"), "percentage": coerce.number(f("percentage"), bounded="all"), "status": _trimmed(f("status")), "feedback_key": _trimmed(f("feedbackKey"))})
     context = [_given(f(s)) & F.col(t).isNull() for s, t in (("baselineUpperLimit", "baseline_upper_limit"), ("baselineLowerLimit", "baseline_lower_limit"), ("percentage", "percentage"))]
     reason = quality.first_reason([(~dated, "health_status_missing_calendar_date"), (F.col("metric_type").isNull(), "health_status_missing_metric_type"), (_given(f("value")) & F.col("value").isNull(), "health_status_metric_value_invalid"), (context[0] | context[1] | context[2], "health_status_metric_context_invalid")])
     metrics = metrics.withColumn("metric_reason_code", F.when(F.col("metric").isNotNull(), F.coalesce(reason, F.lit("health_status_metric_available"))))
@@ -143,10 +143,10 @@ def _threshold_rows(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"is_object": F.coalesce(coerce.is_object(meta), F.lit(False)), "date_json": F.when(history, coerce.field(meta, "calendarDate")), "sequence_json": F.when(history, coerce.field(meta, "sequence"))})
     rows = rows.withColumns({"observation_timestamp": times.bound(F.col("date_json"), times.date_label), "sequence": F.coalesce(coerce.integer(F.col("sequence_json")), F.lit(0))})
     stopped = F.when(history & ~F.col("is_object"), "history_metadata_missing").when(history & F.col("observation_timestamp").isNull(), "history_timestamp_missing_or_invalid")
-    invalid = [F.when(F.coalesce(raw(n) != "null", F.lit(False)) & coerce.number(raw(n), strings=False).isNull(), F.lit(f"invalid_{t}")) for n, t in _TARGETS.items()]
+    invalid = [F.when(F.coalesce(raw(n) != "null", F.lit(False)) & coerce.number(raw(n), strings=False, bounded="none").isNull(), F.lit(f"invalid_{t}")) for n, t in _TARGETS.items()]
     reviews = F.when(stopped.isNotNull(), F.array(stopped)).otherwise(F.array_compact(F.array(*invalid)))
     kind = F.when((F.col("observation_family") == "derived_evidence") & (raw("trainingMethod") == f'"{THRESHOLD_TYPE}"'), THRESHOLD_TYPE)
-    return rows.withColumns({"stopped": stopped.isNotNull(), "reviews": reviews, **{t: coerce.number(raw(n), strings=False) for n, t in _TARGETS.items()}, "lactate_threshold_type": kind})
+    return rows.withColumns({"stopped": stopped.isNotNull(), "reviews": reviews, **{t: coerce.number(raw(n), strings=False, bounded="none") for n, t in _TARGETS.items()}, "lactate_threshold_type": kind})
 
 
 _CANDIDATE = ["observation_timestamp", "observation_family", *_TARGETS.values(), "lactate_threshold_type"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pacelake.functions import coerce
 from pacelake.plans import datasets, health, variability
 
 _DAYS = "dd AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, count(*)::BIGINT AS n, min(o_orderkey) AS k FROM orders GROUP BY 1)"
@@ -152,6 +153,26 @@ def dataset_activities(spark, d):
     return _filled(datasets.activities(_activities(spark, d)).select("garmin_activity_key", "activity_id", "name", "memo_present", "start_time_gmt_ms", "activity_datetime_local", "activity_date_local", "distance_m", "duration_sec", "avg_hr", "lap_count", "source_confidence"), "lap_count")
 
 
+def shared_activities(spark, d):
+    """The view of activities that leaves for others."""
+    return _filled(datasets.shared_view(datasets.activities(_activities(spark, d))), "lap_count")
+
+
+def private_field_counts(spark, d):
+    """How many source rows of a score hold each private field."""
+    fields = {"overallScore": num(F.col(N)), "deviceId": F.lit("null"), "timestamp": every(2, num(F.col(K))), "userProfilePK": every(3, F.lit("1")), "note": F.lit("1")}
+    return datasets.private_fields(_dated(spark, d, "hill_score", fields))
+
+
+def number_variants(spark, d):
+    """Numbers as the three kinds of sources take them: large ones, texts, booleans and other forms."""
+    k = F.col("o_orderkey")
+    forms = ["9007199254740991", "9007199254740993", '"9007199254740993"', "1e300", '" 12.5 "', '"12d"', "true", '""', "null", '"1e400"', "-0.5"]
+    json = F.element_at(F.array(*map(F.lit, forms)), (k % len(forms) + 1).cast("int"))
+    kinds = {"daily": coerce.number(json), "performance": coerce.number(json, strings=False, bounded="none"), "health": coerce.number(json, bounded="all")}
+    return _table(spark, d, "orders").select(json.alias("form"), *[F.coalesce(v, F.lit(-1.0)).alias(n) for n, v in kinds.items()]).groupBy("form", *kinds).agg(F.count("*").alias("row_count"))
+
+
 def _gear_rows(spark, d) -> DataFrame:
     p = _table(spark, d, "part").withColumn("k", F.col("p_partkey"))
     return _records(p.where("p_size <= 40"), "gear", {"gearPk": every(9, q(F.concat(F.lit(" 00"), F.col("k") + 1)), num(F.col("k") + 1)), "uuid": q(F.col("p_brand")), "displayName": every(3, q(F.lit("")), q(F.concat(F.lit("G"), F.col("k")))), "gearTypeName": every(2, F.lit("null"), q(F.lit("Shoes"))), "gearType": q(F.lit("other")), "maximumMeters": q(F.col("p_size") * 1000)}, parent=F.lit("x"))
@@ -278,7 +299,7 @@ _JST = "strftime(u + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00'"
 _ACT = """
     o AS (SELECT o_orderkey AS k, o_custkey AS c, epoch_us(o_orderdate) // 1000 + o_orderkey * 1000 AS ms FROM orders),
     s AS (SELECT *, CASE WHEN k % 7 = 0 THEN ms + 500 ELSE ms END AS start, CASE WHEN k % 10 <> 0 THEN k::VARCHAR END AS id FROM o),
-    act AS (SELECT *, coalesce('garmin_activity:' || id, 'garmin_activity_hash:' || substr(sha256('["' || start || '","' || (c * 100 + 5) || '","' || (k % 1000 * 1000) || '","running"]'), 1, 24)) AS key FROM s)"""
+    act AS (SELECT *, coalesce('garmin_activity:' || id, 'garmin_activity_hash:' || substr(sha256('[' || start || ',' || (c * 100 + 5) || ',' || (k % 1000 * 1000) || ',"running"]'), 1, 24)) AS key FROM s)"""
 _GEAR = "g AS (SELECT p_partkey AS k, p_brand, p_size FROM part WHERE p_size <= 40)"
 _LINKS = f"""{_ACT}, {_GEAR},
     l AS (SELECT DISTINCT l_partkey + 1 AS gear, l_orderkey + 1 AS a FROM lineitem),
@@ -345,6 +366,13 @@ SQL = {
     "dataset_activities": f"""WITH {_ACT} SELECT key AS garmin_activity_key, id AS activity_id, 'A' || k AS name, k % 3 <> 0 AS memo_present, start::DOUBLE AS start_time_gmt_ms,
         strftime(make_timestamp(start * 1000) + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || CASE WHEN k % 7 = 0 THEN '.500000' ELSE '' END || '+09:00' AS activity_datetime_local, strftime(make_timestamp(start * 1000) + INTERVAL 9 HOUR, '%Y-%m-%d') AS activity_date_local,
         (c * 100 + 5) / 100.0::DOUBLE AS distance_m, (k % 1000)::DOUBLE AS duration_sec, CASE WHEN k % 4 <> 0 THEN 140.5::DOUBLE END AS avg_hr, CASE WHEN k % 5 <> 0 THEN 2 ELSE -1 END::BIGINT AS lap_count, CASE WHEN id IS NULL THEN 'medium' ELSE 'high' END AS source_confidence FROM act""",
+    "shared_activities": f"""WITH {_ACT} SELECT strftime(make_timestamp(start * 1000) + INTERVAL 9 HOUR, '%Y-%m') AS activity_month, 'running' AS activity_type, CASE WHEN k % 2 = 0 THEN 'TRAIL' ELSE ' ' END AS sport_type,
+        (c * 100 + 5) / 100.0::DOUBLE AS distance_m, (k % 1000)::DOUBLE AS duration_sec, CASE WHEN k % 5 <> 0 THEN 2 ELSE -1 END::BIGINT AS lap_count FROM act""",
+    "private_field_counts": f"""WITH {_DAYS}, x AS (SELECT k, unnest(range(CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END)) AS i FROM dd)
+        SELECT 'deviceId' AS field_name, count(*)::BIGINT AS row_count FROM x UNION ALL SELECT 'timestamp', count(*)::BIGINT FROM x WHERE k % 2 = 0 UNION ALL SELECT 'userProfilePK', count(*)::BIGINT FROM x WHERE k % 3 = 0""",
+    "number_variants": """WITH f AS (SELECT * FROM (VALUES (0, '9007199254740991', 9007199254740991::DOUBLE, 9007199254740991::DOUBLE, 9007199254740991::DOUBLE), (1, '9007199254740993', -1, 9007199254740992::DOUBLE, -1), (2, '"9007199254740993"', 9007199254740992::DOUBLE, -1, -1), (3, '1e300', 1e300, 1e300, -1),
+        (4, '" 12.5 "', 12.5, -1, 12.5), (5, '"12d"', -1, -1, -1), (6, 'true', -1, -1, -1), (7, '""', -1, -1, -1), (8, 'null', -1, -1, -1), (9, '"1e400"', -1, -1, -1), (10, '-0.5', -0.5, -0.5, -0.5)) t(i, form, daily, performance, health))
+        SELECT form, daily::DOUBLE AS daily, performance::DOUBLE AS performance, health::DOUBLE AS health, count(*)::BIGINT AS row_count FROM orders JOIN f ON i = o_orderkey % 11 GROUP BY ALL""",
     "dataset_gear": f"WITH {_GEAR} SELECT (k + 1)::VARCHAR AS gear_key, p_brand AS uuid, CASE WHEN k % 3 <> 0 THEN 'G' || k END AS display_name, CASE WHEN k % 2 = 0 THEN 'other' ELSE 'Shoes' END AS gear_type, p_size * 1000::DOUBLE AS maximum_meters FROM g",
     "dataset_activity_gear": f"WITH {_LINKS} SELECT gear::VARCHAR AS gear_key, a::VARCHAR AS activity_id, key AS garmin_activity_key, 'RESOLVED' AS activity_relationship_status, 'RESOLVED' AS gear_relationship_status FROM r WHERE has_gear AND key IS NOT NULL",
     "dataset_activity_gear_unresolved": f"""WITH {_LINKS} SELECT reason, count(*)::BIGINT AS row_count FROM (SELECT 'gear_relationship_unresolved_valid_link' AS reason FROM r WHERE NOT has_gear UNION ALL SELECT 'activity_relationship_unresolved_valid_link' FROM r WHERE key IS NULL) GROUP BY 1""",
