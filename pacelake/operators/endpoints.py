@@ -29,7 +29,10 @@ def resolve(links: DataFrame, token: str, current: DataFrame, cumulative: DataFr
     marks = {"__c": conflicts, "__n": current, "__s": cumulative}
     each = [known.select(token, *[F.lit(m == mark).alias(m) for m in marks]) for mark, known in marks.items()]
     known = each[0].union(each[1]).union(each[2]).groupBy(token).agg(*[F.bool_or(m).alias(m) for m in marks])
-    out = links.join(known, token, "left")
+    # rows without a token join with nothing; by a hash of the row they don't all go to one task
+    plain = [c for c, t in links.dtypes if "map<" not in t and "variant" not in t]
+    spread = F.coalesce(F.col(token).cast("string"), F.concat(F.lit("\0"), F.xxhash64(*plain).cast("string")))
+    out = links.withColumn("__t", spread).join(known.where(F.col(token).isNotNull()).withColumn("__t", F.col(token).cast("string")).drop(token), "__t", "left").drop("__t")
     bad = malformed if malformed is not None else F.lit(False)
     bad = bad | F.col(token).isNull()
     status = F.when(bad, MALFORMED).when(F.col("__c"), CONFLICT).when(F.col("__n") | F.col("__s"), RESOLVED).otherwise(UNRESOLVED)

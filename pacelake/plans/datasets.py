@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacelake.functions import coerce, identity, times
-from pacelake.operators import dedupe, endpoints, matching, quality
+from pacelake.operators import dedupe, endpoints, matching, quality, stage
 from pacelake.sources import families, fit, wrappers
 
 DEFAULT_TYPES = {"num": "double", "int": "bigint", "text": "string", "bool": "boolean"}
@@ -283,7 +283,7 @@ def activity_fit_links(activities_: DataFrame, sessions: DataFrame) -> tuple[Dat
 
 def normalize(spark: SparkSession, assets: DataFrame, preserve: bool = False) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """All seventeen datasets by name, and audit tables by name."""
-    decoded = fit.decoded(assets).persist()
+    decoded = stage.saved(fit.decoded(assets))
     out: dict[str, DataFrame] = {"activities": activities(assets)}
     audits: dict[str, DataFrame] = {"fit_status": decoded.groupBy("status").agg(F.count("*").alias("file_count"))}
     out["gear"] = gear(assets)
