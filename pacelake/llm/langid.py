@@ -96,7 +96,7 @@ def _of_each(rows: DataFrame, each: int) -> DataFrame:
 def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, each: int = EACH) -> Centroids:
     """Centroids of every language, from ``sample`` rows that have a language and a letter and are not held out, and ``each`` rows of each language."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).where(~held_out(F.col("doc_id")))
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = _of_each(known.select("doc_id", F.lit("").alias("lang")), sample)  # of all languages together
     chosen = chosen.union(_of_each(known.select("doc_id", "lang"), each)).distinct()
     rows = known.join(F.broadcast(chosen), "doc_id").mapInArrow(_pack, "doc_id long, counts binary, lang string")
     # of repeated rows of a document one counts, so that no more than the sample goes to the driver
