@@ -89,10 +89,11 @@ def rollup(datasets: DataFrame, family: str) -> DataFrame:
 
 
 def state_consensus(states: DataFrame, family: str) -> DataFrame:
-    """One row per family: the state and validity that all snapshots share, else AMBIGUOUS and UNKNOWN."""
-    each = states.groupBy(family).agg(F.min(F.struct("state", "content_validity")).alias("lo"), F.max(F.struct("state", "content_validity")).alias("hi"), F.sum("row_count").cast("long").alias("row_count"), F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"))
+    """One row per family: the state and validity that all snapshots share, else AMBIGUOUS and UNKNOWN. Counts are summed; where there are ``reason_code``s, all of them are listed."""
+    codes = [F.array_join(F.array_sort(F.collect_set("reason_code")), ",").alias("reason_codes")] if "reason_code" in states.columns else []
+    each = states.groupBy(family).agg(F.min(F.struct("state", "content_validity")).alias("lo"), F.max(F.struct("state", "content_validity")).alias("hi"), F.sum("row_count").cast("long").alias("row_count"), F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"), *codes)
     same = F.col("lo") == F.col("hi")
-    return each.select(family, F.when(same, F.col("lo.state")).otherwise("AMBIGUOUS").alias("state"), F.when(same, F.col("lo.content_validity")).otherwise("UNKNOWN").alias("content_validity"), "row_count", "states")
+    return each.select(family, F.when(same, F.col("lo.state")).otherwise("AMBIGUOUS").alias("state"), F.when(same, F.col("lo.content_validity")).otherwise("UNKNOWN").alias("content_validity"), "row_count", "states", *["reason_codes" for _ in codes])
 
 
 def first_reason(rules: list[tuple[Column, str]]) -> Column:

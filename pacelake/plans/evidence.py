@@ -55,6 +55,11 @@ _THRESHOLDS = f"""
 FAMILIES = ["activities", "gear", "personal_records", "fit", "hill_score", "endurance_score", "race_prediction", "sleep", "uds", "acute_training_load", "training_readiness", "vo2max", "training_history"]
 
 
+def completeness_consensus(spark, d):
+    """One state for each family over all snapshots, ambiguous where they differ; every reason is listed."""
+    return quality.state_consensus(completeness_by_snapshot(spark, d), "family")
+
+
 def completeness_by_snapshot(spark, d):
     """Every family in every snapshot (a source of documents stands for one), those without a file as absent; no pair of state and validity may be wrong."""
     docs = _table(spark, d, "documents").where("source IS NOT NULL")
@@ -119,14 +124,7 @@ def incremental_merge(spark, d):
     return out.select("canonical_key", "presence_pattern", "source_snapshot_count", "source_observation_count", *[F.col("raw_record")[f].alias(f) for f in ("name", "memo", "load")])
 
 
-_LEAF = "sha256(string_agg(h, chr(10) ORDER BY h))"
-
-SQL = {
-    "threshold_candidates": f"""WITH {_THRESHOLDS} SELECT f AS observation_family, coalesce(t, '') AS observation_timestamp, coalesce(power, -1) AS power, coalesce(speed, -1) AS speed, coalesce(kind, '') AS kind,
-        row_number() OVER (PARTITION BY f, t ORDER BY seq, speed NULLS FIRST, power NULLS FIRST, kind NULLS FIRST)::INTEGER AS place FROM u""",
-    "threshold_reviews": f"""WITH {_THRESHOLDS}, c AS (SELECT stop AS condition FROM n WHERE stop IS NOT NULL UNION ALL SELECT 'invalid_functional_threshold_power' FROM n WHERE stop IS NULL AND k % 9 = 0 UNION ALL SELECT 'invalid_lactate_threshold_speed' FROM n WHERE stop IS NULL AND k % 6 = 0
-        UNION ALL SELECT 'functional_threshold_power_conflict' FROM (SELECT 1 FROM u GROUP BY f, t HAVING count(DISTINCT power) > 1)) SELECT condition, count(*)::BIGINT AS review_count FROM c GROUP BY 1""",
-    "completeness_by_snapshot": f"""WITH x AS (SELECT *, {FAMILIES!r}[n_chars % 13 + 1] AS family FROM documents WHERE source IS NOT NULL AND n_chars % 3 <> 0),
+_COMPLETENESS = f"""WITH x AS (SELECT *, {FAMILIES!r}[n_chars % 13 + 1] AS family FROM documents WHERE source IS NOT NULL AND n_chars % 3 <> 0),
         c AS (SELECT source, family, count(*) AS n, count(*) FILTER (WHERE n_chars > 1500) AS r, count(*) FILTER (WHERE doc_id % 4 = 0) AS a, count(*) FILTER (WHERE doc_id % 4 = 1) AS b, count(*) FILTER (WHERE doc_id % 4 = 2) AS u, count(*) FILTER (WHERE doc_id % 4 = 3) AS m FROM x GROUP BY ALL),
         g AS (SELECT s.source, f.family, coalesce(n, 0) AS n, coalesce(r, 0) AS r, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(u, 0) AS u, coalesce(m, 0) AS m FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s CROSS JOIN (SELECT unnest({FAMILIES!r}) AS family) f LEFT JOIN c ON c.source = s.source AND c.family = f.family),
         k AS (SELECT *, family = 'fit' AS fit, (a > 0)::INT + (b > 0)::INT + (u > 0)::INT + (m > 0)::INT AS kinds FROM g),
@@ -134,7 +132,18 @@ SQL = {
         SELECT family, source AS snapshot_id, state, CASE WHEN state IN ('ABSENT', 'UNSUPPORTED') THEN 'NOT_APPLICABLE' WHEN state IN ('AMBIGUOUS', 'UNREADABLE') THEN 'UNKNOWN' WHEN state = 'PRESENT' AND m > 0 THEN 'MALFORMED' ELSE 'VALID' END AS content_validity,
             CASE state WHEN 'ABSENT' THEN 'SOURCE_NOT_OBSERVED' WHEN 'EMPTY' THEN 'SOURCE_STRUCTURALLY_EMPTY' WHEN 'AMBIGUOUS' THEN 'MIXED_FIT_EVIDENCE' WHEN 'UNREADABLE' THEN 'FIT_NOT_READABLE' WHEN 'UNSUPPORTED' THEN 'FIT_FORM_UNSUPPORTED' ELSE CASE WHEN fit THEN 'FIT_EVIDENCE_PRESENT' ELSE 'SOURCE_EVIDENCE_PRESENT' END END AS reason_code,
             n::BIGINT AS candidate_count, CASE WHEN fit THEN a ELSE n END::BIGINT AS readable_asset_count, r::BIGINT AS row_count,
-            CASE state WHEN 'PRESENT' THEN 'CONSULT_CONTENT_VALIDITY_AND_RUN_QUALITY' WHEN 'EMPTY' THEN 'SUPPORTED_SOURCE_CONTAINED_ZERO_OBSERVATIONS' WHEN 'ABSENT' THEN 'DO_NOT_INFER_ZERO_OR_DELETION' WHEN 'UNREADABLE' THEN 'OBTAIN_COMPLETE_READABLE_EXPORT' WHEN 'UNSUPPORTED' THEN 'SOURCE_FORM_NOT_SUPPORTED_BY_THIS_VERSION' ELSE 'REVIEW_REQUIRED_NO_WINNER_SELECTED' END AS user_guidance_id FROM t""",
+            CASE state WHEN 'PRESENT' THEN 'CONSULT_CONTENT_VALIDITY_AND_RUN_QUALITY' WHEN 'EMPTY' THEN 'SUPPORTED_SOURCE_CONTAINED_ZERO_OBSERVATIONS' WHEN 'ABSENT' THEN 'DO_NOT_INFER_ZERO_OR_DELETION' WHEN 'UNREADABLE' THEN 'OBTAIN_COMPLETE_READABLE_EXPORT' WHEN 'UNSUPPORTED' THEN 'SOURCE_FORM_NOT_SUPPORTED_BY_THIS_VERSION' ELSE 'REVIEW_REQUIRED_NO_WINNER_SELECTED' END AS user_guidance_id FROM t"""
+
+_LEAF = "sha256(string_agg(h, chr(10) ORDER BY h))"
+
+SQL = {
+    "threshold_candidates": f"""WITH {_THRESHOLDS} SELECT f AS observation_family, coalesce(t, '') AS observation_timestamp, coalesce(power, -1) AS power, coalesce(speed, -1) AS speed, coalesce(kind, '') AS kind,
+        row_number() OVER (PARTITION BY f, t ORDER BY seq, speed NULLS FIRST, power NULLS FIRST, kind NULLS FIRST)::INTEGER AS place FROM u""",
+    "threshold_reviews": f"""WITH {_THRESHOLDS}, c AS (SELECT stop AS condition FROM n WHERE stop IS NOT NULL UNION ALL SELECT 'invalid_functional_threshold_power' FROM n WHERE stop IS NULL AND k % 9 = 0 UNION ALL SELECT 'invalid_lactate_threshold_speed' FROM n WHERE stop IS NULL AND k % 6 = 0
+        UNION ALL SELECT 'functional_threshold_power_conflict' FROM (SELECT 1 FROM u GROUP BY f, t HAVING count(DISTINCT power) > 1)) SELECT condition, count(*)::BIGINT AS review_count FROM c GROUP BY 1""",
+    "completeness_by_snapshot": _COMPLETENESS,
+    "completeness_consensus": f"""WITH s AS ({_COMPLETENESS}) SELECT family, CASE WHEN count(DISTINCT (state, content_validity)) = 1 THEN min(state) ELSE 'AMBIGUOUS' END AS state, CASE WHEN count(DISTINCT (state, content_validity)) = 1 THEN min(content_validity) ELSE 'UNKNOWN' END AS content_validity,
+        sum(row_count)::BIGINT AS row_count, string_agg(DISTINCT state, ',' ORDER BY state) AS states, string_agg(DISTINCT reason_code, ',' ORDER BY reason_code) AS reason_codes FROM s GROUP BY 1""",
     "name_collisions": """WITH p AS (SELECT DISTINCT 'DI/' || CASE p_partkey % 4 WHEN 0 THEN 'R\u00e9' WHEN 1 THEN 'Ré' WHEN 2 THEN 'r\u00c9' ELSE 'other' END || (p_partkey // 8) || CASE WHEN p_partkey % 3 = 0 THEN '.JSON' ELSE '.json' END AS path FROM part) SELECT lower(nfc_normalize(path)) AS folded_path, count(*)::BIGINT AS path_count FROM p GROUP BY 1 HAVING count(*) > 1""",
     "privacy_rules": _rule_sql(),
     "build_records": f"""WITH {checks._MERGE}, s2 AS (SELECT *, sha256('{{"load":' || load || CASE WHEN memo IS NULL THEN '' ELSE ',"memo":' || memo END || CASE WHEN more IS NULL THEN '' ELSE ',"more":1' END || ',"name":' || name || '}}') AS rec FROM ok),

@@ -84,6 +84,15 @@ def classify(name: Column, kind: Column) -> Column:
     return F.when(kind == "json", out).when(kind == "fit", "fit").otherwise("unclassified")
 
 
+def named(assets: DataFrame, prefixes: list[str], path: str = "provenance_path") -> DataFrame:
+    """Assets whose file name, that of the member within an archive, begins with one of the prefixes, in whatever case."""
+    base = F.lower(F.regexp_extract(path, r"([^/\\\\!]*)$", 1))
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | base.startswith(p.lower())
+    return assets.where(found)
+
+
 def buckets(family: Column, kind: Column) -> Column:
     """The families whose readers take a file: its own, and for binary files heart-rate variability as well."""
     return F.array_distinct(F.when(kind == "fit", F.array(family, F.lit("hrv"))).otherwise(F.array(family)))

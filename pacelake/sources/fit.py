@@ -241,3 +241,9 @@ def encode(rows: list[tuple[int, list[tuple[int, int, int, bytes]]]], header: in
     head = struct.pack("<BBHI4s", header, 0x20, 0x0846, len(body), b".FIT")
     head += struct.pack("<H", crc16(head)) if header == 14 else b""
     return head + body + struct.pack("<H", crc16(head + body))
+
+
+def sentinel_counts(decoded: DataFrame) -> DataFrame:
+    """``field_name, invalid_count``: how often each field of any file held the value that means none."""
+    each = decoded.select(F.explode(F.from_json("sentinels", "map<string,bigint>")).alias("field_name", "n"))
+    return each.where("n > 0").groupBy("field_name").agg(F.sum("n").alias("invalid_count"))

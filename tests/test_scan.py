@@ -148,3 +148,13 @@ def test_states_of_files_and_merge(found):
 def test_times_of_observations(spark, text, naive, utc):
     row = spark.createDataFrame([(text,)], "j string").select(times.moment(F.col("j")).alias("a"), times.moment(F.col("j"), True).alias("b")).first()
     assert (row["a"], row["b"]) == (naive, utc)
+
+
+def test_selection_by_prefix_and_sentinels(spark):
+    from pacelake.sources import families, fit
+
+    paths = ["DI/HillScore_1.json", "a.zip!DI/hillscore.json", "DI/x_HillScore.json", "hillscore/none.json", "DI/EnduranceScore.json"]
+    found = families.named(spark.createDataFrame([(p,) for p in paths], "provenance_path string"), ["hillscore"])
+    assert {r[0] for r in found.collect()} == set(paths[:2])
+    decoded = spark.createDataFrame([('{"lap.avg_power":2,"session.sport":0}',), ('{"lap.avg_power":1}',), (None,)], "sentinels string")
+    assert [tuple(r) for r in fit.sentinel_counts(decoded).collect()] == [("lap.avg_power", 3)]
