@@ -27,6 +27,18 @@ def variants(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return each.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n > 1").drop("__n")
 
 
+def fingerprint(fields: list[str]) -> Column:
+    """The SHA-256 of a row's values as JSON with sorted names, nulls included: an identity of what was observed, wherever it was."""
+    return F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
+
+
+def traced_variants(df: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
+    """Variants of divergent keys with ``variant_fingerprint`` and the snapshots (``order``) that hold each, none of which wins."""
+    each = df.groupBy(*keys, *fields).agg(F.count("*").alias("observation_count"), F.array_join(F.array_sort(F.collect_set(order)).cast("array<string>"), ",").alias("snapshot_orders"))
+    several = each.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n > 1").drop("__n")
+    return several.withColumn("variant_fingerprint", fingerprint([*keys, *fields])).withColumn("canonical_status", F.lit("unresolved_multiple_observed_values"))
+
+
 def audit(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row of counters: rows, keys, same-value duplicates, divergent keys and their variants, and a status."""
     per_key = observed(df, keys, fields).groupBy(*keys).agg(F.sum("observation_count").alias("rows"), F.count("*").alias("variants"))

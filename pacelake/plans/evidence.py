@@ -113,6 +113,12 @@ def dedupe_review(spark, d):
     return dedupe.reviewed(rows, ["l_orderkey"], ["value", "status"], ["origin"], {"value": F.lit(-1).cast("long"), "status": F.lit("needs_review")})
 
 
+def variant_lineage(spark, d):
+    """Clerks' orders with different values under one customer and status: each variant with its fingerprint and the months that hold it."""
+    rows = _table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 3).alias("value"), F.month("o_orderdate").cast("long").alias("logical_order"))
+    return dedupe.traced_variants(rows, ["o_custkey", "o_orderstatus"], ["value"], "logical_order").withColumn("value", F.coalesce("value", F.lit(-1)))
+
+
 def incremental_merge(spark, d):
     """Snapshots absorbed as batches, the last one first: the merge of all at once."""
     rows = checks._observations(spark, d).withColumn("dataset", F.lit("uds"))
@@ -152,6 +158,10 @@ SQL = {
         l AS (SELECT sha256(t) AS h FROM (SELECT t FROM m UNION ALL SELECT t FROM v)), c AS (SELECT sha256('c' || n_nationkey) AS h FROM nation)
         SELECT (SELECT count(*) FROM l)::BIGINT AS record_count, (SELECT count(*) FROM c)::BIGINT AS content_count, sha256('["parser=2","schema=1"]' || chr(10) || (SELECT {_LEAF} FROM l) || chr(10) || (SELECT {_LEAF} FROM c)) AS digest""",
     "dedupe_review": """SELECT l_orderkey, CASE WHEN two THEN -1 ELSE l_orderkey % 5 END::BIGINT AS value, CASE WHEN two THEN 'needs_review' ELSE 'available' END AS status, two AS review_required FROM (SELECT l_orderkey, count(DISTINCT l_suppkey % 2) > 1 AS two FROM lineitem GROUP BY 1)""",
+    "variant_lineage": """WITH v AS (SELECT o_custkey, o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 3 END AS value, count(*)::BIGINT AS observation_count,
+            list_sort(list(DISTINCT month(o_orderdate))) AS months FROM orders GROUP BY 1, 2, 3)
+        SELECT o_custkey, o_orderstatus, coalesce(value, -1)::BIGINT AS value, observation_count, array_to_string(months, ',') AS snapshot_orders, sha256('{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","value":' || coalesce(value::VARCHAR, 'null') || '}') AS variant_fingerprint,
+            'unresolved_multiple_observed_values' AS canonical_status FROM v QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderstatus) > 1""",
     "incremental_merge": checks.SQL["merge_canonical"],
 }
 
