@@ -18,7 +18,9 @@ fragment and summed per pair; a link needs ``100 * overlap >= percent * union``.
 *Groups of copies.*  Equal sets are one class.  The documents filed under one shingle are a bucket, and each bucket has a pivot, its most typical document.
 Each document is compared with the pivot of its largest bucket, and where the bucket is not connected by that, with
 another pivot, which links a group of near copies by about as many pairs as it has members.  In buckets that
-still hold several components, all members outside the largest one are compared with all members.  No link between components is lost, and
+still hold several components, all members outside the largest one are compared with all members.  Where more than ``FEW`` are
+outside, as in a template that many unlinked documents share, the members are first filed anew, under their first shingles of all fragments, rarest
+first among these members: those that differ enough have none in common there.  No link between components is lost, and
 no group of copies is expanded into all its pairs.
 
 Counts are combined before the shuffle and joined back by sort-merge joins, which Spark splits where a key is skewed.
@@ -39,7 +41,8 @@ from pacelake.llm.components import components
 
 #: Fragments in which overlaps are counted.
 PARTS = 8
-#: Turns in which each document is compared with one pivot, at most, and the comparisons a row for which no more such turns are made.
+#: Turns in which each document is compared with one pivot, at most, and the comparisons a row for which no more such turns are made;
+#: buckets with more members outside their largest component are filed anew. Both decide the route, never the result.
 ROUNDS, FEW = 3, 256
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -101,7 +104,7 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def filed_under(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """``key, doc, n`` and the sketch: each document of ``reps`` under those of its first shingles that other documents may have."""
+    """``key, doc, n`` and the sketch, as a table: each document of ``reps`` under those of its first shingles that other documents may have."""
     placed = sets.select(F.col("doc_id").alias("doc"), F.explode("lead").alias("h"))
     # as a table of its own, so that Spark can split the join where one shingle is in many documents
     shared = work.save(placed.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
@@ -110,7 +113,31 @@ def filed_under(sets: DataFrame, reps: DataFrame) -> DataFrame:
     # those in no other document come first in the order
     many = F.greatest(F.col("first") - F.col("leading") + F.size("items"), F.lit(0)).cast("int")
     lead = own.join(mine, "doc").select(F.explode(F.slice("items", F.lit(1), many)["h"]).alias("key"), "doc", "n", *SKETCH)
-    return lead.union(reps.select(F.explode("rest").alias("key"), F.col("doc_id").alias("doc"), "n", *SKETCH))
+    filed = work.save(lead.union(reps.select(F.explode("rest").alias("key"), F.col("doc_id").alias("doc"), "n", *SKETCH)))
+    work.drop(shared)
+    return filed
+
+
+def filed_anew(members: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
+    """``key, doc, n, root`` and the sketch, as a table: each of ``members`` under those of its first shingles that other members have.
+
+    The order is that of all fragments, shingles in fewer members first. Two linked members share one of those.
+    """
+    placed = segs.join(members.select("doc"), "doc", "left_semi").select("doc", F.explode("h").alias("h"))
+    # as a table of its own, so that Spark can split the join where one shingle is in many documents
+    shared = work.save(placed.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    mine = placed.join(shared, "h").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("items"))
+    # of the first n - ceil(n * percent / 100) + 1, those in no other member come first in the order
+    many = F.greatest(F.size("items") - F.ceil(F.col("n") * percent / 100) + 1, F.lit(0)).cast("int")
+    filed = work.save(members.join(mine, "doc").select(F.explode(F.slice("items", F.lit(1), many)["h"]).alias("key"), "doc", "n", "root", *SKETCH))
+    work.drop(shared)
+    return filed
+
+
+def still_open(entries: DataFrame) -> DataFrame:
+    """Entries of the buckets that hold several components, with the members of the bucket, the largest component and the members outside it."""
+    members = entries.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
+    return entries.join(members.where("roots > 1").select("key", "size", F.col("main.root").alias("main"), (F.col("size") - F.col("main.c")).alias("outside")), "key")
 
 
 def segments(docs: DataFrame, n: int) -> DataFrame:
@@ -159,7 +186,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     known = sets.where("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
     reps = known.drop("lead").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    filed = work.save(filed_under(known, reps))
+    filed = filed_under(known, reps)
     shared = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     entries = work.save(filed.join(shared, "key"))
     work.drop(filed)
@@ -176,15 +203,15 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     linked = f"100 * overlap >= {percent} * (na + nb - overlap)"
     ends = [F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")]
     tested = roots = None
+    tables = []
     entries_of = ranked.columns
     before = ranked  # entries of buckets that aren't connected yet
     for turn in range(ROUNDS + 1):
         here = before.withColumn("root", F.col("doc")) if roots is None else before.select(entries_of).join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        members = here.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("main"))
-        here = work.save(here.join(members.where("roots > 1").select("key", "size", F.col("main.root").alias("main")), "key"))
+        here = work.save(still_open(here))
         work.drop(before)
         before = here
-        rows, apart = here.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("main"), F.col("size")))).first()
+        rows, apart, outside = here.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("main"), F.col("size"))), F.max("outside")).first()
         if not rows:
             break
         if not turn or (turn < ROUNDS and apart > FEW * rows):
@@ -196,9 +223,17 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             found = found.groupBy("member").agg(F.max(F.struct("size", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
             last = False
         else:
-            found = here.where("root <> main").select("key", *columns).alias("a").join(here.select("key", *columns).alias("b"), "key").where(may_link).select(*ends).distinct().join(tested, ["a", "b"], "left_anti")
+            few = here.where(F.col("outside") <= FEW)
+            found = few.where("root <> main").alias("a").join(few.alias("b"), "key").where(may_link).select(*ends)
+            if outside > FEW:
+                anew = filed_anew(here.where(F.col("outside") > FEW).select(*columns).distinct(), segs, percent)
+                many = still_open(anew)
+                tables.append(anew)
+                found = found.union(many.where("root <> main").alias("a").join(many.alias("b"), "key").where(may_link).select(*ends))
+            found = found.distinct().join(tested, ["a", "b"], "left_anti")
             last = True
         seen = work.save(overlaps(found, segs))
+        tables.append(seen)
         tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
         fresh = seen.where(linked).select("a", "b")
         roots = components(fresh if roots is None else fresh.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -206,7 +241,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             break
     if roots is None:
         roots = components(sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"))
-    work.drop(before, segs)
+    work.drop(before, segs, *tables)
 
     own = sets.drop("lead", "rest").join(classes, ["n", "d1", "d2"], "left")
     return own.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select(

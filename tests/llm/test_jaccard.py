@@ -72,3 +72,25 @@ def test_leading_fragment_decides_nothing(spark, monkeypatch):
 def test_rows_without_id(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "x y z"), (6, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard_links(docs).collect()) == [(0, 1, 0), (0, 2, 5), (5, 2, 5), (6, 0, 6)]
+
+
+def test_buckets_filed_anew(spark, monkeypatch):
+    """Members of large buckets are filed anew; links are the same, however few make a bucket large."""
+    dice = random.Random(5)
+    template = [f"t{i}" for i in range(80)]
+    rows = made(4)[::2]
+    for i in range(1000, 1120):  # most of a template each, with words of their own, and some near copies of these
+        words = template + [f"u{i}x{k}" for k in range(14)]
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            words[dice.randrange(len(words))] = "other"
+            rows.append((i + 500, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 3, 90)
+    asked = []
+    monkeypatch.setattr(jaccard, "filed_anew", lambda *a, f=jaccard.filed_anew: asked.append(1) or f(*a))
+    for rounds, few in ((3, 256), (1, 3), (1, 0)):
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "FEW", few)
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_links(docs, 3, 90).collect()) == want
+    assert len(asked) == 2
