@@ -58,18 +58,23 @@ def _among(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), dtype=bool)
 
 
-def exploded(texts: DataFrame, order: int, hot: np.ndarray) -> DataFrame:
-    """``h, doc_id, n``: a row for each distinct n-gram of each row of ``texts``, but those in ``hot``."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
+def exploded(units: DataFrame, order: int, hot: np.ndarray) -> DataFrame:
+    """``h, unit, n``: a row for each distinct n-gram of each row of ``units`` (unit, text, copies), but those in ``hot``; a second one for the other copies."""
+    shared = units.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, buf, offsets in tb.chunks(batch.column(1)):
                 text, h, n = _own(*grams(buf, offsets, order))
                 keep = ~_among(shared.value, h)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), batch.column(0).take(pa.array(first + text[keep])), pa.array(n[keep])], ["h", "doc_id", "n"])
+                text, h, n = first + text[keep], h[keep].view(np.int64), n[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(text)), pa.array(n)], ["h", "unit", "n"])
+                others = batch.column(2).to_numpy()[text] - 1
+                if others.any():
+                    more = others > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(h[more]), batch.column(0).take(pa.array(text[more])), pa.array((n * others)[more])], ["h", "unit", "n"])
 
-    return texts.mapInArrow(run, "h long, doc_id long, n long")
+    return units.mapInArrow(run, "h long, unit long, n long")
 
 
 def hot_totals(texts: DataFrame, order: int, hot: np.ndarray) -> tuple[int, np.ndarray]:
@@ -100,18 +105,23 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, hot: int =
     of at most ``order`` words that other documents have is scored by its count over that of its first words, times ``alpha``
     for each word it is shorter; a single word by its count over all words, one that no other document has by ``alpha``
     over all words. ``log_score`` is the sum of natural logarithms. A text without words, null or empty, has 0 in both. Repeated rows count
-    as documents of their own, and so do rows without doc_id; columns other than doc_id and text are ignored.
+    as documents of their own, and so do rows without doc_id, which are grouped by their texts; columns other than doc_id and text are ignored.
     N-grams are compared by 64-bit hashes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    some = exploded(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), order, np.zeros(0, dtype=np.uint64))
+    named = texts.where("doc_id is not null").select(F.col("doc_id").alias("unit"), "text", F.lit(1).cast("long").alias("copies"))
+    # rows without doc_id are told apart by their texts, so that they don't all meet in one group
+    nameless = texts.where("doc_id is null").withColumn("unit", F.xxhash64("text"))
+    distinct = nameless.groupBy("unit").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    units = named.union(distinct)
+    some = exploded(units.where(F.pmod(F.xxhash64("unit"), F.lit(every)) == 0), order, np.zeros(0, dtype=np.uint64))
     frequent = some.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "h").limit(hot).collect()
     known = np.sort(np.array([r["h"] for r in frequent], dtype=np.int64).view(np.uint64))
     words, known_total = hot_totals(texts, order, known)
 
     alike = Window.partitionBy("h")
-    rows = exploded(texts, order, known).repartition("h").select("h", "doc_id", F.sum("n").over(alike).alias("total"), F.count("*").over(alike).alias("df"))
-    answers = rows.where("df > 1").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("h", "total")).alias("found"))
+    rows = exploded(units, order, known).repartition("h").select("h", "unit", "n", F.sum("n").over(alike).alias("total"))
+    answers = rows.where("total > n").groupBy(F.col("unit").alias("of")).agg(F.collect_list(F.struct("h", "total")).alias("found"))
     shared = docs.sparkSession.sparkContext.broadcast((known, known_total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +136,14 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, hot: int =
                 h, total = all_h[cut[first] : cut[end]].view(np.uint64), all_n[cut[first] : cut[end]]
                 sums = _scored(before, found, (np.repeat(np.arange(end - first), np.diff(cut[first : end + 1])), h, total), shared.value, words, alpha)
                 n = np.diff(before)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1))], ["unit", *measures])
+
+    def scored(some: DataFrame) -> DataFrame:
+        both = some.join(answers.hint("merge"), F.col("unit") == F.col("of"), "left").select("unit", "text", "found")
+        return both.mapInArrow(run, "unit long, n_words long, log_score double, mean_log_score double")
 
-    # texts and answers meet by doc_id; rows without one meet as well
-    both = texts.join(answers.hint("merge"), texts["doc_id"].eqNullSafe(answers["of"]), "left").select("doc_id", "text", "found")
-    return both.mapInArrow(run, "doc_id long, n_words long, log_score double, mean_log_score double")
+    measures = ["n_words", "log_score", "mean_log_score"]
+    return scored(named).withColumnRenamed("unit", "doc_id").union(nameless.select("unit", "doc_id").join(scored(distinct), "unit").select("doc_id", *measures))
 
 
 def _scored(before: np.ndarray, found: list[np.ndarray], answers: tuple[np.ndarray, ...], hot: tuple[np.ndarray, np.ndarray], words: int, alpha: float) -> np.ndarray:
@@ -145,7 +158,10 @@ def _scored(before: np.ndarray, found: list[np.ndarray], answers: tuple[np.ndarr
     at = np.minimum(np.searchsorted(hot[0], own_h), max(0, len(hot[0]) - 1))
     total = np.where(_among(hot[0], own_h), hot[1][at] if len(hot[0]) else 0, own_n)
     a_text, a_h, a_total = answers
-    total[np.searchsorted(key, a_h ^ salt[a_text])] = a_total
+    if len(key):  # rows that repeat a doc_id have answers for one another's n-grams as well
+        at = np.minimum(np.searchsorted(key, a_h ^ salt[a_text]), len(key) - 1)
+        mine = own_h[at] == a_h
+        total[at[mine]] = a_total[mine]
     rest = rest + total
     others = []
     for h in found:

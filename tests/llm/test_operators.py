@@ -345,6 +345,21 @@ def test_backoff_of_higher_orders_against_brute_force(spark, tmp_path):
     assert {r["doc_id"]: (r["n_words"], r["log_score"]) for r in library.queries()["op8_lm"](spark, str(tmp_path)).collect()} == scores(3)
 
 
+def test_scores_do_not_hang_on_ids(spark):
+    """Rows without doc_id, copies among them, and rows that repeat one are documents of their own: scores are as with ids of their own."""
+    dice = random.Random(12)
+    texts = [" ".join(dice.choice("abcdefghijkl") for _ in range(dice.choice([0, 2, 9, 30]))) for _ in range(40)] + ["a b c d"] * 5 + [None, "", "q r s"]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    some = spark.createDataFrame([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    none = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    for hot in (lm.HOT, 3):
+        want = sorted((r["n_words"], round(r["log_score"], 6), round(r["mean_log_score"], 6)) for r in lm.lm_scores(own, hot=hot, every=1).collect())
+        for table in (some, none):
+            got = lm.lm_scores(table, hot=hot, every=1).collect()
+            assert sorted((r["n_words"], round(r["log_score"], 6), round(r["mean_log_score"], 6)) for r in got) == want
+        assert {r["doc_id"] for r in got} == {None}
+
+
 # --- 9 embeddings ------------------------------------------------------------------
 
 
