@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacelake.llm import textblocks as tb
+from pacelake.llm import work
 
 #: N-grams whose totals are broadcast, at most, and one in how many documents is looked at to find them.
 HOT = 1 << 16
@@ -74,7 +75,7 @@ def exploded(units: DataFrame, order: int, hot: np.ndarray) -> DataFrame:
                     more = others > 0
                     yield pa.RecordBatch.from_arrays([pa.array(h[more]), batch.column(0).take(pa.array(text[more])), pa.array((n * others)[more])], ["h", "unit", "n"])
 
-    return units.mapInArrow(run, "h long, unit long, n long")
+    return units.select("unit", "text", "copies").mapInArrow(run, "h long, unit long, n long")
 
 
 def hot_totals(texts: DataFrame, order: int, hot: np.ndarray) -> tuple[int, np.ndarray]:
@@ -109,11 +110,10 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, hot: int =
     N-grams are compared by 64-bit hashes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = texts.where("doc_id is not null").select(F.col("doc_id").alias("unit"), "text", F.lit(1).cast("long").alias("copies"))
+    named = texts.where("doc_id is not null").select(F.col("doc_id").alias("unit"), "text", F.lit(1).cast("long").alias("copies"), F.lit(False).alias("nameless"))
     # rows without doc_id are told apart by their texts, so that they don't all meet in one group
     nameless = texts.where("doc_id is null").withColumn("unit", F.xxhash64("text"))
-    distinct = nameless.groupBy("unit").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    units = named.union(distinct)
+    units = named.union(nameless.groupBy("unit").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.lit(True).alias("nameless")))
     some = exploded(units.where(F.pmod(F.xxhash64("unit"), F.lit(every)) == 0), order, np.zeros(0, dtype=np.uint64))
     frequent = some.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "h").limit(hot).collect()
     known = np.sort(np.array([r["h"] for r in frequent], dtype=np.int64).view(np.uint64))
@@ -136,14 +136,16 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, hot: int =
                 h, total = all_h[cut[first] : cut[end]].view(np.uint64), all_n[cut[first] : cut[end]]
                 sums = _scored(before, found, (np.repeat(np.arange(end - first), np.diff(cut[first : end + 1])), h, total), shared.value, words, alpha)
                 n = np.diff(before)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1))], ["unit", *measures])
-
-    def scored(some: DataFrame) -> DataFrame:
-        both = some.join(answers.hint("merge"), F.col("unit") == F.col("of"), "left").select("unit", "text", "found")
-        return both.mapInArrow(run, "unit long, n_words long, log_score double, mean_log_score double")
+                mine = [batch.column(k).slice(first, end - first) for k in (0, 3)]
+                yield pa.RecordBatch.from_arrays([*mine, pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1))], ["doc_id", "nameless", *measures])
 
     measures = ["n_words", "log_score", "mean_log_score"]
-    return scored(named).withColumnRenamed("unit", "doc_id").union(nameless.select("unit", "doc_id").join(scored(distinct), "unit").select("doc_id", *measures))
+    both = units.join(answers.hint("merge"), F.col("unit") == F.col("of"), "left").select("unit", "text", "found", "nameless")
+    # a table, so that n-grams are counted once for rows with and without doc_id
+    scored = work.save(both.mapInArrow(run, "doc_id long, nameless boolean, n_words long, log_score double, mean_log_score double"))
+    copies = nameless.select(F.col("unit").alias("of"), F.lit(None).cast("long").alias("doc_id"))
+    theirs = scored.where("nameless").select(F.col("doc_id").alias("unit"), *measures)
+    return scored.where("not nameless").select("doc_id", *measures).union(copies.join(theirs, F.col("of") == F.col("unit")).select("doc_id", *measures))
 
 
 def _scored(before: np.ndarray, found: list[np.ndarray], answers: tuple[np.ndarray, ...], hot: tuple[np.ndarray, np.ndarray], words: int, alpha: float) -> np.ndarray:
