@@ -1,13 +1,15 @@
 """The queries over snapshots against brute force, on a history of more weeks than a word has bits."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from pacelake.operators import coverage, snapshot
+from pacelake.operators import coverage, digest, snapshot
 from pacelake.plans import queries
 
 FLAGS = ("^0*1$", "0$", "10+1")
@@ -68,3 +70,16 @@ def test_orders_outside_are_an_error(spark):
     for made in (coverage.presence(rows, ["k"], "n", 2), snapshot.merge_fields(rows, ["k"], ["v"], "n", 2)):
         with pytest.raises(Exception, match="not one of the 2"):
             made.collect()
+
+
+def test_build_digest_of_many_records_is_that_of_one_sequence(spark):
+    """More records than a leaf of a hash tree holds."""
+    n = digest.LEAF_ROWS + 1000
+    records = spark.range(n).select(F.lit("d").alias("dataset"), F.col("id").cast("string").alias("canonical_key"), F.lit("r").alias("record_sha256"), F.lit("1").alias("presence_pattern"))
+    variants = spark.createDataFrame([], "dataset string, canonical_key string, signature string, snapshot_orders string")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    leaf = lambda texts: sha("\n".join(sorted(map(sha, texts))))
+    want = sha("\n".join(['["v=1"]', leaf(f'["d","{k}","r","1"]' for k in range(n)), leaf(["c"])]))
+    assert tuple(digest.build_digest(records, variants, spark.createDataFrame([("c",)], "content_id string"), {"v": "1"}).first()) == (n, 1, want)
+    none = digest.build_digest(records.where("false"), variants, spark.createDataFrame([("c",)], "content_id string"), {"v": "1"}).first()
+    assert tuple(none) == (0, 1, sha('["v=1"]\n\n' + leaf(["c"])))
