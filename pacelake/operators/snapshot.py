@@ -44,10 +44,13 @@ def stop_conflicts(observations: DataFrame, keys: list[str], record: str, snapsh
     return out.groupBy(*keys).agg(F.min("reason").alias("reason"))
 
 
+_EMPTY = ['""', "[]", "{}"]
+
+
 def state(value: str):
     """``explicit_null``, ``explicit_empty`` or ``explicit_value`` of canonical JSON; ``field_absent`` for SQL null."""
     v = F.col(value)
-    return F.when(v.isNull(), "field_absent").when(v == "null", "explicit_null").when(v.isin('""', "[]", "{}"), "explicit_empty").otherwise("explicit_value")
+    return F.when(v.isNull(), "field_absent").when(v == "null", "explicit_null").when(v.isin(*_EMPTY), "explicit_empty").otherwise("explicit_value")
 
 
 def merge_maps(observations: DataFrame, keys: list[str], record: str, order: list[str]) -> DataFrame:
@@ -164,6 +167,67 @@ def merge_collapsed(each: DataFrame, snapshots: int, daily: Column, preserve: Co
     }
 
 
+def key_rows(observations: DataFrame, daily: Column, preserve: Column) -> DataFrame:
+    """One row for each key: ``total`` observations, the ``versions`` of its snapshots, its different ``texts``, ``several``, ``outcome`` and, of merged keys, ``orders``.
+
+    Observations of a snapshot are combined before the first shuffle and all that follows works on the row of a key, so nothing is sorted by anything but keys.
+    Rows without a key count as one key that is null.
+    """
+    key = F.when(~_nameless(), F.col("canonical_key"))
+    at = ["logical_order", "snapshot_id", "export_observed_at"]
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("record"))))
+    each = observations.select("dataset", key.alias("canonical_key"), *at, F.when(key.isNotNull(), text).alias("text")).groupBy(*KEY, *at).agg(F.min("text").alias("text"), F.max("text").alias("other"), F.count("*").alias("n"))
+    versions = F.collect_list(F.struct(*at, "n", "text", F.col("text").eqNullSafe(F.col("other")).alias("same")))
+    keys = each.groupBy(*KEY).agg(F.sum("n").alias("total"), versions.alias("versions"))
+    keys = keys.withColumns({"texts": F.array_distinct("versions.text"), "even": ~F.array_contains("versions.same", False), "orders": F.array_distinct("versions.logical_order")})
+    keys = keys.withColumn("several", ~F.col("even") | (F.size("texts") > 1))
+    within = ~F.col("even") | (F.size(F.array_distinct(F.transform("versions", lambda v: F.struct(v["logical_order"], v["text"])))) > F.size("orders"))
+    differ = lambda a, b: a["export_observed_at"].eqNullSafe(b["export_observed_at"]) & (a["snapshot_id"] != b["snapshot_id"]) & (a["text"] != b["text"])
+    at_once = F.exists("versions", lambda a: F.exists("versions", lambda b: differ(a, b)))
+    stopped = F.when(F.col("several"), within | at_once).otherwise(False)
+    outcome = F.when(F.col("canonical_key").isNull(), "nameless").when(stopped, "stopped").when(~F.col("several") | ~daily, "merged").when(preserve, "variants").otherwise("unequal")
+    return keys.withColumn("outcome", outcome).withColumn("orders", F.when(F.col("outcome") == "merged", F.col("orders")))
+
+
+def _changes(name: Column) -> Column:
+    """How often the retained value of a field changes along the ``parsed`` versions: nulls and empties after a value don't replace it."""
+    none = F.struct(F.lit(None).cast("string").alias("value"), F.lit(False).alias("known"), F.lit(0).cast("long").alias("changes"))
+
+    def step(held: Column, value: Column) -> Column:
+        explicit = ~value.isin("null", *_EMPTY)
+        changes = held["changes"] + F.when(held["value"] != value, 1).otherwise(0).cast("long")
+        return F.when(value.isNull() | (~explicit & held["known"]), held).otherwise(F.struct(value.alias("value"), explicit.alias("known"), changes.alias("changes")))
+
+    values = F.transform("parsed", lambda v: v["record"][name])
+    return F.aggregate(values, none, step, lambda held: held["changes"])
+
+
+def key_counters(keys: DataFrame, snapshots: int) -> DataFrame:
+    """The counters of each row of ``key_rows``."""
+    merged, kept, several = F.col("outcome") == "merged", F.col("outcome") == "variants", F.col("several")
+    # equal observations of all snapshots are parsed once
+    once = F.array(F.struct(F.col("total").alias("n"), F.col("texts")[0].alias("text")))
+    versions = F.when(merged, F.when(several, F.transform(F.array_sort("versions"), lambda v: F.struct(v["n"].alias("n"), v["text"].alias("text")))).otherwise(once))
+    rows = keys.withColumn("parsed", F.transform(versions, lambda v: F.struct(v["n"].alias("n"), F.from_json(v["text"], "map<string,string>").alias("record"))))
+    rows = rows.withColumn("names", F.array_distinct(F.flatten(F.transform("parsed", lambda v: F.map_keys(v["record"])))))
+    total = lambda count: F.aggregate("parsed", F.lit(0).cast("long"), lambda sum_, v: sum_ + v["n"] * count(v["record"]))
+    rows = rows.withColumns({
+        "present": total(F.size), "explicit_null": total(lambda r: F.size(F.filter(F.map_values(r), lambda x: x == "null"))), "explicit_empty": total(lambda r: F.size(F.filter(F.map_values(r), lambda x: x.isin(*_EMPTY)))),
+        "updates": F.when(several, F.aggregate("names", F.lit(0).cast("long"), lambda sum_, name: sum_ + _changes(name))),
+    })
+    rows = coverage.flags(rows.withColumn("presence_pattern", coverage.pattern("orders", snapshots)))
+    if_ = lambda c, value=1: F.when(c, value).otherwise(0)
+    alone, different = merged & ~several, F.size("texts")
+    of_keys = {
+        "observation_count": F.col("total"), "null_key_hold_count": if_(F.col("outcome") == "nameless", F.col("total")), "canonical_count": if_(merged), "changed_count": if_(merged & several),
+        "new_count": if_(merged & F.col("is_new")), "previous_only_count": if_(merged & F.col("is_previous_only")), "reappeared_count": if_(merged & F.col("is_reappeared")), "updated_field_count": if_(merged & several, F.col("updates")),
+        "single_variant_key_count": if_(alone), "multi_variant_key_count": if_(kept), "observed_variant_count": F.when(alone, 1).when(kept, different).otherwise(0), "exact_repeat_count": F.when(alone, F.col("total") - 1).when(kept, F.col("total") - different).otherwise(0),
+        "record_absent": if_(merged, F.lit(snapshots) - F.size("orders")), "field_absent": if_(merged, F.col("total") * F.size("names") - F.col("present")),
+        "explicit_value": if_(merged, F.col("present") - F.col("explicit_null") - F.col("explicit_empty")), "explicit_null": if_(merged, F.col("explicit_null")), "explicit_empty": if_(merged, F.col("explicit_empty")),
+    }
+    return counters(rows, of_keys)
+
+
 _STATES = ["explicit_value", "explicit_null", "explicit_empty"]
 COUNTERS = ["observation_count", "null_key_hold_count", "canonical_count", "changed_count", "new_count", "previous_only_count", "reappeared_count", "updated_field_count", "single_variant_key_count", "multi_variant_key_count", "observed_variant_count", "exact_repeat_count", "record_absent", "field_absent", *_STATES]
 
@@ -216,8 +280,9 @@ def merge_observations(observations: DataFrame, snapshots: int, daily: Column |
     quiet = fields.select(*KEY, "field_name", "at.snapshot_id", F.concat("parser_state", F.when(F.col("preserved"), "_preserved_previous").otherwise("_review_required")).alias("hold_type"), "at.source_relative_path", "at.source_record_index")
     none = F.lit(None).cast("string")
     holds = nameless.select("dataset", none.alias("canonical_key"), none.alias("field_name"), "snapshot_id", F.lit("null_stable_key").alias("hold_type"), "source_relative_path", "source_record_index").union(quiet)
-    seen = counters(observations, {"observation_count": F.lit(1), "null_key_hold_count": _nameless().cast("long")})
-    return {**{k: v for k, v in out.items() if k != "counters"}, "provenance": provenance, "holds": holds, "summary": summarize(seen.union(out["counters"]))}
+    keys = key_rows(observations, daily, preserve)
+    patterns = keys.where("outcome = 'merged'").withColumn("presence_pattern", coverage.pattern("orders", snapshots)).groupBy("dataset", "presence_pattern").agg(F.count("*").alias("key_count"))
+    return {**{k: v for k, v in out.items() if k != "counters"}, "patterns": patterns, "provenance": provenance, "holds": holds, "summary": summarize(key_counters(keys, snapshots))}
 
 
 def merge_dataset(observations: DataFrame, snapshots: int, daily: bool = False, preserve: bool = False) -> dict[str, DataFrame]:

@@ -74,12 +74,12 @@ _SMALL = ["activities", "gear", "personal_records", "hill", "race", "uds", "vo2m
 
 def cumulative_patterns(spark, d):
     """In which snapshots the keys of seven datasets occur, all merged in one plan."""
-    return observations.merged(observations.observations(_rows(spark, d, _SMALL)), 3)["patterns"]
+    return observations.merged(observations.observations(_rows(spark, d, _SMALL)), 3, save=False)["patterns"]
 
 
 def cumulative_summary(spark, d):
     """Counters of the same merge."""
-    out = observations.merged(observations.observations(_rows(spark, d, _SMALL)), 3)["summary"]
+    out = observations.merged(observations.observations(_rows(spark, d, _SMALL)), 3, save=False)["summary"]
     return out.select("dataset", "observation_count", "null_key_hold_count", "canonical_count", "multi_variant_key_count", "observed_variant_count", "exact_repeat_count", "explicit_null")
 
 

@@ -231,6 +231,6 @@ def file_states(assets: DataFrame, rows: DataFrame) -> DataFrame:
     return files.join(read, ["snapshot_id", "source_relative_path"], "left").groupBy("snapshot_id", state.alias("parser_state")).agg(F.count("*").alias("file_count"))
 
 
-def merged(found: DataFrame, snapshots: int) -> dict[str, DataFrame]:
-    """The merge of all datasets, each by its own rules. The observations are saved first, since several tables are made of them."""
-    return snapshot.merge_observations(stage.saved(found), snapshots, F.col("dataset").isin(DAILY), F.col("dataset").isin(PRESERVED))
+def merged(found: DataFrame, snapshots: int, save: bool = True) -> dict[str, DataFrame]:
+    """The merge of all datasets, each by its own rules. The observations are saved first, since several tables are made of them, unless one is wanted that reads them once."""
+    return snapshot.merge_observations(stage.saved(found) if save else found, snapshots, F.col("dataset").isin(DAILY), F.col("dataset").isin(PRESERVED))

@@ -100,3 +100,10 @@ def test_stream_with_a_late_early_snapshot(spark, table, batch_merge, tmp_path):
 def test_nothing_absorbed_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="no batch"):
         incremental.state(spark, f"file://{tmp_path}/none")
+
+
+@pytest.mark.parametrize("name", ["summary", "patterns"])
+def test_counters_and_patterns_read_observations_once_and_sort_by_keys_only(table, name):
+    found = snapshot.merge_observations(table.withColumn("logical_order", F.substring("snapshot_id", 2, 1).cast("long")), 4, *rules())[name]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 3 and "explode" not in plan
