@@ -240,6 +240,34 @@ def summarize(counters: DataFrame) -> DataFrame:
     return counters.groupBy("dataset").agg(*[F.sum(c).cast("long").alias(c) for c in COUNTERS])
 
 
+def _provenance(observations: DataFrame, daily: Column) -> DataFrame:
+    """Every observation of a merged key and what became of it.
+
+    Rows carry the names of their fields, not the values, and are sorted three times: by key and time, by key and signature, by key and place in the history. Nothing is exploded.
+    """
+    explicit = F.map_keys(F.map_filter("record", lambda _, v: ~v.isin("null", *_EMPTY)))
+    about = ["source_object_sha256"] if "source_object_sha256" in observations.columns else []
+    rows = _named(observations).where(~_nameless()).select(*KEY, "at", "export_observed_at", *about, "signature", F.array_sort(F.map_keys("record")).alias("field_presence"), explicit.alias("explicit")).repartition(*KEY)
+    differ = lambda w: F.min("signature").over(w) != F.max("signature").over(w)
+    at_once, equal = Window.partitionBy(*KEY, "export_observed_at"), Window.partitionBy(*KEY, "signature")
+    rows = rows.withColumn("at_once", differ(at_once) & (F.min("at.snapshot_id").over(at_once) != F.max("at.snapshot_id").over(at_once))).withColumn("copies", F.count("*").over(equal))
+    # within a snapshot the observations of a merged key are equal, so only the last of them can contribute
+    rows = rows.withColumn("order", F.col("at.logical_order"))
+    within, whole = Window.partitionBy(*KEY, "order"), Window.partitionBy(*KEY)
+    rows = rows.withColumns({"within": differ(within), "latest": F.max("at").over(within) == F.col("at")})
+    lasts = F.collect_set(F.when(F.col("latest"), F.struct("order", "field_presence", "explicit"))).over(whole)
+    rows = rows.withColumns({"stopped": F.bool_or(F.col("within") | F.col("at_once")).over(whole), "several": differ(whole), "lasts": lasts})
+    rows = rows.where(~F.col("stopped") & (~F.col("several") | ~daily))
+
+    later = F.filter("lasts", lambda x: x["order"] > F.col("order"))
+    values = F.array_except("explicit", F.flatten(later["explicit"]))
+    nulls = F.array_except(F.array_except("field_presence", F.flatten(F.col("lasts.explicit"))), F.flatten(later["field_presence"]))
+    contributes = F.col("latest") & ((F.size(values) > 0) | (F.size(nulls) > 0))
+    disposition = F.when(contributes, "field_contributor").when(~F.col("latest") | (F.col("copies") > 1), "exact_duplicate").otherwise("superseded_record")
+    places = ["at.snapshot_id", "at.logical_order", "at.source_relative_path", "at.source_record_index"]
+    return rows.select(*KEY, *places, *about, F.col("signature").alias("record_sha256"), "field_presence", disposition.alias("merge_disposition"))
+
+
 def merge_observations(observations: DataFrame, snapshots: int, daily: Column | None = None, preserve: Column | None = None) -> dict[str, DataFrame]:
     """The merge of the observations of any number of datasets over snapshots, as tables by name, each with ``dataset``.
 
@@ -259,21 +287,7 @@ def merge_observations(observations: DataFrame, snapshots: int, daily: Column |
     nameless = observations.where(_nameless())
     rows = _judged(_named(observations).where(~_nameless()), "signature", "signature", daily, preserve).where("outcome = 'merged'")
 
-    # within a snapshot the observations of a merged key are equal, so only the last of them can contribute
-    last = F.max("at").over(Window.partitionBy(*KEY, "logical_order")) == F.col("at")
-    same = F.count("*").over(Window.partitionBy(*KEY, "signature"))
-    told = rows.withColumns({"latest": last, "copies": same}).withColumn("field_presence", F.array_sort(F.map_keys("record")))
-    about = [*KEY, "at", "source_object_sha256", F.col("signature").alias("record_sha256"), "field_presence"] if "source_object_sha256" in rows.columns else [*KEY, "at", F.col("signature").alias("record_sha256"), "field_presence"]
     per_field = Window.partitionBy(*KEY, "field_name")
-    chosen = F.coalesce(F.max(F.when(state("value") == "explicit_value", F.col("at"))).over(per_field), F.max("at").over(per_field))
-    fields = told.where("latest").select(*about, "copies", F.explode_outer("record").alias("field_name", "value")).withColumn("chosen", F.col("field_name").isNotNull() & (chosen == F.col("at")))
-    carried = [c for c in fields.columns if c not in (*KEY, "at", "field_name", "value", "chosen")]
-    used = fields.groupBy(*KEY, "at").agg(*[F.first(c).alias(c) for c in carried], F.bool_or("chosen").alias("contributes"))
-    disposition = F.when(F.col("contributes"), "field_contributor").when(F.col("copies") > 1, "exact_duplicate").otherwise("superseded_record")
-    told = used.withColumn("merge_disposition", disposition).drop("copies", "contributes").unionByName(told.where("NOT latest").select(*about).withColumn("merge_disposition", F.lit("exact_duplicate")))
-    places = ["at.snapshot_id", "at.logical_order", "at.source_relative_path", "at.source_record_index"]
-    provenance = told.select(*KEY, *places, *[c for c in told.columns if c not in (*KEY, "at")])
-
     fields = rows.select(*KEY, "at", F.explode("record").alias("field_name", "value")).withColumn("parser_state", state("value"))
     before = F.min(F.when(_explicit(), F.col("at"))).over(per_field) < F.col("at")
     fields = fields.withColumn("preserved", F.coalesce(before, F.lit(False))).where(~_explicit())
@@ -282,7 +296,7 @@ def merge_observations(observations: DataFrame, snapshots: int, daily: Column |
     holds = nameless.select("dataset", none.alias("canonical_key"), none.alias("field_name"), "snapshot_id", F.lit("null_stable_key").alias("hold_type"), "source_relative_path", "source_record_index").union(quiet)
     keys = key_rows(observations, daily, preserve)
     patterns = keys.where("outcome = 'merged'").withColumn("presence_pattern", coverage.pattern("orders", snapshots)).groupBy("dataset", "presence_pattern").agg(F.count("*").alias("key_count"))
-    return {**{k: v for k, v in out.items() if k != "counters"}, "patterns": patterns, "provenance": provenance, "holds": holds, "summary": summarize(key_counters(keys, snapshots))}
+    return {**{k: v for k, v in out.items() if k != "counters"}, "patterns": patterns, "provenance": _provenance(observations, daily), "holds": holds, "summary": summarize(key_counters(keys, snapshots))}
 
 
 def merge_dataset(observations: DataFrame, snapshots: int, daily: bool = False, preserve: bool = False) -> dict[str, DataFrame]:

@@ -107,3 +107,11 @@ def test_counters_and_patterns_read_observations_once_and_sort_by_keys_only(tabl
     found = snapshot.merge_observations(table.withColumn("logical_order", F.substring("snapshot_id", 2, 1).cast("long")), 4, *rules())[name]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Aggregate") == 3 and "explode" not in plan
+
+
+def test_provenance_lists_every_observation_without_exploding_fields(spark):
+    rows = [("a", "k", "s1", 1, "t1", "f", "0", {"x": "1", "y": "null"}), ("a", "k", "s1", 1, "t1", "f", "0", {"x": "1", "y": "null"}), ("a", "k", "s2", 2, "t2", "f", "0", {"x": "2"}), ("a", "k", "s3", 3, "t3", "f", "9", {"z": "[]", "x": "null"})]
+    rows = spark.createDataFrame(rows, "dataset string, canonical_key string, snapshot_id string, logical_order long, export_observed_at string, source_relative_path string, source_record_index string, record map<string,string>")
+    found = snapshot.merge_observations(rows, 3)["provenance"]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.snapshot_id, r.merge_disposition) for r in found.collect()) == [("s1", "field_contributor"), ("s1", "field_contributor"), ("s2", "field_contributor"), ("s3", "field_contributor")]
