@@ -69,7 +69,7 @@ def merge_maps(observations: DataFrame, keys: list[str], record: str, order: lis
 
 def stable_json(record):
     """A record as one JSON text with sorted fields, whatever the order of its map."""
-    name = lambda n: F.regexp_replace(F.regexp_replace(n, r"\\", r"\\\\"), '"', r'\\"')
+    name = lambda n: F.replace(F.replace(n, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     pairs = F.transform(F.array_sort(F.map_entries(record)), lambda e: F.concat(F.lit('"'), name(e["key"]), F.lit('":'), e["value"]))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 

@@ -149,7 +149,7 @@ def _there(json_: Column) -> Column:
 
 
 def _quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
 def _list(parts: list[Column]) -> Column:
@@ -191,16 +191,18 @@ def observations(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"meta": meta, "label": label, "own": own})
     by_activity = vo2max & (F.col("own") == '"activity_vo2max_daily"')
     first = F.when(timed, _r("timestamp")).when(by_activity, _r("timestampGmt")).when(vo2max, _r("updateTimestamp"))
-    rows = rows.withColumns({"day": times.bound(F.col("label"), times.date_label), "first": first, "second": F.when(vo2max, _r("observationTimestamp"))})
+    rows = rows.withColumns({"day": F.when(F.col("label").isNotNull(), times.bound(F.col("label"), times.date_label)), "first": first, "second": F.when(vo2max, _r("observationTimestamp"))})
     # the other field counts only where the first is not there
     chosen, named_utc = F.when(_there(F.col("first")), F.col("first")).otherwise(F.col("second")), by_activity & _there(F.col("first"))
     rows = rows.withColumns({"chosen": chosen, "named_utc": F.coalesce(named_utc, F.lit(False))})
-    rows = rows.withColumn("moment", times.moment(F.col("chosen"), F.col("named_utc")))
+    rows = rows.withColumn("moment", F.when(F.col("chosen").isNotNull(), times.moment(F.col("chosen"), F.col("named_utc"))))
 
     new = F.map_filter(F.create_map(F.lit("calendarDate"), _quoted(F.col("day")), F.lit("metaData"), F.col("meta"), F.lit("vo2MaxSourceSeries"), F.when(vo2max & ~F.map_contains_key("record", "vo2MaxSourceSeries"), F.col("own"))), lambda _, v: v.isNotNull())
-    rows = rows.withColumn("new", new)
+    # records of which all fields are kept and none is added stay as they are
+    as_is = F.col("allowed").isNull() & ~daily & ~lactate
+    rows = rows.withColumn("new", F.when(as_is, None).otherwise(new))
     kept = F.map_filter("record", lambda n, _: (F.col("allowed").isNull() | F.array_contains("allowed", n)) & ~F.map_contains_key("new", n) & ~(lactate & (n == "metaData")))
-    rows = rows.withColumn("source_record", F.col("record")).withColumn("record", F.map_concat(kept, "new"))
+    rows = rows.withColumn("source_record", F.col("record")).withColumn("record", F.when(as_is, F.col("record")).otherwise(F.map_concat(kept, "new")))
     rows = rows.where(~lactate | F.exists(F.map_keys("record"), lambda n: n != "metaData"))
 
     start = F.when(F.coalesce(_s("startTimeGmt") != "null", F.lit(False)), _s("startTimeGmt")).otherwise(_s("beginTimestamp"))

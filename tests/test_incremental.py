@@ -115,3 +115,8 @@ def test_provenance_lists_every_observation_without_exploding_fields(spark):
     found = snapshot.merge_observations(rows, 3)["provenance"]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.snapshot_id, r.merge_disposition) for r in found.collect()) == [("s1", "field_contributor"), ("s1", "field_contributor"), ("s2", "field_contributor"), ("s3", "field_contributor")]
+
+
+def test_stable_json_quotes_names_without_patterns(spark):
+    made = spark.createDataFrame([({'a"\\': "1", "b": '"x"'},)], "record map<string,string>").select(snapshot.stable_json("record").alias("json"))
+    assert made.first().json == '{"a\\"\\\\":1,"b":"x"}' and "regexp" not in made._jdf.queryExecution().analyzed().toString()
