@@ -11,6 +11,7 @@ Sets that need more than the leading fragment are filed under their first shingl
 
 *Sketches.*  A sketch holds, for each of 256 slots, whether it got an odd number of shingles.  Two sets
 differ in at least as many shingles as their sketches in bits, so pairs that differ in too many bits are left out where buckets are joined.
+Of those that remain, a sketch of 1,024 slots, of which there is one a document, leaves out most that share much but too little; what is left is about as similar as a link.
 
 *Overlaps.*  For each candidate pair the overlaps are counted fragment by
 fragment and summed per pair; a link needs ``100 * overlap >= percent * union``.
@@ -45,6 +46,8 @@ PARTS = 8
 #: buckets with more members outside their largest component are filed anew. Both decide the route, never the result.
 ROUNDS, FEW = 3, 256
 SKETCH = ["s0", "s1", "s2", "s3"]
+#: Slots of the second sketch.
+WIDE = 1024
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -62,9 +65,9 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """256 bits, as four integers: whether each slot holds an odd number of hashes."""
-    odd = np.bincount(((h >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def sketch(h: np.ndarray, slots: int = 256) -> np.ndarray:
+    """One bit a slot, 64 in an integer: whether each slot holds an odd number of hashes."""
+    odd = np.bincount(((h >> np.uint64(20)) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -74,13 +77,13 @@ def leading_bound(percent: int) -> np.uint64:
 
 
 def shingle_digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, number of first shingles of which links share one, number of those in the leading fragment, two digests and the sketch of the shingle set, the shingles in the leading fragment, and the first ones of the next if those are too few."""
+    """doc_id, size, number of first shingles of which links share one, number of those in the leading fragment, two digests and the sketches of the shingle set, the shingles in the leading fragment, and the first ones of the next if those are too few."""
 
     bound = leading_bound(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, leading, d1, d2, odd, lead, rest = [], [], [], [], [], [], [], []
+            sizes, first, leading, d1, d2, odd, wide, lead, rest = [], [], [], [], [], [], [], [], []
             for h in _sets(batch.column(1), n):
                 need = len(h) - -(-len(h) * percent // 100) + 1
                 cut = int(np.searchsorted(h, bound, side="right"))
@@ -88,14 +91,15 @@ def shingle_digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 first.append(need)
                 leading.append(cut)
                 odd.append(sketch(h))
+                wide.append(sketch(h, WIDE).view(np.uint64))
                 d1.append(int(np.sum(tb.mix(h)).astype(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(tb.mix(h ^ np.uint64(0xA5A5A5A5))).astype(np.int64)) if len(h) else 0)
                 lead.append(h[:cut])
                 rest.append(h[cut : max(cut, need)] if len(h) else h)
             numbers = [pa.array(x, pa.int64()) for x in (sizes, first, leading, d1, d2, *([x[i] for x in odd] for i in range(4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, _lists(lead), _lists(rest)], ["doc_id", "n", "first", "leading", "d1", "d2", *SKETCH, "lead", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, _lists(wide), _lists(lead), _lists(rest)], ["doc_id", "n", "first", "leading", "d1", "d2", *SKETCH, "wide", "lead", "rest"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, first long, leading long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, lead array<long>, rest array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, first long, leading long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, wide array<long>, lead array<long>, rest array<long>")
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -162,6 +166,13 @@ def segments(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, size long, part int, h array<long>")
 
 
+def near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` that differ in few enough bits of the second sketch, once each."""
+    one, two = (known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    bits = "aggregate(zip_with(wide_a, wide_b, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x)"
+    return pairs.join(one, "a").join(two, "b").where(f"{100 + percent} * {bits} <= {100 - percent} * (na + nb)").select("a", "b").distinct()
+
+
 def overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     """``a, b, na, nb, overlap`` of each pair: partial overlaps per fragment, summed per pair."""
     left = segs.select(F.col("doc").alias("a"), F.col("size").alias("na"), "part", F.col("h").alias("ha"))
@@ -185,7 +196,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     sets = work.save(shingle_digests(texts, n, percent))
     known = sets.where("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    reps = known.drop("lead").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = known.drop("lead", "wide").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     filed = filed_under(known, reps)
     shared = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     entries = work.save(filed.join(shared, "key"))
@@ -232,7 +243,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 found = found.union(many.where("root <> main").alias("a").join(many.alias("b"), "key").where(may_link).select(*ends))
             found = found.distinct().join(tested, ["a", "b"], "left_anti")
             last = True
-        seen = work.save(overlaps(found, segs))
+        seen = work.save(overlaps(near(found, known, percent), segs))
         tables.append(seen)
         tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
         fresh = seen.where(linked).select("a", "b")
@@ -243,7 +254,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         roots = components(sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"))
     work.drop(before, segs, *tables)
 
-    own = sets.drop("lead", "rest").join(classes, ["n", "d1", "d2"], "left")
+    own = sets.drop("wide", "lead", "rest").join(classes, ["n", "d1", "d2"], "left")
     return own.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "class_id", "doc_id").alias("component_id")
     )

@@ -94,3 +94,21 @@ def test_buckets_filed_anew(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "FEW", few)
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_links(docs, 3, 90).collect()) == want
     assert len(asked) == 2
+
+
+def test_pairs_that_share_much_but_too_little_are_not_compared(spark, monkeypatch):
+    """Documents put together of the same passages, about 70 % alike: links are the same, and hardly any of their pairs get as far as counts of overlaps."""
+    dice = random.Random(6)
+    passages = [[f"p{k}w{i}" for i in range(20)] for k in range(24)]
+    rows = []
+    for i in range(90):
+        words = [w for k in sorted(dice.sample(range(24), 20)) for w in passages[k]]
+        rows.append((i, " ".join(words)))
+        if i % 9 == 0:
+            words[dice.randrange(len(words))] = "other"
+            rows.append((i + 500, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    compared = []
+    monkeypatch.setattr(jaccard, "overlaps", lambda pairs, segs, f=jaccard.overlaps: compared.append(pairs.count()) or f(pairs, segs))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_links(docs, 5, 80).collect()) == brute(rows, 5, 80)
+    assert sum(compared) < 1000
