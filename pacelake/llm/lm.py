@@ -4,6 +4,10 @@ Every document is exploded into its distinct n-grams of all orders, each with th
 rows are partitioned by the hash of the n-gram; there they are counted over all documents, and those that
 others have as well go back to their documents with the totals, where every word is scored and the scores are summed.
 
+The n-grams are counted in ``TURNS`` turns, each of those in one range of hashes, so that the disk never holds the shuffles of more than one.
+What a turn leaves is a table with, for each document, the totals and the places of their n-grams among the document's own in the order of their
+hashes. A place is a small number where a hash would be eight bytes, and the document's n-grams are known again once its text is at hand.
+
 An n-gram that nearly all documents have would fill one partition.  The most frequent ``HOT`` n-grams are therefore
 counted apart, by sums that are combined before the shuffle, and their totals, a table of fixed size, are broadcast.
 Which ones these are is read off one document in ``EVERY``; it decides the route, never the result.
@@ -15,6 +19,7 @@ off the counts that it is scored with, so that a text doesn't vouch for itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,9 @@ HOT = 1 << 16
 EVERY = 64
 ALPHA = 0.4
 
+#: Turns in which n-grams are counted, a power of two; and bits of hashes by which frequent ones are looked up.
+TURNS, BITS = 4, 20
+
 
 def grams(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The number of words before each text, and for k = 1 to ``order`` the hashes of the k-grams that end at each word (0 where the text has fewer words)."""
@@ -44,38 +52,70 @@ def grams(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray,
     return before, out
 
 
-def _own(before: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, n-gram, how often) of the distinct n-grams of each text."""
-    text = np.tile(np.repeat(np.arange(len(before) - 1), np.diff(before)), len(found))
-    flat = np.concatenate(found)
-    text, flat = text[flat != 0], flat[flat != 0]
+def _own(before: np.ndarray, found: list[np.ndarray], turn: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, how often) of the distinct n-grams of each text, in the order of their hashes; only those of one turn if it is given."""
+    texts = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    keep = [np.flatnonzero((h != 0) if turn is None else (h != 0) & (_turn(h) == turn)) for h in found]
+    text = np.concatenate([texts[k] for k in keep])
+    flat = np.concatenate([h[k] for h, k in zip(found, keep, strict=True)])
     by = np.lexsort((flat, text))
     text, flat = text[by], flat[by]
     first = np.flatnonzero(np.concatenate(([True], (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])))) if len(flat) else np.zeros(0, dtype=np.int64)
     return text[first], flat[first], np.diff(np.concatenate((first, [len(flat)])))
 
 
-def _among(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), dtype=bool)
-
-
-def exploded(units: DataFrame, order: int, hot: np.ndarray) -> DataFrame:
-    """``h, unit, n``: a row for each distinct n-gram of each row of ``units`` (unit, text, copies), but those in ``hot``; a second one for the other copies."""
+def _turn(h: np.ndarray) -> np.ndarray:
+    """The turn that counts an n-gram: turns take ranges of hashes in their order."""
+    return h >> np.uint64(64 - (TURNS - 1).bit_length()) if TURNS > 1 else np.zeros(len(h), dtype=np.uint64)
+
+
+class Hot:
+    """Places of hashes among sorted known ones, found by their leading bits."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        if len(known):
+            self.first = np.searchsorted(known >> np.uint64(64 - BITS), np.arange((1 << BITS) + 1, dtype=np.uint64)).astype(np.int32)
+            self.steps = int(np.diff(self.first).max())
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        if not len(self.known):
+            return out
+        slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        for _ in range(self.steps):
+            place = at[left]
+            same = self.known[place] == h[left]
+            out[left[same]] = place[same]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def exploded(units: DataFrame, order: int, hot: np.ndarray, turn: int | None = None) -> DataFrame:
+    """``h, unit, at, n``: a row for each distinct n-gram of each row of ``units`` (unit, text, copies) and its place among those of the text and the turn, but those in ``hot``; a second one for the other copies."""
     shared = units.sparkSession.sparkContext.broadcast(hot)
+    names = ["h", "unit", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hot(shared.value)
         for batch in batches:
-            for first, _, buf, offsets in tb.chunks(batch.column(1)):
-                text, h, n = _own(*grams(buf, offsets, order))
-                keep = ~_among(shared.value, h)
-                text, h, n = first + text[keep], h[keep].view(np.int64), n[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(text)), pa.array(n)], ["h", "unit", "n"])
+            for first, end, buf, offsets in tb.chunks(batch.column(1)):
+                text, h, n = _own(*grams(buf, offsets, order), turn)
+                at = np.arange(len(text)) - np.searchsorted(text, np.arange(end - first))[text]
+                keep = known.places(h) < 0
+                text, h, at, n = first + text[keep], h[keep].view(np.int64), at[keep], n[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(text)), pa.array(at), pa.array(n)], names)
                 others = batch.column(2).to_numpy()[text] - 1
                 if others.any():
                     more = others > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(h[more]), batch.column(0).take(pa.array(text[more])), pa.array((n * others)[more])], ["h", "unit", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[more]), batch.column(0).take(pa.array(text[more])), pa.array(at[more]), pa.array((n * others)[more])], names)
 
-    return units.select("unit", "text", "copies").mapInArrow(run, "h long, unit long, n long")
+    return units.select("unit", "text", "copies").mapInArrow(run, "h long, unit long, at long, n long")
 
 
 def hot_totals(texts: DataFrame, order: int, hot: np.ndarray) -> tuple[int, np.ndarray]:
@@ -83,13 +123,15 @@ def hot_totals(texts: DataFrame, order: int, hot: np.ndarray) -> tuple[int, np.n
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_ = Hot(shared.value)
         counts = np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
             for _, _, buf, offsets in tb.chunks(batch.column(1)):
                 before, found = grams(buf, offsets, order)
                 counts[-1] += before[-1]
                 for h in found:
-                    counts[:-1] += np.bincount(np.searchsorted(shared.value, h[_among(shared.value, h)]), minlength=len(counts) - 1)
+                    place = hot_.places(h)
+                    counts[:-1] += np.bincount(place[place >= 0], minlength=len(counts) - 1)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["k", "n"])
 
@@ -110,61 +152,77 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, hot: int =
     N-grams are compared by 64-bit hashes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = texts.where("doc_id is not null").select(F.col("doc_id").alias("unit"), "text", F.lit(1).cast("long").alias("copies"), F.lit(False).alias("nameless"))
+    # places of n-grams hold for one text, so rows that repeat a doc_id with another one are told apart
+    named = texts.where("doc_id is not null").select(F.xxhash64("doc_id", "text").alias("unit"), "doc_id", "text", F.lit(1).cast("long").alias("copies"), F.lit(False).alias("nameless"))
     # rows without doc_id are told apart by their texts, so that they don't all meet in one group
     nameless = texts.where("doc_id is null").withColumn("unit", F.xxhash64("text"))
-    units = named.union(nameless.groupBy("unit").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.lit(True).alias("nameless")))
+    units = named.union(nameless.groupBy("unit").agg(F.col("unit").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"), F.lit(True).alias("nameless")))
     some = exploded(units.where(F.pmod(F.xxhash64("unit"), F.lit(every)) == 0), order, np.zeros(0, dtype=np.uint64))
     frequent = some.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "h").limit(hot).collect()
     known = np.sort(np.array([r["h"] for r in frequent], dtype=np.int64).view(np.uint64))
     words, known_total = hot_totals(texts, order, known)
 
     alike = Window.partitionBy("h")
-    rows = exploded(units, order, known).repartition("h").select("h", "unit", "n", F.sum("n").over(alike).alias("total"))
-    answers = rows.where("total > n").groupBy(F.col("unit").alias("of")).agg(F.collect_list(F.struct("h", "total")).alias("found"))
+    turns = []
+    for turn in range(TURNS):
+        rows = exploded(units, order, known, turn).repartition("h").select("unit", "at", "n", F.sum("n").over(alike).alias("total"))
+        found = rows.where("total > n").groupBy("unit").agg(F.collect_list(F.struct("at", "total")).alias("found"))
+        turns.append(work.save(found.select("unit", F.lit(turn).alias("turn"), F.col("found.at").cast("array<int>").alias("at"), F.col("found.total").alias("total")), tidy=True))
+    answers = reduce(DataFrame.union, turns).groupBy(F.col("unit").alias("of")).agg(F.collect_list(F.struct("turn", "at", "total")).alias("found"))
     shared = docs.sparkSession.sparkContext.broadcast((known, known_total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_ = Hot(shared.value[0])
         for batch in batches:
-            lists = batch.column(2)
-            if lists.null_count:
-                lists = lists.fill_null([])
-            cut = lists.offsets.to_numpy().astype(np.int64)
-            all_h, all_n = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            cut, by_turn = _items(batch.column(2))
+            turn = by_turn.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            (ends, at), (_, total) = (_items(by_turn.field(k)) for k in (1, 2))
+            at, total = (x.to_numpy(zero_copy_only=False) for x in (at, total))
             for first, end, buf, offsets in tb.chunks(batch.column(1)):
                 before, found = grams(buf, offsets, order)
-                h, total = all_h[cut[first] : cut[end]].view(np.uint64), all_n[cut[first] : cut[end]]
-                sums = _scored(before, found, (np.repeat(np.arange(end - first), np.diff(cut[first : end + 1])), h, total), shared.value, words, alpha)
+                some = slice(cut[first], cut[end])
+                each = np.diff(ends[cut[first] : cut[end] + 1])
+                text = np.repeat(np.repeat(np.arange(end - first), np.diff(cut[first : end + 1])), each)
+                inside = slice(ends[cut[first]], ends[cut[end]])
+                sums = _scored(before, found, (text, np.repeat(turn[some], each), at[inside], total[inside]), hot_, shared.value[1], words, alpha)
                 n = np.diff(before)
                 mine = [batch.column(k).slice(first, end - first) for k in (0, 3)]
                 yield pa.RecordBatch.from_arrays([*mine, pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1))], ["doc_id", "nameless", *measures])
 
     measures = ["n_words", "log_score", "mean_log_score"]
-    both = units.join(answers.hint("merge"), F.col("unit") == F.col("of"), "left").select("unit", "text", "found", "nameless")
+    both = units.join(answers.hint("merge"), F.col("unit") == F.col("of"), "left").select("doc_id", "text", "found", "nameless")
     # a table, so that n-grams are counted once for rows with and without doc_id
-    scored = work.save(both.mapInArrow(run, "doc_id long, nameless boolean, n_words long, log_score double, mean_log_score double"))
+    scored = work.save(both.mapInArrow(run, "doc_id long, nameless boolean, n_words long, log_score double, mean_log_score double"), tidy=True)
+    work.drop(*turns)
     copies = nameless.select(F.col("unit").alias("of"), F.lit(None).cast("long").alias("doc_id"))
     theirs = scored.where("nameless").select(F.col("doc_id").alias("unit"), *measures)
     return scored.where("not nameless").select("doc_id", *measures).union(copies.join(theirs, F.col("of") == F.col("unit")).select("doc_id", *measures))
 
 
-def _scored(before: np.ndarray, found: list[np.ndarray], answers: tuple[np.ndarray, ...], hot: tuple[np.ndarray, np.ndarray], words: int, alpha: float) -> np.ndarray:
-    """The log score of each text; ``answers`` are (text, n-gram, total) of those that others have, ``hot`` n-grams and totals for all texts."""
+def _items(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where the items of each list begin, and the items; null lists are empty."""
+    if lists.null_count:
+        lists = lists.fill_null([])
+    cut = lists.offsets.to_numpy().astype(np.int64)
+    return cut - cut[0], lists.flatten()
+
+
+def _scored(before: np.ndarray, found: list[np.ndarray], answers: tuple[np.ndarray, ...], hot: Hot, totals: np.ndarray, words: int, alpha: float) -> np.ndarray:
+    """The log score of each text; ``answers`` are (text, turn, place, total) of n-grams that others have, ``totals`` those of the n-grams in ``hot`` for all texts."""
     text = np.repeat(np.arange(len(before) - 1), np.diff(before))
     own_text, own_h, own_n = _own(before, found)
+    place = hot.places(own_h)
+    total = own_n.copy()
+    total[place >= 0] = totals[place[place >= 0]]
+    a_text, a_turn, a_at, a_total = answers
+    # where the n-grams of each text and turn begin
+    begin = np.searchsorted(own_text.astype(np.int64) * TURNS + _turn(own_h).astype(np.int64), np.arange((len(before) - 1) * TURNS))
+    total[begin[a_text * TURNS + a_turn] + a_at] = a_total
+    rest = total - own_n  # totals without the text's own count
     salt = tb.mix(np.arange(1, len(before), dtype=np.uint64))
     key = own_h ^ salt[own_text]
     by = np.argsort(key)
-    key, own_h, own_n = key[by], own_h[by], own_n[by]
-    rest = -own_n  # totals without the text's own count, once they are added
-    at = np.minimum(np.searchsorted(hot[0], own_h), max(0, len(hot[0]) - 1))
-    total = np.where(_among(hot[0], own_h), hot[1][at] if len(hot[0]) else 0, own_n)
-    a_text, a_h, a_total = answers
-    if len(key):  # rows that repeat a doc_id have answers for one another's n-grams as well
-        at = np.minimum(np.searchsorted(key, a_h ^ salt[a_text]), len(key) - 1)
-        mine = own_h[at] == a_h
-        total[at[mine]] = a_total[mine]
-    rest = rest + total
+    key, rest = key[by], rest[by]
     others = []
     for h in found:
         c = rest[np.minimum(np.searchsorted(key, h ^ salt[text]), max(0, len(key) - 1))] if len(key) else np.zeros(len(h), dtype=np.int64)

@@ -28,11 +28,22 @@ def folder(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/pacelake-{spark.sparkContext.applicationId}"
 
 
-def save(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the shared folder."""
+#: Whether Spark deletes the shuffle files of a query as soon as it has ended, instead of when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """The same rows, read back from a table in the shared folder; if ``tidy``, the shuffle files of making them are gone by then."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -360,6 +360,22 @@ def test_scores_do_not_hang_on_ids(spark):
         assert {r["doc_id"] for r in got} == {None}
 
 
+def test_ngrams_are_counted_in_turns(spark, monkeypatch):
+    """No turn shuffles more than a share of the n-grams, all of them are in some turn, and no shuffle is left when the scores are there."""
+    dice = random.Random(13)
+    table = spark.createDataFrame([(i, " ".join(f"w{dice.randrange(300)}" for _ in range(80))) for i in range(60)], "doc_id long, text string").repartition(3)
+    counted, saved = [], []
+    monkeypatch.setattr(lm, "exploded", lambda *a, f=lm.exploded: (out := f(*a), counted.append((len(a) > 3, out.select("h", "unit").collect())))[0])
+    monkeypatch.setattr(lm.work, "save", lambda df, tidy=False, f=lm.work.save: (saved.append(tidy), f(df, tidy))[1])
+    assert lm.lm_scores(table, every=1, hot=50).count() == 60
+    turns = [rows for own, rows in counted if own]
+    whole = counted[0][1]
+    assert max(map(len, turns)) < len(whole) / 2
+    hot = {r["h"] for r in whole} - {r["h"] for rows in turns for r in rows}
+    assert sum(map(len, turns)) == sum(r["h"] not in hot for r in whole) and len(hot) == 50
+    assert all(saved) and len(saved) == len(turns) + 1
+
+
 # --- 9 embeddings ------------------------------------------------------------------
 
 
