@@ -1,15 +1,14 @@
-"""Language-model scores by stupid backoff, as joins of n-gram count tables.
+"""Language-model scores by stupid backoff, from n-gram counts over all documents.
 
-Every document is exploded into its distinct n-grams of all orders, each with the document's own count.  The
-rows are partitioned by the hash of the n-gram; there they are counted over all documents, and those that
-others have as well go back to their documents with the totals, where every word is scored and the scores are summed.
+Documents are dealt into groups of about ``GROUP`` bytes by a hash. Every document is exploded into its distinct n-grams of all orders,
+each with the document's own count; those of a group are summed up, so that an n-gram leaves a group once, and dealt into buckets by
+ranges of hashes. A bucket is counted over all groups, and what other groups have goes back to each group in the order in which its n-grams came.
+There the hashes of its texts are worked out again, every word is scored and the scores are summed.
+N-grams of a group that go to one bucket travel as one value, so the shuffles hold hashes and counts and nothing else.
 
 The n-grams are counted in ``TURNS`` turns, each of those in one range of hashes, so that the disk never holds the shuffles of more than one.
-What a turn leaves is a table with, for each document, the totals and the places of their n-grams among the document's own in the order of their
-hashes. A place is a small number where a hash would be eight bytes, and the document's n-grams are known again once its text is at hand.
 
-An n-gram that nearly all documents have would fill one partition.  The most frequent ``HOT`` n-grams are therefore
-counted apart, by sums that are combined before the shuffle, and their totals, a table of fixed size, are broadcast.
+The most frequent ``HOT`` n-grams are counted apart, by sums that are combined before the shuffle, and their totals, a table of fixed size, are broadcast.
 Which ones these are is read off one document in ``EVERY``; it decides the route, never the result.
 
 The counts are those of all documents.  A document's own n-grams are taken
@@ -23,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacelake.llm import textblocks as tb
@@ -37,6 +36,9 @@ ALPHA = 0.4
 #: Turns in which n-grams are counted, a power of two; and bits of hashes by which frequent ones are looked up.
 TURNS, BITS = 4, 20
 
+#: Bytes of text in a group; bytes of text for each bucket of a turn, and bits of their number at most.
+GROUP, BUCKET, MOST = 1 << 21, 1 << 22, 12
+
 
 def grams(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The number of words before each text, and for k = 1 to ``order`` the hashes of the k-grams that end at each word (0 where the text has fewer words)."""
@@ -44,29 +46,55 @@ def grams(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray,
     place = np.arange(len(word)) - np.repeat(before[:-1], np.diff(before))
     out = [tb.mix(word)]
     for k in range(2, order + 1):
+        # one word more than the gram that ends at the word before
         h = np.zeros(len(word), dtype=np.uint64)
-        full = np.flatnonzero(place >= k - 1)
-        for back in range(k - 1, -1, -1):
-            h[full] = tb.mix(h[full] + word[full - back])
+        h[1:] = tb.mix(out[-1][:-1] + word[1:])
+        h[place < k - 1] = 0
         out.append(h)
     return before, out
 
 
+def _order(h: np.ndarray, known: int = 0) -> np.ndarray:
+    """Places of hashes in their order, equal ones as they stand; all hashes have the same first ``known`` bits."""
+    low = np.uint64((1 << max(1, len(h).bit_length())) - 1)
+    key = ((h << np.uint64(known)) & ~low) | np.arange(len(h), dtype=np.uint64)
+    key.sort()
+    by = (key & low).astype(np.int64)
+    there = h[by]
+    # places took the last bits of the hashes; where that has mixed up two of them, all are sorted as they are
+    return np.argsort(h, kind="stable") if (there[1:] < there[:-1]).any() else by
+
+
+def _firsts(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(sorted_[0]), dtype=bool)
+    new[1:] = sorted_[0][1:] != sorted_[0][:-1]
+    for x in sorted_[1:]:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def _own(before: np.ndarray, found: list[np.ndarray], turn: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, n-gram, how often) of the distinct n-grams of each text, in the order of their hashes; only those of one turn if it is given."""
+    """(text, n-gram, how often) of the distinct n-grams of each text, text by text; only those of one turn if it is given."""
     texts = np.repeat(np.arange(len(before) - 1), np.diff(before))
     keep = [np.flatnonzero((h != 0) if turn is None else (h != 0) & (_turn(h) == turn)) for h in found]
     text = np.concatenate([texts[k] for k in keep])
     flat = np.concatenate([h[k] for h, k in zip(found, keep, strict=True)])
-    by = np.lexsort((flat, text))
+    by = _order(flat, 0 if turn is None else _TURN_BITS)
     text, flat = text[by], flat[by]
-    first = np.flatnonzero(np.concatenate(([True], (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])))) if len(flat) else np.zeros(0, dtype=np.int64)
-    return text[first], flat[first], np.diff(np.concatenate((first, [len(flat)])))
+    first = _firsts(flat, text)
+    n = np.diff(np.append(first, len(flat)))
+    text, flat = text[first], flat[first]
+    by = np.argsort(text.astype(np.uint16) if len(before) <= 1 << 16 else text, kind="stable")
+    return text[by], flat[by], n[by]
+
+
+_TURN_BITS = (TURNS - 1).bit_length()
 
 
 def _turn(h: np.ndarray) -> np.ndarray:
     """The turn that counts an n-gram: turns take ranges of hashes in their order."""
-    return h >> np.uint64(64 - (TURNS - 1).bit_length()) if TURNS > 1 else np.zeros(len(h), dtype=np.uint64)
+    return h >> np.uint64(64 - _TURN_BITS) if TURNS > 1 else np.zeros(len(h), dtype=np.uint64)
 
 
 class Hot:
@@ -75,7 +103,8 @@ class Hot:
     def __init__(self, known: np.ndarray):
         self.known = known
         if len(known):
-            self.first = np.searchsorted(known >> np.uint64(64 - BITS), np.arange((1 << BITS) + 1, dtype=np.uint64)).astype(np.int32)
+            self.first = np.zeros((1 << BITS) + 1, dtype=np.int32)
+            np.cumsum(np.bincount((known >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS), out=self.first[1:])
             self.steps = int(np.diff(self.first).max())
 
     def places(self, h: np.ndarray) -> np.ndarray:
@@ -97,25 +126,85 @@ class Hot:
 
 
 def exploded(units: DataFrame, order: int, hot: np.ndarray, turn: int | None = None) -> DataFrame:
-    """``h, unit, at, n``: a row for each distinct n-gram of each row of ``units`` (unit, text, copies) and its place among those of the text and the turn, but those in ``hot``; a second one for the other copies."""
+    """``h, unit, n``: a row for each distinct n-gram of each row of ``units`` (unit, text, copies) but those in ``hot``, in the order of ``units``; a second one for the other copies."""
     shared = units.sparkSession.sparkContext.broadcast(hot)
-    names = ["h", "unit", "at", "n"]
+    names = ["h", "unit", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hot(shared.value)
         for batch in batches:
-            for first, end, buf, offsets in tb.chunks(batch.column(1)):
+            unit, copies = (batch.column(k).to_numpy() for k in (0, 2))
+            for first, _, buf, offsets in tb.chunks(batch.column(1)):
                 text, h, n = _own(*grams(buf, offsets, order), turn)
-                at = np.arange(len(text)) - np.searchsorted(text, np.arange(end - first))[text]
                 keep = known.places(h) < 0
-                text, h, at, n = first + text[keep], h[keep].view(np.int64), at[keep], n[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(text)), pa.array(at), pa.array(n)], names)
-                others = batch.column(2).to_numpy()[text] - 1
+                text, h, n = first + text[keep], h[keep].view(np.int64), n[keep]
+                others = copies[text] - 1
                 if others.any():
-                    more = others > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(h[more]), batch.column(0).take(pa.array(text[more])), pa.array(at[more]), pa.array((n * others)[more])], names)
+                    each = 1 + (others > 0)
+                    n = np.repeat(n, each)
+                    n[np.cumsum(each)[others > 0] - 1] *= others[others > 0]
+                    text, h = np.repeat(text, each), np.repeat(h, each)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(unit[text]), pa.array(n)], names)
 
-    return units.select("unit", "text", "copies").mapInArrow(run, "h long, unit long, at long, n long")
+    return units.select("unit", "text", "copies").mapInArrow(run, "h long, unit long, n long")
+
+
+def _values(x: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Numbers of eight bytes as binary values, those from one cut to the next in each."""
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _numbers(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in ``_values``, and the cuts."""
+    data, offsets = tb.buffers(column)
+    return data[offsets[0] : offsets[-1]].view(dtype), (offsets - offsets[0]) // 8
+
+
+def by_bucket(rows: DataFrame, groups: int, bits: int) -> DataFrame:
+    """``bucket, g, h, n``: the n-grams that each group has in each bucket, in the order of their hashes, and how often; ``rows`` are those of ``exploded``, group by group."""
+    known, shift = _TURN_BITS, np.uint64(64 - _TURN_BITS - bits)
+
+    def summed(g: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        by = _order(h, known)
+        h, n = h[by], n[by]
+        first = _firsts(h)
+        h, n = h[first], np.add.reduceat(n, first)
+        bucket = ((h >> shift) & np.uint64((1 << bits) - 1)).astype(np.int32)
+        begin = _firsts(bucket)
+        cut = np.append(begin, len(h))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(np.full(len(begin), g)), _values(h, cut), _values(n, cut)], ["bucket", "g", "h", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = -1, []
+        for batch in batches:
+            h, unit, n = (batch.column(k).to_numpy() for k in range(3))
+            group = unit % groups
+            begin = _firsts(group)
+            for a, b in zip(begin, np.append(begin[1:], len(group)), strict=True):
+                if group[a] != at and held:
+                    yield summed(at, held)
+                    held = []
+                at = int(group[a])
+                held.append((h[a:b].view(np.uint64), n[a:b]))
+        if held:
+            yield summed(at, held)
+
+    return rows.mapInArrow(run, "bucket int, g long, h binary, n binary")
+
+
+def elsewhere(rows: DataFrame, bits: int) -> DataFrame:
+    """``bucket, g, rest``: how often each n-gram in a row of ``by_bucket`` occurs in other groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (h, cut), (n, _) = _numbers(table["h"], np.uint64), _numbers(table["n"], np.int64)
+        by = _order(h, _TURN_BITS + bits)
+        first = _firsts(h[by])
+        rest = np.empty(len(h), dtype=np.int64)
+        rest[by] = np.repeat(np.add.reduceat(n[by], first), np.diff(np.append(first, len(h))))
+        return pa.table([table["bucket"], table["g"], _values(rest - n, cut)], ["bucket", "g", "rest"])
+
+    return rows.groupBy("bucket").applyInArrow(run, "bucket int, g long, rest binary")
 
 
 def hot_totals(texts: DataFrame, order: int, hot: np.ndarray) -> tuple[int, np.ndarray]:
@@ -162,71 +251,54 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, hot: int =
     known = np.sort(np.array([r["h"] for r in frequent], dtype=np.int64).view(np.uint64))
     words, known_total = hot_totals(texts, order, known)
 
-    alike = Window.partitionBy("h")
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, bits = max(1, bytes_ // GROUP), min(MOST, (bytes_ // BUCKET).bit_length())
+    dealt = units.withColumn("g", F.pmod("unit", F.lit(groups)))
+    in_groups = dealt.repartition("g").sortWithinPartitions("g")
     turns = []
     for turn in range(TURNS):
-        rows = exploded(units, order, known, turn).repartition("h").select("unit", "at", "n", F.sum("n").over(alike).alias("total"))
-        found = rows.where("total > n").groupBy("unit").agg(F.collect_list(F.struct("at", "total")).alias("found"))
-        turns.append(work.save(found.select("unit", F.lit(turn).alias("turn"), F.col("found.at").cast("array<int>").alias("at"), F.col("found.total").alias("total")), tidy=True))
-    answers = reduce(DataFrame.union, turns).groupBy(F.col("unit").alias("of")).agg(F.collect_list(F.struct("turn", "at", "total")).alias("found"))
+        found = elsewhere(by_bucket(exploded(in_groups, order, known, turn), groups, bits), bits)
+        turns.append(work.save(found.select("g", F.lit(turn).alias("turn"), "bucket", "rest"), tidy=True))
     shared = docs.sparkSession.sparkContext.broadcast((known, known_total))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ = Hot(shared.value[0])
-        for batch in batches:
-            cut, by_turn = _items(batch.column(2))
-            turn = by_turn.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            (ends, at), (_, total) = (_items(by_turn.field(k)) for k in (1, 2))
-            at, total = (x.to_numpy(zero_copy_only=False) for x in (at, total))
-            for first, end, buf, offsets in tb.chunks(batch.column(1)):
-                before, found = grams(buf, offsets, order)
-                some = slice(cut[first], cut[end])
-                each = np.diff(ends[cut[first] : cut[end] + 1])
-                text = np.repeat(np.repeat(np.arange(end - first), np.diff(cut[first : end + 1])), each)
-                inside = slice(ends[cut[first]], ends[cut[end]])
-                sums = _scored(before, found, (text, np.repeat(turn[some], each), at[inside], total[inside]), hot_, shared.value[1], words, alpha)
-                n = np.diff(before)
-                mine = [batch.column(k).slice(first, end - first) for k in (0, 3)]
-                yield pa.RecordBatch.from_arrays([*mine, pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1))], ["doc_id", "nameless", *measures])
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        rest, _ = _numbers(answers.sort_by([("turn", "ascending"), ("bucket", "ascending")])["rest"], np.int64)
+        buf, offsets = tb.buffers(group["text"])
+        before, found = grams(buf[offsets[0] : offsets[-1]], offsets - offsets[0], order)
+        sums = _scored(before, found, group["copies"].to_numpy(), rest, Hot(shared.value[0]), shared.value[1], words, alpha)
+        n = np.diff(before)
+        return pa.table([group["doc_id"], group["nameless"], pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1))], ["doc_id", "nameless", *measures])
 
     measures = ["n_words", "log_score", "mean_log_score"]
-    both = units.join(answers.hint("merge"), F.col("unit") == F.col("of"), "left").select("doc_id", "text", "found", "nameless")
+    both = dealt.select("g", "doc_id", "text", "copies", "nameless").groupBy("g").cogroup(reduce(DataFrame.union, turns).groupBy("g"))
     # a table, so that n-grams are counted once for rows with and without doc_id
-    scored = work.save(both.mapInArrow(run, "doc_id long, nameless boolean, n_words long, log_score double, mean_log_score double"), tidy=True)
+    scored = work.save(both.applyInArrow(run, "doc_id long, nameless boolean, n_words long, log_score double, mean_log_score double"), tidy=True)
     work.drop(*turns)
     copies = nameless.select(F.col("unit").alias("of"), F.lit(None).cast("long").alias("doc_id"))
     theirs = scored.where("nameless").select(F.col("doc_id").alias("unit"), *measures)
     return scored.where("not nameless").select("doc_id", *measures).union(copies.join(theirs, F.col("of") == F.col("unit")).select("doc_id", *measures))
 
 
-def _items(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Where the items of each list begin, and the items; null lists are empty."""
-    if lists.null_count:
-        lists = lists.fill_null([])
-    cut = lists.offsets.to_numpy().astype(np.int64)
-    return cut - cut[0], lists.flatten()
-
-
-def _scored(before: np.ndarray, found: list[np.ndarray], answers: tuple[np.ndarray, ...], hot: Hot, totals: np.ndarray, words: int, alpha: float) -> np.ndarray:
-    """The log score of each text; ``answers`` are (text, turn, place, total) of n-grams that others have, ``totals`` those of the n-grams in ``hot`` for all texts."""
+def _scored(before: np.ndarray, found: list[np.ndarray], copies: np.ndarray, rest: np.ndarray, hot: Hot, totals: np.ndarray, words: int, alpha: float) -> np.ndarray:
+    """The log score of each text of a group; ``rest`` are the counts in other groups of the group's n-grams, in the order of their hashes, without those in ``hot``, of which ``totals`` are those of all texts."""
     text = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    own_text, own_h, own_n = _own(before, found)
-    place = hot.places(own_h)
-    total = own_n.copy()
+    full = [np.flatnonzero(h) for h in found]
+    flat, whose = np.concatenate([h[k] for h, k in zip(found, full, strict=True)]), np.concatenate([text[k] for k in full])
+    by = _order(flat)
+    flat, whose = flat[by], whose[by]
+    first, own = _firsts(flat), _firsts(flat, whose)
+    total = np.add.reduceat(copies[whose], first) if len(first) else np.zeros(0, dtype=np.int64)
+    place = hot.places(flat[first])
+    total[place < 0] += rest
     total[place >= 0] = totals[place[place >= 0]]
-    a_text, a_turn, a_at, a_total = answers
-    # where the n-grams of each text and turn begin
-    begin = np.searchsorted(own_text.astype(np.int64) * TURNS + _turn(own_h).astype(np.int64), np.arange((len(before) - 1) * TURNS))
-    total[begin[a_text * TURNS + a_turn] + a_at] = a_total
-    rest = total - own_n  # totals without the text's own count
-    salt = tb.mix(np.arange(1, len(before), dtype=np.uint64))
-    key = own_h ^ salt[own_text]
-    by = np.argsort(key)
-    key, rest = key[by], rest[by]
-    others = []
-    for h in found:
-        c = rest[np.minimum(np.searchsorted(key, h ^ salt[text]), max(0, len(key) - 1))] if len(key) else np.zeros(len(h), dtype=np.int64)
-        others.append(np.where(h != 0, c, 0))
+    own_n = np.diff(np.append(own, len(flat)))
+    count = np.empty(len(flat), dtype=np.int64)
+    count[by] = np.repeat(total[np.searchsorted(first, own, side="right") - 1] - own_n, own_n)  # without the text's own
+    others, at = [], 0
+    for k in full:
+        others.append(np.zeros(len(text), dtype=np.int64))
+        others[-1][k] = count[at : at + len(k)]
+        at += len(k)
     place = np.arange(len(text)) - before[text]
     log = np.log(np.where(others[0] > 0, others[0], alpha) / np.maximum(words - np.diff(before)[text], 1))
     for k in range(2, len(found) + 1):

@@ -376,6 +376,33 @@ def test_ngrams_are_counted_in_turns(spark, monkeypatch):
     assert all(saved) and len(saved) == len(turns) + 1
 
 
+def test_ngrams_leave_a_group_once(spark, monkeypatch):
+    """Of each group a bucket gets every n-gram once, with its count, however many documents have it; scores are those of documents in a single group."""
+    dice = random.Random(14)
+    table = spark.createDataFrame([(i, " ".join(f"w{dice.randrange(20)}" for _ in range(60))) for i in range(80)] + [(100 + i, "the same words") for i in range(30)] + [(200, None)], "doc_id long, text string").repartition(3)
+    scores = lambda: sorted((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lm.lm_scores(table, every=1, hot=20).collect())
+    want, seen = scores(), []
+    monkeypatch.setattr(lm, "GROUP", 2000)
+    monkeypatch.setattr(lm, "BUCKET", 1000)
+    monkeypatch.setattr(lm, "by_bucket", lambda rows, groups, bits, f=lm.by_bucket: (out := f(rows, groups, bits), seen.append((groups, bits, rows.collect(), out.collect())))[0])
+    assert scores() == want
+    assert len(seen) == lm.TURNS
+    for groups, bits, rows, found in seen:
+        assert groups > 5 and bits > 2
+        sums = Counter()
+        for r in rows:
+            sums[r["unit"] % groups, r["h"]] += r["n"]
+        got = [((r["g"], int(h)), int(n)) for r in found for h, n in zip(np.frombuffer(r["h"], np.int64), np.frombuffer(r["n"], np.int64), strict=True)]
+        assert len(got) == len(sums) < len(rows) and dict(got) == sums
+        assert len({(r["g"], r["bucket"]) for r in found}) == len(found)
+
+
+def test_hashes_that_differ_in_their_last_bits_are_sorted_in_full():
+    h = np.array([5, 4, 5, 1 << 63, 4, 3, (1 << 63) + 1, 1 << 63] * 9, dtype=np.uint64)
+    for some in (h, h[:1], h[:0]):
+        assert np.array_equal(lm._order(some), np.argsort(some, kind="stable"))
+
+
 # --- 9 embeddings ------------------------------------------------------------------
 
 
