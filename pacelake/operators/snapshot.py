@@ -167,28 +167,46 @@ def merge_collapsed(each: DataFrame, snapshots: int, daily: Column, preserve: Co
     }
 
 
-def key_rows(observations: DataFrame, daily: Column, preserve: Column) -> DataFrame:
+def digests(record) -> list[Column]:
+    """128 bits that tell records apart, whatever the order of their maps, as two numbers, of which Spark keeps the least and the greatest without sorting rows."""
+    return [F.xxhash64(F.lit(seed), F.sort_array(F.map_entries(record))) for seed in (1, 2)]
+
+
+def key_rows(observations: DataFrame, daily: Column, preserve: Column, whole: bool = True) -> DataFrame:
     """One row for each key: ``total`` observations, the ``versions`` of its snapshots, its different ``texts``, ``several``, ``outcome`` and, of merged keys, ``orders``.
 
+    A text is a record as JSON with sorted fields or, unless the ``whole`` of it is wanted, its ``digests``.
     Observations of a snapshot are combined before the first shuffle and all that follows works on the row of a key, so nothing is sorted by anything but keys.
     Rows without a key count as one key that is null.
     """
     key = F.when(~_nameless(), F.col("canonical_key"))
     at = ["logical_order", "snapshot_id", "export_observed_at"]
-    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("record"))))
-    each = observations.select("dataset", key.alias("canonical_key"), *at, F.when(key.isNotNull(), text).alias("text")).groupBy(*KEY, *at).agg(F.min("text").alias("text"), F.max("text").alias("other"), F.count("*").alias("n"))
-    versions = F.collect_list(F.struct(*at, "n", "text", F.col("text").eqNullSafe(F.col("other")).alias("same")))
-    keys = each.groupBy(*KEY).agg(F.sum("n").alias("total"), versions.alias("versions"))
+    texts = [F.to_json(F.map_from_entries(F.sort_array(F.map_entries("record"))))] if whole else digests("record")
+    lo, hi = ([f"{side}{k}" for k in range(len(texts))] for side in ("lo", "hi"))
+    rows = observations.select("dataset", key.alias("canonical_key"), *at, *[F.when(key.isNotNull(), t).alias(c) for c, t in zip(lo, texts, strict=True)])
+    each = rows.groupBy(*KEY, *at).agg(*[F.min(c).alias(c) for c in lo], *[F.max(c).alias(d) for c, d in zip(lo, hi, strict=True)], F.count("*").alias("n"))
+    same = F.lit(True)
+    for c, d in zip(lo, hi, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(d))
+    text = F.col(lo[0]) if whole else F.struct(*lo)
+    keys = each.groupBy(*KEY).agg(F.sum("n").alias("total"), F.collect_list(F.struct(*at, "n", text.alias("text"), same.alias("same"))).alias("versions"))
     keys = keys.withColumns({"texts": F.array_distinct("versions.text"), "even": ~F.array_contains("versions.same", False), "orders": F.array_distinct("versions.logical_order")})
     keys = keys.withColumn("several", ~F.col("even") | (F.size("texts") > 1))
-    within = ~F.col("even") | (F.size(F.array_distinct(F.transform("versions", lambda v: F.struct(v["logical_order"], v["text"])))) > F.size("orders"))
+    # only versions of one order, or of one time, can be in each other's way
+    within = (F.size("orders") < F.size("versions")) & (F.size(F.array_distinct(F.transform("versions", lambda v: F.struct(v["logical_order"], v["text"])))) > F.size("orders"))
     differ = lambda a, b: a["export_observed_at"].eqNullSafe(b["export_observed_at"]) & (a["snapshot_id"] != b["snapshot_id"]) & (a["text"] != b["text"])
-    at_once = F.exists("versions", lambda a: F.exists("versions", lambda b: differ(a, b)))
-    stopped = F.when(F.col("several"), within | at_once).otherwise(False)
+    at_once = (F.size(F.array_distinct("versions.export_observed_at")) < F.size("versions")) & F.exists("versions", lambda a: F.exists("versions", lambda b: differ(a, b)))
+    stopped = F.when(F.col("several"), ~F.col("even") | within | at_once).otherwise(False)
     outcome = F.when(F.col("canonical_key").isNull(), "nameless").when(stopped, "stopped").when(~F.col("several") | ~daily, "merged").when(preserve, "variants").otherwise("unequal")
     return keys.withColumn("outcome", outcome).withColumn("orders", F.when(F.col("outcome") == "merged", F.col("orders")))
 
 
+def pattern_counts(keys: DataFrame, snapshots: int) -> DataFrame:
+    """``dataset, presence_pattern, key_count`` of the merged keys among the rows of ``key_rows``; a pattern is made once for all keys that share it."""
+    each = keys.where("outcome = 'merged'").groupBy("dataset", F.sort_array("orders").alias("orders")).agg(F.count("*").alias("key_count"))
+    return each.select("dataset", coverage.pattern("orders", snapshots), "key_count")
+
+
 def _changes(name: Column) -> Column:
     """How often the retained value of a field changes along the ``parsed`` versions: nulls and empties after a value don't replace it."""
     none = F.struct(F.lit(None).cast("string").alias("value"), F.lit(False).alias("known"), F.lit(0).cast("long").alias("changes"))
@@ -295,7 +313,7 @@ def merge_observations(observations: DataFrame, snapshots: int, daily: Column |
     none = F.lit(None).cast("string")
     holds = nameless.select("dataset", none.alias("canonical_key"), none.alias("field_name"), "snapshot_id", F.lit("null_stable_key").alias("hold_type"), "source_relative_path", "source_record_index").union(quiet)
     keys = key_rows(observations, daily, preserve)
-    patterns = keys.where("outcome = 'merged'").withColumn("presence_pattern", coverage.pattern("orders", snapshots)).groupBy("dataset", "presence_pattern").agg(F.count("*").alias("key_count"))
+    patterns = pattern_counts(key_rows(observations, daily, preserve, whole=False), snapshots)
     return {**{k: v for k, v in out.items() if k != "counters"}, "patterns": patterns, "provenance": _provenance(observations, daily), "holds": holds, "summary": summarize(key_counters(keys, snapshots))}
 
 

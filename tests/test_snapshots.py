@@ -83,3 +83,21 @@ def test_build_digest_of_many_records_is_that_of_one_sequence(spark):
     assert tuple(digest.build_digest(records, variants, spark.createDataFrame([("c",)], "content_id string"), {"v": "1"}).first()) == (n, 1, want)
     none = digest.build_digest(records.where("false"), variants, spark.createDataFrame([("c",)], "content_id string"), {"v": "1"}).first()
     assert tuple(none) == (0, 1, sha('["v=1"]\n\n' + leaf(["c"])))
+
+
+def test_patterns_are_those_of_merged_keys_without_sorting_or_texts(spark):
+    """Equal and different records in and across snapshots, at one time and at several, in any order of fields, and rows without a key."""
+    rows, dice = [], random.Random(5)
+    for k in range(120):
+        for order in dice.sample((1, 2, 3), dice.randint(1, 3)):
+            for _ in range(dice.randint(1, 2)):
+                fields = [("a", str(dice.randrange(1 + k % 3))), ("b", "null"), ("c", '""')]
+                dice.shuffle(fields)
+                rows.append((f"k{k}" if k % 10 else None, f"s{order}", order, "t" if k % 4 == 0 else f"t{order}", "p", len(rows), dict(fields)))
+    seen = spark.createDataFrame(rows, "canonical_key string, snapshot_id string, logical_order long, export_observed_at string, source_relative_path string, source_record_index long, record map<string,string>")
+    for daily, preserve in ((False, False), (True, False), (True, True)):
+        out = snapshot.merge_dataset(seen, 3, daily, preserve)
+        want = Counter(r[0] for r in out["canonical"].select("presence_pattern").collect())
+        assert len(want) > 2 and dict(map(tuple, out["patterns"].collect())) == want
+        plan = out["patterns"]._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "StructsToJson" not in plan
