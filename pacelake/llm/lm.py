@@ -1,7 +1,7 @@
 """Language-model scores by stupid backoff, from n-gram counts over all documents.
 
-Documents are dealt into groups of about ``GROUP`` bytes by a hash. Every document is exploded into its distinct n-grams of all orders,
-each with the document's own count; those of a group are summed up, so that an n-gram leaves a group once, and dealt into buckets by
+Documents are dealt into groups of about ``GROUP`` bytes by a hash. The n-grams of all orders of a group's documents are
+summed up in the task that reads the texts, so that an n-gram leaves a group once, and dealt into buckets by
 ranges of hashes. A bucket is counted over all groups, and what other groups have goes back to each group in the order in which its n-grams came.
 There the hashes of its texts are worked out again, every word is scored and the scores are summed.
 N-grams of a group that go to one bucket travel as one value, so the shuffles hold hashes and counts and nothing else.
@@ -146,7 +146,10 @@ def exploded(units: DataFrame, order: int, hot: np.ndarray, turn: int | None = N
                     text, h = np.repeat(text, each), np.repeat(h, each)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(unit[text]), pa.array(n)], names)
 
-    return units.select("unit", "text", "copies").mapInArrow(run, "h long, unit long, n long")
+    out = units.select("unit", "text", "copies").mapInArrow(run, "h long, unit long, n long")
+    # by_bucket sums n-grams up in the task that reads their texts, so that no row of them passes from Python to Spark and back
+    out._made_of = (units, order, shared, turn)
+    return out
 
 
 def _values(x: np.ndarray, cut: np.ndarray) -> pa.Array:
@@ -161,36 +164,58 @@ def _numbers(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarr
 
 
 def by_bucket(rows: DataFrame, groups: int, bits: int) -> DataFrame:
-    """``bucket, g, h, n``: the n-grams that each group has in each bucket, in the order of their hashes, and how often; ``rows`` are those of ``exploded``, group by group."""
+    """``bucket, g, h, n``: the n-grams that each group has in each bucket, in the order of their hashes, and how often; ``rows`` are those of ``exploded`` for a turn, group by group.
+
+    The sums are those of ``rows``, which themselves are not made: they come straight from the texts that ``rows`` are of.
+    """
+    units, order, shared, turn = rows._made_of
     known, shift = _TURN_BITS, np.uint64(64 - _TURN_BITS - bits)
 
-    def summed(g: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-        by = _order(h, known)
-        h, n = h[by], n[by]
-        first = _firsts(h)
-        h, n = h[first], np.add.reduceat(n, first)
+    def found_in(texts: pa.Array, copies: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """The hashes of the turn in order of place, and for how many copies each of them counts if not for one."""
+        for first, end, buf, offsets in tb.chunks(texts):
+            before, found = grams(buf, offsets, order)
+            keep = [np.flatnonzero((h != 0) & (_turn(h) == turn)) for h in found]
+            each = copies[first:end]
+            times = np.repeat(each, np.diff(before)) if (each != 1).any() else None
+            yield np.concatenate([h[k] for h, k in zip(found, keep, strict=True)]), None if times is None else np.concatenate([times[k] for k in keep])
+
+    def summed(g: int, held: list[tuple[np.ndarray, np.ndarray | None]], hot: Hot) -> pa.RecordBatch:
+        h = np.concatenate([x[0] for x in held])
+        if all(x[1] is None for x in held):
+            h.sort()
+            first = _firsts(h)
+            n = np.diff(np.append(first, len(h)))
+        else:
+            times = np.concatenate([np.ones(len(x[0]), dtype=np.int64) if x[1] is None else x[1] for x in held])
+            by = _order(h, known)
+            h = h[by]
+            first = _firsts(h)
+            n = np.add.reduceat(times[by], first) if len(first) else times
+        h = h[first]
+        keep = hot.places(h) < 0
+        h, n = h[keep], n[keep]
         bucket = ((h >> shift) & np.uint64((1 << bits) - 1)).astype(np.int32)
         begin = _firsts(bucket)
         cut = np.append(begin, len(h))
         return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(np.full(len(begin), g)), _values(h, cut), _values(n, cut)], ["bucket", "g", "h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Hot(shared.value)
         at, held = -1, []
         for batch in batches:
-            h, unit, n = (batch.column(k).to_numpy() for k in range(3))
-            group = unit % groups
+            group, copies = batch.column(0).to_numpy() % groups, batch.column(2).to_numpy()
             begin = _firsts(group)
             for a, b in zip(begin, np.append(begin[1:], len(group)), strict=True):
                 if group[a] != at and held:
-                    yield summed(at, held)
+                    yield summed(at, held, hot)
                     held = []
                 at = int(group[a])
-                held.append((h[a:b].view(np.uint64), n[a:b]))
+                held.extend(found_in(batch.column(1).slice(a, b - a), copies[a:b]))
         if held:
-            yield summed(at, held)
+            yield summed(at, held, hot)
 
-    return rows.mapInArrow(run, "bucket int, g long, h binary, n binary")
+    return units.select("unit", "text", "copies").mapInArrow(run, "bucket int, g long, h binary, n binary")
 
 
 def elsewhere(rows: DataFrame, bits: int) -> DataFrame:
@@ -293,7 +318,9 @@ def _scored(before: np.ndarray, found: list[np.ndarray], copies: np.ndarray, res
     total[place >= 0] = totals[place[place >= 0]]
     own_n = np.diff(np.append(own, len(flat)))
     count = np.empty(len(flat), dtype=np.int64)
-    count[by] = np.repeat(total[np.searchsorted(first, own, side="right") - 1] - own_n, own_n)  # without the text's own
+    starts = np.zeros(len(flat), dtype=bool)
+    starts[first] = True
+    count[by] = np.repeat(total[np.cumsum(starts[own]) - 1] - own_n, own_n)  # without the text's own
     others, at = [], 0
     for k in full:
         others.append(np.zeros(len(text), dtype=np.int64))

@@ -397,6 +397,22 @@ def test_ngrams_leave_a_group_once(spark, monkeypatch):
         assert len({(r["g"], r["bucket"]) for r in found}) == len(found)
 
 
+def test_ngrams_are_summed_where_their_texts_are_read(spark):
+    """One step of Python from texts to packed sums, which are those of the rows of single n-grams, copies and frequent ones included."""
+    units = spark.createDataFrame([(1, "a b c a b", 1), (2, "a b", 3), (4, "", 1), (6, "d a b c", 2)], "unit long, text string, copies long").coalesce(1)
+    for turn in range(lm.TURNS):
+        every = lm.exploded(units, 3, np.zeros(0, dtype=np.uint64), turn).collect()
+        hot = np.sort(np.array(sorted({r["h"] for r in every})[:1], dtype=np.int64).view(np.uint64))
+        rows = lm.exploded(units, 3, hot, turn)
+        found = lm.by_bucket(rows, 1, 2)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        sums = Counter()
+        for r in rows.collect():
+            sums[r["h"]] += r["n"]
+        got = [(int(h), int(n)) for r in found.collect() for h, n in zip(np.frombuffer(r["h"], np.int64), np.frombuffer(r["n"], np.int64), strict=True)]
+        assert len(got) == len(sums) and dict(got) == sums and not {int(h) for h in hot.view(np.int64)} & set(sums)
+
+
 def test_hashes_that_differ_in_their_last_bits_are_sorted_in_full():
     h = np.array([5, 4, 5, 1 << 63, 4, 3, (1 << 63) + 1, 1 << 63] * 9, dtype=np.uint64)
     for some in (h, h[:1], h[:0]):
